@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from citewell.functions.binding import let
 from citewell.functions.text import words
 
 MAX_SPANS = 5
@@ -17,7 +18,7 @@ def _span(start: Column, end: Column) -> Column:
 
 
 def _merged_matches(terms: Column, text: Column, limit: int) -> Column:
-    """First merged runs of term matches, one more than ``limit`` at most.
+    """First ``limit`` merged runs of term matches.
 
     A lookahead on all terms, longest first, finds overlapping matches in one linear pass; each match is
     written in front of its position between marks, so the split gives match, following text, match, ...
@@ -33,29 +34,29 @@ def _merged_matches(terms: Column, text: Column, limit: int) -> Column:
     pattern = F.concat(F.lit("(?=("), F.array_join(quoted, "|"), F.lit("))"))
     pieces = F.split(F.regexp_replace(unmark(text), pattern, F.lit(f"{_MARK}$1{_MARK}")), _MARK)
     start = F.struct(
-        F.length(F.element_at(pieces, 1)).alias("at"), F.array().cast(_SPANS).alias("spans"), F.lit(False).alias("done")
+        F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(_SPANS).alias("spans"), F.lit(False).alias("done")
     )
 
-    def step(acc, i):
-        hit, rest = F.element_at(pieces, i * 2 + 2), F.element_at(pieces, i * 2 + 3)
-        end = acc["at"] + F.length(hit)
+    def step(acc, piece):
+        end = acc["at"] + F.length(piece)
         last = F.try_element_at(acc["spans"], F.lit(-1))
         touches = F.coalesce(acc["at"] <= last["end"], F.lit(False))
-        spans = F.when(
-            touches,
-            F.array_append(
-                F.slice(acc["spans"], F.lit(1), F.size(acc["spans"]) - 1),
-                _span(last["start"], F.greatest(last["end"], end)),
-            ),
-        ).otherwise(F.array_append(acc["spans"], _span(acc["at"], end)))
-        full = ~touches & (F.size(acc["spans"]) >= limit)
-        return F.when(acc["done"] | full, F.struct(acc["at"].alias("at"), acc["spans"].alias("spans"), F.lit(True).alias("done"))).otherwise(
-            F.struct((acc["at"] + F.length(rest)).alias("at"), spans.cast(_SPANS).alias("spans"), F.lit(False).alias("done"))
+        widened = F.array_append(
+            F.slice(acc["spans"], F.lit(1), F.size(acc["spans"]) - 1), _span(last["start"], F.greatest(last["end"], end))
+        )
+        full = acc["done"] | (acc["hit"] & ~touches & (F.size(acc["spans"]) >= limit))
+        spans = (
+            F.when(full | ~acc["hit"], acc["spans"])
+            .when(touches, widened)
+            .otherwise(F.array_append(acc["spans"], _span(acc["at"], end)))
+        )
+        # A match is a copy in front of its own text, so only text moves the position.
+        return F.struct(
+            F.when(acc["hit"], acc["at"]).otherwise(end).alias("at"), (~acc["hit"]).alias("hit"),
+            spans.cast(_SPANS).alias("spans"), full.alias("done"),
         )
 
-    steps = F.sequence(F.lit(0), (F.size(pieces) - 3) / 2).cast("array<int>")
-    found = F.aggregate(steps, start, step, lambda acc: acc["spans"])
-    return F.when(F.size(pieces) > 1, found).otherwise(F.array().cast(_SPANS))
+    return F.aggregate(pieces, start, step, lambda acc: acc["spans"])
 
 
 def _with_context(spans: Column, text: Column, reach: int) -> Column:
@@ -85,12 +86,14 @@ def highlights(text: Column, query: Column, max_spans: int = MAX_SPANS, reach: i
     if limit <= 0:
         return nothing
     terms = F.array_distinct(F.transform(F.filter(words(query), lambda w: F.length(w) >= 2), F.lower))
-    found = _merged_matches(terms, F.lower(text), limit)
-    shown = F.when(F.size(found) > 0, _with_context(found, text, reach)).otherwise(
-        F.array(_span(F.lit(0), F.least(F.length(text), F.lit(200))))
-    )
-    usable = (F.length(text) > 0) & (F.size(terms) > 0)
-    return F.when(F.coalesce(usable, F.lit(False)), shown).otherwise(nothing)
+
+    def shown(found):
+        return F.when(F.size(found) > 0, _with_context(found, text, reach)).otherwise(
+            F.array(_span(F.lit(0), F.least(F.length(text), F.lit(200))))
+        )
+
+    usable = F.coalesce((F.length(text) > 0) & (F.size(terms) > 0), F.lit(False))
+    return F.when(usable, let(_merged_matches(terms, F.lower(text), limit), shown)).otherwise(nothing)
 
 
 def valid_spans(spans: Column, text: Column) -> Column:

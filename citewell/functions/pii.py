@@ -8,6 +8,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from citewell.functions.binding import let
+
 # Word edges next to a word character, with letters and digits of every script as word characters.
 _L = r"(?<![\p{L}\p{N}_])"
 _R = r"(?![\p{L}\p{N}_])"
@@ -99,26 +101,22 @@ def _accept(kind: str, value: Column) -> Column:
 def _spans(text: Column, rank: int, kind: str, pattern: str) -> Column:
     """Offsets of every match: put marks around the matches, split, and add up the piece lengths."""
     safe = F.translate(text, _MARK, "\u0002")
-    # $0 is the whole match; the odd pieces of the split are the matches.
+    # $0 is the whole match; every second piece of the split is a match.
     pieces = F.split(F.regexp_replace(safe, pattern, f"{_MARK}$0{_MARK}"), _MARK)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(_SPAN).alias("found"))
 
-    def step(acc, i):
-        gap, hit = F.element_at(pieces, i * 2 + 1), F.element_at(pieces, i * 2 + 2)
-        begin = acc["at"] + F.length(gap)
+    def step(acc, piece):
+        end = acc["at"] + F.length(piece)
         span = F.struct(
-            begin.alias("start"),
-            (begin + F.length(hit)).alias("end"),
-            F.lit(rank).alias("rank"),
-            F.lit(kind).alias("type"),
-            hit.alias("value"),
+            acc["at"].alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("type"),
+            piece.alias("value"),
         )
-        kept = F.when(_accept(kind, hit), F.array_append(acc["found"], span)).otherwise(acc["found"])
-        return F.struct((begin + F.length(hit)).alias("at"), kept.cast(_SPAN).alias("found"))
+        found = F.when(acc["hit"] & _accept(kind, piece), F.array_append(acc["found"], span)).otherwise(acc["found"])
+        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), found.cast(_SPAN).alias("found"))
 
-    hits = F.sequence(F.lit(0), (F.size(pieces) - 3) / 2)
-    folded = F.aggregate(hits.cast("array<int>"), start, step, lambda acc: acc["found"])
-    return F.when(F.size(pieces) > 1, folded).otherwise(F.array().cast(_SPAN))
+    # Most texts lack the one character a kind cannot do without; they skip the pattern.
+    needed = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9A-Z]|" + _D))
+    return F.when(needed, F.aggregate(pieces, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(_SPAN))
 
 
 def detect_one(c: Column, kind: str) -> Column:
@@ -156,22 +154,24 @@ def redact_spans(text: Column, spans: Column) -> Column:
 
 
 def redact(c: Column) -> Column:
-    return redact_spans(c, detect_pii(c))
+    return let(detect_pii(c), lambda spans: redact_spans(c, spans))
 
 
 def redact_info(c: Column) -> Column:
     """Redacted text plus kinds, spans and placeholders, without the values."""
-    spans = detect_pii(c)
-    redactions = F.transform(
-        spans,
-        lambda s: F.struct(s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"),
-                           placeholder(s["type"]).alias("placeholder")),
-    )
-    return F.struct(
-        redact_spans(c, spans).alias("redacted_text"),
-        redactions.alias("redactions"),
-        (F.size(spans) > 0).alias("had_pii"),
-    )
+    def described(spans):
+        redactions = F.transform(
+            spans,
+            lambda s: F.struct(s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"),
+                               placeholder(s["type"]).alias("placeholder")),
+        )
+        return F.struct(
+            redact_spans(c, spans).alias("redacted_text"),
+            redactions.alias("redactions"),
+            (F.size(spans) > 0).alias("had_pii"),
+        )
+
+    return let(detect_pii(c), described)
 
 
 def redact_log_value(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from citewell.functions.binding import let
 from citewell.functions.text import strip, words
 
 # Phrases counted as transitions.
@@ -15,12 +16,16 @@ TRANSITIONS = [
 
 
 def _variance(lengths: Column) -> Column:
-    """Population variance of an integer array; NULL when empty."""
-    total = F.aggregate(lengths, F.lit(0.0), lambda acc, n: acc + n)
-    mean = total / F.nullif(F.size(lengths), F.lit(0))
-    return F.aggregate(lengths, F.lit(0.0), lambda acc, n: acc + (n - mean) * (n - mean)) / F.nullif(
-        F.size(lengths), F.lit(0)
+    """Population variance of an integer array, from exact sums; NULL when empty."""
+    zero = F.lit(0).cast("long")
+    sums = F.aggregate(
+        lengths,
+        F.struct(zero.alias("n"), zero.alias("s"), zero.alias("ss")),
+        lambda acc, x: F.struct(
+            (acc["n"] + 1).alias("n"), (acc["s"] + x).alias("s"), (acc["ss"] + x.cast("long") * x).alias("ss")
+        ),
     )
+    return let(sums, lambda a: (a["n"] * a["ss"] - a["s"] * a["s"]) / F.nullif(a["n"] * a["n"], F.lit(0)))
 
 
 def _stripped_parts(c: Column, separator: str) -> Column:
@@ -37,23 +42,29 @@ def _clamp(c: Column) -> Column:
 
 def credibility(c: Column) -> Column:
     """Rewards length, figures, varied sentences and a rich vocabulary."""
-    parts = _stripped_parts(c, "[.!?]+")
-    vocabulary = words(F.lower(c))
+    varied = let(
+        F.transform(_stripped_parts(c, "[.!?]+"), F.length), lambda n: (F.size(n) > 3) & (_variance(n) > 100)
+    )
+    rich = let(
+        words(F.lower(c)),
+        lambda w: F.coalesce(F.size(F.array_distinct(w)) / F.nullif(F.size(w), F.lit(0)) > 0.6, F.lit(False)),
+    )
     score = F.lit(0.5) + _bonus(F.length(c) > 500, 0.1) + _bonus(F.length(c) > 2000, 0.1)
     score = score + _bonus(F.regexp_count(c, F.lit(r"\p{Nd}+\.?\p{Nd}*")) > 3, 0.1)
-    score = score + _bonus((F.size(parts) > 3) & (_variance(F.transform(parts, F.length)) > 100), 0.05)
-    distinct_share = F.size(F.array_distinct(vocabulary)) / F.nullif(F.size(vocabulary), F.lit(0))
-    return _clamp(score + _bonus(distinct_share > 0.6, 0.05))
+    return _clamp(score + _bonus(varied, 0.05) + _bonus(rich, 0.05))
 
 
 def ai_likelihood(c: Column) -> Column:
     """Rewards uniform sentences, transition phrases and uniform paragraphs; short texts keep the base."""
-    parts = _stripped_parts(c, "[.!?]+")
-    spread = _variance(F.transform(parts, lambda s: F.size(words(s))))
     lowered = F.lower(c)
     phrases = sum((F.when(lowered.contains(t), 1).otherwise(0) for t in TRANSITIONS), F.lit(0))
-    paragraphs = F.transform(_stripped_parts(c, "\n\n"), F.length)
-    score = F.lit(0.3) + F.when(spread < 20, 0.2).when(spread < 50, 0.1).otherwise(0.0)
-    score = score + F.when(phrases >= 3, 0.15).when(phrases >= 2, 0.1).otherwise(0.0)
-    score = score + _bonus((F.size(paragraphs) > 2) & (_variance(paragraphs) < 500), 0.1)
-    return F.when(F.size(parts) < 3, F.lit(0.3)).otherwise(_clamp(score))
+    uniform = let(
+        F.transform(_stripped_parts(c, "\n\n"), F.length), lambda n: (F.size(n) > 2) & (_variance(n) < 500)
+    )
+
+    def scored(sizes):
+        score = let(_variance(sizes), lambda v: F.lit(0.3) + F.when(v < 20, 0.2).when(v < 50, 0.1).otherwise(0.0))
+        score = score + F.when(phrases >= 3, 0.15).when(phrases >= 2, 0.1).otherwise(0.0) + _bonus(uniform, 0.1)
+        return F.when(F.size(sizes) < 3, F.lit(0.3)).otherwise(_clamp(score))
+
+    return let(F.transform(_stripped_parts(c, "[.!?]+"), lambda s: F.size(words(s))), scored)

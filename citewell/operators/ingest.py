@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewell.functions import provenance, text, urls, vectors
+from citewell.functions import provenance, text, vectors
 from citewell.operators.ordered import running, time_segment, top_n
+from citewell.sources.tables import cut
 
 DAY = 86_400
 
@@ -32,25 +33,31 @@ def document_identity(pages: DataFrame, url: str = "url", ts: str = "fetched_at"
 def number_versions(
     observations: DataFrame, url: str = "source_url", ts: str = "fetched_at", segment_seconds: int = DAY
 ) -> DataFrame:
-    """Version of every observation: a change against the latest content adds one, so A, B, A is three."""
+    """Version of every stored observation: a change against the latest content adds one, so A, B, A is
+    three. Texts stay out of it; only URL, time and hash are shuffled."""
     order = [ts, "content_hash"]
     segment = time_segment(F.col(ts), segment_seconds)
-    seen = running(observations, [url], order, segment, previous={"_before": ("content_hash", 1)})
-    seen = seen.withColumn("_changed", F.when(F.col("_before").eqNullSafe(F.col("content_hash")), 0).otherwise(1))
-    numbered = running(seen, [url], order, segment, total={"version": "_changed"})
-    return numbered.withColumn("document_id", document_id(F.col(url))).drop("_before")
+    slim = observations.select(url, *order)
+    seen = running(slim, [url], order, segment, previous={"_before": ("content_hash", 1)}, stored=True)
+    seen = seen.withColumn("changed", F.when(F.col("_before").eqNullSafe(F.col("content_hash")), 0).otherwise(1))
+    numbered = running(seen.drop("_before"), [url], order, segment, total={"version": "changed"})
+    return numbered.withColumn("document_id", document_id(F.col(url)))
 
 
 def assign_versions(
     observations: DataFrame, url: str = "source_url", ts: str = "fetched_at", segment_seconds: int = DAY
 ) -> DataFrame:
-    """One row per (document, version) with when it was created and last seen."""
+    """One row per (document, version) of stored observations, with when it was created and last seen."""
     numbered = number_versions(observations, url, ts, segment_seconds)
-    return numbered.groupBy("document_id", F.col(url).alias("source_url"), "version", "content_hash").agg(
-        F.min(ts).alias("created_at"),
-        F.max(ts).alias("last_seen_at"),
-        # All observations of a version share the text, so any non-null one will do.
-        F.any_value("cleaned_text", F.lit(True)).alias("cleaned_text"),
+    versions = numbered.groupBy("document_id", url, "version", "content_hash").agg(
+        F.min(ts).alias("created_at"), F.max(ts).alias("last_seen_at")
+    )
+    # The text is that of the observation that created the version; twins of it are equal.
+    texts = observations.select(url, F.col(ts).alias("created_at"), "content_hash", "cleaned_text").dropDuplicates(
+        [url, "created_at", "content_hash"]
+    )
+    return versions.join(texts, [url, "created_at", "content_hash"]).withColumnRenamed(url, "source_url").select(
+        "document_id", "source_url", "version", "content_hash", "created_at", "last_seen_at", "cleaned_text"
     )
 
 
@@ -63,7 +70,8 @@ def merge_versions(existing: DataFrame, batch: DataFrame, segment_seconds: int =
     """Fold a batch of cleaned observations into stored versions.
 
     Returns the new version table and one result row per batch observation with the flags ``is_new``,
-    ``version_incremented`` and ``last_seen_only``. Only URLs that occur in the batch are re-read.
+    ``version_incremented`` and ``last_seen_only``. Both inputs are stored tables. Stored rows whose URL
+    is not in the batch are passed on without being numbered again.
     """
     touched = batch.select("source_url").distinct()
     base = latest_versions(existing.join(touched, "source_url", "left_semi")).select(
@@ -82,7 +90,8 @@ def merge_versions(existing: DataFrame, batch: DataFrame, segment_seconds: int =
     segment = F.when(F.col("_stored") == 0, F.lit(-(2**40))).otherwise(
         time_segment(F.col("fetched_at"), segment_seconds)
     )
-    seen = running(both, ["source_url"], order, segment, previous={"_before": ("content_hash", 1)})
+    slim = cut(both.drop("cleaned_text"), "merge")
+    seen = running(slim, ["source_url"], order, segment, previous={"_before": ("content_hash", 1)}, stored=True)
     seen = seen.withColumn(
         "_step",
         F.when(F.col("_stored") == 0, F.col("_base"))
@@ -90,7 +99,7 @@ def merge_versions(existing: DataFrame, batch: DataFrame, segment_seconds: int =
         .otherwise(1),
     )
     numbered = running(seen, ["source_url"], order, segment, total={"version": "_step"})
-    numbered = numbered.withColumn("document_id", document_id(F.col("source_url")))
+    numbered = cut(numbered.withColumn("document_id", document_id(F.col("source_url"))), "numbered")
 
     results = numbered.where(F.col("_stored") == 1).select(
         "document_id",
@@ -101,28 +110,32 @@ def merge_versions(existing: DataFrame, batch: DataFrame, segment_seconds: int =
         (F.col("_before").isNotNull() & (F.col("_step") == 1)).alias("version_incremented"),
         (F.col("_step") == 0).alias("last_seen_only"),
     )
-    changes = numbered.where(F.col("_stored") == 1).select(
-        "document_id", "source_url", "version", "content_hash", "cleaned_text",
-        F.col("fetched_at").alias("created_at"), F.col("fetched_at").alias("last_seen_at"),
+    texts = batch.select("source_url", "fetched_at", "content_hash", "cleaned_text").dropDuplicates(
+        ["source_url", "fetched_at", "content_hash"]
     )
-    columns = ["document_id", "source_url", "version", "content_hash", "cleaned_text", "created_at", "last_seen_at"]
-    merged = (
-        existing.select(*columns)
-        .unionByName(changes)
-        .groupBy("document_id", "source_url", "version", "content_hash")
-        .agg(
-            F.min("created_at").alias("created_at"),
-            F.max("last_seen_at").alias("last_seen_at"),
-            F.any_value("cleaned_text", F.lit(True)).alias("cleaned_text"),
-        )
+    changes = numbered.where(F.col("_stored") == 1).groupBy("document_id", "source_url", "version", "content_hash").agg(
+        F.min("fetched_at").alias("created_at"), F.max("fetched_at").alias("last_seen_at"),
+        F.max("_step").alias("_new"),
+    )
+    # Only new versions need their text; the others just move last_seen_at of a stored row.
+    fresh = changes.where(F.col("_new") == 1).join(
+        texts.withColumnRenamed("fetched_at", "created_at"), ["source_url", "created_at", "content_hash"]
     )
-    return merged.select(*columns), results
+    seen_again = changes.where(F.col("_new") == 0).select(
+        "document_id", "version", F.col("last_seen_at").alias("_seen")
+    )
+    columns = ["document_id", "source_url", "version", "content_hash", "cleaned_text", "created_at", "last_seen_at"]
+    kept = existing.select(*columns).join(seen_again, ["document_id", "version"], "left")
+    kept = kept.withColumn("last_seen_at", F.greatest("last_seen_at", "_seen"))
+    return kept.select(*columns).unionByName(fresh.select(*columns)), results
 
 
 def version_gaps(versions: DataFrame, width: int = 100_000) -> DataFrame:
     """Versions that do not follow their document's previous version by exactly one (first: 1)."""
     segment = F.floor(F.col("version") / width)
-    chained = running(versions, ["document_id"], ["version"], segment, previous={"previous_version": ("version", 1)})
+    chained = running(
+        versions, ["document_id"], ["version"], segment, previous={"previous_version": ("version", 1)}, stored=True
+    )
     expected = F.coalesce(F.col("previous_version"), F.lit(0)) + 1
     return chained.withColumn("expected_version", expected).where(F.col("version") != F.col("expected_version"))
 
@@ -209,12 +222,12 @@ def retry_decisions(
 
     A failure is routed when it is at least the third since the key's last success or routing and the
     last three attempts are each at least a minute apart. Returns the routed rows with the number of
-    attempts made and the last error.
+    attempts made and the last error. The attempts are a stored table.
     """
     order = ["attempt_at", "attempt_id"]
     segment = time_segment(F.col("attempt_at"), segment_seconds)
     lags = {f"_t{k}": ("attempt_at", k) for k in range(1, max_attempts)}
-    lagged = running(attempts, ["key"], order, segment, previous=lags)
+    lagged = running(attempts, ["key"], order, segment, previous=lags, stored=True)
     times = [F.col("attempt_at"), *[F.col(f"_t{k}") for k in range(1, max_attempts)]]
     gaps = [F.unix_micros(a) - F.unix_micros(b) >= min_gap_seconds * 1_000_000 for a, b in zip(times, times[1:])]
     spaced = F.lit(True)
@@ -223,15 +236,17 @@ def retry_decisions(
     flagged = lagged.select("key", *order, "ok", "error", spaced.alias("spaced"), segment.alias("_seg"))
 
     # Fold each segment once for every state it could start in.
-    per_segment = flagged.groupBy("key", "_seg").agg(
-        F.array_sort(F.collect_list(F.struct(*order, "ok", "spaced", "error"))).alias("_attempts")
+    per_segment = cut(
+        flagged.groupBy("key", "_seg").agg(
+            F.array_sort(F.collect_list(F.struct(*order, "ok", "spaced", "error"))).alias("_attempts")
+        ),
+        "retries",
     )
     ends = F.transform(
         F.sequence(F.lit(0), F.lit(max_attempts)),
         lambda s: F.aggregate("_attempts", s, lambda state, a: _next_state(state, a, max_attempts)),
     )
     history = per_segment.select("key", F.struct("_seg", ends.alias("ends")).alias("_m"))
-    state_type = "struct<state:int,starts:map<bigint,int>>"
     starts = history.groupBy("key").agg(F.array_sort(F.collect_list("_m")).alias("_maps")).select(
         "key",
         F.explode(

@@ -12,6 +12,8 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citewell.sources.tables import cut
+
 SEGMENT = "_segment"
 
 
@@ -38,9 +40,13 @@ def running(
     previous: dict[str, tuple[str, int]] | None = None,
     total: dict[str, str] | None = None,
     peak_before: dict[str, str] | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Add running columns per key in the total order ``order``; ``segment`` must not decrease along it.
 
+    The rows are read twice, once for themselves and once for the summaries, so they are written out
+    first unless they are ``stored`` already.
+
     previous     out -> (column, k): the value k rows earlier
     total        out -> column: sum up to and including the row
     peak_before  out -> column: maximum over all earlier rows
@@ -49,6 +55,7 @@ def running(
     depth = max((k for _, k in previous.values()), default=0)
     kept = sorted({column for column, _ in previous.values()})
 
+    df = df if stored else cut(df, "running")
     rows = df.withColumn(SEGMENT, segment)
     local = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
@@ -108,9 +115,11 @@ def running(
     return joined.select(*[F.col(c) for c in df.columns], *out_cols)
 
 
-def position(df: DataFrame, keys: list[str], order: list[str], segment: Column, out: str) -> DataFrame:
+def position(
+    df: DataFrame, keys: list[str], order: list[str], segment: Column, out: str, stored: bool = False
+) -> DataFrame:
     """1-based position of each row within its key."""
-    counted = running(df.withColumn("_one", F.lit(1)), keys, order, segment, total={out: "_one"})
+    counted = running(df.withColumn("_one", F.lit(1)), keys, order, segment, total={out: "_one"}, stored=stored)
     return counted.drop("_one")
 
 

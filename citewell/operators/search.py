@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citewell.functions import text, urls
-from citewell.functions.vectors import DEFAULT_DIM
+from citewell.functions.vectors import DEFAULT_DIM, hash_embedding
 from citewell.operators import lexical, neighbours
 from citewell.operators.ingest import latest_versions
 from citewell.operators.ordered import top_n
@@ -51,7 +51,7 @@ def tenant_children(children: DataFrame, parents: DataFrame, tenant_id: str, key
     return children.join(tenant_rows(parents, tenant_id).select(key), key, "left_semi")
 
 
-def cut(results: DataFrame, keys: list[str], order: list[Column], most: int, limit: str, out: str = "rank") -> DataFrame:
+def within_limit(results: DataFrame, keys: list[str], order: list[Column], most: int, limit: str, out: str = "rank") -> DataFrame:
     """First ``limit`` rows per key, ``limit`` being a column that never exceeds ``most``.
 
     The constant bound is what lets map tasks drop rows before the shuffle.
@@ -77,17 +77,16 @@ def rrf(a: DataFrame, b: DataFrame, n: int | None = None, k: int = RRF_K, keys=(
 def lookup(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """Join candidates to their document version, or to the latest one if that version is gone.
 
-    The candidate keeps its own version number. Both joins are on the document id, so a candidate list
-    that measures small is broadcast and the documents stay where they are.
+    The candidate keeps its own version number. The version is settled on key columns alone; texts are
+    joined once, on document and version.
     """
     fields = [c for c in docs.columns if c not in ("document_id", "version")]
-    wanted = candidates.select("document_id").distinct()
-    known = docs.join(wanted, "document_id", "left_semi")
-    exact = known.select("document_id", "version", F.struct(*fields).alias("_exact"))
-    newest = latest_versions(known).select("document_id", F.struct(*fields).alias("_newest"))
-    joined = candidates.join(exact, ["document_id", "version"], "left").join(newest, "document_id")
-    found = joined.withColumn("_doc", F.coalesce("_exact", "_newest"))
-    return found.select(*candidates.columns, "_doc.*")
+    newest = docs.groupBy("document_id").agg(F.max("version").alias("_newest"))
+    exact = docs.select("document_id", F.col("version"), F.col("version").alias("_exact"))
+    settled = candidates.join(newest, "document_id").join(exact, ["document_id", "version"], "left")
+    settled = settled.withColumn("_version", F.coalesce("_exact", "_newest"))
+    bodies = docs.select("document_id", F.col("version").alias("_version"), *fields)
+    return settled.join(bodies, ["document_id", "_version"]).select(*candidates.columns, *fields)
 
 
 def to_results(candidates: DataFrame, docs: DataFrame, now: Column) -> DataFrame:
@@ -116,11 +115,25 @@ def candidates(
     ).join(limits, "query_id").where(F.col("rank") <= F.col("_most"))
     word = lexical.bm25(queries.where(F.col("mode") != "neural"), posting_rows, stats, most)
     word = word.join(limits, "query_id").where(F.col("rank") <= F.col("_most"))
-    columns = ["query_id", "document_id", "version", "score"]
-    fused = rrf(near.where("mode = 'hybrid'"), word.where("mode = 'hybrid'"))
-    single = near.where("mode = 'neural'").select(*columns).unionByName(word.where("mode = 'keyword'").select(*columns))
-    merged = single.unionByName(fused.select(*columns)).join(limits.drop("mode"), "query_id")
-    return cut(merged, ["query_id"], strict_order(), most, "_most").select(*columns)
+    return within_limit(fuse_by_mode(near, word), ["query_id"], strict_order(), most, "_most").select(
+        "query_id", "document_id", "version", "score"
+    )
+
+
+def fuse_by_mode(near: DataFrame, word: DataFrame, k: int = RRF_K) -> DataFrame:
+    """Both ranked lists in one: the list's own score for single modes, reciprocal ranks for hybrid.
+
+    One aggregation over the union, so neither list is computed twice.
+    """
+    columns = ["query_id", "mode", "_most", "document_id", "version", "score", "rank"]
+    both = near.select(*columns, F.lit(0).alias("_list")).unionByName(word.select(*columns, F.lit(1).alias("_list")))
+    shared = F.when(F.col("mode") == "hybrid", 1.0 / (k + F.col("rank"))).otherwise(F.col("score"))
+    merged = both.groupBy("query_id", "mode", "_most", "document_id").agg(
+        F.min_by("version", "_list").alias("version"), F.sum(shared).alias("raw_score")
+    )
+    best = F.max("raw_score").over(Window.partitionBy("query_id"))
+    relative = F.when(F.col("mode") == "hybrid", F.round(F.col("raw_score") / best, 9)).otherwise(F.col("raw_score"))
+    return merged.withColumn("score", relative)
 
 
 def search(
@@ -141,7 +154,7 @@ def search(
             | (F.col("provenance.ai_generated_likelihood") <= F.col("max_ai_generated_likelihood"))
         )
     )
-    ranked = cut(allowed, ["query_id"], strict_order(), MAX_RESULTS, "num_results")
+    ranked = within_limit(allowed, ["query_id"], strict_order(), MAX_RESULTS, "num_results")
     return ranked.drop("num_results", "min_credibility", "max_ai_generated_likelihood")
 
 
@@ -161,9 +174,9 @@ def find_similar(
     ).select("query_id", "_t.*")
     hits = tries.join(newest, "source_url")
     sources = top_n(hits, ["query_id"], [F.col("try"), F.col("document_id")], 1, "_first")
-    embedded = neighbours.embed_queries(
-        sources.select("query_id", F.col("cleaned_text").alias("query_text")), dim
-    ).join(sources.select("query_id", F.col("document_id").alias("skip_id")), "query_id")
+    embedded = sources.where(F.length(text.strip(F.col("cleaned_text"))) > 0).select(
+        "query_id", hash_embedding(F.col("cleaned_text"), dim).alias("query_vec"), F.col("document_id").alias("skip_id")
+    )
     near = neighbours.knn(embedded, vectors, n * overfetch).drop("rank")
     allowed = apply_thresholds(to_results(near, docs, now), least_credibility, most_ai_generated)
     unknown = requests.join(hits.select("query_id").distinct(), "query_id", "left_anti")

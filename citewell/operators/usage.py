@@ -63,7 +63,7 @@ _EPOCH_2020 = 1_577_836_800_000_000
 def _independent_runs(requests: DataFrame, segment_seconds: int) -> DataFrame:
     key, order = ["tenant_id", "endpoint"], ["ts", "request_id"]
     segment = time_segment(F.col("ts"), segment_seconds)
-    counted = running(requests.withColumn("_one", F.lit(1)), key, order, segment, total={"_count": "_one"})
+    counted = running(requests.withColumn("_one", F.lit(1)), key, order, segment, total={"_count": "_one"}, stored=True)
     balance = (F.unix_micros("ts") - _EPOCH_2020) * F.col("limit_per_minute").cast("long") - (
         F.col("_count") - 1
     ) * _MICROS_PER_TOKEN_MINUTE
@@ -94,7 +94,8 @@ def token_bucket(requests: DataFrame, segment_seconds: int = HOUR) -> DataFrame:
     limit_per_minute)`` gets allowed, remaining, reset_at and retry_after.
 
     Keys are cut where the bucket is certainly full, so a busy key is many independent runs. Rows stream
-    through each task in order with one bucket in memory; a run is never collected.
+    through each task in order with one bucket in memory; a run is never collected. The requests are a
+    stored table.
     """
     runs = _independent_runs(requests.select("tenant_id", "endpoint", "ts", "request_id", "limit_per_minute"), segment_seconds)
     timed = runs.withColumn("_now", F.unix_micros("ts"))
