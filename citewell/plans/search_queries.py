@@ -1 +1,558 @@
-"""Pending."""
+"""Retrieval, ranking and the corpus statistics behind it; kinds of joins, windows, top-n, set operations."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import functions as F
+
+from citewell.functions import text, vectors
+from citewell.operators import ingest, lexical, neighbours, search
+from citewell.operators.ordered import running, time_segment, top_n
+from citewell.plans import inputs as i
+from citewell.plans.catalog import query
+from citewell.sources.tables import cut
+
+N = 10
+
+
+def latest(spark, sf):
+    return ingest.latest_versions(i.doc_versions(spark, sf))
+
+
+def lexicon(spark, sf):
+    entries = lexical.lexical_entries(latest(spark, sf))
+    return lexical.postings(entries), lexical.corpus_stats(entries)
+
+
+def vector_rows(spark, sf):
+    return ingest.vector_entries(latest(spark, sf))
+
+
+def page_search(spark, sf):
+    """Pages to ranked answers: clean, hash, identify, version, analyze, index, BM25."""
+    pages = ingest.clean_pages(i.pages(spark, sf).withColumnRenamed("url", "source_url"))
+    versions = ingest.latest_versions(ingest.assign_versions(cut(pages.drop("html"))))
+    entries = lexical.lexical_entries(versions)
+    queries = i.search_queries(spark, sf)
+    return lexical.bm25(queries, lexical.postings(entries), lexical.corpus_stats(entries), N)
+
+
+PAGE_CORPUS = f"""page_corpus AS (
+  SELECT substr(sha256(url), 1, 32) AS document_id, CAST(version AS INT) AS version, cleaned_text FROM (
+    SELECT url, cleaned_text, fetched_at, 1 + sum(changed) OVER (PARTITION BY url ORDER BY fetched_at) AS version FROM (
+      SELECT *, CASE WHEN sha256(cleaned_text) = lag(sha256(cleaned_text), 1, sha256(cleaned_text)) OVER (PARTITION BY url ORDER BY fetched_at)
+                     THEN 0 ELSE 1 END AS changed
+      FROM (SELECT url, fetched_at, {i.CLEAN('html')} AS cleaned_text FROM pg)))
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY version DESC, fetched_at) = 1)"""
+
+
+def top_sql(source: str, n: str, raw: str = "raw_score") -> str:
+    """Top rows per query with the score relative to the best."""
+    return f"""SELECT query_id, document_id, version, rank, round(raw_score / best, 6) AS score FROM (
+      SELECT *, max({raw}) OVER (PARTITION BY query_id) AS best,
+             row_number() OVER (PARTITION BY query_id ORDER BY {raw} DESC, document_id, version) AS rank FROM {source})
+    WHERE rank <= {n}"""
+
+
+@query(
+    "flagship_page_search",
+    i.cte(i.PAGES, PAGE_CORPUS, i.QUERIES, i.bm25_sql("page_corpus"), select=top_sql("raw", "10")),
+)
+def flagship(spark, sf):
+    return page_search(spark, sf).withColumn("score", F.round("score", 6))
+
+
+# Candidate lists of both kinds over the latest versions.
+WORD = i.bm25_sql("latest")
+EMBEDDED = f"""query_raw AS (SELECT query_id, {i.embedding_sql('query_text')} AS r FROM queries),
+query_vec AS (SELECT query_id, {i.unit_sql('r')} AS vec FROM query_raw),
+doc_raw AS (SELECT document_id, version, {i.embedding_sql('cleaned_text')} AS r FROM latest),
+doc_vec AS (SELECT document_id, version, {i.unit_sql('r')} AS vec FROM doc_raw)"""
+NEAR = EMBEDDED + ",\n" + i.near_sql("query_vec", "doc_vec")
+
+
+@query(
+    "R1_neural_search",
+    i.cte(
+        i.DOC_VERSIONS, i.QUERIES, NEAR,
+        select="""SELECT query_id, document_id, version, round(score, 6) AS score, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, version) AS rank FROM near) WHERE rank <= 10""",
+    ),
+)
+def neural_search(spark, sf):
+    found = neighbours.knn(neighbours.embed_queries(i.search_queries(spark, sf)), vector_rows(spark, sf), N)
+    return found.withColumn("score", F.round("score", 6))
+
+
+def _stored_vectors(spark, sf):
+    return i.table(spark, sf, "embeddings").select(
+        F.col("vec_id"), F.concat(F.lit("v"), "vec_id").alias("document_id"), F.lit(1).alias("version"), "embedding"
+    )
+
+
+VECTOR_NEAR = """vec AS (
+  SELECT vec_id, 'v' || vec_id AS document_id, 1 AS version, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings),
+near AS (
+  SELECT q.vec_id AS query_id, d.document_id, d.version,
+         round(greatest(0, least(1, (list_inner_product(q.vec, d.vec) + 1) / 2)), 9) AS score
+  FROM vec q, vec d WHERE q.document_id <> d.document_id)"""
+
+
+@query(
+    "R1_vector_neighbours",
+    i.cte(
+        VECTOR_NEAR,
+        select="""SELECT query_id, document_id, round(score, 6) AS score, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, version) AS rank FROM near) WHERE rank <= 10""",
+    ),
+)
+def vector_neighbours(spark, sf):
+    """Every stored vector's ten nearest other ones."""
+    v = _stored_vectors(spark, sf)
+    asked = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("document_id").alias("skip_id"))
+    found = neighbours.knn(asked, v, N)
+    return found.select("query_id", "document_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("R2_bm25", i.cte(i.DOC_VERSIONS, i.QUERIES, WORD, select=top_sql("raw", "10")))
+def bm25(spark, sf):
+    posts, stats = lexicon(spark, sf)
+    return lexical.bm25(i.search_queries(spark, sf), posts, stats, N).withColumn("score", F.round("score", 6))
+
+
+RANKED = """word_top AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, document_id, version) AS rank,
+         round(raw_score / max(raw_score) OVER (PARTITION BY query_id), 9) AS score FROM raw),
+near_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, version) AS rank FROM near)"""
+
+
+@query(
+    "R3_reciprocal_rank_fusion",
+    i.cte(
+        i.DOC_VERSIONS, i.QUERIES, NEAR, WORD, RANKED,
+        select="""SELECT query_id, document_id, version, round(score, 6) AS score, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, version) AS rank FROM (
+            SELECT *, round(s / max(s) OVER (PARTITION BY query_id), 9) AS score FROM (
+              SELECT query_id, document_id, coalesce(a.version, b.version) AS version,
+                     coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS s
+              FROM (SELECT * FROM near_top WHERE rank <= 20) a FULL JOIN (SELECT * FROM word_top WHERE rank <= 20) b
+                USING (query_id, document_id)))) WHERE rank <= 10""",
+    ),
+)
+def fusion(spark, sf):
+    queries = i.search_queries(spark, sf)
+    posts, stats = lexicon(spark, sf)
+    near = neighbours.knn(neighbours.embed_queries(queries), vector_rows(spark, sf), 2 * N)
+    word = lexical.bm25(queries, posts, stats, 2 * N)
+    return search.rrf(near, word, N).withColumn("score", F.round("score", 6))
+
+
+def _titled(spark, sf):
+    d = i.doc_versions(spark, sf).where("visible")
+    return d.withColumn("title", text.title(F.col("cleaned_text")))
+
+
+@query(
+    "R4_fielded_keyword",
+    i.cte(
+        i.DOC_VERSIONS, i.QUERIES,
+        "titled AS (SELECT *, substr(trim(split_part(cleaned_text, chr(10), 1)), 1, 100) AS title FROM doc_versions WHERE visible)",
+        i.bm25_sql("titled", "title", "t_").replace("count(DISTINCT document_id)", "count(*)"),
+        i.bm25_sql("titled", "cleaned_text", "b_").replace("count(DISTINCT document_id)", "count(*)"),
+        select="""SELECT query_id, document_id, version, round(score, 6) AS score, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, version) AS rank FROM (
+            SELECT query_id, document_id, version, round(max(raw_score), 9) AS score FROM (
+              SELECT * REPLACE (raw_score * 2 AS raw_score) FROM t_raw UNION ALL SELECT * FROM b_raw) GROUP BY ALL)) WHERE rank <= 10""",
+    ),
+)
+def fielded(spark, sf):
+    """Title counts double; the better field decides. Versions are separate entries here."""
+    found = search.fielded_bm25(i.search_queries(spark, sf), _titled(spark, sf), N, {"title": 2.0, "cleaned_text": 1.0})
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "R4_hybrid_by_version",
+    i.cte(
+        VECTOR_NEAR,
+        """near_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM near) WHERE rank <= 20),
+far_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank
+  FROM (SELECT q.vec_id AS query_id, 'v' || d.vec_id AS document_id, 1 AS version, round(1.0 / (1 + abs(q.vec_id - d.vec_id)), 9) AS score
+        FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id)) WHERE rank <= 20)""",
+        select="""SELECT query_id, document_id, version, round(s / max(s) OVER (PARTITION BY query_id), 6) AS score FROM (
+          SELECT query_id, document_id, version, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS s
+          FROM near_top a FULL JOIN far_top b USING (query_id, document_id, version))""",
+    ),
+)
+def hybrid_by_version(spark, sf):
+    """Vector neighbours fused with same-label neighbours by id distance, keyed by document and version."""
+    v = _stored_vectors(spark, sf)
+    asked = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("document_id").alias("skip_id"))
+    near = neighbours.knn(asked, v, 2 * N)
+    e = i.table(spark, sf, "embeddings")
+    # The nearest ids of the same label are within the 20 before and the 20 after in label order.
+    numbered = running(e.select("label", "vec_id").withColumn("one", F.lit(1)), ["label"], ["vec_id"], F.floor(F.col("vec_id") / 100_000),
+                       total={"place": "one"}, stored=True)
+    reach = numbered.select("label", F.col("vec_id").alias("query_id"),
+                            F.explode(F.sequence(F.col("place") - 2 * N, F.col("place") + 2 * N)).alias("place"))
+    pairs = reach.join(numbered.select("label", "place", "vec_id"), ["label", "place"]).where("vec_id <> query_id")
+    scored = pairs.select("query_id", F.concat(F.lit("v"), "vec_id").alias("document_id"), F.lit(1).alias("version"),
+                          F.round(1.0 / (1 + F.abs(F.col("query_id") - F.col("vec_id"))), 9).alias("score"))
+    word = top_n(scored, ["query_id"], search.strict_order(), 2 * N)
+    fused = search.rrf(near, word, keys=("query_id", "document_id", "version"))
+    return fused.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "R5_strict_ordering",
+    i.cte(
+        i.DOC_VERSIONS,
+        select="""SELECT document_id, version, row_number() OVER (PARTITION BY language ORDER BY credibility DESC, document_id, version) AS position, language
+        FROM doc_versions""",
+    ),
+)
+def strict_ordering(spark, sf):
+    """Position of every version in the strict order of its language, without one task per language."""
+    d = i.doc_versions(spark, sf).select(
+        "document_id", "version", "language", (-F.coalesce("provenance.credibility_score", F.lit(0.5))).alias("falling")
+    )
+    placed = running(
+        d.withColumn("one", F.lit(1)), ["language"], ["falling", "document_id", "version"],
+        F.floor(F.col("falling") * 100), total={"position": "one"},
+    )
+    return placed.select("document_id", "version", "position", "language")
+
+
+SEARCHED = """cand AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, version) AS crank FROM (
+      SELECT q.query_id, q.num_results, document_id, version, n.score FROM queries q JOIN near_top n USING (query_id)
+        WHERE q.mode = 'neural' AND n.rank <= 2 * q.num_results
+      UNION ALL
+      SELECT q.query_id, q.num_results, document_id, version, w.score FROM queries q JOIN word_top w USING (query_id)
+        WHERE q.mode = 'keyword' AND w.rank <= 2 * q.num_results
+      UNION ALL
+      SELECT query_id, num_results, document_id, version, round(s / max(s) OVER (PARTITION BY query_id), 9) AS score FROM (
+        SELECT query_id, num_results, document_id, version,
+               sum(1.0::DOUBLE / (60 + rank)) AS s FROM (
+          SELECT q.query_id, q.num_results, document_id, version, rank FROM queries q JOIN near_top n USING (query_id)
+            WHERE q.mode = 'hybrid' AND n.rank <= 2 * q.num_results
+          UNION ALL
+          SELECT q.query_id, q.num_results, document_id, version, rank FROM queries q JOIN word_top w USING (query_id)
+            WHERE q.mode = 'hybrid' AND w.rank <= 2 * q.num_results)
+        GROUP BY ALL))) WHERE crank <= 2 * num_results),
+results AS (
+  SELECT * FROM (
+    SELECT c.query_id, c.document_id, c.version, c.score, c.num_results, d.source_url AS url, d.cleaned_text,
+           substr(trim(split_part(d.cleaned_text, chr(10), 1)), 1, 100) AS title, d.credibility, d.ai,
+           row_number() OVER (PARTITION BY c.query_id ORDER BY c.score DESC, c.document_id, c.version) AS rank
+    FROM cand c JOIN doc_versions d ON d.document_id = c.document_id AND d.version = c.version
+    JOIN queries q ON q.query_id = c.query_id
+    WHERE d.visible AND (q.min_credibility IS NULL OR d.credibility >= q.min_credibility)
+      AND (q.max_ai IS NULL OR d.ai <= q.max_ai)) WHERE rank <= num_results)"""
+SEARCH = [i.DOC_VERSIONS, i.QUERIES, NEAR, WORD, RANKED, SEARCHED]
+
+
+def searched(spark, sf):
+    posts, stats = lexicon(spark, sf)
+    return search.search(i.search_queries(spark, sf), i.doc_versions(spark, sf), vector_rows(spark, sf), posts, stats, i.START)
+
+
+@query(
+    "R6_search",
+    i.cte(*SEARCH, select="""SELECT query_id, rank, document_id, version, url, title, round(score, 6) AS score,
+    round(credibility, 6) AS credibility, round(ai, 6) AS ai FROM results"""),
+)
+def search_all_modes(spark, sf):
+    return searched(spark, sf).select(
+        "query_id", "rank", "document_id", "version", "url", "title", F.round("score", 6).alias("score"),
+        F.round("provenance.credibility_score", 6).alias("credibility"), F.round("provenance.ai_generated_likelihood", 6).alias("ai"),
+    )
+
+
+PAGE_VECTORS = f"""page_docs AS (
+  SELECT substr(sha256(url), 1, 32) AS document_id, 1 AS version, url, page_id, {i.CLEAN('html')} AS cleaned_text FROM pages),
+page_raw AS (SELECT *, {i.embedding_sql('cleaned_text')} AS r FROM page_docs),
+page_vec AS (SELECT document_id, version, page_id AS query_id, {i.unit_sql('r')} AS vec FROM page_raw)"""
+
+
+def similar(spark, sf):
+    """Every page's URL, plus one with a host that was never crawled."""
+    pages = i.pages(spark, sf)
+    docs = ingest.clean_pages(pages).select(
+        ingest.document_id(F.col("url")).alias("document_id"), F.lit(1).alias("version"), F.col("url").alias("source_url"), "cleaned_text",
+    ).withColumn("provenance", F.lit(None).cast("struct<credibility_score:double,ai_generated_likelihood:double,scored_at:timestamp>")).withColumn(
+        "visible", F.lit(True)
+    )
+    docs = cut(docs)
+    known = pages.select(F.col("page_id").alias("query_id"), "url")
+    lost = pages.select((-1 - F.col("page_id")).alias("query_id"), F.regexp_replace("url", "example", "elsewhere").alias("url"))
+    return search.find_similar(known.unionByName(lost), docs, ingest.vector_entries(docs), 5, i.START)
+
+
+@query(
+    "R7_find_similar",
+    i.cte(
+        PAGE_VECTORS, i.near_sql("page_vec", "page_vec", "q.document_id = d.document_id"),
+        select="""SELECT query_id, document_id, round(score, 6) AS score, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM near) WHERE rank <= 5""",
+    ),
+)
+def find_similar(spark, sf):
+    found, _ = similar(spark, sf)
+    return found.select("query_id", "document_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("R7_unknown_urls", "SELECT -1 - page_id AS query_id, replace(url, 'example', 'elsewhere') AS url FROM pages")
+def unknown_urls(spark, sf):
+    _, unknown = similar(spark, sf)
+    return unknown
+
+
+@query(
+    "R8_normalise_by_top",
+    i.cte(
+        i.DOC_VERSIONS, i.QUERIES, WORD,
+        select="""SELECT query_id, document_id, round(raw_score / max(raw_score) OVER (PARTITION BY query_id), 6) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, document_id, version) AS rank FROM raw) WHERE rank <= 100""",
+    ),
+)
+def normalise(spark, sf):
+    posts, stats = lexicon(spark, sf)
+    raw = lexical.bm25_scores(i.search_queries(spark, sf), posts, stats).withColumn("raw_score", F.round("raw_score", 9))
+    best = top_n(raw, ["query_id"], search.strict_order("raw_score"), 100)
+    return lexical.normalise_by_top(best).select("query_id", "document_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "R9_candidate_lookup",
+    i.cte(
+        i.DOC_VERSIONS,
+        select="""SELECT c.document_id, c.version, d.source_url, length(d.cleaned_text) AS chars
+        FROM (SELECT document_id, v AS version FROM docs, (SELECT unnest([1, 2, 3]) AS v)) c
+        JOIN doc_versions d ON d.document_id = c.document_id AND d.version = least(c.version,
+          (SELECT max(version) FROM doc_versions x WHERE x.document_id = c.document_id))""",
+    ),
+)
+def candidate_lookup(spark, sf):
+    """Three versions of every document are asked for; those that do not exist give the latest."""
+    d = i.doc_versions(spark, sf)
+    asked = i.docs(spark, sf).select("document_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("version"))
+    found = search.lookup(asked, d.select("document_id", "version", "source_url", "cleaned_text"))
+    return found.select("document_id", "version", "source_url", F.length("cleaned_text").alias("chars"))
+
+
+@query("R10_approximate_neighbours")
+def approximate(spark, sf):
+    """Not in SQL: which pairs share a hash bucket depends on the random projections."""
+    v = _stored_vectors(spark, sf)
+    asked = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    found = neighbours.approximate_neighbours(asked, v, N, 1.2)
+    return found.select("query_id", "document_id", "rank", F.round("score", 6).alias("score"))
+
+
+RESEARCH_STEPS = """queries AS (
+  SELECT conv_id || '/' || turn AS query_id, conv_id, turn, substr(text, 1, 200) AS query_text, 'hybrid' AS mode, 5 AS num_results,
+         NULL::DOUBLE AS min_credibility, NULL::DOUBLE AS max_ai FROM conversations WHERE role = 'user')"""
+
+
+@query(
+    "R11_research_retrieval",
+    i.cte(
+        i.DOC_VERSIONS, RESEARCH_STEPS, NEAR, WORD, RANKED, SEARCHED,
+        select="""SELECT CAST(split_part(query_id, '/', 1) AS BIGINT) AS job_id, CAST(split_part(query_id, '/', 2) AS BIGINT) AS step_id,
+        rank, r.document_id, r.version, round(score, 6) AS score, length(l.cleaned_text) AS chars
+        FROM results r JOIN latest l ON l.document_id = r.document_id""",
+    ),
+)
+def research_retrieval(spark, sf):
+    """User turns as steps of a conversation's research job."""
+    steps = i.table(spark, sf, "conversations").where("role = 'user'").select(
+        F.col("conv_id").alias("job_id"), F.col("turn").alias("step_id"), F.col("text").alias("description")
+    )
+    posts, stats = lexicon(spark, sf)
+    found = search.research_retrieval(steps, i.doc_versions(spark, sf), vector_rows(spark, sf), posts, stats, i.START)
+    return found.select("job_id", "step_id", "rank", "document_id", "version", F.round("score", 6).alias("score"),
+                        F.length("cleaned_text").alias("chars"))
+
+
+# --- corpus statistics -------------------------------------------------------------------------------
+
+
+@query(
+    "G1_corpus_stats",
+    i.cte(i.DOC_VERSIONS, i.QUERIES, WORD, select="SELECT n AS num_docs, round(avg_dl, 6) AS avg_dl FROM stats"),
+)
+def corpus_stats(spark, sf):
+    return lexicon(spark, sf)[1].withColumn("avg_dl", F.round("avg_dl", 6))
+
+
+@query("G2_document_frequency", i.cte(i.DOC_VERSIONS, i.QUERIES, WORD, select="SELECT term, df FROM df"))
+def document_frequency(spark, sf):
+    return lexical.document_frequency(lexicon(spark, sf)[0])
+
+
+@query("G3_term_frequency", i.cte(i.DOC_VERSIONS, i.QUERIES, WORD, select="SELECT document_id, term, tf FROM tf"))
+def term_frequency(spark, sf):
+    return lexicon(spark, sf)[0].select("document_id", "term", "tf")
+
+
+# --- windows, top-n, sets ----------------------------------------------------------------------------
+
+
+@query(
+    "W1_rank",
+    i.cte(
+        i.DOC_VERSIONS, i.QUERIES, WORD, RANKED,
+        select="SELECT query_id, document_id, rank FROM word_top WHERE rank <= 200",
+    ),
+)
+def rank(spark, sf):
+    posts, stats = lexicon(spark, sf)
+    raw = lexical.bm25_scores(i.search_queries(spark, sf), posts, stats).withColumn("raw_score", F.round("raw_score", 9))
+    return top_n(raw, ["query_id"], search.strict_order("raw_score"), 200).select("query_id", "document_id", "rank")
+
+
+@query("W2_latest_version", i.cte(i.DOC_VERSIONS, select="SELECT document_id, version, length(cleaned_text) AS chars FROM latest"))
+def latest_version(spark, sf):
+    return latest(spark, sf).select("document_id", "version", F.length("cleaned_text").alias("chars"))
+
+
+@query(
+    "W3_previous_values",
+    """SELECT event_id, coalesce(lag(event_id) OVER w, -1) AS one_back, coalesce(lag(event_id, 3) OVER w, -1) AS three_back
+    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""",
+)
+def previous_values(spark, sf):
+    e = i.table(spark, sf, "events").select("event_type", "ts", "event_id")
+    lagged = running(
+        e, ["event_type"], ["ts", "event_id"], time_segment(F.col("ts"), 3600),
+        previous={"one_back": ("event_id", 1), "three_back": ("event_id", 3)}, stored=True,
+    )
+    missing = F.lit(-1).cast("bigint")
+    return lagged.select("event_id", F.coalesce("one_back", missing).alias("one_back"), F.coalesce("three_back", missing).alias("three_back"))
+
+
+@query(
+    "W4_running_totals",
+    """SELECT event_id, round(sum(value) OVER w, 4) AS total, count(*) OVER w AS place
+    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""",
+)
+def running_totals(spark, sf):
+    e = i.table(spark, sf, "events").select("event_type", "ts", "event_id", "value", F.lit(1).alias("one"))
+    summed = running(
+        e, ["event_type"], ["ts", "event_id"], time_segment(F.col("ts"), 86_400), total={"total": "value", "place": "one"}, stored=True
+    )
+    return summed.select("event_id", F.round("total", 4).alias("total"), "place")
+
+
+@query(
+    "W5_last_per_key",
+    i.cte(
+        i.EVENTS,
+        select="""SELECT user_id, event_id, recency FROM (
+        SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS recency FROM ev) WHERE recency <= 5""",
+    ),
+)
+def last_per_key(spark, sf):
+    e = i.table(spark, sf, "events")
+    return top_n(e, ["user_id"], [F.desc("ts"), F.desc("event_id")], 5, "recency").select("user_id", "event_id", "recency")
+
+
+@query(
+    "W7_best_per_query",
+    i.cte(i.DOC_VERSIONS, i.QUERIES, WORD, select="SELECT query_id, round(max(raw_score), 6) AS best FROM raw GROUP BY query_id"),
+)
+def best_per_query(spark, sf):
+    posts, stats = lexicon(spark, sf)
+    raw = lexical.bm25_scores(i.search_queries(spark, sf), posts, stats)
+    return raw.groupBy("query_id").agg(F.round(F.max("raw_score"), 6).alias("best"))
+
+
+@query(
+    "L1_top_n_per_query",
+    i.cte(
+        i.DOC_VERSIONS, i.QUERIES, WORD, RANKED,
+        select="""SELECT w.query_id, document_id, rank FROM word_top w JOIN queries q USING (query_id) WHERE rank <= num_results""",
+    ),
+)
+def top_n_per_query(spark, sf):
+    queries = i.search_queries(spark, sf)
+    posts, stats = lexicon(spark, sf)
+    raw = lexical.bm25_scores(queries, posts, stats).withColumn("raw_score", F.round("raw_score", 9))
+    sized = raw.join(queries.select("query_id", "num_results"), "query_id")
+    cut_rows = search.within_limit(sized, ["query_id"], search.strict_order("raw_score"), search.MAX_RESULTS, "num_results")
+    return cut_rows.select("query_id", "document_id", "rank")
+
+
+@query(
+    "L1_top_n_overall",
+    "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 100",
+)
+def top_n_overall(spark, sf):
+    """One list over everything: each task keeps a hundred rows."""
+    return i.table(spark, sf, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(100)
+
+
+@query(
+    "E1_union_of_candidates",
+    i.cte(
+        i.DOC_VERSIONS, i.QUERIES, NEAR, WORD, RANKED,
+        select="""SELECT query_id, document_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS raw, count(*) AS lists FROM (
+          SELECT query_id, document_id, rank FROM near_top WHERE rank <= 20
+          UNION ALL SELECT query_id, document_id, rank FROM word_top WHERE rank <= 20) GROUP BY ALL""",
+    ),
+)
+def union_of_candidates(spark, sf):
+    queries = i.search_queries(spark, sf)
+    posts, stats = lexicon(spark, sf)
+    columns = ["query_id", "document_id", "rank"]
+    near = neighbours.knn(neighbours.embed_queries(queries), vector_rows(spark, sf), 2 * N).select(*columns)
+    word = lexical.bm25(queries, posts, stats, 2 * N).select(*columns)
+    both = near.unionByName(word)
+    return both.groupBy("query_id", "document_id").agg(
+        F.round(F.sum(1.0 / (60 + F.col("rank"))), 6).alias("raw"), F.count("*").alias("lists")
+    )
+
+
+@query("E2_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def difference(spark, sf):
+    documents, labels = (i.table(spark, sf, t).select("doc_id") for t in ("documents", "labels"))
+    return documents.join(labels, "doc_id", "left_anti")
+
+
+# --- kinds of joins ----------------------------------------------------------------------------------
+
+
+@query(
+    "join_inner",
+    """SELECT o_orderpriority, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority""",
+)
+def join_inner(spark, sf):
+    lines, orders = i.table(spark, sf, "lineitem"), i.table(spark, sf, "orders")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    revenue = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return joined.groupBy("o_orderpriority").agg(F.count("*").alias("lines"), F.round(revenue, 2).alias("revenue"))
+
+
+@query(
+    "join_semi_anti",
+    """SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS ordered FROM customer""",
+)
+def join_semi_anti(spark, sf):
+    customers = i.table(spark, sf, "customer").select("c_custkey")
+    buyers = i.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    with_orders = customers.join(buyers, "c_custkey", "left_semi").withColumn("ordered", F.lit(True))
+    without = customers.join(buyers, "c_custkey", "left_anti").withColumn("ordered", F.lit(False))
+    return with_orders.unionByName(without)
+
+
+@query(
+    "join_left_outer",
+    "SELECT d.doc_id, coalesce(max(l.quality), -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.doc_id",
+)
+def join_left_outer(spark, sf):
+    documents, labels = i.table(spark, sf, "documents"), i.table(spark, sf, "labels")
+    best = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return documents.join(best, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
