@@ -48,7 +48,7 @@ PAGE_CORPUS = f"""page_corpus AS (
 
 def top_sql(source: str, n: str, raw: str = "raw_score") -> str:
     """Top rows per query with the score relative to the best."""
-    return f"""SELECT query_id, document_id, version, rank, round(raw_score / best, 6) AS score FROM (
+    return f"""SELECT query_id, document_id, version, rank, round(round(raw_score / best, 9), 6) AS score FROM (
       SELECT *, max({raw}) OVER (PARTITION BY query_id) AS best,
              row_number() OVER (PARTITION BY query_id ORDER BY {raw} DESC, document_id, version) AS rank FROM {source})
     WHERE rank <= {n}"""
@@ -313,7 +313,7 @@ def unknown_urls(spark, sf):
     "R8_normalise_by_top",
     i.cte(
         i.DOC_VERSIONS, i.QUERIES, WORD,
-        select="""SELECT query_id, document_id, round(raw_score / max(raw_score) OVER (PARTITION BY query_id), 6) AS score FROM (
+        select="""SELECT query_id, document_id, round(round(raw_score / max(raw_score) OVER (PARTITION BY query_id), 9), 6) AS score FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, document_id, version) AS rank FROM raw) WHERE rank <= 100""",
     ),
 )
