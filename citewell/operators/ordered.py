@@ -61,7 +61,7 @@ def running(
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
 
-    within = {"_n": F.row_number().over(local)}
+    within = {"_row_in_segment": F.row_number().over(local)}
     for out, (column, k) in previous.items():
         within["_in_" + out] = F.lag(column, k).over(local)
     for out, column in total.items():
@@ -105,8 +105,8 @@ def running(
     joined = rows.join(carried, _null_safe(rows, carried, [*keys, SEGMENT]), "left")
     out_cols = []
     for out, (column, k) in previous.items():
-        back = F.try_element_at("_tails", F.col("_n") - k - 1)["v"][column]
-        out_cols.append(F.when(F.col("_n") > k, F.col("_in_" + out)).otherwise(back).alias(out))
+        back = F.try_element_at("_tails", F.col("_row_in_segment") - k - 1)["v"][column]
+        out_cols.append(F.when(F.col("_row_in_segment") > k, F.col("_in_" + out)).otherwise(back).alias(out))
     for out in total:
         # A row inside its segment adds the carried total of the segments before it.
         out_cols.append((F.coalesce(F.col("_in_" + out), F.lit(0)) + F.col("_carry_" + out)).alias(out))

@@ -90,7 +90,8 @@ def spans(spark, sf):
 
 @query("A2_highlights", i.cte(HIGHLIGHTS, select='SELECT doc_id, place, start, "end" FROM spans'))
 def highlights(spark, sf):
-    placed = spans(spark, sf).select("doc_id", F.posexplode("spans").alias("place", "s"))
+    # The outer form: the inner one filters on the array's size first and would compute the spans twice.
+    placed = spans(spark, sf).select("doc_id", F.posexplode_outer("spans").alias("place", "s")).where("s IS NOT NULL")
     return placed.select(
         "doc_id", (F.col("place") + 1).alias("place"), F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end")
     )

@@ -15,13 +15,20 @@ CLEANED_FILE = "cleaned.txt"
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A parquet table. Zone-less timestamps become instants of the session's time zone."""
-    df = spark.read.parquet(f"{root}/{name}.parquet")
+    df = spread(spark.read.parquet(f"{root}/{name}.parquet"))
     for field in df.schema:
         if isinstance(field.dataType, T.TimestampNTZType):
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the files split into fewer pieces than there are cores. Tables of any
+    size split into more, and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder all executors can reach: under spark.checkpoint.dir, or a temporary one if that is
     unset, as on a single machine."""
