@@ -5,11 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def _wide_integers(df: DataFrame) -> DataFrame:
+    """Whole numbers leave the queries as bigint, whatever width an expression gave them."""
+    narrow = {f.name for f in df.schema if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType))}
+    if not narrow:
+        return df
+    return df.select(*[F.col(c).cast("bigint").alias(c) if c in narrow else F.col(c) for c in df.columns])
+
+
 def query(name: str, sql: str | None = None):
     """Register a ``(spark, folder) -> DataFrame`` function, with equivalent SQL where there is one."""
 
@@ -19,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(spark, folder)
+            return _wide_integers(fn(spark, folder))
 
         QUERIES[name] = run
         if sql is not None:

@@ -1 +1,189 @@
-"""Pending."""
+"""Streaming jobs run to the end of their input; their tables must equal the batch result."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from citewell.functions import text
+from citewell.operators import sessions as batch_sessions
+from citewell.plans import inputs as i
+from citewell.plans.audit_queries import LEDGER, ledger
+from citewell.plans.catalog import query
+from citewell.plans.ingest_queries import retry_decisions  # noqa: F401  (registers the SQL reused below)
+from citewell.plans.catalog import SQL
+from citewell.plans.research_queries import SHUFFLED, shuffled
+from citewell.plans.usage_queries import LAST_DOCS
+from citewell.sources import messages, tables
+from citewell.streaming import jobs
+
+
+def as_stream(spark, df, label, order=None, parts=2):
+    """A table as a file stream of ``parts`` files, earlier rows in earlier files, a file per micro-batch."""
+    path = tables.shared_dir(spark, label)
+    if order is None:
+        df.coalesce(1).write.parquet(path)
+    else:
+        edges = df.approxQuantile("_at", [j / parts for j in range(1, parts)], 0.0) if "_at" in df.columns else []
+        bounds = [None, *edges, None]
+        for low, high in zip(bounds, bounds[1:]):
+            part = df
+            part = part.where(F.col("_at") > low) if low is not None else part
+            part = part.where(F.col("_at") <= high) if high is not None else part
+            part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drained(spark, stream, label):
+    """Everything a stream gives once its input is used up."""
+    jobs.use_rocksdb(spark)
+    root = tables.shared_dir(spark, label)
+    writer = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def timed(df, column):
+    return df.withColumn("_at", F.unix_micros(column).cast("double"))
+
+
+def ingested(spark, sf):
+    """Pages as messages, and the benchmark texts as broken ones, in several files."""
+    root = tables.shared_dir(spark, "ingest")
+    good = messages.ingest_messages(i.table(spark, sf, "pages"), i.START)
+    messages.publish_files(good, f"{root}/topic")
+    broken = i.table(spark, sf, "benchmark").select(F.to_json(F.struct(F.col("text").alias("raw_content"))).alias("value"))
+    broken.write.mode("append").text(f"{root}/topic")
+    stream = messages.read_files(spark, f"{root}/topic", files_per_trigger=5)
+    jobs.ingest(stream, root, f"{root}/checkpoint", availableNow=True).awaitTermination()
+    return root
+
+
+@query(
+    "ST1_ingest_stream",
+    f"SELECT DISTINCT substr(sha256(url), 1, 32) AS document_id, url AS source_url, 1 AS version, sha256({i.CLEAN('html')}) AS content_hash FROM pages",
+)
+def ingest_stream(spark, sf):
+    """Streamed pages end up cleaned and versioned in the newest snapshot."""
+    root = ingested(spark, sf)
+    last = tables.read_snapshot(spark, f"{root}/versions", 2**31, jobs._stored_schema())
+    return last.select("document_id", "source_url", F.col("version").cast("int").alias("version"), "content_hash")
+
+
+@query("S4_micro_batches", "SELECT count(*) AS good, (SELECT count(*) FROM benchmark) AS bad FROM (SELECT DISTINCT url FROM pages)")
+def micro_batches(spark, sf):
+    """After all batches: documents in the last snapshot, and dead letters over all batches."""
+    root = ingested(spark, sf)
+    good = tables.read_snapshot(spark, f"{root}/versions", 2**31, jobs._stored_schema()).select("document_id").distinct()
+    bad = spark.read.schema("raw string, error string, failed_at timestamp").option("basePath", f"{root}/dead_letters").parquet(f"{root}/dead_letters/snapshot=*")
+    return good.agg(F.count("*").alias("good")).withColumn("bad", bad.agg(F.count("*").alias("n")).scalar())
+
+
+@query(
+    "ST2_stateful_versions",
+    i.cte(
+        i.NUMBERED,
+        select=f"""SELECT source_url, {i.TS_TEXT('fetched_at')} AS fetched_at, CAST(version AS BIGINT) AS version, version = 1 AND changed = 1 AS is_new,
+        version > 1 AND changed = 1 AS version_incremented, changed = 0 AS last_seen_only FROM numbered""",
+    ),
+)
+def stateful_versions(spark, sf):
+    seen = timed(i.observations(spark, sf).select("source_url", "fetched_at", "content_hash"), "fetched_at")
+    stream = as_stream(spark, seen, "crawls", "_at", 3)
+    flags = drained(spark, jobs.versions(stream.drop("_at")), "versions")
+    return flags.select("source_url", i.ts_text(F.col("fetched_at")).alias("fetched_at"), "version", "is_new", "version_incremented", "last_seen_only")
+
+
+@query(
+    "ST3_metering_dedup",
+    i.cte(i.RETRIED, select="SELECT DISTINCT 'meter:' || request_id AS dedup_key, tenant_id, endpoint FROM retried WHERE response_status BETWEEN 200 AND 299"),
+)
+def metering_dedup(spark, sf):
+    stream = as_stream(spark, timed(i.retried_requests(spark, sf), "ts"), "metering", "_at")
+    return drained(spark, jobs.deduplicated_metering(stream), "dedup").select("dedup_key", "tenant_id", "endpoint")
+
+
+@query("ST4_token_bucket", SQL.get("M3_token_bucket"))
+def streamed_token_bucket(spark, sf):
+    stream = as_stream(spark, timed(i.busy_requests(spark, sf), "ts"), "requests", "_at")
+    limited = drained(spark, jobs.rate_limits(stream.drop("_at")), "limits")
+    return limited.select("request_id", "allowed", "remaining", "reset_at", "retry_after")
+
+
+@query("ST5_retry_state", SQL.get("I12_retry_decisions"))
+def retry_state(spark, sf):
+    stream = as_stream(spark, timed(i.attempts(spark, sf), "attempt_at"), "attempts", "_at")
+    routed = drained(spark, jobs.retries(stream.drop("_at")), "retries")
+    return routed.select("source_url", "failure_reason", "attempts", F.unix_micros("routed_at").alias("routed_us"))
+
+
+@query(
+    "ST6_session_memory",
+    i.cte(
+        i.ADDITIONS, LAST_DOCS,
+        """cited AS (SELECT session_id, string_agg(document_id, ' ' ORDER BY pos) AS citations FROM (
+          SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) AS recency FROM additions) WHERE recency <= 50 GROUP BY session_id)""",
+        select="SELECT session_id, citations, string_agg(document_id, ' ' ORDER BY pos) AS doc_ids FROM last_docs JOIN cited USING (session_id) GROUP BY ALL",
+    ),
+)
+def streamed_session_memory(spark, sf):
+    """The last state of every session; none reaches its end."""
+    e = i.events(spark, sf).select("event_id", "ts")
+    added = i.memory_additions(spark, sf).select("session_id", "pos", "document_id").join(e, F.col("pos") == F.col("event_id"))
+    added = added.select("session_id", "pos", "document_id", "ts", i.START.alias("created_at"), F.lit(60).alias("retention_days"))
+    stream = as_stream(spark, timed(added, "ts"), "additions", "_at")
+    states = drained(spark, jobs.session_memory(stream.drop("_at")), "memory")
+    last = batch_sessions.top_n(states, ["session_id"], [F.desc("pos")], 1, "r")
+    return last.select("session_id", F.array_join("citations", " ").alias("citations"), F.array_join("doc_ids", " ").alias("doc_ids"))
+
+
+@query(
+    "ST7_audit_stream",
+    i.cte(LEDGER, select="SELECT event_id, CASE WHEN length(request_id) BETWEEN 16 AND 64 THEN 'ledger' ELSE 'rejected' END AS sink FROM ledger"),
+)
+def audit_stream(spark, sf):
+    root = tables.shared_dir(spark, "audit")
+    rows = ledger(spark, sf)
+    stream = as_stream(spark, timed(rows, "ts"), "ledger", "_at")
+    jobs.audit(stream.drop("_at"), root, f"{root}/checkpoint", availableNow=True).awaitTermination()
+    read = lambda sink: spark.read.schema(rows.schema).parquet(f"{root}/{sink}/snapshot=*").select("event_id", F.lit(sink).alias("sink"))
+    return read("ledger").unionByName(read("rejected"))
+
+
+def alert_sql(minutes: int, slide: int) -> str:
+    return i.cte(
+        i.REQUESTS,
+        f"""panes AS (SELECT time_bucket(INTERVAL {slide} MINUTE, ts) AS pane, count(*) AS n, count(*) FILTER (response_status >= 500) AS bad FROM requests GROUP BY 1),
+ends AS (SELECT DISTINCT pane + (j + 1) * INTERVAL {slide} MINUTE AS moment FROM panes, (SELECT unnest(range({minutes // slide})) AS j))""",
+        select=f"""SELECT {i.TS_TEXT('moment')} AS evaluated_at, CAST(sum(n) AS BIGINT) AS requests, CAST(sum(bad) AS BIGINT) AS part,
+          sum(bad) / CAST(sum(n) AS DOUBLE) > 0.001 * 14.4 AS burning
+        FROM ends JOIN panes ON pane >= moment - INTERVAL {minutes} MINUTE AND pane < moment
+        WHERE moment <= (SELECT max(ts) FROM requests) - INTERVAL 1 MINUTE GROUP BY moment""",
+    )
+
+
+def _alert(name: str, minutes: int, slide: int):
+    @query(name, alert_sql(minutes, slide))
+    def run(spark, sf):
+        """Error ratio over sliding windows that the watermark has passed."""
+        stream = as_stream(spark, timed(i.requests(spark, sf), "ts"), "log", "_at")
+        ratios = jobs.sliding_ratio(stream, [], F.col("response_status") >= 500, f"{minutes} minutes", f"{slide} minutes")
+        out = drained(spark, ratios, "alerts")
+        return out.select(i.ts_text(F.col("evaluated_at")).alias("evaluated_at"), "requests", "part", (F.col("ratio") > 0.001 * 14.4).alias("burning"))
+
+
+_alert("ST8_error_ratio_1h", 60, 10)
+_alert("ST8_error_ratio_6h", 360, 30)
+
+
+@query(
+    "ST9_order_guard",
+    i.cte(
+        i.JOB_EVENTS, SHUFFLED,
+        select="""SELECT job_id, event_id, arrival, event_id > coalesce(max(event_id) OVER (PARTITION BY job_id ORDER BY arrival
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000000) AS in_order FROM shuffled""",
+    ),
+)
+def order_guard(spark, sf):
+    arriving = shuffled(spark, sf).withColumn("_at", F.col("arrival").cast("double"))
+    stream = as_stream(spark, arriving, "arrivals", "_at")
+    return drained(spark, jobs.order_guard(stream.drop("_at")), "guard")
