@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citewell.functions import urls
 from citewell.functions.text import strip
-from citewell.operators.ordered import running, time_segment, top_n
+from citewell.operators.ordered import fitting_seconds, running, time_segment, top_n
+from citewell.sources.tables import cut
 
 MIN_DELAY = 1.0
-HOUR = 3_600
 
 _LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -162,13 +162,14 @@ def robots_as_of(url_rows: DataFrame, fetches: DataFrame, hours: int = 24, at: s
         usable.withColumn("_kind", F.lit(0)), allowMissingColumns=True
     )
     # Later fetches are larger in time, so the last fetch so far is a running maximum.
-    known = line.withColumn("_f", F.when(F.col("_kind") == 0, F.col("_fetch.fetched_at")))
+    known = cut(line.withColumn("_f", F.when(F.col("_kind") == 0, F.col("_fetch.fetched_at"))).drop("_fetch"), "timeline")
     # Ties: a fetch at the request's own time counts as made before it, so fetches sort first.
     carried = running(
-        known, ["host"], ["_at", "_kind"], time_segment(F.col("_at"), HOUR), peak_before={"_last": "_f"}
+        known, ["host"], ["_at", "_kind"], time_segment(F.col("_at"), fitting_seconds(known, "_at")),
+        peak_before={"_last": "_f"}, stored=True,
     ).where(F.col("_kind") == 1)
     fresh = F.col("_last") > F.col(at) - F.make_dt_interval(hours=F.lit(hours))
-    keyed = carried.drop("_fetch", "_f", "_kind", "_at").withColumn("_last", F.when(fresh, F.col("_last")))
+    keyed = carried.drop("_f", "_kind", "_at").withColumn("_last", F.when(fresh, F.col("_last")))
     versions = usable.select(
         F.col("host").alias("_h"), F.col("_fetch.fetched_at").alias("_l"),
         F.col("_fetch.available").alias("available"), F.col("_fetch.body").alias("body"),
@@ -220,7 +221,7 @@ def effective_concurrency(requested: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(8), F.coalesce(requested.cast("int"), F.lit(2))))
 
 
-def politeness(fetch_log: DataFrame, segment_seconds: int = HOUR) -> DataFrame:
+def politeness(fetch_log: DataFrame, segment_seconds: int | None = None) -> DataFrame:
     """Per fetch ``(host, fetch_id, started_at, ended_at)``: seconds since the last completion before it
     was started and fetches in flight at its start, itself included.
 
@@ -232,8 +233,9 @@ def politeness(fetch_log: DataFrame, segment_seconds: int = HOUR) -> DataFrame:
     # At one instant ends (-1) come before starts (+1).
     edges = edge("started_at", 1).unionByName(edge("ended_at", -1))
     edges = edges.withColumn("_end", F.when(F.col("step") == -1, F.col("at")))
+    seconds = segment_seconds or fitting_seconds(fetch_log, "started_at")
     line = running(
-        edges, ["host"], ["at", "step", "fetch_id"], time_segment(F.col("at"), segment_seconds),
+        edges, ["host"], ["at", "step", "fetch_id"], time_segment(F.col("at"), seconds),
         total={"in_flight": "step"}, peak_before={"_last_end": "_end"},
     )
     starts = line.where(F.col("step") == 1)

@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citewell.functions import provenance, text, vectors
-from citewell.operators.ordered import running, time_segment, top_n
+from citewell.operators.ordered import fitting_seconds, running, time_segment, top_n
 from citewell.sources.tables import cut
 
-DAY = 86_400
-
 
 def clean_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add cleaned text and content hash."""
@@ -31,13 +29,13 @@ def document_identity(pages: DataFrame, url: str = "url", ts: str = "fetched_at"
 
 
 def number_versions(
-    observations: DataFrame, url: str = "source_url", ts: str = "fetched_at", segment_seconds: int = DAY
+    observations: DataFrame, url: str = "source_url", ts: str = "fetched_at", segment_seconds: int | None = None
 ) -> DataFrame:
     """Version of every stored observation: a change against the latest content adds one, so A, B, A is
     three. Texts stay out of it; only URL, time and hash are shuffled."""
     order = [ts, "content_hash"]
-    segment = time_segment(F.col(ts), segment_seconds)
     slim = observations.select(url, *order)
+    segment = time_segment(F.col(ts), segment_seconds or fitting_seconds(slim, ts))
     seen = running(slim, [url], order, segment, previous={"_before": ("content_hash", 1)}, stored=True)
     seen = seen.withColumn("changed", F.when(F.col("_before").eqNullSafe(F.col("content_hash")), 0).otherwise(1))
     numbered = running(seen.drop("_before"), [url], order, segment, total={"version": "changed"})
@@ -45,7 +43,7 @@ def number_versions(
 
 
 def assign_versions(
-    observations: DataFrame, url: str = "source_url", ts: str = "fetched_at", segment_seconds: int = DAY
+    observations: DataFrame, url: str = "source_url", ts: str = "fetched_at", segment_seconds: int | None = None
 ) -> DataFrame:
     """One row per (document, version) of stored observations, with when it was created and last seen."""
     numbered = number_versions(observations, url, ts, segment_seconds)
@@ -66,7 +64,7 @@ def latest_versions(versions: DataFrame) -> DataFrame:
     return top_n(versions, ["document_id"], [F.desc("version")], 1, "_rank").drop("_rank")
 
 
-def merge_versions(existing: DataFrame, batch: DataFrame, segment_seconds: int = DAY) -> tuple[DataFrame, DataFrame]:
+def merge_versions(existing: DataFrame, batch: DataFrame, segment_seconds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Fold a batch of cleaned observations into stored versions.
 
     Returns the new version table and one result row per batch observation with the flags ``is_new``,
@@ -88,7 +86,7 @@ def merge_versions(existing: DataFrame, batch: DataFrame, segment_seconds: int =
     both = base.withColumn("_stored", F.lit(0)).unionByName(arriving.withColumn("_stored", F.lit(1)))
     order = ["_stored", "fetched_at", "content_hash"]
     segment = F.when(F.col("_stored") == 0, F.lit(-(2**40))).otherwise(
-        time_segment(F.col("fetched_at"), segment_seconds)
+        time_segment(F.col("fetched_at"), segment_seconds or fitting_seconds(batch, "fetched_at"))
     )
     slim = cut(both.drop("cleaned_text"), "merge")
     seen = running(slim, ["source_url"], order, segment, previous={"_before": ("content_hash", 1)}, stored=True)
@@ -216,7 +214,7 @@ def _next_state(state: Column, attempt: Column, limit: int) -> Column:
 
 
 def retry_decisions(
-    attempts: DataFrame, max_attempts: int = 3, min_gap_seconds: int = 60, segment_seconds: int = DAY
+    attempts: DataFrame, max_attempts: int = 3, min_gap_seconds: int = 60, segment_seconds: int | None = None
 ) -> DataFrame:
     """Dead-letter routing of indexing attempts ``(key, attempt_at, attempt_id, ok, error)``.
 
@@ -225,7 +223,8 @@ def retry_decisions(
     attempts made and the last error. The attempts are a stored table.
     """
     order = ["attempt_at", "attempt_id"]
-    segment = time_segment(F.col("attempt_at"), segment_seconds)
+    seconds = segment_seconds or fitting_seconds(attempts, "attempt_at")
+    segment = time_segment(F.col("attempt_at"), seconds)
     lags = {f"_t{k}": ("attempt_at", k) for k in range(1, max_attempts)}
     lagged = running(attempts, ["key"], order, segment, previous=lags, stored=True)
     times = [F.col("attempt_at"), *[F.col(f"_t{k}") for k in range(1, max_attempts)]]
@@ -282,7 +281,6 @@ def retry_decisions(
             )
         ),
     )
-    segment = time_segment(F.col("attempt_at"), segment_seconds)
     counted = running(replayed.withColumn("_one", F.lit(1)), ["key"], order, segment, total={"_n": "_one"})
     cleared = counted.withColumn("_cleared", F.when(F.col("ok") | F.col("routed"), F.col("_n")))
     ranked = running(cleared, ["key"], order, segment, peak_before={"_last": "_cleared"})
@@ -303,11 +301,12 @@ def due_sources(sources: DataFrame, crawls: DataFrame, now: Column, hours: int =
     )
 
 
-def index_versions(versions: DataFrame, segment_seconds: int = DAY) -> DataFrame:
+def index_versions(versions: DataFrame, segment_seconds: int | None = None) -> DataFrame:
     """Index version of each tenant after each new document version: 1 + changes so far."""
-    changes = versions.groupBy("tenant_id", "created_at").agg(F.count("*").alias("_changes"))
+    changes = cut(versions.groupBy("tenant_id", "created_at").agg(F.count("*").alias("_changes")), "changes")
+    seconds = segment_seconds or fitting_seconds(changes, "created_at")
     counted = running(
-        changes, ["tenant_id"], ["created_at"], time_segment(F.col("created_at"), segment_seconds),
-        total={"_so_far": "_changes"},
+        changes, ["tenant_id"], ["created_at"], time_segment(F.col("created_at"), seconds),
+        total={"_so_far": "_changes"}, stored=True,
     )
     return counted.select("tenant_id", "created_at", (F.col("_so_far") + 1).alias("index_version"))

@@ -1,7 +1,7 @@
 """Running values over ordered rows of a key, safe when one key holds a large share of all rows.
 
 A plain window puts a whole key into one task. Here a key's rows are cut into segments of the ordering
-column (an hour of time, a million ids), the window runs inside (key, segment), and one row per segment
+column (so many seconds, so many ids), the window runs inside (key, segment), and one row per segment
 carries totals across segments. Only those summaries, a few per key and segment, ever meet in one task.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from citewell.sources.tables import cut
 
 SEGMENT = "_segment"
+SEGMENT_ROWS = 1_000_000
 
 
 def time_segment(ts: Column, seconds: int) -> Column:
@@ -27,6 +28,26 @@ def id_segment(number: Column, width: int) -> Column:
     return F.floor(number / width)
 
 
+def fitting_seconds(df: DataFrame, ts: str, rows: int = SEGMENT_ROWS) -> int:
+    """Seconds per segment so that one segment of all keys together holds about ``rows`` rows.
+
+    A key can then have no more than that in a segment, however hot it is.
+    """
+    bounds = df.agg(F.count("*"), F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    if bounds[1] is None:
+        return 1
+    span = (bounds[2] - bounds[1]) / 1e6 + 1
+    return max(1, int(span / -(-bounds[0] // rows)))
+
+
+def fitting_width(df: DataFrame, number: str, rows: int = SEGMENT_ROWS) -> int:
+    """The same for integer positions."""
+    bounds = df.agg(F.count("*"), F.min(number), F.max(number)).first()
+    if bounds[1] is None:
+        return 1
+    return max(1, int((bounds[2] - bounds[1] + 1) / -(-bounds[0] // rows)))
+
+
 def _null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return functools.reduce(lambda a, b: a & b, (left[n].eqNullSafe(right["_k_" + n]) for n in names))
 

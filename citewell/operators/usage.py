@@ -6,12 +6,11 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewell.operators.ordered import running, time_segment
+from citewell.operators.ordered import fitting_seconds, running, time_segment
 
-HOUR = 3_600
 # Latency bucket bounds in seconds per kind of request.
 BUCKETS = {
     "auth": [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 1.0],
@@ -89,7 +88,7 @@ def take_token(tokens: float, last: float, limit: int, now: float) -> tuple[floa
     return tokens, last, allowed, remaining, reset, retry
 
 
-def token_bucket(requests: DataFrame, segment_seconds: int = HOUR) -> DataFrame:
+def token_bucket(requests: DataFrame, segment_seconds: int | None = None) -> DataFrame:
     """Token bucket per (tenant, endpoint): each request ``(tenant_id, endpoint, ts, request_id,
     limit_per_minute)`` gets allowed, remaining, reset_at and retry_after.
 
@@ -97,7 +96,8 @@ def token_bucket(requests: DataFrame, segment_seconds: int = HOUR) -> DataFrame:
     through each task in order with one bucket in memory; a run is never collected. The requests are a
     stored table.
     """
-    runs = _independent_runs(requests.select("tenant_id", "endpoint", "ts", "request_id", "limit_per_minute"), segment_seconds)
+    slim = requests.select("tenant_id", "endpoint", "ts", "request_id", "limit_per_minute")
+    runs = _independent_runs(slim, segment_seconds or fitting_seconds(slim, "ts"))
     timed = runs.withColumn("_now", F.unix_micros("ts"))
     key = ["tenant_id", "endpoint", "_run"]
     placed = timed.repartition(*key).sortWithinPartitions(*key, "ts", "request_id")
@@ -204,7 +204,7 @@ def sliding_sums(pane_rows: DataFrame, by: list[str], measures: list[str], width
     return summed.select(*by, F.col("_w.end").alias("evaluated_at"), *measures)
 
 
-def sustained(evaluations: DataFrame, by: list[str], seconds: int, every: int = 30, segment_seconds: int = HOUR) -> DataFrame:
+def sustained(evaluations: DataFrame, by: list[str], seconds: int, every: int = 30, segment_seconds: int = 86_400) -> DataFrame:
     """Add ``firing``: breached at every evaluation for the given time. A missing evaluation ends a streak."""
     order, segment = ["evaluated_at"], time_segment(F.col("evaluated_at"), segment_seconds)
     seen = running(

@@ -38,11 +38,12 @@ def cte(*parts: str, select: str) -> str:
 
 
 def CLEAN(html: str) -> str:
-    """Cleaned text of a page. The pages use four entities; the ampersand is decoded last."""
+    """Cleaned text of a page. The pages use four entities, some cut off before the semicolon; the
+    ampersand is decoded last."""
     bare = f"regexp_replace({html}, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'gis')"
     bare = f"regexp_replace({bare}, '<[^>]+>', ' ', 'g')"
-    for entity, char in [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
-        bare = f"replace({bare}, '{entity}', '{char}')"
+    for entity, char in [("&quot;?", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&")]:
+        bare = f"regexp_replace({bare}, '{entity}', '{char}', 'g')"
     return f"trim(regexp_replace({bare}, '\\s+', ' ', 'g'))"
 
 
@@ -124,7 +125,7 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 DOCS = """docs AS (
-  SELECT 'd' || doc_id AS document_id, 1 AS version, 'https://' || source || '.example.org/' || doc_id AS source_url,
+  SELECT 'd' || doc_id AS document_id, CAST(1 AS BIGINT) AS version, 'https://' || source || '.example.org/' || doc_id AS source_url,
          text AS cleaned_text, nullif(source, 'src0') AS tenant_id, source || '.example.org' AS domain,
          'https://' || source || '.example.org/' || doc_id AS url,
          CASE WHEN n_chars % 7 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(n_chars % 400 AS INT)) END AS published_at,
@@ -158,7 +159,7 @@ doc_versions AS (
          n_chars % 10 <> 3 AS visible
   FROM (SELECT document_id, version, source_url, cleaned_text, language, n_chars FROM docs
         UNION ALL
-        SELECT document_id, 2, source_url, cleaned_text || chr(10) || source_url, language, n_chars
+        SELECT document_id, CAST(2 AS BIGINT), source_url, cleaned_text || chr(10) || source_url, language, n_chars
         FROM docs WHERE language <> 'en')),
 latest AS (
   SELECT * FROM doc_versions QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY version DESC) = 1)"""

@@ -20,7 +20,8 @@ def latest(spark, sf):
 
 
 def lexicon(spark, sf):
-    entries = lexical.lexical_entries(latest(spark, sf))
+    """Postings and statistics over stored tokens, as an index holds them."""
+    entries = cut(lexical.lexical_entries(latest(spark, sf)), "tokens")
     return lexical.postings(entries), lexical.corpus_stats(entries)
 
 
@@ -32,7 +33,7 @@ def page_search(spark, sf):
     """Pages to ranked answers: clean, hash, identify, version, analyze, index, BM25."""
     pages = ingest.clean_pages(i.pages(spark, sf).withColumnRenamed("url", "source_url"))
     versions = ingest.latest_versions(ingest.assign_versions(cut(pages.drop("html"))))
-    entries = lexical.lexical_entries(versions)
+    entries = cut(lexical.lexical_entries(versions), "tokens")
     queries = i.search_queries(spark, sf)
     return lexical.bm25(queries, lexical.postings(entries), lexical.corpus_stats(entries), N)
 
@@ -344,10 +345,10 @@ def candidate_lookup(spark, sf):
 
 @query("R10_approximate_neighbours")
 def approximate(spark, sf):
-    """Not in SQL: which pairs share a hash bucket depends on the random projections."""
+    """No SQL: which vectors share a bucket depends on random projections. A test compares with the exact search."""
     v = _stored_vectors(spark, sf)
     asked = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    found = neighbours.approximate_neighbours(asked, v, N, 1.2)
+    found = neighbours.approximate_neighbours(asked, v, N)
     return found.select("query_id", "document_id", "rank", F.round("score", 6).alias("score"))
 
 
