@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words the analyzer drops.
 STOPWORDS = """
@@ -39,7 +40,7 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, rf"(?U){SPACE}+"), lambda w: w != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_entities(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 

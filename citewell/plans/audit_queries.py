@@ -11,7 +11,9 @@ from citewell.plans.crawl_queries import GATE, gated
 from citewell.plans.usage_queries import DUE, swept
 from citewell.sources.tables import cut
 
-NOW = i.later(i.START, days=F.lit(380))
+def now():
+    return i.later(i.start(), days=F.lit(380))
+
 
 
 def ledger(spark, sf):
@@ -40,26 +42,26 @@ def rejected(spark, sf):
 
 @query("U2_expired", i.cte(LEDGER, select="SELECT event_id FROM ledger WHERE ts < TIMESTAMP '2024-01-01' + INTERVAL 380 DAY - INTERVAL 365 DAY"))
 def expired(spark, sf):
-    return audit.retention_split(ledger(spark, sf), NOW)[1].select("event_id")
+    return audit.retention_split(ledger(spark, sf), now())[1].select("event_id")
 
 
 @query("U2_kept", i.cte(LEDGER, select="SELECT event_id FROM ledger WHERE NOT ts < TIMESTAMP '2024-01-01' + INTERVAL 380 DAY - INTERVAL 370 DAY"))
 def kept(spark, sf):
-    return audit.retention_split(ledger(spark, sf), NOW, 370)[0].select("event_id")
+    return audit.retention_split(ledger(spark, sf), now(), 370)[0].select("event_id")
 
 
 def _deletion(spark, sf):
     """Tenants whose number ends in 3 or 8 leave; of all tenants, those with many errors are on hold."""
     r = i.requests(spark, sf)
     tenants = r.groupBy("tenant_id").agg(F.count_if(F.col("response_status") >= 500).alias("errors")).select(
-        "tenant_id", i.later(i.START, days=(F.col("errors") * 40).cast("int")).alias("legal_hold_until")
+        "tenant_id", i.later(i.start(), days=(F.col("errors") * 40).cast("int")).alias("legal_hold_until")
     )
     leaving = tenants.where(F.col("tenant_id").rlike("[38]$")).select("tenant_id")
     tables = {
         "metering": r.where("response_status = 200").select("tenant_id", "request_id"),
         "sessions": i.sessions(spark, sf).select("tenant_id", "session_id"),
     }
-    return audit.delete_tenants(tables, ledger(spark, sf), tenants, leaving, NOW)
+    return audit.delete_tenants(tables, ledger(spark, sf), tenants, leaving, now())
 
 
 DELETION = LEDGER + ",\n" + i.SESSIONS + """,
@@ -107,8 +109,8 @@ def keys(spark, sf):
     return c.select(
         F.concat(F.lit("k"), "c_custkey").alias("key_id"), F.concat(F.lit("key"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("key_prefix"),
         F.concat(F.lit("t"), "c_nationkey").alias("tenant_id"),
-        F.when(cents % 3 == 0, i.later(i.START, days=(cents % 40).cast("int"))).alias("expires_at"),
-        F.when(cents % 5 < 2, i.later(i.START, days=(cents % 31).cast("int"))).alias("revoked_at"),
+        F.when(cents % 3 == 0, i.later(i.start(), days=(cents % 40).cast("int"))).alias("expires_at"),
+        F.when(cents % 5 < 2, i.later(i.start(), days=(cents % 31).cast("int"))).alias("revoked_at"),
         F.when(cents % 7 != 0, (cents % 86_400 + 1).cast("int")).alias("rotation_grace_seconds"),
     )
 

@@ -11,7 +11,9 @@ from citewell.plans.catalog import query
 from citewell.sources.tables import cut
 
 AGENT = "CiteBot"
-NOW = i.later(i.START, days=F.lit(1), secs=F.lit(120))
+def now():
+    return i.later(i.start(), days=F.lit(1), secs=F.lit(120))
+
 _BODIES = [
     "User-agent: *\nDisallow: /en/\nCrawl-delay: 5\n",
     "# rules\nUser-agent: citebot\nUser-agent: other # both\nDisallow: /*.html$\n\nUser-agent: *\nDisallow: /fr/\nDisallow: /es\ncrawl-delay: 0.25",
@@ -32,7 +34,7 @@ def hosts(spark, sf):
     n = F.length("host")
     body = F.element_at(F.array(*[F.lit(b) for b in _BODIES]), (n % 5 + 1).cast("int"))
     status = F.when(n % 7 == 0, 503).when(n % 7 == 1, 404).when(n % 7 != 2, 200)
-    return h.select("host", i.later(i.START, secs=F.col("first")).alias("fetched_at"), status.alias("status"), body.alias("body"))
+    return h.select("host", i.later(i.start(), secs=F.col("first")).alias("fetched_at"), status.alias("status"), body.alias("body"))
 
 
 HOST = "lower(regexp_extract(url, '//([^/?#:]+)', 1))"
@@ -84,7 +86,7 @@ OPT_OUTS = f"""opted AS (
     ),
 )
 def opt_out(spark, sf):
-    return crawl.opt_out_active(i.pages(spark, sf), opt_outs(spark, sf), NOW).select("page_id", "opted_out")
+    return crawl.opt_out_active(i.pages(spark, sf), opt_outs(spark, sf), now()).select("page_id", "opted_out")
 
 
 @query("C2_robots_rules", i.cte(HOSTS, RULES, select="SELECT host, agent, pattern, count(*) AS n FROM rules GROUP BY ALL"))
@@ -178,7 +180,7 @@ GATE = [i.PAGES, HOSTS, RULES, MATCHED, OPT_OUTS, GATED]
 
 
 def gated(spark, sf):
-    return crawl.fetch_gate(i.pages(spark, sf), opt_outs(spark, sf), hosts(spark, sf), AGENT, NOW)
+    return crawl.fetch_gate(i.pages(spark, sf), opt_outs(spark, sf), hosts(spark, sf), AGENT, now())
 
 
 @query("C6_fetch_gate", i.cte(*GATE, select="SELECT page_id, decision FROM gated"))
@@ -199,7 +201,7 @@ def effective_delay(spark, sf):
 def fetch_log(spark, sf):
     """Events as fetches: users are hosts, values seconds of work, times 2000 times as fast."""
     e = i.events(spark, sf)
-    base = F.unix_micros(i.START)
+    base = F.unix_micros(i.start())
     begun = base + F.floor((F.unix_micros("ts") - base) / 2000)
     done = begun + F.floor(F.col("value") * 1_000_000)
     return e.select(

@@ -103,7 +103,7 @@ def tenant_isolation(spark, sf):
 def result_projection(spark, sf):
     d = i.doc_versions(spark, sf)
     candidates = d.select("document_id", "version", (F.col("n_chars") / 5000.0 - 0.1).alias("score"))
-    found = search.to_results(candidates, d, i.START)
+    found = search.to_results(candidates, d, i.start())
     return found.select(
         "document_id", "version", "url", "title", F.round("score", 6).alias("score"),
         F.round("provenance.credibility_score", 6).alias("credibility"), F.round("provenance.ai_generated_likelihood", 6).alias("ai"),

@@ -118,7 +118,7 @@ def fn_map_json(spark, sf):
 def own_scorer(spark, sf):
     """Scoring with functions of the user's own."""
     scored = ingest.score_documents(
-        i.docs(spark, sf), i.START, credibility=lambda c: F.least(F.lit(1.0), F.length(c) / 10000.0), ai_likelihood=lambda c: F.lit(0.25)
+        i.docs(spark, sf), i.start(), credibility=lambda c: F.least(F.lit(1.0), F.length(c) / 10000.0), ai_likelihood=lambda c: F.lit(0.25)
     )
     return scored.select(
         "doc_id", F.round("provenance.credibility_score", 6).alias("credibility"), F.col("provenance.ai_generated_likelihood").alias("ai"), "visible"

@@ -10,7 +10,9 @@ from citewell.plans import inputs as i
 from citewell.plans.catalog import query
 from citewell.sources.tables import cut
 
-NOW = i.later(i.START, days=F.lit(2), secs=F.lit(100))
+def now():
+    return i.later(i.start(), days=F.lit(2), secs=F.lit(100))
+
 
 
 @query(
@@ -227,7 +229,7 @@ def due_sources(spark, sf):
     crawls = i.recrawls(spark, sf).where(F.col("pass") < F.length("html") % 3).select(
         F.regexp_replace("source_url", "#[0-9]+$", "").alias("url"), F.col("fetched_at").alias("crawled_at")
     )
-    return ingest.due_sources(sources, crawls, NOW).select("url")
+    return ingest.due_sources(sources, crawls, now()).select("url")
 
 
 @query(
@@ -280,7 +282,7 @@ scored AS (
 
 
 def _scored(spark, sf):
-    return ingest.score_documents(i.docs(spark, sf).drop("provenance"), i.START)
+    return ingest.score_documents(i.docs(spark, sf).drop("provenance"), i.start())
 
 
 @query("V1_credibility", i.cte(SCORES, select="SELECT doc_id, credibility FROM scored"))
@@ -315,11 +317,11 @@ def _rescored(spark, sf):
         "provenance",
         F.when(
             F.col("language") == "en",
-            F.struct(F.lit(0.0).alias("credibility_score"), F.lit(1.0).alias("ai_generated_likelihood"), i.START.alias("scored_at")),
+            F.struct(F.lit(0.0).alias("credibility_score"), F.lit(1.0).alias("ai_generated_likelihood"), i.start().alias("scored_at")),
         ),
     )
     labelled = i.table(spark, sf, "labels").select(F.concat(F.lit("d"), "doc_id").alias("document_id"), F.lit(1).alias("version"))
-    return ingest.rescore(before, labelled, NOW)
+    return ingest.rescore(before, labelled, now())
 
 
 @query(

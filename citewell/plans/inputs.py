@@ -13,10 +13,14 @@ from citewell.functions.text import STOPWORDS
 from citewell.operators.ingest import clean_pages
 from citewell.sources.tables import table
 
-START = F.lit("2024-01-01 00:00:00").cast("timestamp")
 STOP_LIST = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 
+def start() -> Column:
+    """When the logs begin."""
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
+
+
 def later(base: Column, **parts: Column) -> Column:
     return base + F.make_dt_interval(**parts)
 
@@ -48,7 +52,7 @@ def CLEAN(html: str) -> str:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").withColumn("fetched_at", later(START, secs=F.col("page_id")))
+    return table(spark, sf, "pages").withColumn("fetched_at", later(start(), secs=F.col("page_id")))
 
 
 PAGES = """pg AS (
@@ -113,7 +117,7 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
         F.nullif(F.col("source"), F.lit("src0")).alias("tenant_id"),
         F.concat("source", F.lit(".example.org")).alias("domain"),
         F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id").alias("url"),
-        F.when(F.col("n_chars") % 7 != 0, later(START, days=(F.col("n_chars") % 400).cast("int"))).alias("published_at"),
+        F.when(F.col("n_chars") % 7 != 0, later(start(), days=(F.col("n_chars") % 400).cast("int"))).alias("published_at"),
         F.col("lang").alias("language"),
         F.col("source").alias("category"),
         F.create_map(
@@ -146,7 +150,7 @@ def doc_versions(spark: SparkSession, sf: str) -> DataFrame:
             F.struct(
                 (F.col("n_chars") % 11 / 10.0).alias("credibility_score"),
                 (F.col("n_chars") % 9 / 8.0).alias("ai_generated_likelihood"),
-                START.alias("scored_at"),
+                start().alias("scored_at"),
             ),
         ),
     ).withColumn("visible", F.col("n_chars") % 10 != 3)
@@ -280,7 +284,7 @@ retried AS (
 def busy_requests(spark: SparkSession, sf: str) -> DataFrame:
     """The log replayed 2000 times as fast, against two requests a minute."""
     r = requests(spark, sf)
-    base = F.unix_micros(START)
+    base = F.unix_micros(start())
     fast = F.timestamp_micros(base + F.floor((F.unix_micros("ts") - base) / 2000))
     return r.select("tenant_id", "endpoint", fast.alias("ts"), "request_id", F.lit(2).alias("limit_per_minute"))
 
@@ -294,7 +298,7 @@ busy AS (
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
     """Indexing attempts: users are documents, views succeed, times run 1000 times as fast."""
     e = events(spark, sf)
-    base = F.unix_micros(START)
+    base = F.unix_micros(start())
     return e.select(
         F.concat(F.lit("https://example.org/u/"), "user_id").alias("key"),
         F.timestamp_micros(base + F.floor((F.unix_micros("ts") - base) / 500)).alias("attempt_at"),
@@ -351,7 +355,7 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(
         F.col("conv_id").alias("session_id"),
         F.concat(F.lit("t"), (F.col("chars") % 7).cast("string")).alias("tenant_id"),
-        later(START, hours=(F.col("chars") % 1000).cast("int")).alias("created_at"),
+        later(start(), hours=(F.col("chars") % 1000).cast("int")).alias("created_at"),
         (F.col("chars") % 90 + 1).cast("int").alias("retention_days"),
         F.when(F.col("chars") % 13 == 0, "deleted").otherwise("active").alias("state"),
     )

@@ -9,7 +9,9 @@ from citewell.operators.ordered import id_segment, time_segment
 from citewell.plans import inputs as i
 from citewell.plans.catalog import query
 
-NOW = i.later(i.START, days=F.lit(25))
+def now():
+    return i.later(i.start(), days=F.lit(25))
+
 
 
 @query(
@@ -71,7 +73,7 @@ def replay(spark, sf):
     ),
 )
 def retention(spark, sf):
-    return research.retained_events(i.job_events(spark, sf), NOW).select("job_id", "event_id")
+    return research.retained_events(i.job_events(spark, sf), now()).select("job_id", "event_id")
 
 
 @query(

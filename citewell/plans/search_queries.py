@@ -256,7 +256,7 @@ SEARCH = [i.DOC_VERSIONS, i.QUERIES, NEAR, WORD, RANKED, SEARCHED]
 
 def searched(spark, sf):
     posts, stats = lexicon(spark, sf)
-    return search.search(i.search_queries(spark, sf), i.doc_versions(spark, sf), vector_rows(spark, sf), posts, stats, i.START)
+    return search.search(i.search_queries(spark, sf), i.doc_versions(spark, sf), vector_rows(spark, sf), posts, stats, i.start())
 
 
 @query(
@@ -288,7 +288,7 @@ def similar(spark, sf):
     docs = cut(docs)
     known = pages.select(F.col("page_id").alias("query_id"), "url")
     lost = pages.select((-1 - F.col("page_id")).alias("query_id"), F.regexp_replace("url", "example", "elsewhere").alias("url"))
-    return search.find_similar(known.unionByName(lost), docs, ingest.vector_entries(docs), 5, i.START)
+    return search.find_similar(known.unionByName(lost), docs, ingest.vector_entries(docs), 5, i.start())
 
 
 @query(
@@ -372,7 +372,7 @@ def research_retrieval(spark, sf):
         F.col("conv_id").alias("job_id"), F.col("turn").alias("step_id"), F.col("text").alias("description")
     )
     posts, stats = lexicon(spark, sf)
-    found = search.research_retrieval(steps, i.doc_versions(spark, sf), vector_rows(spark, sf), posts, stats, i.START)
+    found = search.research_retrieval(steps, i.doc_versions(spark, sf), vector_rows(spark, sf), posts, stats, i.start())
     return found.select("job_id", "step_id", "rank", "document_id", "version", F.round("score", 6).alias("score"),
                         F.length("cleaned_text").alias("chars"))
 

@@ -8,6 +8,7 @@ from citewell.functions import text, vectors
 from citewell.operators import audit, ingest, lexical, usage
 from citewell.plans import inputs as i
 from citewell.plans.catalog import query
+from citewell.schemas import STORED_VERSIONS
 from citewell.sources import messages, tables
 
 
@@ -37,7 +38,7 @@ def visible_documents(spark, sf):
 )
 def ingest_parse(spark, sf):
     path = tables.shared_dir(spark, "topic")
-    messages.publish_files(messages.ingest_messages(i.table(spark, sf, "pages"), i.START), path)
+    messages.publish_files(messages.ingest_messages(i.table(spark, sf, "pages"), i.start()), path)
     parsed = messages.from_json_value(spark.read.text(path))
     return parsed.select(
         "source_url", F.sha2("raw_content", 256).alias("content"), "tenant_id", F.col("parse_error").isNotNull().alias("broken")
@@ -50,7 +51,7 @@ def ingest_parse(spark, sf):
        'ingest-' || substr(sha256(url), 1, 24) AS request_id, '2024-01-01 00:00:00' AS published_at FROM pages""",
 )
 def publish(spark, sf):
-    values = messages.to_json_value(messages.ingest_messages(i.table(spark, sf, "pages"), i.START))
+    values = messages.to_json_value(messages.ingest_messages(i.table(spark, sf, "pages"), i.start()))
     parsed = F.from_json("value", "message_id string, request_id string, published_at timestamp")
     return values.select("key", parsed.alias("m")).select(
         "key", "m.message_id", "m.request_id", i.ts_text(F.col("m.published_at")).alias("published_at")
@@ -74,7 +75,7 @@ def dead_letters(spark, sf):
         "item_id", F.when(n % 3 == 1, F.concat(F.lit("{broken "), F.col("item_id"))).otherwise(message).alias("value")
     )
     parsed = messages.from_json_value(values)
-    bad = messages.dead_letters(parsed.where(F.col("parse_error").isNotNull()), i.START)
+    bad = messages.dead_letters(parsed.where(F.col("parse_error").isNotNull()), i.start())
     return bad.select(F.regexp_extract("raw", r"(?:source_url\":\"|broken )([0-9]+)", 1).cast("bigint").alias("item_id"), "error")
 
 
@@ -87,18 +88,13 @@ def version_snapshot(spark, sf):
     root = tables.shared_dir(spark, "snapshots")
     seen = tables.cut(i.observations(spark, sf))
     for number in range(3):
-        stored = tables.read_snapshot(spark, root, number, _VERSION_SCHEMA)
+        stored = tables.read_snapshot(spark, root, number, STORED_VERSIONS)
         merged, _ = ingest.merge_versions(stored, seen.where(F.col("pass") == number))
         tables.write_snapshot(merged, root, number)
-    last = tables.read_snapshot(spark, root, 3, _VERSION_SCHEMA)
+    last = tables.read_snapshot(spark, root, 3, STORED_VERSIONS)
     return last.select("document_id", "source_url", "version", "content_hash")
 
 
-from citewell.streaming.jobs import _stored_schema  # noqa: E402
-
-_VERSION_SCHEMA = _stored_schema()
-
-
 @query(
     "S8_object_keys",
     i.cte(

@@ -33,7 +33,9 @@ results AS (
     FROM docs) WHERE position < 100)"""
 KEPT = "query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY position) - 1 AS position"
 RESORTED = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) - 1 AS position, round(score, 6) AS score"
-NOW = F.lit("2024-12-31 00:00:00").cast("timestamp")
+def now():
+    return F.lit("2024-12-31 00:00:00").cast("timestamp")
+
 
 
 def _ran(spark, sf, *chain):
@@ -56,7 +58,7 @@ def domain_exclusion(spark, sf):
     i.cte(RESULTS, select=f"SELECT {KEPT} FROM results WHERE published_at IS NULL OR published_at >= TIMESTAMP '2024-12-31' - INTERVAL 200 DAY"),
 )
 def freshness_filter(spark, sf):
-    return _ran(spark, sf, ("freshness_filter", {"max_age_days": 200, "now": NOW})).drop("score", "title")
+    return _ran(spark, sf, ("freshness_filter", {"max_age_days": 200, "now": now()})).drop("score", "title")
 
 
 @query("P3_language_filter", i.cte(RESULTS, select=f"SELECT {KEPT} FROM results WHERE language IS NULL OR language IN ('en', 'fr')"))

@@ -13,6 +13,7 @@ from citewell.plans.ingest_queries import retry_decisions  # noqa: F401  (regist
 from citewell.plans.catalog import SQL
 from citewell.plans.research_queries import SHUFFLED, shuffled
 from citewell.plans.usage_queries import LAST_DOCS
+from citewell.schemas import STORED_VERSIONS
 from citewell.sources import messages, tables
 from citewell.streaming import jobs
 
@@ -49,7 +50,7 @@ def timed(df, column):
 def ingested(spark, sf):
     """Pages as messages, and the benchmark texts as broken ones, in several files."""
     root = tables.shared_dir(spark, "ingest")
-    good = messages.ingest_messages(i.table(spark, sf, "pages"), i.START)
+    good = messages.ingest_messages(i.table(spark, sf, "pages"), i.start())
     messages.publish_files(good, f"{root}/topic")
     broken = i.table(spark, sf, "benchmark").select(F.to_json(F.struct(F.col("text").alias("raw_content"))).alias("value"))
     broken.write.mode("append").text(f"{root}/topic")
@@ -65,7 +66,7 @@ def ingested(spark, sf):
 def ingest_stream(spark, sf):
     """Streamed pages end up cleaned and versioned in the newest snapshot."""
     root = ingested(spark, sf)
-    last = tables.read_snapshot(spark, f"{root}/versions", 2**31, jobs._stored_schema())
+    last = tables.read_snapshot(spark, f"{root}/versions", 2**31, STORED_VERSIONS)
     return last.select("document_id", "source_url", F.col("version").cast("int").alias("version"), "content_hash")
 
 
@@ -73,7 +74,7 @@ def ingest_stream(spark, sf):
 def micro_batches(spark, sf):
     """After all batches: documents in the last snapshot, and dead letters over all batches."""
     root = ingested(spark, sf)
-    good = tables.read_snapshot(spark, f"{root}/versions", 2**31, jobs._stored_schema()).select("document_id").distinct()
+    good = tables.read_snapshot(spark, f"{root}/versions", 2**31, STORED_VERSIONS).select("document_id").distinct()
     bad = spark.read.schema("raw string, error string, failed_at timestamp").option("basePath", f"{root}/dead_letters").parquet(f"{root}/dead_letters/snapshot=*")
     return good.agg(F.count("*").alias("good")).withColumn("bad", bad.agg(F.count("*").alias("n")).scalar())
 
@@ -129,7 +130,7 @@ def streamed_session_memory(spark, sf):
     """The last state of every session; none reaches its end."""
     e = i.events(spark, sf).select("event_id", "ts")
     added = i.memory_additions(spark, sf).select("session_id", "pos", "document_id").join(e, F.col("pos") == F.col("event_id"))
-    added = added.select("session_id", "pos", "document_id", "ts", i.START.alias("created_at"), F.lit(60).alias("retention_days"))
+    added = added.select("session_id", "pos", "document_id", "ts", i.start().alias("created_at"), F.lit(60).alias("retention_days"))
     stream = as_stream(spark, timed(added, "ts"), "additions", "_at")
     states = drained(spark, jobs.session_memory(stream.drop("_at")), "memory")
     last = batch_sessions.top_n(states, ["session_id"], [F.desc("pos")], 1, "r")

@@ -9,7 +9,9 @@ from citewell.plans import inputs as i
 from citewell.plans.catalog import query
 from citewell.sources.tables import cut
 
-NOW = i.later(i.START, days=F.lit(45))
+def now():
+    return i.later(i.start(), days=F.lit(45))
+
 
 
 @query("M1_billable", i.cte(i.REQUESTS, select="SELECT request_id, response_status FROM requests WHERE response_status BETWEEN 200 AND 299"))
@@ -209,13 +211,13 @@ def sliding(spark, sf):
     ),
 )
 def active_sessions(spark, sf):
-    found = sessions.active_sessions(i.sessions(spark, sf), NOW)
+    found = sessions.active_sessions(i.sessions(spark, sf), now())
     return found.select("session_id", i.ts_text(F.col("expires_at")).alias("expires_at"))
 
 
 def swept(spark, sf):
     memory = i.table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), "turn")
-    return sessions.expire_sessions(i.sessions(spark, sf), memory, NOW)
+    return sessions.expire_sessions(i.sessions(spark, sf), memory, now())
 
 
 DUE = "state = 'active' AND TIMESTAMP '2024-02-15' >= created_at + to_days(retention_days)"

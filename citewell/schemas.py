@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZType(), "floats": T.ArrayType(T.FloatType()),
+}
+
+
+def _schema(fields: str, **nested: T.DataType) -> T.StructType:
+    """Schema of "name type, name type"; needs no running session, unlike a DDL string."""
+    pairs = [field.split() for field in fields.split(", ")]
+    return T.StructType([T.StructField(name, nested.get(kind) or _TYPES[kind]) for name, kind in pairs])
 
 
 PAGES = _schema("page_id bigint, url string, html string")
 DOCUMENTS = _schema("doc_id bigint, text string, lang string, source string, n_chars bigint")
-EMBEDDINGS = _schema("vec_id bigint, embedding array<float>, label int")
+EMBEDDINGS = _schema("vec_id bigint, embedding floats, label int")
 BENCHMARK = _schema("item_id bigint, text string")
 CONVERSATIONS = _schema("conv_id bigint, turn bigint, role string, text string")
 EVENTS = _schema(
@@ -24,16 +32,18 @@ INGEST_MESSAGE = _schema(
 PROVENANCE = _schema("credibility_score double, ai_generated_likelihood double, scored_at timestamp")
 DOCUMENT_VERSIONS = _schema(
     "document_id string, source_url string, version bigint, content_hash string, cleaned_text string, "
-    "created_at timestamp, last_seen_at timestamp, "
-    "provenance struct<credibility_score:double,ai_generated_likelihood:double,scored_at:timestamp>, visible boolean"
+    "created_at timestamp, last_seen_at timestamp, provenance scores, visible boolean",
+    scores=PROVENANCE,
 )
+STORED_VERSIONS = T.StructType([f for f in DOCUMENT_VERSIONS if f.name not in ("provenance", "visible")])
 SEARCH_QUERIES = _schema(
     "query_id bigint, query_text string, mode string, num_results int, min_credibility double, "
     "max_ai_generated_likelihood double"
 )
 SEARCH_RESULTS = _schema(
     "query_id bigint, rank int, document_id string, version int, url string, title string, score double, "
-    "published_at timestamp, provenance struct<credibility_score:double,ai_generated_likelihood:double,scored_at:timestamp>"
+    "published_at timestamp, provenance scores",
+    scores=PROVENANCE,
 )
 ANSWER_TOKENS = _schema("answer_id bigint, idx bigint, token string")
 CITATIONS = _schema(

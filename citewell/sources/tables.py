@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 GLOBAL_TENANT = "_global"
 CLEANED_FILE = "cleaned.txt"
+_CUTS: list[str] = []
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -41,9 +42,24 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     again, and a lost executor costs no more than the steps since."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
+    _CUTS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_cuts(spark: SparkSession) -> int:
+    """Delete the tables ``cut`` has written so far; for the end of a job, when its results are stored."""
+    released = 0
+    while _CUTS:
+        _delete(spark, _CUTS.pop())
+        released += 1
+    return released
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def object_key(tenant_id: Column, document_id: Column, version: Column) -> Column:
     """Key of a cleaned text: tenant (or _global), document, version and file name. NULL when invalid."""
     valid = (F.length(document_id) > 0) & (version >= 1)
@@ -85,10 +101,8 @@ def read_cleaned_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drop_tenant(spark: SparkSession, path: str, tenant_id: str) -> None:
-    """Delete one tenant's partition: overwriting it with nothing leaves the others alone."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/tenant_id={tenant_id}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    """Delete one tenant's partition directory; the others stay as they are."""
+    _delete(spark, f"{path}/tenant_id={tenant_id}")
 
 
 def write_postings(posting_rows: DataFrame, path: str) -> None:

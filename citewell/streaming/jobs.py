@@ -8,14 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from citewell.functions import text
 from citewell.operators import audit as ledger
-from citewell.operators.ingest import merge_versions, score_documents
+from citewell.operators.ingest import merge_versions
 from citewell.operators.usage import billable, dedup_key
-from citewell.schemas import DOCUMENT_VERSIONS
+from citewell.schemas import STORED_VERSIONS
 from citewell.sources import messages, tables
 from citewell.streaming import state
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_STORED = "document_id string, source_url string, version bigint, content_hash string, cleaned_text string, created_at timestamp, last_seen_at timestamp"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -38,7 +37,7 @@ def ingest(stream: DataFrame, root: str, checkpoint: str, **trigger) -> Streamin
         observed = good.select(
             "source_url", F.col("published_at").alias("fetched_at"), text.clean_html(F.col("raw_content")).alias("cleaned_text")
         ).withColumn("content_hash", text.content_hash(F.col("cleaned_text")))
-        existing = tables.read_snapshot(spark, f"{root}/versions", number, _stored_schema())
+        existing = tables.read_snapshot(spark, f"{root}/versions", number, STORED_VERSIONS)
         merged, _ = merge_versions(existing, observed)
         tables.write_snapshot(merged, f"{root}/versions", number)
         bad = messages.dead_letters(batch.where(F.col("parse_error").isNotNull()), F.current_timestamp())
@@ -48,12 +47,6 @@ def ingest(stream: DataFrame, root: str, checkpoint: str, **trigger) -> Streamin
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def _stored_schema():
-    from pyspark.sql import types as T
-
-    return T.StructType.fromDDL(_STORED)
-
-
 def versions(observations: DataFrame) -> DataFrame:
     """Version flags per observation ``(source_url, fetched_at, content_hash)`` from per-URL state."""
     return observations.groupBy("source_url").transformWithStateInPandas(

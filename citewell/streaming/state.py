@@ -21,37 +21,63 @@ def _in_order(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(list(by), kind="stable", ignore_index=True)
 
 
+def _names(ddl: str) -> list[str]:
+    return [field.split(" ")[0] for field in ddl.split(", ")]
+
+
 def _millis(ts: pd.Timestamp) -> int:
     return int(ts.value // 1_000_000)
 
 
-class _Timed(StatefulProcessor):
-    """Keeps one timer per key, moved with every batch."""
+class _Expiring(StatefulProcessor):
+    """State whose last field is the time in milliseconds at which it may be dropped.
+
+    A key has one timer, set when its state begins. Later batches only move the field; when the timer
+    fires early it is set again. So a batch of a known key costs one read and one write of the state.
+    """
+
+    schema = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.schema)
 
-    def _move_timer(self, at: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at)
+    def keep(self, was: tuple | None, now: tuple) -> None:
+        self.state.update(now)
+        if was is None:
+            self.handle.registerTimer(now[-1])
+
+    def expired(self, key) -> pd.DataFrame | None:
+        """Rows to emit when the state is dropped."""
+        return None
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.state.get()
+        if held is not None and held[-1] > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(held[-1])
+            return
+        self.state.clear()
+        rows = self.expired(key)
+        if rows is not None:
+            yield rows
 
     def close(self) -> None:
         pass
 
 
-class TokenBucket(_Timed):
+class TokenBucket(_Expiring):
     """State: tokens and time of the last request. A bucket unused for two minutes is full, so it is dropped."""
 
+    schema = "tokens double, last double, due bigint"
     output = (
         "tenant_id string, endpoint string, request_id string, ts timestamp, allowed boolean, remaining bigint, "
         "reset_at bigint, retry_after bigint"
     )
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.bucket = handle.getValueState("bucket", "tokens double, last double")
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, "ts", "request_id")
-        tokens, last = self.bucket.get() if self.bucket.exists() else (None, None)
+        was = self.state.get()
+        tokens, last = was[:2] if was is not None else (None, None)
         out = []
         for request_id, ts, limit in zip(batch["request_id"], batch["ts"], batch["limit_per_minute"]):
             now = ts.value // 1000 / 1e6
@@ -59,31 +85,24 @@ class TokenBucket(_Timed):
                 tokens, last = float(limit), now
             tokens, last, *answer = take_token(tokens, last, int(limit), now)
             out.append((*key, request_id, ts, *answer))
-        self.bucket.update((tokens, last))
-        self._move_timer(_millis(batch["ts"].iloc[-1]) + 120_000)
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in self.output.split(", ")])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.bucket.clear()
-        return iter(())
+        self.keep(was, (tokens, last, _millis(batch["ts"].iloc[-1]) + 120_000))
+        yield pd.DataFrame(out, columns=_names(self.output))
 
 
-class RetryCounter(_Timed):
-    """State: attempts since the last success or routing and the times of the last three."""
+class RetryCounter(_Expiring):
+    """State: attempts since the last success or routing and the times of the last three; kept for a day."""
 
+    schema = "attempts bigint, times array<bigint>, due bigint"
     output = "source_url string, failure_reason string, attempts bigint, routed_at timestamp"
 
     def __init__(self, max_attempts: int = 3, min_gap_seconds: int = 60):
         self.max_attempts, self.gap = max_attempts, min_gap_seconds * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.history = handle.getValueState("history", "attempts bigint, times array<bigint>")
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, "attempt_at", "attempt_id")
-        count, times = self.history.get() if self.history.exists() else (0, [])
-        times, out = list(times), []
+        was = self.state.get()
+        count, times = (was[0], list(was[1])) if was is not None else (0, [])
+        out = []
         for at, ok, error in zip(batch["attempt_at"], batch["ok"], batch["error"]):
             if ok:
                 count, times = 0, []
@@ -93,14 +112,9 @@ class RetryCounter(_Timed):
             if count >= self.max_attempts and spaced:
                 out.append((key[0], error, count, at))
                 count, times = 0, []
-        self.history.update((count, times))
-        self._move_timer(_millis(batch["attempt_at"].iloc[-1]) + 86_400_000)
+        self.keep(was, (count, times, _millis(batch["attempt_at"].iloc[-1]) + 86_400_000))
         if out:
-            yield pd.DataFrame(out, columns=["source_url", "failure_reason", "attempts", "routed_at"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.history.clear()
-        return iter(())
+            yield pd.DataFrame(out, columns=_names(self.output))
 
 
 class Versions(StatefulProcessor):
@@ -116,49 +130,39 @@ class Versions(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, "fetched_at", "content_hash")
-        version, known = self.latest.get() if self.latest.exists() else (0, None)
+        version, known = self.latest.get() or (0, None)
         out = []
         for at, content in zip(batch["fetched_at"], batch["content_hash"]):
             same = content == known
             out.append((key[0], at, content, version + (not same), version == 0, version > 0 and not same, same))
             version, known = version + (not same), content
         self.latest.update((version, known))
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in self.output.split(", ")])
+        yield pd.DataFrame(out, columns=_names(self.output))
 
     def close(self) -> None:
         pass
 
 
-class SessionMemory(_Timed):
+class SessionMemory(_Expiring):
     """State: the latest 50 citations and 20 distinct documents of a session, until it expires."""
 
+    schema = "citations array<string>, doc_ids array<string>, expires bigint"
     output = "session_id bigint, pos bigint, kind string, citations array<string>, doc_ids array<string>"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.memory = handle.getValueState("memory", "citations array<string>, doc_ids array<string>, expires bigint")
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, "ts", "pos")
-        citations, docs, expires = self.memory.get() if self.memory.exists() else ([], [], None)
-        citations, docs = list(citations), list(docs)
-        if expires is None:
-            expires = _millis(batch["created_at"].iloc[0]) + int(batch["retention_days"].iloc[0]) * 86_400_000
+        was = self.state.get()
+        citations, docs = (list(was[0]), list(was[1])) if was is not None else ([], [])
+        lifetime = int(batch["retention_days"].iloc[0]) * 86_400_000
+        expires = was[2] if was is not None else _millis(batch["created_at"].iloc[0]) + lifetime
         for document in batch["document_id"]:
             citations = [*citations, document][-MAX_CITATIONS:]
             docs = [*[d for d in docs if d != document], document][-MAX_DOCUMENTS:]
-        self.memory.update((citations, docs, expires))
-        self._move_timer(expires)
-        yield pd.DataFrame(
-            [(key[0], int(batch["pos"].iloc[-1]), "updated", citations, docs)],
-            columns=["session_id", "pos", "kind", "citations", "doc_ids"],
-        )
+        self.keep(was, (citations, docs, expires))
+        yield pd.DataFrame([(key[0], int(batch["pos"].iloc[-1]), "updated", citations, docs)], columns=_names(self.output))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.memory.clear()
-        yield pd.DataFrame(
-            [(key[0], -1, "expired", [], [])], columns=["session_id", "pos", "kind", "citations", "doc_ids"]
-        )
+    def expired(self, key) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], -1, "expired", [], [])], columns=_names(self.output))
 
 
 class OrderGuard(StatefulProcessor):
@@ -171,7 +175,8 @@ class OrderGuard(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, "arrival")
-        top = self.highest.get()[0] if self.highest.exists() else None
+        held = self.highest.get()
+        top = held[0] if held is not None else None
         out = []
         for event_id, arrival in zip(batch["event_id"], batch["arrival"]):
             fine = top is None or event_id > top
