@@ -103,9 +103,14 @@ def running(
         tails = ending.groupBy(*keys, SEGMENT).agg(
             F.array_sort(F.collect_list(F.struct(last_first.alias("at"), carried.alias("v")))).alias("_tail")
         )
-        summaries = tails if not summary_cols else tails.join(
-            summaries.groupBy(*keys, SEGMENT).agg(*summary_cols), [*keys, SEGMENT]
-        )
+        if summary_cols:
+            # Brought together by a union, which unlike a join also keeps rows without a key.
+            sums = summaries.groupBy(*keys, SEGMENT).agg(*summary_cols)
+            both = tails.unionByName(sums, allowMissingColumns=True)
+            parts = [c for c in both.columns if c not in (*keys, SEGMENT)]
+            summaries = both.groupBy(*keys, SEGMENT).agg(*[F.any_value(c, F.lit(True)).alias(c) for c in parts])
+        else:
+            summaries = tails
     else:
         summaries = summaries.groupBy(*keys, SEGMENT).agg(*summary_cols)
 
