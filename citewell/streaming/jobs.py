@@ -47,11 +47,15 @@ def ingest(stream: DataFrame, root: str, checkpoint: str, **trigger) -> Streamin
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def _keyed(rows: DataFrame, keys: list[str], processor, mode: str) -> DataFrame:
+    return rows.groupBy(*keys).transformWithState(processor, processor.output, "Append", mode)
+
+
 def versions(observations: DataFrame) -> DataFrame:
     """Version flags per observation ``(source_url, fetched_at, content_hash)`` from per-URL state."""
-    return observations.groupBy("source_url").transformWithStateInPandas(
-        state.Versions(), state.Versions.output, "Append", "None"
-    )
+    rows = observations.select("source_url", "content_hash", F.unix_micros("fetched_at").alias("micros"))
+    flags = _keyed(rows, ["source_url"], state.Versions(), "None")
+    return flags.withColumn("fetched_at", F.timestamp_micros("micros")).drop("micros")
 
 
 def deduplicated_metering(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -61,28 +65,26 @@ def deduplicated_metering(requests: DataFrame, delay: str = "1 hour") -> DataFra
 
 
 def rate_limits(requests: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    return requests.withWatermark("ts", delay).groupBy("tenant_id", "endpoint").transformWithStateInPandas(
-        state.TokenBucket(), state.TokenBucket.output, "Append", "EventTime"
-    )
+    rows = requests.withColumn("micros", F.unix_micros("ts")).withWatermark("ts", delay)
+    granted = _keyed(rows, ["tenant_id", "endpoint"], state.TokenBucket(), "EventTime")
+    return granted.withColumn("ts", F.timestamp_micros("micros")).drop("micros")
 
 
 def retries(attempts: DataFrame, delay: str = "1 hour") -> DataFrame:
-    return attempts.withWatermark("attempt_at", delay).groupBy("key").transformWithStateInPandas(
-        state.RetryCounter(), state.RetryCounter.output, "Append", "EventTime"
-    )
+    rows = attempts.withColumn("micros", F.unix_micros("attempt_at")).withWatermark("attempt_at", delay)
+    routed = _keyed(rows, ["key"], state.RetryCounter(), "EventTime")
+    return routed.withColumn("routed_at", F.timestamp_micros("micros")).drop("micros")
 
 
 def session_memory(additions: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Memory after each batch of ``(session_id, ts, pos, document_id, created_at, retention_days)``."""
-    return additions.withWatermark("ts", delay).groupBy("session_id").transformWithStateInPandas(
-        state.SessionMemory(), state.SessionMemory.output, "Append", "EventTime"
-    )
+    rows = additions.withColumn("micros", F.unix_micros("ts")).withColumn("created_micros", F.unix_micros("created_at"))
+    return _keyed(rows.withWatermark("ts", delay), ["session_id"], state.SessionMemory(), "EventTime")
 
 
 def order_guard(events: DataFrame) -> DataFrame:
-    return events.groupBy("job_id").transformWithStateInPandas(
-        state.OrderGuard(), state.OrderGuard.output, "Append", "None"
-    )
+    """Flags per event ``(job_id, event_id, arrival)``."""
+    return _keyed(events, ["job_id"], state.OrderGuard(), "None")
 
 
 def audit(stream: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -1,14 +1,15 @@
-"""Keyed state machines for transformWithStateInPandas.
+"""Keyed state machines for transformWithState.
 
-Rows of a key arrive unordered inside a micro-batch, so each batch is put in event order first. State
-that no later row can need is dropped by an event-time timer.
+Rows of a key arrive unordered inside a micro-batch, so each batch is put in event order first; its size
+is what admission control lets in. Times come and go as microseconds. State that no later row can need
+is dropped by an event-time timer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from citewell.operators.usage import take_token
@@ -17,18 +18,6 @@ MAX_CITATIONS = 50
 MAX_DOCUMENTS = 20
 
 
-def _in_order(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(list(by), kind="stable", ignore_index=True)
-
-
-def _names(ddl: str) -> list[str]:
-    return [field.split(" ")[0] for field in ddl.split(", ")]
-
-
-def _millis(ts: pd.Timestamp) -> int:
-    return int(ts.value // 1_000_000)
-
-
 class _Expiring(StatefulProcessor):
     """State whose last field is the time in milliseconds at which it may be dropped.
 
@@ -47,19 +36,17 @@ class _Expiring(StatefulProcessor):
         if was is None:
             self.handle.registerTimer(now[-1])
 
-    def expired(self, key) -> pd.DataFrame | None:
+    def expired(self, key) -> Iterator[Row]:
         """Rows to emit when the state is dropped."""
-        return None
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self.state.get()
         if held is not None and held[-1] > expiredTimerInfo.getExpiryTimeInMs():
             self.handle.registerTimer(held[-1])
             return
         self.state.clear()
-        rows = self.expired(key)
-        if rows is not None:
-            yield rows
+        yield from self.expired(key)
 
     def close(self) -> None:
         pass
@@ -70,74 +57,77 @@ class TokenBucket(_Expiring):
 
     schema = "tokens double, last double, due bigint"
     output = (
-        "tenant_id string, endpoint string, request_id string, ts timestamp, allowed boolean, remaining bigint, "
+        "tenant_id string, endpoint string, request_id string, micros bigint, allowed boolean, remaining bigint, "
         "reset_at bigint, retry_after bigint"
     )
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, "ts", "request_id")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         was = self.state.get()
         tokens, last = was[:2] if was is not None else (None, None)
-        out = []
-        for request_id, ts, limit in zip(batch["request_id"], batch["ts"], batch["limit_per_minute"]):
-            now = ts.value // 1000 / 1e6
+        out, micros = [], 0
+        for row in sorted(rows, key=lambda r: (r.micros, r.request_id)):
+            micros, now = row.micros, row.micros / 1e6
             if tokens is None:
-                tokens, last = float(limit), now
-            tokens, last, *answer = take_token(tokens, last, int(limit), now)
-            out.append((*key, request_id, ts, *answer))
-        self.keep(was, (tokens, last, _millis(batch["ts"].iloc[-1]) + 120_000))
-        yield pd.DataFrame(out, columns=_names(self.output))
+                tokens, last = float(row.limit_per_minute), now
+            tokens, last, allowed, remaining, reset, retry = take_token(tokens, last, row.limit_per_minute, now)
+            out.append(
+                Row(tenant_id=key[0], endpoint=key[1], request_id=row.request_id, micros=micros, allowed=allowed,
+                    remaining=remaining, reset_at=reset, retry_after=retry)
+            )
+        self.keep(was, (tokens, last, micros // 1000 + 120_000))
+        yield from out
 
 
 class RetryCounter(_Expiring):
     """State: attempts since the last success or routing and the times of the last three; kept for a day."""
 
     schema = "attempts bigint, times array<bigint>, due bigint"
-    output = "source_url string, failure_reason string, attempts bigint, routed_at timestamp"
+    output = "source_url string, failure_reason string, attempts bigint, micros bigint"
 
     def __init__(self, max_attempts: int = 3, min_gap_seconds: int = 60):
         self.max_attempts, self.gap = max_attempts, min_gap_seconds * 1_000_000
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, "attempt_at", "attempt_id")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         was = self.state.get()
         count, times = (was[0], list(was[1])) if was is not None else (0, [])
-        out = []
-        for at, ok, error in zip(batch["attempt_at"], batch["ok"], batch["error"]):
-            if ok:
+        out, micros = [], 0
+        for row in sorted(rows, key=lambda r: (r.micros, r.attempt_id)):
+            micros = row.micros
+            if row.ok:
                 count, times = 0, []
                 continue
-            count, times = count + 1, [*times, at.value // 1000][-self.max_attempts :]
+            count, times = count + 1, [*times, micros][-self.max_attempts :]
             spaced = all(b - a >= self.gap for a, b in zip(times, times[1:]))
             if count >= self.max_attempts and spaced:
-                out.append((key[0], error, count, at))
+                out.append(Row(source_url=key[0], failure_reason=row.error, attempts=count, micros=micros))
                 count, times = 0, []
-        self.keep(was, (count, times, _millis(batch["attempt_at"].iloc[-1]) + 86_400_000))
-        if out:
-            yield pd.DataFrame(out, columns=_names(self.output))
+        self.keep(was, (count, times, micros // 1000 + 86_400_000))
+        yield from out
 
 
 class Versions(StatefulProcessor):
     """State: version and hash of a URL's latest content."""
 
     output = (
-        "source_url string, fetched_at timestamp, content_hash string, version bigint, is_new boolean, "
+        "source_url string, micros bigint, content_hash string, version bigint, is_new boolean, "
         "version_incremented boolean, last_seen_only boolean"
     )
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.latest = handle.getValueState("latest", "version bigint, content_hash string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, "fetched_at", "content_hash")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         version, known = self.latest.get() or (0, None)
         out = []
-        for at, content in zip(batch["fetched_at"], batch["content_hash"]):
-            same = content == known
-            out.append((key[0], at, content, version + (not same), version == 0, version > 0 and not same, same))
-            version, known = version + (not same), content
+        for row in sorted(rows, key=lambda r: (r.micros, r.content_hash)):
+            same = row.content_hash == known
+            out.append(
+                Row(source_url=key[0], micros=row.micros, content_hash=row.content_hash, version=version + (not same),
+                    is_new=version == 0, version_incremented=version > 0 and not same, last_seen_only=same)
+            )
+            version, known = version + (not same), row.content_hash
         self.latest.update((version, known))
-        yield pd.DataFrame(out, columns=_names(self.output))
+        yield from out
 
     def close(self) -> None:
         pass
@@ -149,20 +139,21 @@ class SessionMemory(_Expiring):
     schema = "citations array<string>, doc_ids array<string>, expires bigint"
     output = "session_id bigint, pos bigint, kind string, citations array<string>, doc_ids array<string>"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, "ts", "pos")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         was = self.state.get()
         citations, docs = (list(was[0]), list(was[1])) if was is not None else ([], [])
-        lifetime = int(batch["retention_days"].iloc[0]) * 86_400_000
-        expires = was[2] if was is not None else _millis(batch["created_at"].iloc[0]) + lifetime
-        for document in batch["document_id"]:
-            citations = [*citations, document][-MAX_CITATIONS:]
-            docs = [*[d for d in docs if d != document], document][-MAX_DOCUMENTS:]
+        expires, pos = was[2] if was is not None else None, -1
+        for row in sorted(rows, key=lambda r: (r.micros, r.pos)):
+            if expires is None:
+                expires = row.created_micros // 1000 + row.retention_days * 86_400_000
+            pos = row.pos
+            citations = [*citations, row.document_id][-MAX_CITATIONS:]
+            docs = [*[d for d in docs if d != row.document_id], row.document_id][-MAX_DOCUMENTS:]
         self.keep(was, (citations, docs, expires))
-        yield pd.DataFrame([(key[0], int(batch["pos"].iloc[-1]), "updated", citations, docs)], columns=_names(self.output))
+        yield Row(session_id=key[0], pos=pos, kind="updated", citations=citations, doc_ids=docs)
 
-    def expired(self, key) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], -1, "expired", [], [])], columns=_names(self.output))
+    def expired(self, key) -> Iterator[Row]:
+        yield Row(session_id=key[0], pos=-1, kind="expired", citations=[], doc_ids=[])
 
 
 class OrderGuard(StatefulProcessor):
@@ -173,17 +164,16 @@ class OrderGuard(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.highest = handle.getValueState("highest", "event_id bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, "arrival")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.highest.get()
         top = held[0] if held is not None else None
         out = []
-        for event_id, arrival in zip(batch["event_id"], batch["arrival"]):
-            fine = top is None or event_id > top
-            top = event_id if fine else top
-            out.append((key[0], event_id, arrival, fine))
-        self.highest.update((int(top),))
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "arrival", "in_order"])
+        for row in sorted(rows, key=lambda r: r.arrival):
+            fine = top is None or row.event_id > top
+            top = row.event_id if fine else top
+            out.append(Row(job_id=key[0], event_id=row.event_id, arrival=row.arrival, in_order=fine))
+        self.highest.update((top,))
+        yield from out
 
     def close(self) -> None:
         pass
