@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewell.operators.ordered import top_n
-
 MIN_RETENTION = 365
 MAX_RETENTION = 2555
 COLUMNS = ["tenant_id", "actor", "action", "resource", "request_id", "ts", "detail"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from citewell.functions import highlights as hl
 from citewell.functions import text
-from citewell.operators import answers, ingest
+from citewell.operators import answers
 from citewell.plans import inputs as i
 from citewell.plans.catalog import query
 from citewell.sources.tables import cut

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citewell.operators import research
-from citewell.operators.ordered import id_segment, time_segment
+from citewell.operators.ordered import id_segment
 from citewell.plans import inputs as i
 from citewell.plans.catalog import query
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citewell.functions import text, vectors
 from citewell.operators import audit, ingest, lexical, usage
 from citewell.plans import inputs as i
 from citewell.plans.catalog import query

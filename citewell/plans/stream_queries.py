@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citewell.functions import text
 from citewell.operators import sessions as batch_sessions
+from citewell.plans import ingest_queries  # noqa: F401  (registers SQL reused below)
 from citewell.plans import inputs as i
 from citewell.plans.audit_queries import LEDGER, ledger
 from citewell.plans.catalog import query
-from citewell.plans.ingest_queries import retry_decisions  # noqa: F401  (registers the SQL reused below)
 from citewell.plans.catalog import SQL
 from citewell.plans.research_queries import SHUFFLED, shuffled
 from citewell.plans.usage_queries import LAST_DOCS
@@ -18,28 +17,38 @@ from citewell.sources import messages, tables
 from citewell.streaming import jobs
 
 
-def as_stream(spark, df, label, order=None, parts=2):
-    """A table as a file stream of ``parts`` files, earlier rows in earlier files, a file per micro-batch."""
+def as_stream(spark, df, label, parts=2):
+    """A table as a file stream, and what feeds it: each call writes the rows of the next stretch of ``_at``."""
     path = tables.shared_dir(spark, label)
-    if order is None:
-        df.coalesce(1).write.parquet(path)
-    else:
-        edges = df.approxQuantile("_at", [j / parts for j in range(1, parts)], 0.0) if "_at" in df.columns else []
-        bounds = [None, *edges, None]
-        for low, high in zip(bounds, bounds[1:]):
-            part = df
-            part = part.where(F.col("_at") > low) if low is not None else part
-            part = part.where(F.col("_at") <= high) if high is not None else part
-            part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def drained(spark, stream, label):
+    edges = df.approxQuantile("_at", [j / parts for j in range(1, parts)], 0.01)
+    bounds = [None, *edges, None]
+
+    def stretch(low, high):
+        part = df
+        part = part.where(F.col("_at") > low) if low is not None else part
+        part = part.where(F.col("_at") <= high) if high is not None else part
+        part.write.mode("append").parquet(path)
+
+    feed = [lambda low=low, high=high: stretch(low, high) for low, high in zip(bounds, bounds[1:])]
+    feed.pop(0)()
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2**31 - 1).parquet(path)
+    return stream, feed
+
+
+def fed(start, feed):
+    """Run a job over what there is, then once more after each further stretch, from its checkpoint."""
+    start().awaitTermination()
+    for write in feed:
+        write()
+        start().awaitTermination()
+
+
+def drained(spark, stream, label, feed=()):
     """Everything a stream gives once its input is used up."""
     jobs.use_rocksdb(spark)
     root = tables.shared_dir(spark, label)
     writer = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    fed(lambda: writer.trigger(availableNow=True).start(), feed)
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
@@ -88,9 +97,9 @@ def micro_batches(spark, sf):
     ),
 )
 def stateful_versions(spark, sf):
-    seen = timed(i.observations(spark, sf).select("source_url", "fetched_at", "content_hash"), "fetched_at")
-    stream = as_stream(spark, seen, "crawls", "_at", 3)
-    flags = drained(spark, jobs.versions(stream.drop("_at")), "versions")
+    seen = tables.cut(timed(i.observations(spark, sf).select("source_url", "fetched_at", "content_hash"), "fetched_at"))
+    stream, feed = as_stream(spark, seen, "crawls", 3)
+    flags = drained(spark, jobs.versions(stream.drop("_at")), "versions", feed)
     return flags.select("source_url", i.ts_text(F.col("fetched_at")).alias("fetched_at"), "version", "is_new", "version_incremented", "last_seen_only")
 
 
@@ -99,21 +108,21 @@ def stateful_versions(spark, sf):
     i.cte(i.RETRIED, select="SELECT DISTINCT 'meter:' || request_id AS dedup_key, tenant_id, endpoint FROM retried WHERE response_status BETWEEN 200 AND 299"),
 )
 def metering_dedup(spark, sf):
-    stream = as_stream(spark, timed(i.retried_requests(spark, sf), "ts"), "metering", "_at")
-    return drained(spark, jobs.deduplicated_metering(stream), "dedup").select("dedup_key", "tenant_id", "endpoint")
+    stream, feed = as_stream(spark, timed(i.retried_requests(spark, sf), "ts"), "metering")
+    return drained(spark, jobs.deduplicated_metering(stream), "dedup", feed).select("dedup_key", "tenant_id", "endpoint")
 
 
 @query("ST4_token_bucket", SQL.get("M3_token_bucket"))
 def streamed_token_bucket(spark, sf):
-    stream = as_stream(spark, timed(i.busy_requests(spark, sf), "ts"), "requests", "_at")
-    limited = drained(spark, jobs.rate_limits(stream.drop("_at")), "limits")
+    stream, feed = as_stream(spark, timed(i.busy_requests(spark, sf), "ts"), "requests")
+    limited = drained(spark, jobs.rate_limits(stream.drop("_at")), "limits", feed)
     return limited.select("request_id", "allowed", "remaining", "reset_at", "retry_after")
 
 
 @query("ST5_retry_state", SQL.get("I12_retry_decisions"))
 def retry_state(spark, sf):
-    stream = as_stream(spark, timed(i.attempts(spark, sf), "attempt_at"), "attempts", "_at")
-    routed = drained(spark, jobs.retries(stream.drop("_at")), "retries")
+    stream, feed = as_stream(spark, timed(i.attempts(spark, sf), "attempt_at"), "attempts")
+    routed = drained(spark, jobs.retries(stream.drop("_at")), "retries", feed)
     return routed.select("source_url", "failure_reason", "attempts", F.unix_micros("routed_at").alias("routed_us"))
 
 
@@ -131,8 +140,8 @@ def streamed_session_memory(spark, sf):
     e = i.events(spark, sf).select("event_id", "ts")
     added = i.memory_additions(spark, sf).select("session_id", "pos", "document_id").join(e, F.col("pos") == F.col("event_id"))
     added = added.select("session_id", "pos", "document_id", "ts", i.start().alias("created_at"), F.lit(60).alias("retention_days"))
-    stream = as_stream(spark, timed(added, "ts"), "additions", "_at")
-    states = drained(spark, jobs.session_memory(stream.drop("_at")), "memory")
+    stream, feed = as_stream(spark, timed(added, "ts"), "additions")
+    states = drained(spark, jobs.session_memory(stream.drop("_at")), "memory", feed)
     last = batch_sessions.top_n(states, ["session_id"], [F.desc("pos")], 1, "r")
     return last.select("session_id", F.array_join("citations", " ").alias("citations"), F.array_join("doc_ids", " ").alias("doc_ids"))
 
@@ -144,8 +153,8 @@ def streamed_session_memory(spark, sf):
 def audit_stream(spark, sf):
     root = tables.shared_dir(spark, "audit")
     rows = ledger(spark, sf)
-    stream = as_stream(spark, timed(rows, "ts"), "ledger", "_at")
-    jobs.audit(stream.drop("_at"), root, f"{root}/checkpoint", availableNow=True).awaitTermination()
+    stream, feed = as_stream(spark, timed(rows, "ts"), "ledger")
+    fed(lambda: jobs.audit(stream.drop("_at"), root, f"{root}/checkpoint", availableNow=True), feed)
     read = lambda sink: spark.read.schema(rows.schema).parquet(f"{root}/{sink}/snapshot=*").select("event_id", F.lit(sink).alias("sink"))
     return read("ledger").unionByName(read("rejected"))
 
@@ -166,9 +175,9 @@ def _alert(name: str, minutes: int, slide: int):
     @query(name, alert_sql(minutes, slide))
     def run(spark, sf):
         """Error ratio over sliding windows that the watermark has passed."""
-        stream = as_stream(spark, timed(i.requests(spark, sf), "ts"), "log", "_at")
+        stream, feed = as_stream(spark, timed(i.requests(spark, sf), "ts"), "log")
         ratios = jobs.sliding_ratio(stream, [], F.col("response_status") >= 500, f"{minutes} minutes", f"{slide} minutes")
-        out = drained(spark, ratios, "alerts")
+        out = drained(spark, ratios, "alerts", feed)
         return out.select(i.ts_text(F.col("evaluated_at")).alias("evaluated_at"), "requests", "part", (F.col("ratio") > 0.001 * 14.4).alias("burning"))
 
 
@@ -186,5 +195,5 @@ _alert("ST8_error_ratio_6h", 360, 30)
 )
 def order_guard(spark, sf):
     arriving = shuffled(spark, sf).withColumn("_at", F.col("arrival").cast("double"))
-    stream = as_stream(spark, arriving, "arrivals", "_at")
-    return drained(spark, jobs.order_guard(stream.drop("_at")), "guard")
+    stream, feed = as_stream(spark, arriving, "arrivals")
+    return drained(spark, jobs.order_guard(stream.drop("_at")), "guard", feed)

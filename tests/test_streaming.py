@@ -13,8 +13,8 @@ def test_session_memory_expires_by_event_time(spark):
     rows = [(1, n, f"d{n}", T0 + dt.timedelta(hours=h), T0, 1) for n, h in enumerate([0, 1, 2])]
     rows += [(2, n, f"d{n}", T0 + dt.timedelta(hours=h), T0 + dt.timedelta(hours=20), 30) for n, h in enumerate([20, 60, 61])]
     df = spark.createDataFrame(rows, "session_id bigint, pos bigint, document_id string, ts timestamp, created_at timestamp, retention_days int")
-    stream = as_stream(spark, timed(df, "ts"), "memory-test", "_at", 3).drop("_at")
-    got = drained(spark, jobs.session_memory(stream), "memory-out")
+    stream, feed = as_stream(spark, timed(df, "ts"), "memory-test", 3)
+    got = drained(spark, jobs.session_memory(stream.drop("_at")), "memory-out", feed)
     assert {r.session_id for r in got.where("kind = 'expired'").collect()} == {1}
     last = got.where("session_id = 2").orderBy(F.desc("pos")).first()
     assert last.doc_ids == ["d0", "d1", "d2"]
