@@ -31,9 +31,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder all executors can reach: under spark.checkpoint.dir, or a temporary one if that is
-    unset, as on a single machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citewell-")
+    """A new folder all executors can reach, under spark.checkpoint.dir. Only a session of one machine may leave
+    that unset; it then uses a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="citewell-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
