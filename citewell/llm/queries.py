@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citewell.llm import byte_bpe, secrets, token_files
+from citewell.llm import byte_bpe, collision_search, exact_topk, secrets, token_files
 from citewell.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -13,10 +14,18 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op3_collision_search(spark: SparkSession, folder: str) -> DataFrame:
+    return collision_search.search(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(read(spark, folder, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op5_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_topk.search(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = token_files.write_token_files(read(spark, folder, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID)
     return token_files.read_documents(files)
@@ -27,9 +36,23 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_collision_search": op3_collision_search,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_exact_topk": op5_exact_topk,
     "op8_token_files": op8_token_files,
     "op10_secret_scan": op10_secret_scan,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op5_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i])) AS BIGINT) AS score
+            FROM v AS q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+    """,
+}
