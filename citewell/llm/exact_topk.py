@@ -72,7 +72,7 @@ def search(vectors: DataFrame, query_condition, k: int, scale: int = 256) -> Dat
                 "vec_id", "embedding",
                 F.when(F.col("at").isNull() | (F.col("width") == 0), F.col("low")).otherwise(F.col("low") + F.col("at.bin") * F.col("width")).alias("low"),
                 F.when(F.col("at").isNull() | (F.col("width") <= 1), F.lit(0)).otherwise(F.ceil(F.col("width") / BINS)).cast("bigint").alias("width"),
-                F.when(F.col("at").isNull() | (F.col("width") == 0), F.col("high")).otherwise(F.col("low") + (F.col("at.bin") + 1) * F.col("width")).alias("high"),
+                F.when(F.col("at").isNull() | (F.col("width") == 0), F.col("high")).otherwise(F.least(F.col("high"), F.col("low") + (F.col("at.bin") + 1) * F.col("width"))).alias("high"),
                 F.when(F.col("at").isNull() | (F.col("width") == 0), F.col("above")).otherwise(F.col("at.over")).alias("above"),
             ),
             "queries",

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewell.llm import byte_bpe, collision_search, exact_topk, secrets, token_files
+from citewell.llm import byte_bpe, collision_search, exact_topk, near_duplicates, quality, secrets, token_files
 from citewell.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -14,6 +14,12 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op1_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    scored = quality.scored(docs, quality.learn(docs, read(spark, folder, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_collision_search(spark: SparkSession, folder: str) -> DataFrame:
     return collision_search.search(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -31,15 +37,21 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_documents(files)
 
 
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, folder, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_spans(read(spark, folder, "documents"))
 
 
 QUERIES = {
+    "op1_quality_crf": op1_quality_crf,
     "op3_collision_search": op3_collision_search,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_topk": op5_exact_topk,
     "op8_token_files": op8_token_files,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_secret_scan": op10_secret_scan,
 }
 
