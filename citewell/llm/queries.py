@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewell.llm import byte_bpe, collision_search, exact_topk, near_duplicates, quality, secrets, token_files
+from citewell.llm import byte_bpe, collision_search, exact_topk, mixture, near_duplicates, quality, secrets, token_files, wrappers
 from citewell.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +20,10 @@ def op1_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_wrapper_induction(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.main_texts(read(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op3_collision_search(spark: SparkSession, folder: str) -> DataFrame:
     return collision_search.search(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -32,6 +36,10 @@ def op5_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return exact_topk.search(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op6_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mixture(read(spark, folder, "documents"))
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = token_files.write_token_files(read(spark, folder, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID)
     return token_files.read_documents(files)
@@ -47,15 +55,18 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_crf": op1_quality_crf,
+    "op2_wrapper_induction": op2_wrapper_induction,
     "op3_collision_search": op3_collision_search,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_topk": op5_exact_topk,
+    "op6_source_mixture": op6_source_mixture,
     "op8_token_files": op8_token_files,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_secret_scan": op10_secret_scan,
 }
 
 SQL = {
+    "op6_source_mixture": mixture.sql(),
     "op5_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings

@@ -5,22 +5,46 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citewell.llm import byte_bpe, secrets
+from citewell.llm import byte_bpe, mixture, near_duplicates, quality, secrets
 from citewell.llm.common import cut, read
 from citewell.llm.queries import RANKS
 
+#: Share of the tokens that the mixture keeps on average.
+BUDGET = 0.8
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels of documents that are still there."""
+    return quality.accepted(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest id stays."""
+    return near_duplicates.distinct_documents(docs)
+
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced; every document stays."""
     return secrets.redact(docs)
 
 
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens follow the targets of source, language and topic."""
+    return mixture.sampled(docs, BUDGET)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and ids of every document."""
+    """doc_id and token ids of every document."""
     return byte_bpe.encode_texts(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-STAGES = [("secret_scan", secret_scan), ("encode", encode)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
+    ("source_mixture", source_mixture),
+    ("encode", encode),
+]
 ORACLE_SQL = None
 
 
