@@ -68,9 +68,11 @@ def _words(path: str) -> Words:
 class SequenceWriter:
     """An Arrow file of (ids, mask) rows of ``SEQUENCE`` ids; ids run on from row to row, the last row is filled up."""
 
-    def __init__(self, sink, length: int):
+    def __init__(self, sink, length: int, n_ids: int):
+        """``n_ids``: of the vocabulary; where all fit 16 bits, they take no more."""
         self.length, self.step = length, 4 * length * BATCH_SEQUENCES
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.kind = np.dtype("<u2" if n_ids <= 2**16 else "<u4")
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.uint8(), length))])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.waiting = bytearray()
         self.n = 0
@@ -84,7 +86,7 @@ class SequenceWriter:
 
     def _write(self, ids: bytes) -> None:
         real = len(ids) // 4
-        padded = np.zeros(-(-real // self.length) * self.length, "<u4")
+        padded = np.zeros(-(-real // self.length) * self.length, self.kind)
         padded[:real] = np.frombuffer(ids, "<u4")
         mask = (np.arange(padded.size) < real).astype(np.uint8)
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, mask)]
@@ -151,7 +153,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
                 if writer is None:
                     system.create_dir(root, recursive=True)
                     sink, doc_sink = system.open_output_stream(f"{root}/{part:08d}-{name}.arrow"), system.open_output_stream(f"{root}/{part:08d}-{name}.docs")
-                    writer = SequenceWriter(sink, length)
+                    writer = SequenceWriter(sink, length, max(end_id + 1, words.tokenizer.get_vocab_size()))
                     documents = pa.ipc.new_file(doc_sink, pa.schema([("doc_id", piece.schema.field("doc_id").type), ("at", pa.int64()), ("n_tokens", pa.int64())]))
                 at, n_tokens = [], []
                 for ids in words.encode(piece.column("text").to_pylist()):
@@ -182,7 +184,7 @@ def read_documents(files: DataFrame, doc_type: str = "bigint") -> DataFrame:
                     for at, n in zip(docs.column("at").to_pylist(), docs.column("n_tokens").to_pylist(), strict=True):
                         crc = 0
                         for part in ids.spans(at, n):
-                            crc = zlib.crc32(part, crc)
+                            crc = zlib.crc32(part.astype("<u4"), crc)
                         crcs.append(crc)
                     start = np.asarray(docs.column("at")) + row["start"]
                     yield pa.RecordBatch.from_arrays([docs.column("doc_id"), pa.array(start, pa.int64()), docs.column("n_tokens"), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
