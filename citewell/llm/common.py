@@ -14,7 +14,7 @@ from citewell.sources.tables import cut
 
 __all__ = ["cut", "mapped", "pieces", "read", "texts_of", "utf8"]
 
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_500_000
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:

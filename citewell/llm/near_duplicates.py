@@ -19,9 +19,9 @@ BAND_ROWS = 4
 #: Two sets are linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Pairs whose sketches agree in fewer coordinates are not confirmed: at the similarity asked for, 96 agree on average, and
-#: fewer than 68 about once in a hundred million pairs.
-LEAST_AGREEING = 68
-GROWTH = 4
+#: fewer than 72 about once in a million pairs.
+LEAST_AGREEING = 72
+GROWTH = 16
 
 
 def sketches(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -37,7 +37,7 @@ def sketches(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     bins = np.full(n * t, empty, np.uint64)
     owner = np.repeat(np.arange(n), np.diff(offsets))
     for i in range(2 * t):
-        h = mixed(elements + np.uint64(i + 1) * np.uint64(0xD1342543DE82EF95))
+        h = mixed(elements + np.uint64((i + 1) * 0xD1342543DE82EF95 % 2**64))
         bin_of = (h >> np.uint64(57)).astype(np.int64) if i < t else i - t
         np.minimum.at(bins, owner * t + bin_of, np.uint64(i) << np.uint64(48) | h & np.uint64(2**48 - 1))
         full = (bins.reshape(n, t) != empty).all(axis=1)
@@ -80,7 +80,8 @@ def _alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow the similarity."""
     one = signed.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
     two = signed.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
-    sized = pairs.join(one, "a").join(two, "b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+    # Merged by key at every size: how much is moved then grows with the input and not in steps.
+    sized = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,17 +92,21 @@ def _alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return sized.select("a", "b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Only texts of documents in a pair are moved."""
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def full_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """doc_id and shingle set (sorted 64-bit hashes) of the documents in ``needed``; the only time that texts are moved."""
 
     def as_set(piece: pa.RecordBatch) -> pa.RecordBatch:
         elements, offsets = shingle_sets(*utf8(piece.column("text")))
         sets = [elements[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "elements"])
 
-    sets = cut(mapped(texts_of(docs).join(needed, "doc_id", "left_semi"), as_set, "doc_id bigint, elements binary"), "shingle-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("e_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("e_b")), "b")
+    return cut(mapped(texts_of(docs).join(needed.hint("merge"), "doc_id", "left_semi"), as_set, "doc_id bigint, elements binary"), "shingle-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    one, two = (sets.select(F.col("doc_id").alias(x), F.col("elements").alias(f"e_{x}")) for x in "ab")
+    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,12 +138,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Of each class its smallest document stands for all; NULL ids and empty sets are in none.
     members_of = real.select("doc_id", "set_hash").join(copied, "set_hash").where("doc_id <> rep").select("doc_id", "rep").distinct()
     alone = cut(members_of, "copies")
-    nodes = real.join(alone.select("doc_id").distinct(), "doc_id", "left_anti")
+    nodes = real.join(alone.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
     bucket = nodes.select("doc_id", F.explode("bands").alias("key"))
     keys = bucket.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other"), F.count("*").alias("n")).where("other <> pivot")
     members = cut(bucket.join(keys.drop("other"), "key"), "buckets")
     tested = cut(members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    links = cut(_confirmed(cut(_alike(tested, signed), "pairs"), docs), "confirmed")
+    alike = cut(_alike(tested, signed), "pairs")
+    needed = alike.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.where("n > 2").select("doc_id")).distinct()
+    sets = full_sets(docs, needed)
+    links = cut(_confirmed(alike, sets), "confirmed")
     share = GROWTH
     while True:
         of_class = components(links)
@@ -154,7 +162,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         others = placed.where("doc_id <> pivot").select("key", F.col("doc_id").alias("y"), "component")
         pairs = ones.join(others, "key").where("c <> component").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         fresh = cut(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = cut(links.unionByName(_confirmed(cut(_alike(fresh, signed), "pairs"), docs)), "confirmed")
+        links = cut(links.unionByName(_confirmed(cut(_alike(fresh, signed), "pairs"), sets)), "confirmed")
         if most <= share:
             of_class = components(links)
             break
