@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewell.llm import byte_bpe, collision_search, exact_topk, mixture, near_duplicates, quality, secrets, token_files, wrappers
+from citewell.llm import byte_bpe, collision_search, exact_topk, mixture, near_duplicates, quality, repeats, secrets, token_files, wrappers
 from citewell.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -40,6 +40,10 @@ def op6_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mixture(read(spark, folder, "documents"))
 
 
+def op7_suffix_merge_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digests(read(spark, folder, "documents"))
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = token_files.write_token_files(read(spark, folder, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID)
     return token_files.read_documents(files)
@@ -60,6 +64,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_topk": op5_exact_topk,
     "op6_source_mixture": op6_source_mixture,
+    "op7_suffix_merge_dedup": op7_suffix_merge_dedup,
     "op8_token_files": op8_token_files,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_secret_scan": op10_secret_scan,
