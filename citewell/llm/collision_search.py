@@ -16,8 +16,9 @@ SHARD_ROWS = 8192
 PROJECTIONS = 48
 #: Collisions that make a vector a candidate, as a share of the projections.
 THRESHOLD = 0.65
-#: Candidates that end the widening of windows, as a share of the shard, beside k.
+#: Candidates that end the widening of windows: a share of the shard, and so many for each neighbour asked for.
 SHARE = 0.27
+CANDIDATES = 8
 #: First half-width of a window, as a share of the distance that a projection spreads over, and its growth per rehashing.
 FIRST, GROWTH = 1.0, 1.1
 SEED = 20_251
@@ -49,7 +50,7 @@ def shard_search(ids: np.ndarray, matrix: np.ndarray, places: np.ndarray, values
     exactly.
     """
     n = len(ids)
-    wanted = min(n, int(SHARE * n) + 2 * k + 1)
+    wanted = min(n, int(SHARE * n) + CANDIDATES * k + 1)
     # A query may have any length; at that of the vectors its order of them is the same and the windows fit.
     length = float(np.sqrt((query**2).sum()))
     centre = np.append(query * (np.sqrt(longest) / length), 0.0) @ directions(matrix.shape[1])

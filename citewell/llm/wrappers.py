@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,20 +198,25 @@ def numbered(root: Block) -> list[Block]:
 
 @lru_cache(maxsize=64)
 def _reference(page: str) -> tuple[Block, dict[int, str]]:
+    """A parsed page and the texts at those of its places that could be main text."""
     root = parse(page)
-    return root, {x.number: text for x in numbered(root) if (text := x.own_text())}
+    nodes, shown = numbered(root), set()
+    regions = _regions(root)
+    for region in regions or [root]:
+        _blocks(region, bool(regions), set(), [], shown)
+    return root, {x.number: text for x in nodes if id(x) in shown and (text := x.own_text())}
 
 
-def compared(reference: str, page: str) -> tuple[list[tuple[int, int, bool]], Block]:
-    """(place in the reference, hash of its text, whether the page has the same text there) for every aligned place with a
-    text; nothing if the page is a copy of the reference."""
+def compared(reference: str, page: str) -> list[tuple[int, bool]]:
+    """(place in the reference, whether the page has the same text there) for every aligned place of main text; nothing if
+    the page is a copy of the reference."""
     root, texts = _reference(reference)
     other = parse(page)
     found = []
     for x, y in aligned(root, other):
         if x.number in texts:
-            found.append((x.number, xxhash.xxh3_64_intdigest(texts[x.number]) - 2**63, y.own_text() == texts[x.number]))
-    return ([] if sum(s for *_, s in found) > COPY * len(texts) else found), other
+            found.append((x.number, y.own_text() == texts[x.number]))
+    return [] if sum(s for *_, s in found) > COPY * len(texts) else found
 
 
 def extract(page: str, reference: str | None = None, template: frozenset[int] = frozenset()) -> str:
@@ -253,8 +257,9 @@ def _regions(root: Block) -> list[Block]:
     return articles or mains[:1]
 
 
-def _blocks(region: Block, inside: bool, gone: set[int], blocks: list[str]) -> None:
-    """Append the texts of the blocks of a region in page order. Of a header inside an article only headings count."""
+def _blocks(region: Block, inside: bool, gone: set[int], blocks: list[str], used: set[int] | None = None) -> None:
+    """Append the texts of the blocks of a region in page order, and to ``used`` the elements whose text counts. Of a header
+    inside an article only headings do."""
     run: list[str] = []
 
     def flush() -> None:
@@ -278,6 +283,8 @@ def _blocks(region: Block, inside: bool, gone: set[int], blocks: list[str]) -> N
             in_header = True
         todo.append((item, in_header, True))
         shown = id(item) not in gone and (not in_header or item.tag in HEADINGS)
+        if shown and used is not None:
+            used.add(id(item))
         todo += [(x, in_header, False) for x in reversed(item.content) if shown or isinstance(x, Block)]
     flush()
 
@@ -303,10 +310,10 @@ def templates(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "html", PIECE_BYTES):
-                out: dict[tuple[str, int, int], list[int]] = {}
+                out: dict[tuple[str, int], list[int]] = {}
                 for host, page, base in zip(*(piece.column(c).to_pylist() for c in ("host", "html", "reference")), strict=True):
-                    for place, text, same in compared(base, page)[0]:
-                        n = out.setdefault((host, place, text), [0, 0])
+                    for place, same in compared(base, page):
+                        n = out.setdefault((host, place), [0, 0])
                         n[0] += 1
                         n[1] += same
                 yield pa.RecordBatch.from_pydict({
