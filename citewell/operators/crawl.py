@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citewell.functions import urls
 from citewell.functions.text import strip
-from citewell.operators.ordered import fitting_seconds, running, time_segment, top_n
+from citewell.operators.ordered import running, segment_of, top_n
 from citewell.sources.tables import cut
 
 MIN_DELAY = 1.0
@@ -165,15 +165,15 @@ def robots_as_of(url_rows: DataFrame, fetches: DataFrame, hours: int = 24, at: s
     known = cut(line.withColumn("_f", F.when(F.col("_kind") == 0, F.col("_fetch.fetched_at"))).drop("_fetch"), "timeline")
     # Ties: a fetch at the request's own time counts as made before it, so fetches sort first.
     carried = running(
-        known, ["host"], ["_at", "_kind"], time_segment(F.col("_at"), fitting_seconds(known, "_at")),
+        known, ["host"], ["_at", "_kind"], segment_of(known, "_at"),
         peak_before={"_last": "_f"}, stored=True,
     ).where(F.col("_kind") == 1)
     fresh = F.col("_last") > F.col(at) - F.make_dt_interval(hours=F.lit(hours))
     keyed = carried.drop("_f", "_kind", "_at").withColumn("_last", F.when(fresh, F.col("_last")))
-    versions = usable.select(
-        F.col("host").alias("_h"), F.col("_fetch.fetched_at").alias("_l"),
-        F.col("_fetch.available").alias("available"), F.col("_fetch.body").alias("body"),
-    )
+    # A host fetched twice at one instant has one answer, so a request stays one row.
+    versions = usable.groupBy(F.col("host").alias("_h"), F.col("_fetch.fetched_at").alias("_l")).agg(
+        F.max(F.struct("_fetch.available", "_fetch.body")).alias("_v")
+    ).select("_h", "_l", "_v.available", "_v.body")
     joined = keyed.join(versions, (F.col("host") == F.col("_h")) & (F.col("_last") == F.col("_l")), "left")
     return joined.withColumnRenamed("_last", "robots_fetched_at").drop("_h", "_l")
 
@@ -233,9 +233,9 @@ def politeness(fetch_log: DataFrame, segment_seconds: int | None = None) -> Data
     # At one instant ends (-1) come before starts (+1).
     edges = edge("started_at", 1).unionByName(edge("ended_at", -1))
     edges = edges.withColumn("_end", F.when(F.col("step") == -1, F.col("at")))
-    seconds = segment_seconds or fitting_seconds(fetch_log, "started_at")
+    segment = segment_of(fetch_log, "started_at", segment_seconds, of="at")
     line = running(
-        edges, ["host"], ["at", "step", "fetch_id"], time_segment(F.col("at"), seconds),
+        edges, ["host"], ["at", "step", "fetch_id"], segment,
         total={"in_flight": "step"}, peak_before={"_last_end": "_end"},
     )
     starts = line.where(F.col("step") == 1)

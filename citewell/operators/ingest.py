@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citewell.functions import provenance, text, vectors
-from citewell.operators.ordered import fitting_seconds, running, time_segment, top_n
+from citewell.operators.ordered import running, segment_of, top_n
 from citewell.sources.tables import cut
 
 
@@ -35,7 +35,7 @@ def number_versions(
     three. Texts stay out of it; only URL, time and hash are shuffled."""
     order = [ts, "content_hash"]
     slim = observations.select(url, *order)
-    segment = time_segment(F.col(ts), segment_seconds or fitting_seconds(slim, ts))
+    segment = segment_of(slim, ts, segment_seconds)
     seen = running(slim, [url], order, segment, previous={"_before": ("content_hash", 1)}, stored=True)
     seen = seen.withColumn("changed", F.when(F.col("_before").eqNullSafe(F.col("content_hash")), 0).otherwise(1))
     numbered = running(seen.drop("_before"), [url], order, segment, total={"version": "changed"})
@@ -54,11 +54,20 @@ def assign_versions(
     texts = observations.select(url, F.col(ts).alias("created_at"), "content_hash", "cleaned_text").dropDuplicates(
         [url, "created_at", "content_hash"]
     )
-    return versions.join(texts, [url, "created_at", "content_hash"]).withColumnRenamed(url, "source_url").select(
+    return _with_texts(versions, texts, [url, "created_at", "content_hash"]).withColumnRenamed(url, "source_url").select(
         "document_id", "source_url", "version", "content_hash", "created_at", "last_seen_at", "cleaned_text"
     )
 
 
+def _with_texts(rows: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on keys that may be NULL, so that rows without a time keep their text and stay."""
+    renamed = texts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "cleaned_text")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return rows.join(renamed, same).drop(*[f"_of_{k}" for k in keys])
+
+
 def latest_versions(versions: DataFrame) -> DataFrame:
     """The highest version of each document."""
     return top_n(versions, ["document_id"], [F.desc("version")], 1, "_rank").drop("_rank")
@@ -85,9 +94,8 @@ def merge_versions(existing: DataFrame, batch: DataFrame, segment_seconds: int |
     # The stored row opens each URL's history, whatever the clock says about the batch.
     both = base.withColumn("_stored", F.lit(0)).unionByName(arriving.withColumn("_stored", F.lit(1)))
     order = ["_stored", "fetched_at", "content_hash"]
-    segment = F.when(F.col("_stored") == 0, F.lit(-(2**40))).otherwise(
-        time_segment(F.col("fetched_at"), segment_seconds or fitting_seconds(batch, "fetched_at"))
-    )
+    arrived = F.coalesce(segment_of(batch, "fetched_at", segment_seconds), F.lit(1 - 2**40))
+    segment = F.when(F.col("_stored") == 0, F.lit(-(2**40))).otherwise(arrived)
     slim = cut(both.drop("cleaned_text"), "merge")
     seen = running(slim, ["source_url"], order, segment, previous={"_before": ("content_hash", 1)}, stored=True)
     seen = seen.withColumn(
@@ -116,8 +124,8 @@ def merge_versions(existing: DataFrame, batch: DataFrame, segment_seconds: int |
         F.max("_step").alias("_new"),
     )
     # Only new versions need their text; the others just move last_seen_at of a stored row.
-    fresh = changes.where(F.col("_new") == 1).join(
-        texts.withColumnRenamed("fetched_at", "created_at"), ["source_url", "created_at", "content_hash"]
+    fresh = _with_texts(
+        changes.where(F.col("_new") == 1), texts.withColumnRenamed("fetched_at", "created_at"), ["source_url", "created_at", "content_hash"]
     )
     seen_again = changes.where(F.col("_new") == 0).select(
         "document_id", "version", F.col("last_seen_at").alias("_seen")
@@ -223,8 +231,7 @@ def retry_decisions(
     attempts made and the last error. The attempts are a stored table.
     """
     order = ["attempt_at", "attempt_id"]
-    seconds = segment_seconds or fitting_seconds(attempts, "attempt_at")
-    segment = time_segment(F.col("attempt_at"), seconds)
+    segment = segment_of(attempts, "attempt_at", segment_seconds)
     lags = {f"_t{k}": ("attempt_at", k) for k in range(1, max_attempts)}
     lagged = running(attempts, ["key"], order, segment, previous=lags, stored=True)
     times = [F.col("attempt_at"), *[F.col(f"_t{k}") for k in range(1, max_attempts)]]
@@ -304,9 +311,8 @@ def due_sources(sources: DataFrame, crawls: DataFrame, now: Column, hours: int =
 def index_versions(versions: DataFrame, segment_seconds: int | None = None) -> DataFrame:
     """Index version of each tenant after each new document version: 1 + changes so far."""
     changes = cut(versions.groupBy("tenant_id", "created_at").agg(F.count("*").alias("_changes")), "changes")
-    seconds = segment_seconds or fitting_seconds(changes, "created_at")
     counted = running(
-        changes, ["tenant_id"], ["created_at"], time_segment(F.col("created_at"), seconds),
+        changes, ["tenant_id"], ["created_at"], segment_of(changes, "created_at", segment_seconds),
         total={"_so_far": "_changes"}, stored=True,
     )
     return counted.select("tenant_id", "created_at", (F.col("_so_far") + 1).alias("index_version"))

@@ -28,16 +28,32 @@ def id_segment(number: Column, width: int) -> Column:
     return F.floor(number / width)
 
 
-def fitting_seconds(df: DataFrame, ts: str, rows: int = SEGMENT_ROWS) -> int:
-    """Seconds per segment so that one segment of all keys together holds about ``rows`` rows.
+MOST_SEGMENTS = 10_000
+GROUPED = 100
 
-    A key can then have no more than that in a segment, however hot it is.
+
+def segment_of(df: DataFrame, ts: str, seconds: int | None = None, rows: int = SEGMENT_ROWS, of: str | None = None) -> Column:
+    """Segment number of a timestamp (``of``, if it is not ``ts`` itself): of a fixed width, or bounded by quantiles so that a segment of all keys together
+    holds about ``rows`` rows, wherever in time they lie; a key can then have no more than that, however hot it is.
+
+    Only rows of one instant stay together. The bounds, ``MOST_SEGMENTS`` at most (segments of more rows beyond that), are
+    looked up in two steps: among groups of them, then within the group.
     """
-    bounds = df.agg(F.count("*"), F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
-    if bounds[1] is None:
-        return 1
-    span = (bounds[2] - bounds[1]) / 1e6 + 1
-    return max(1, int(span / -(-bounds[0] // rows)))
+    at = F.col(of or ts)
+    if seconds:
+        return time_segment(at, seconds)
+    micros = F.unix_micros(at)
+    n = df.where(F.col(ts).isNotNull()).count()
+    parts = min(MOST_SEGMENTS, -(-n // rows))
+    if parts < 2:
+        return F.when(at.isNotNull(), F.lit(0)).cast("bigint")
+    found = df.agg(F.percentile_approx(F.unix_micros(ts), [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
+    bounds = sorted(set(found))
+    groups = [bounds[i : i + GROUPED] for i in range(0, len(bounds), GROUPED)]
+    coarse = F.lit([g[0] for g in groups[1:]]) if len(groups) > 1 else F.array().cast("array<bigint>")
+    group = F.size(F.filter(coarse, lambda b: b <= micros))
+    within = F.size(F.filter(F.element_at(F.array(*[F.lit(g) for g in groups]), group + 1), lambda b: b <= micros))
+    return F.when(at.isNotNull(), (group * GROUPED + within).cast("bigint"))
 
 
 def fitting_width(df: DataFrame, number: str, rows: int = SEGMENT_ROWS) -> int:

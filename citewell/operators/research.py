@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewell.operators.ordered import fitting_seconds, id_segment, position, running, time_segment, top_n
+from citewell.operators.ordered import id_segment, position, running, segment_of, top_n
 
 TERMINAL = ["done", "error"]
 WIDTH = 100_000
@@ -14,7 +14,7 @@ WIDTH = 100_000
 def number_events(events: DataFrame, order: list[str], segment: Column | None = None) -> DataFrame:
     """Assign strictly increasing event ids per job in the given order."""
     if segment is None:
-        segment = time_segment(F.col(order[0]), fitting_seconds(events, order[0]))
+        segment = segment_of(events, order[0])
     return position(events, ["job_id"], order, segment, "event_id")
 
 

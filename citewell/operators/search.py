@@ -136,6 +136,12 @@ def fuse_by_mode(near: DataFrame, word: DataFrame, k: int = RRF_K) -> DataFrame:
     return merged.withColumn("score", relative)
 
 
+def refused(queries: DataFrame) -> DataFrame:
+    """query_id and error of the queries that ``search`` does not answer."""
+    allowed = F.coalesce(F.col("num_results").between(1, MAX_RESULTS), F.lit(False))
+    return queries.where(~allowed).select("query_id", F.lit(f"num_results must be between 1 and {MAX_RESULTS}").alias("error"))
+
+
 def search(
     queries: DataFrame, docs: DataFrame, vectors: DataFrame, posting_rows: DataFrame, stats: DataFrame,
     now: Column, overfetch: int = 2, dim: int = DEFAULT_DIM,
@@ -143,8 +149,10 @@ def search(
     """Ranked results of every query: candidates, then visibility, thresholds, strict order and cut.
 
     queries: (query_id, query_text, mode, num_results, min_credibility, max_ai_generated_likelihood).
+    Queries that ask for fewer than one or more than MAX_RESULTS rows are refused: they are in ``refused`` and have no results.
     Over-fetching happens before the thresholds, so a query may return fewer rows than it asked for.
     """
+    queries = queries.where(F.col("num_results").between(1, MAX_RESULTS))
     found = to_results(candidates(queries, docs, vectors, posting_rows, stats, overfetch, dim), docs, now)
     limits = queries.select("query_id", "num_results", "min_credibility", "max_ai_generated_likelihood")
     allowed = found.join(limits, "query_id").where(

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewell.operators.ordered import fitting_seconds, running, time_segment
+from citewell.operators.ordered import running, segment_of
 
 # Latency bucket bounds in seconds per kind of request.
 BUCKETS = {
@@ -59,9 +59,8 @@ _MARGIN = 60_000
 _EPOCH_2020 = 1_577_836_800_000_000
 
 
-def _independent_runs(requests: DataFrame, segment_seconds: int) -> DataFrame:
+def _independent_runs(requests: DataFrame, segment: Column) -> DataFrame:
     key, order = ["tenant_id", "endpoint"], ["ts", "request_id"]
-    segment = time_segment(F.col("ts"), segment_seconds)
     counted = running(requests.withColumn("_one", F.lit(1)), key, order, segment, total={"_count": "_one"}, stored=True)
     balance = (F.unix_micros("ts") - _EPOCH_2020) * F.col("limit_per_minute").cast("long") - (
         F.col("_count") - 1
@@ -72,20 +71,28 @@ def _independent_runs(requests: DataFrame, segment_seconds: int) -> DataFrame:
     return running(flagged, key, order, segment, total={"_run": "_full"}).drop("_one", "_count", "_s", "_peak", "_full")
 
 
-def take_token(tokens: float, last: float, limit: int, now: float) -> tuple[float, float, bool, int, int, int]:
-    """One request against a bucket: new tokens and time, allowed, remaining, reset_at, retry_after (-1: none)."""
-    rate = limit / 60.0
-    if now > last:
-        tokens, last = min(float(limit), tokens + (now - last) * rate), now
-    allowed = tokens >= 1
-    if allowed:
-        tokens -= 1
-        remaining, retry = math.floor(tokens), -1
-    else:
-        remaining, retry = 0, math.ceil((1 - tokens) / rate) if rate > 0 else 60
-    needed = limit - tokens
-    reset = math.ceil(now + needed / rate) if needed > 0 and rate > 0 else math.ceil(now)
-    return tokens, last, allowed, remaining, reset, retry
+class Bucket:
+    """A level that rises steadily by ``limit`` a minute and never above it; a granted request takes one from it."""
+
+    __slots__ = ("at", "level", "limit")
+
+    def __init__(self, limit: int, at: float, level: float | None = None):
+        self.limit, self.at, self.level = limit, at, float(limit) if level is None else level
+
+    def _until(self, level: float) -> float:
+        """Seconds from now until the bucket stands at a level."""
+        return max(0.0, level - self.level) * 60.0 / self.limit if self.limit > 0 else 0.0
+
+    def request(self, now: float) -> tuple[bool, int, int, int]:
+        """allowed, whole tokens left (0 if refused), when the bucket is full again, and seconds to wait (-1 if allowed)."""
+        elapsed = max(0.0, now - self.at)
+        self.level = min(float(self.limit), self.level + elapsed * (self.limit / 60.0))
+        self.at += elapsed
+        allowed = self.level >= 1
+        if allowed:
+            self.level -= 1
+        full_at = math.ceil(now + self._until(self.limit))
+        return (True, math.floor(self.level), full_at, -1) if allowed else (False, 0, full_at, math.ceil(self._until(1)))
 
 
 def token_bucket(requests: DataFrame, segment_seconds: int | None = None) -> DataFrame:
@@ -97,22 +104,22 @@ def token_bucket(requests: DataFrame, segment_seconds: int | None = None) -> Dat
     stored table.
     """
     slim = requests.select("tenant_id", "endpoint", "ts", "request_id", "limit_per_minute")
-    runs = _independent_runs(slim, segment_seconds or fitting_seconds(slim, "ts"))
+    runs = _independent_runs(slim, segment_of(slim, "ts", segment_seconds))
     timed = runs.withColumn("_now", F.unix_micros("ts"))
     key = ["tenant_id", "endpoint", "_run"]
     placed = timed.repartition(*key).sortWithinPartitions(*key, "ts", "request_id")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, tokens, last = None, 0.0, 0.0
+        current, bucket = None, None
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*key, "limit_per_minute", "_now")]
             out = []
             for tenant, endpoint, run, limit, micros in zip(*columns):
                 now = micros / 1e6
                 if (tenant, endpoint, run) != current:
-                    current, tokens, last = (tenant, endpoint, run), float(limit), now
-                tokens, last, *answer = take_token(tokens, last, limit, now)
-                out.append(answer)
+                    current, bucket = (tenant, endpoint, run), Bucket(limit, now)
+                bucket.limit = limit
+                out.append(bucket.request(now))
             names = ["tenant_id", "endpoint", "ts", "request_id", "limit_per_minute"]
             kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
             types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64()]

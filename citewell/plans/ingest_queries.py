@@ -66,13 +66,13 @@ def assign_versions(spark, sf):
 def merged(spark, sf):
     """Crawls one and two are stored, the third arrives as a batch."""
     seen = cut(i.observations(spark, sf))
-    stored = cut(ingest.assign_versions(seen.where("pass < 2 AND content_hash >= '2'")))
+    stored = cut(ingest.assign_versions(seen.where("pass < 2")))
     return ingest.merge_versions(stored, seen.where("pass = 2"))
 
 
 # Stored first: what the SQL numbers are the observations left in, the third crawl always among them.
 MERGE = i.OBSERVATIONS + """,
-left_in AS (SELECT * FROM observations WHERE pass = 2 OR content_hash >= '2'),
+left_in AS (SELECT * FROM observations ),
 numbered AS (
   SELECT *, substr(sha256(source_url), 1, 32) AS document_id,
          sum(changed) OVER (PARTITION BY source_url ORDER BY fetched_at) AS version

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citewell.functions import text
 from citewell.operators import ingest, lexical, neighbours, search
-from citewell.operators.ordered import running, time_segment, top_n
+from citewell.operators.ordered import running, time_segment, position, top_n
 from citewell.plans import inputs as i
 from citewell.plans.catalog import query
 from citewell.sources.tables import cut
@@ -315,14 +315,13 @@ def unknown_urls(spark, sf):
     i.cte(
         i.DOC_VERSIONS, i.QUERIES, WORD,
         select="""SELECT query_id, document_id, round(round(raw_score / max(raw_score) OVER (PARTITION BY query_id), 9), 6) AS score FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, document_id, version) AS rank FROM raw) WHERE rank <= 100""",
+        SELECT * FROM raw)""",
     ),
 )
 def normalise(spark, sf):
     posts, stats = lexicon(spark, sf)
     raw = lexical.bm25_scores(i.search_queries(spark, sf), posts, stats).withColumn("raw_score", F.round("raw_score", 9))
-    best = top_n(raw, ["query_id"], search.strict_order("raw_score"), 100)
-    return lexical.normalise_by_top(best).select("query_id", "document_id", F.round("score", 6).alias("score"))
+    return lexical.normalise_by_top(raw).select("query_id", "document_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -405,13 +404,15 @@ def term_frequency(spark, sf):
     "W1_rank",
     i.cte(
         i.DOC_VERSIONS, i.QUERIES, WORD, RANKED,
-        select="SELECT query_id, document_id, rank FROM word_top WHERE rank <= 200",
+        select="SELECT query_id, document_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, document_id, version) AS rank FROM raw)",
     ),
 )
 def rank(spark, sf):
     posts, stats = lexicon(spark, sf)
     raw = lexical.bm25_scores(i.search_queries(spark, sf), posts, stats).withColumn("raw_score", F.round("raw_score", 9))
-    return top_n(raw, ["query_id"], search.strict_order("raw_score"), 200).select("query_id", "document_id", "rank")
+    down = raw.withColumn("_down", -F.col("raw_score"))
+    ranked = position(down, ["query_id"], ["_down", "document_id", "version"], F.floor(F.col("_down") * 4).cast("bigint"), "rank")
+    return ranked.select("query_id", "document_id", "rank")
 
 
 @query("W2_latest_version", i.cte(i.DOC_VERSIONS, select="SELECT document_id, version, length(cleaned_text) AS chars FROM latest"))

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citewell.functions import text
 from citewell.functions.highlights import highlights
 from citewell.operators import steps
-from citewell.operators.ordered import top_n
 from citewell.plans import inputs as i
 from citewell.plans.catalog import query
 
 
+LIST_IDS = 500
+
+
 def results(spark, sf):
-    """A ranked list per source: its first hundred documents, scored by size."""
-    d = i.docs(spark, sf)
-    listed = top_n(d, ["category"], [F.col("doc_id")], 100, "rank")
+    """All documents, dealt into ranked lists of bounded length by source and number, scored by size."""
+    d = i.docs(spark, sf).withColumn("list", F.concat_ws("/", "category", F.floor(F.col("doc_id") / LIST_IDS).cast("string")))
+    listed = d.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy("doc_id")))
     return listed.select(
-        F.col("category").alias("query_id"), (F.col("rank") - 1).alias("position"), "document_id", "url",
+        F.col("list").alias("query_id"), (F.col("rank") - 1).alias("position"), "document_id", "url",
         text.title(F.col("cleaned_text")).alias("title"), (F.col("n_chars") % 1000 / 1000.0).alias("score"), "published_at",
         F.nullif("language", F.lit("es")).alias("language"),
         F.when(F.col("n_chars") % 5 != 0, F.struct((F.col("n_chars") % 11 / 10.0).alias("credibility_score"))).alias("provenance"),
@@ -27,10 +30,10 @@ def results(spark, sf):
 RESULTS = i.DOCS + """,
 results AS (
   SELECT * FROM (
-    SELECT category AS query_id, row_number() OVER (PARTITION BY category ORDER BY doc_id) - 1 AS position, document_id, url,
+    SELECT category || '/' || CAST(doc_id // 500 AS VARCHAR) AS query_id, row_number() OVER (PARTITION BY category, doc_id // 500 ORDER BY doc_id) - 1 AS position, document_id, url,
            substr(trim(split_part(cleaned_text, chr(10), 1)), 1, 100) AS title, (n_chars % 1000) / 1000.0::DOUBLE AS score, published_at,
            nullif(language, 'es') AS language, CASE WHEN n_chars % 5 <> 0 THEN (n_chars % 11) / 10.0::DOUBLE ELSE 0.5 END AS trust
-    FROM docs) WHERE position < 100)"""
+    FROM docs))"""
 KEPT = "query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY position) - 1 AS position"
 RESORTED = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) - 1 AS position, round(score, 6) AS score"
 def now():

@@ -159,30 +159,30 @@ def audit_stream(spark, sf):
     return read("ledger").unionByName(read("rejected"))
 
 
-def alert_sql(minutes: int, slide: int) -> str:
+def alert_sql(minutes: int, slide: int, factor: float) -> str:
     return i.cte(
         i.REQUESTS,
         f"""panes AS (SELECT time_bucket(INTERVAL {slide} MINUTE, ts) AS pane, count(*) AS n, count(*) FILTER (response_status >= 500) AS bad FROM requests GROUP BY 1),
 ends AS (SELECT DISTINCT pane + (j + 1) * INTERVAL {slide} MINUTE AS moment FROM panes, (SELECT unnest(range({minutes // slide})) AS j))""",
         select=f"""SELECT {i.TS_TEXT('moment')} AS evaluated_at, CAST(sum(n) AS BIGINT) AS requests, CAST(sum(bad) AS BIGINT) AS part,
-          sum(bad) / CAST(sum(n) AS DOUBLE) > 0.001 * 14.4 AS burning
+          sum(bad) / CAST(sum(n) AS DOUBLE) > 0.001 * {factor} AS burning
         FROM ends JOIN panes ON pane >= moment - INTERVAL {minutes} MINUTE AND pane < moment
         WHERE moment <= (SELECT max(ts) FROM requests) - INTERVAL 1 MINUTE GROUP BY moment""",
     )
 
 
-def _alert(name: str, minutes: int, slide: int):
-    @query(name, alert_sql(minutes, slide))
+def _alert(name: str, minutes: int, slide: int, factor: float):
+    @query(name, alert_sql(minutes, slide, factor))
     def run(spark, sf):
         """Error ratio over sliding windows that the watermark has passed."""
         stream, feed = as_stream(spark, timed(i.requests(spark, sf), "ts"), "log")
         ratios = jobs.sliding_ratio(stream, [], F.col("response_status") >= 500, f"{minutes} minutes", f"{slide} minutes")
         out = drained(spark, ratios, "alerts", feed)
-        return out.select(i.ts_text(F.col("evaluated_at")).alias("evaluated_at"), "requests", "part", (F.col("ratio") > 0.001 * 14.4).alias("burning"))
+        return out.select(i.ts_text(F.col("evaluated_at")).alias("evaluated_at"), "requests", "part", (F.col("ratio") > 0.001 * factor).alias("burning"))
 
 
-_alert("ST8_error_ratio_1h", 60, 10)
-_alert("ST8_error_ratio_6h", 360, 30)
+_alert("ST8_error_ratio_1h", 60, 10, 14.4)
+_alert("ST8_error_ratio_6h", 360, 30, 6.0)
 
 
 @query(

@@ -35,7 +35,7 @@ def ingest(stream: DataFrame, root: str, checkpoint: str, **trigger) -> Streamin
         batch.persist()
         good = batch.where(F.col("parse_error").isNull())
         observed = good.select(
-            "source_url", F.col("published_at").alias("fetched_at"), text.clean_html(F.col("raw_content")).alias("cleaned_text")
+            "source_url", F.coalesce("published_at", F.current_timestamp()).alias("fetched_at"), text.clean_html(F.col("raw_content")).alias("cleaned_text")
         ).withColumn("content_hash", text.content_hash(F.col("cleaned_text")))
         existing = tables.read_snapshot(spark, f"{root}/versions", number, STORED_VERSIONS)
         merged, _ = merge_versions(existing, observed)

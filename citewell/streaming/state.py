@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from citewell.operators.usage import take_token
+from citewell.operators.usage import Bucket
 
 MAX_CITATIONS = 50
 MAX_DOCUMENTS = 20
@@ -63,34 +63,37 @@ class TokenBucket(_Expiring):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         was = self.state.get()
-        tokens, last = was[:2] if was is not None else (None, None)
+        bucket = None if was is None else Bucket(0, was[1], was[0])
         out, micros = [], 0
         for row in sorted(rows, key=lambda r: (r.micros, r.request_id)):
             micros, now = row.micros, row.micros / 1e6
-            if tokens is None:
-                tokens, last = float(row.limit_per_minute), now
-            tokens, last, allowed, remaining, reset, retry = take_token(tokens, last, row.limit_per_minute, now)
+            bucket = bucket or Bucket(row.limit_per_minute, now)
+            bucket.limit = row.limit_per_minute
+            allowed, remaining, reset, retry = bucket.request(now)
             out.append(
                 Row(tenant_id=key[0], endpoint=key[1], request_id=row.request_id, micros=micros, allowed=allowed,
                     remaining=remaining, reset_at=reset, retry_after=retry)
             )
-        self.keep(was, (tokens, last, micros // 1000 + 120_000))
+        self.keep(was, (bucket.level, bucket.at, micros // 1000 + 120_000))
         yield from out
 
 
-class RetryCounter(_Expiring):
-    """State: attempts since the last success or routing and the times of the last three; kept for a day."""
+class RetryCounter(StatefulProcessor):
+    """State: attempts since the last success or routing and the times of the last three; either ends it, nothing else."""
 
-    schema = "attempts bigint, times array<bigint>, due bigint"
+    schema = "attempts bigint, times array<bigint>"
     output = "source_url string, failure_reason string, attempts bigint, micros bigint"
 
     def __init__(self, max_attempts: int = 3, min_gap_seconds: int = 60):
         self.max_attempts, self.gap = max_attempts, min_gap_seconds * 1_000_000
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", self.schema)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         was = self.state.get()
         count, times = (was[0], list(was[1])) if was is not None else (0, [])
-        out, micros = [], 0
+        out = []
         for row in sorted(rows, key=lambda r: (r.micros, r.attempt_id)):
             micros = row.micros
             if row.ok:
@@ -101,9 +104,15 @@ class RetryCounter(_Expiring):
             if count >= self.max_attempts and spaced:
                 out.append(Row(source_url=key[0], failure_reason=row.error, attempts=count, micros=micros))
                 count, times = 0, []
-        self.keep(was, (count, times, micros // 1000 + 86_400_000))
+        if count:
+            self.state.update((count, times))
+        else:
+            self.state.clear()
         yield from out
 
+    def close(self) -> None:
+        pass
+
 
 class Versions(StatefulProcessor):
     """State: version and hash of a URL's latest content."""
