@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ PERCENT = 75
 #: Pairs whose sketches agree in fewer coordinates are not confirmed: at the similarity asked for, 96 agree on average, and
 #: fewer than 72 about once in a million pairs.
 LEAST_AGREEING = 72
-GROWTH = 16
+#: Members of a bucket that a task holds at a time.
+BLOCK = 4096
 
 
 def sketches(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -120,13 +122,110 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "e_a", "e_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _through_buckets(rows: DataFrame, values: list[str], compare: Callable, schema: str) -> DataFrame:
+    """``compare(those that ask, a block)`` for every bucket (key, n) of ``rows``, both as arrays of ``values``.
+
+    A bucket is cut into blocks of about ``BLOCK`` members, held by a task one at a time; the members that ask (not in the
+    bucket's main component) pass by every block in turn.
+    """
+    columns = ["key", "block", "asks", *values]
+    wide = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    held = wide.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(0))
+    asking = wide.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(1))
+    dealt = held.select(*columns).unionByName(asking.select(*columns)).repartition("key", "block").sortWithinPartitions("key", "block", "asks")
+
+    def array(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        column = batch.column(batch.schema.get_field_index(name))
+        if name == "sketch":
+            return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        if name == "bands":
+            return np.asarray(column.flatten()).reshape(-1, COORDINATES // BAND_ROWS)
+        if name == "elements":
+            return np.array([*(np.frombuffer(x, np.uint64) for x in column.to_pylist()), None], object)[:-1]
+        return np.asarray(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, block = None, [], None
+        for batch in batches:
+            key, number, asks, *found = (array(batch, c) for c in columns)
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (number[1:] != number[:-1]) | (asks[1:] != asks[:-1])) + 1
+            bounds = [0, *edges.tolist(), len(key)] if len(key) else [0]
+            for start, end in itertools.pairwise(bounds):
+                here, some = (key[start], number[start]), [x[start:end] for x in found]
+                if here != at:
+                    at, parts, block = here, [], None
+                if not asks[start]:
+                    parts.append(some)
+                elif parts:
+                    block = block or [np.concatenate(x) for x in zip(*parts, strict=True)]
+                    for first in range(0, end - start, 128):
+                        yield from compare(key[start], [x[first : first + 128] for x in some], block)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _possible(key: int, some: list[np.ndarray], block: list[np.ndarray]) -> np.ndarray:
+    """Agreeing coordinates of those that ask (rows) with a block (columns); 0 where the pair need not be confirmed here:
+    connected already, too different in size or sketch, or of an earlier bucket too."""
+    (_, c, n, s, b), (_, component, size, sketch, bands) = some[:5], block[:5]
+    agree = np.zeros((len(c), len(component)), np.uint8)
+    for i in range(0, COORDINATES, 16):
+        agree += (s[:, None, i : i + 16] == sketch[None, :, i : i + 16]).sum(axis=2, dtype=np.uint8)
+    agree[(c[:, None] == component) | (100 * np.minimum(n[:, None], size) < PERCENT * np.maximum(n[:, None], size)) | (agree < LEAST_AGREEING)] = 0
+    x, y = np.nonzero(agree)
+    first = (b[x] == bands[y]).argmax(axis=1)
+    other = b[x, first] != key
+    agree[x[other], y[other]] = 0
+    return agree
+
+
+def _candidates(key: int, some: list[np.ndarray], block: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Each that asks with the one of most agreement (a, b); and, with a NULL for b, all that take part in a possible pair."""
+    agree = _possible(key, some, block)
+    asks = np.flatnonzero(agree.any(axis=1))
+    if len(asks):
+        x, y = some[0][asks], block[0][agree[asks].argmax(axis=1)]
+        part = np.concatenate([x, block[0][agree.any(axis=0)]])
+        a, b = np.concatenate([np.minimum(x, y), part]), pa.array([*np.maximum(x, y).tolist(), *[None] * len(part)], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), key)), pa.array(a), b], names=["key", "a", "b"])
+
+
+def _linked(key: int, some: list[np.ndarray], block: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Confirmed links (a, b) of those that ask: one for each component that one is linked with."""
+    agree = _possible(key, some, block)
+    links = []
+    for x, row in enumerate(agree):
+        others = np.flatnonzero(row)
+        if len(others) == 0:
+            continue
+        mine, sets = some[5][x], block[5][others]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        flat = np.concatenate(sets)
+        place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+        shared = np.add.reduceat((mine[place] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+        good = others[100 * shared >= PERCENT * (len(mine) + sizes - shared)]
+        _, one = np.unique(block[1][good], return_index=True)
+        links += [(min(some[0][x], block[0][y]), max(some[0][x], block[0][y])) for y in good[one]]
+    if links:
+        yield pa.RecordBatch.from_arrays([pa.array([int(link[i]) for link in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (key, n, doc_id, component, main) of the buckets in which not all are in the smallest one's component."""
+    placed = members.where("n > 2").join(components(links), "doc_id", "left").withColumn("component", F.coalesce("component_id", "doc_id"))
+    main = placed.where("doc_id = pivot").select("key", F.col("component").alias("main")).distinct()
+    outside = placed.join(main, "key").where("component <> main").select("key").distinct()
+    return cut(placed.join(outside, "key", "left_semi").join(main, "key").select("key", "doc_id", "n", "component", "main"), "mixed")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """For every row of docs: doc_id, n_shingles, component_id and kept (the document is its component's smallest).
 
     Documents with the same set are one class, whatever their number. Classes that agree in a band share a bucket. In a
-    bucket every member is compared with the smallest one; members that are still in another component are compared in
-    further rounds with a growing share of such stragglers, until none is left, so a bucket of copies costs its size and
-    not its square, and yet every two members are compared or connected. Each comparison is confirmed on full sets.
+    bucket every member is compared with the smallest one; each that is then in another component is compared with
+    the one of most similar sketch, and what is still apart after that with all members whose sketches allow a link, inside
+    a task that holds their sets: only links leave it. So a bucket of copies sends its size and not its square, and yet every
+    two members are compared or connected. Each comparison is confirmed on full sets.
 
     NULL and empty texts have no set and are linked with nothing. Rows of one doc_id are one document. A NULL doc_id is
     linked with nothing, has a NULL component and is kept. Other columns are left aside; an empty table gives no rows.
@@ -147,27 +246,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     needed = alike.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.where("n > 2").select("doc_id")).distinct()
     sets = full_sets(docs, needed)
     links = cut(_confirmed(alike, sets), "confirmed")
-    share = GROWTH
-    while True:
-        of_class = components(links)
-        placed = members.where("n > 2").join(of_class, "doc_id", "left").withColumn("component", F.coalesce("component_id", "doc_id"))
-        main = placed.where("doc_id = pivot").select("key", F.col("component").alias("main")).distinct()
-        outside = placed.join(main, "key").where("component <> main")
-        waiting = outside.groupBy("key").agg(F.count("*").alias("waiting"))
-        most = waiting.agg(F.max("waiting")).first()[0]
-        if not most:
-            break
-        chosen = outside.join(waiting, "key").where(F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.col("waiting") / share).cast("bigint")) == 0)
-        ones = chosen.select("key", F.col("doc_id").alias("x"), F.col("component").alias("c"))
-        others = placed.where("doc_id <> pivot").select("key", F.col("doc_id").alias("y"), "component")
-        pairs = ones.join(others, "key").where("c <> component").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        fresh = cut(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = cut(links.unionByName(_confirmed(cut(_alike(fresh, signed), "pairs"), sets)), "confirmed")
-        if most <= share:
-            of_class = components(links)
-            break
-        tested = cut(tested.unionByName(fresh), "pairs")
-        share *= GROWTH
+    values = ["doc_id", "component", "n_shingles", "sketch", "bands"]
+    about = signed.select("doc_id", "n_shingles", "sketch", "bands").where("doc_id IS NOT NULL").hint("merge")
+    candidates = cut(_through_buckets(_mixed(members, links).join(about, "doc_id"), values, _candidates, "key bigint, a bigint, b bigint"), "candidates")
+    best = candidates.where("b IS NOT NULL").select("a", "b").distinct()
+    links = cut(links.unionByName(_confirmed(best, sets)), "confirmed")
+    possible = candidates.where("b IS NULL").select("key", F.col("a").alias("doc_id")).distinct()
+    left = _mixed(members, links).join(possible.hint("merge"), ["key", "doc_id"]).join(about, "doc_id").join(sets.hint("merge"), "doc_id")
+    links = cut(links.unionByName(_through_buckets(left, [*values, "elements"], _linked, "a bigint, b bigint")), "confirmed")
+    of_class = components(links)
     class_of = alone.join(of_class.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id")).unionByName(of_class)
     placed = signed.select("doc_id", "n_shingles").join(class_of.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
     return placed.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
