@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewell.sources.tables import cut
+from citewell.sources.tables import _delete, cut
 
-__all__ = ["cut", "mapped", "pieces", "read", "texts_of", "utf8"]
+__all__ = ["cut", "discard", "mapped", "pieces", "read", "texts_of", "utf8"]
 
 PIECE_BYTES = 1_500_000
 
@@ -21,6 +21,13 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once all that was made of them is written too."""
+    for table in tables:
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            _delete(table.sparkSession, folder)
+
+
 def texts_of(docs: DataFrame, *others: str) -> DataFrame:
     """doc_id and the whole text, NULL as the empty text; other columns only if named."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *others)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import cut, mapped, pieces, utf8
+from citewell.llm.common import cut, discard, mapped, pieces, utf8
 from citewell.llm.shingles import between, prefix_hashes
 
 LENGTH = 100
@@ -242,6 +242,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     again = runs.groupBy("key").agg(F.count("*").alias("times"), F.max("inner").alias("inner")).where("times > 1 OR inner").select("key")
     followed = cut(runs.join(again.hint("merge"), "key"), "followed")
     first = cut(followed.groupBy("key", "hash").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("n").alias("n"), F.max("inner").alias("inner")), "first")
+    discard(runs)  # the largest table; what is followed is written
     later = followed.join(first.drop("n", "inner").hint("merge"), ["key", "hash"]).where("doc <> first.doc OR at <> first.at").select("doc", "at", "n")
     varied = first.groupBy("key").agg(F.count("*").alias("kinds"), F.max("inner").alias("inner")).where("kinds > 1 OR inner").select("key")
     wanted = first.join(varied.hint("merge"), "key").select("key", "first.doc", "first.at", "n")
@@ -262,7 +263,9 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
 
     once = texts.join(of_doc.hint("merge"), "doc").select("doc", "text", "runs")
     strings = once.mapInArrow(sliced, "key bigint, doc bigint, at bigint, bytes binary")
-    return cut(later.unionByName(_merged(strings)), "repeats")
+    repeats = cut(later.unionByName(_merged(strings)), "repeats")
+    discard(followed, first)
+    return repeats
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
