@@ -301,10 +301,12 @@ def templates(pages: DataFrame) -> DataFrame:
     simple tree matching, and each place of the reference adds up on how many pages it was found and had the same text.
     Places are counted where pages lie, so a host with a third of all pages sends a row per place and task.
     """
-    keyed = pages.where("html IS NOT NULL AND html <> ''").select("page_id", "html", host_of(F.col("url")).alias("host")).where("host <> ''")
-    first = keyed.groupBy("host").agg(F.min(F.struct(F.coalesce(F.col("page_id"), F.lit(2**62)).alias("page_id"), F.xxhash64("html").alias("h"))).alias("first"), F.count("*").alias("n"))
+    page_id = F.coalesce(F.col("page_id"), F.lit(2**62)).alias("page_id")
+    keyed = pages.where("html IS NOT NULL AND html <> ''").select(page_id, "html", F.xxhash64("html").alias("h"), host_of(F.col("url")).alias("host")).where("host <> ''")
+    first = keyed.groupBy("host").agg(F.min(F.struct("page_id", "h")).alias("first"), F.count("*").alias("n"))
     chosen = first.where(f"n > {LEAST_PAGES}").select("host", "first.page_id", "first.h")
-    reference = keyed.join(chosen.withColumnRenamed("page_id", "first_id"), "host").where("page_id = first_id AND xxhash64(html) = h").groupBy("host").agg(F.min("html").alias("reference"))
+    # By page and not by host alone, which may have a third of all pages.
+    reference = keyed.join(chosen, ["host", "page_id", "h"]).groupBy("host").agg(F.min("html").alias("reference"))
     reference = cut(reference, "references")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
