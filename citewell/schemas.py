@@ -6,8 +6,7 @@ from pyspark.sql import types as T
 
 
 _TYPES = {
-    "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(),
-    "timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZType(), "floats": T.ArrayType(T.FloatType()),
+    "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
 }
 
 
@@ -17,15 +16,6 @@ def _schema(fields: str, **nested: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, nested.get(kind) or _TYPES[kind]) for name, kind in pairs])
 
 
-PAGES = _schema("page_id bigint, url string, html string")
-DOCUMENTS = _schema("doc_id bigint, text string, lang string, source string, n_chars bigint")
-EMBEDDINGS = _schema("vec_id bigint, embedding floats, label int")
-BENCHMARK = _schema("item_id bigint, text string")
-CONVERSATIONS = _schema("conv_id bigint, turn bigint, role string, text string")
-EVENTS = _schema(
-    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-)
-
 INGEST_MESSAGE = _schema(
     "message_id string, source_url string, raw_content string, tenant_id string, request_id string, published_at timestamp"
 )
@@ -36,33 +26,3 @@ DOCUMENT_VERSIONS = _schema(
     scores=PROVENANCE,
 )
 STORED_VERSIONS = T.StructType([f for f in DOCUMENT_VERSIONS if f.name not in ("provenance", "visible")])
-SEARCH_QUERIES = _schema(
-    "query_id bigint, query_text string, mode string, num_results int, min_credibility double, "
-    "max_ai_generated_likelihood double"
-)
-SEARCH_RESULTS = _schema(
-    "query_id bigint, rank int, document_id string, version int, url string, title string, score double, "
-    "published_at timestamp, provenance scores",
-    scores=PROVENANCE,
-)
-ANSWER_TOKENS = _schema("answer_id bigint, idx bigint, token string")
-CITATIONS = _schema(
-    "answer_id bigint, document_id string, version int, answer_start int, answer_end int, source_start int, source_end int"
-)
-METERED_REQUESTS = _schema(
-    "request_id string, tenant_id string, endpoint string, ts timestamp, response_status int, tokens_consumed bigint"
-)
-SESSIONS = _schema("session_id bigint, tenant_id string, created_at timestamp, retention_days int, state string")
-RESEARCH_EVENTS = _schema(
-    "job_id bigint, event_id bigint, type string, text string, error_code string, emitted_at timestamp"
-)
-AUDIT_EVENTS = _schema(
-    "tenant_id string, actor string, action string, resource string, request_id string, ts timestamp, detail string"
-)
-TENANTS = _schema("tenant_id string, legal_hold_until timestamp")
-API_KEYS = _schema(
-    "key_id string, key_prefix string, tenant_id string, expires_at timestamp, revoked_at timestamp, rotation_grace_seconds int"
-)
-ROBOTS_FETCHES = _schema("host string, fetched_at timestamp, status int, body string")
-OPT_OUTS = _schema("domain string, registered_at timestamp")
-DEAD_LETTERS = _schema("source_url string, failure_reason string, attempts bigint, routed_at timestamp")

@@ -95,3 +95,12 @@ def test_rescoring_touches_only_scores(spark):
     assert sorted(after.select(rest).collect()) == sorted(scored.select(rest).collect())
     missing = spark.createDataFrame([("nope", 1)], "document_id string, version bigint")
     assert ingest.rescore(scored, missing, F.lit(at(2)))[1].count() == 1
+
+
+def test_versions_keep_rows_without_a_time(spark):
+    rows = [("u", None, "A", "a"), ("u", dt.datetime(2024, 1, 1), "B", "b"), ("v", None, "C", "c")]
+    seen = spark.createDataFrame(rows, "source_url string, fetched_at timestamp, cleaned_text string, content_hash string")
+    found = ingest.assign_versions(seen)
+    assert sorted((r.source_url, r.version, r.cleaned_text) for r in found.collect()) == [("u", 1, "A"), ("u", 2, "B"), ("v", 1, "C")]
+    merged, results = ingest.merge_versions(found.limit(0), seen)
+    assert merged.count() == results.count() == 3

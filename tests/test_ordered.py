@@ -1,7 +1,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from citewell.operators.ordered import fitting_width, id_segment, running, top_n
+from citewell.operators.ordered import fitting_width, id_segment, running, segment_of, top_n
 
 
 def test_running_equals_plain_windows_on_a_hot_key(spark):
@@ -37,3 +37,15 @@ def test_fitting_width(spark):
 def test_top_n_limits_before_the_shuffle(spark):
     plan = top_n(spark.range(100).withColumn("k", F.col("id") % 3), ["k"], [F.desc("id")], 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_segments_hold_with_an_outlier_and_a_burst(spark):
+    """A single row of 1970 or a burst in one hour leaves no segment far above the size asked for."""
+    day = 1_700_000_000
+    spread = [(day + 60 * k,) for k in range(2000)] + [(day + 7200 + k,) for k in range(2000)] + [(0,), (None,)]
+    df = spark.createDataFrame(spread, "s bigint").select(F.timestamp_seconds("s").alias("ts"))
+    counted = df.withColumn("segment", segment_of(df, "ts", rows=500)).groupBy("segment").count().collect()
+    assert max(r["count"] for r in counted) <= 1000 and len(counted) >= 8
+    ordered = df.withColumn("segment", segment_of(df, "ts", rows=500)).where("ts IS NOT NULL").orderBy("ts").collect()
+    assert [r.segment for r in ordered] == sorted(r.segment for r in ordered)
+    assert {r.segment for r in df.withColumn("segment", segment_of(df, "ts")).collect()} == {0, None}
