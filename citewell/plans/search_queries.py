@@ -342,11 +342,26 @@ def candidate_lookup(spark, sf):
     return found.select("document_id", "version", "source_url", F.length("cleaned_text").alias("chars"))
 
 
-@query("R10_approximate_neighbours")
+@query(
+    "R10_approximate_neighbours",
+    i.cte(
+        VECTOR_NEAR,
+        """planes AS (
+  SELECT t, b, list(CASE WHEN substr(md5(t || ':' || b || ':' || c), 1, 1) >= '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY c) AS signs
+  FROM range(8) x(t), range((SELECT greatest(8, CAST(ceil(log2(count(*))) AS BIGINT) - 5) FROM vec)) y(b), range(64) z(c) GROUP BY ALL),
+buckets AS (
+  SELECT vec_id, document_id, t, sum(CASE WHEN list_inner_product(vec, signs) >= 0 THEN 1 << CAST(b AS INTEGER) ELSE 0 END) AS bucket
+  FROM vec, planes GROUP BY ALL),
+met AS (SELECT DISTINCT q.vec_id AS query_id, d.document_id FROM buckets q JOIN buckets d USING (t, bucket))""",
+        select="""SELECT query_id, document_id, rank, round(score, 6) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, version) AS rank
+        FROM near JOIN met USING (query_id, document_id)) WHERE rank <= 10""",
+    ),
+)
 def approximate(spark, sf):
-    """No SQL: which vectors share a bucket depends on random projections. A test compares with the exact search."""
+    """Neighbours by hash buckets of planes that SQL draws alike; a test compares with the exact search."""
     v = _stored_vectors(spark, sf)
-    asked = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    asked = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("document_id").alias("skip_id"))
     found = neighbours.approximate_neighbours(asked, v, N)
     return found.select("query_id", "document_id", "rank", F.round("score", 6).alias("score"))
 
