@@ -109,7 +109,9 @@ def stateful_versions(spark, sf):
 )
 def metering_dedup(spark, sf):
     stream, feed = as_stream(spark, timed(i.retried_requests(spark, sf), "ts"), "metering")
-    return drained(spark, jobs.deduplicated_metering(stream), "dedup", feed).select("dedup_key", "tenant_id", "endpoint")
+    root = tables.shared_dir(spark, "metered")
+    fed(lambda: jobs.metering(stream.drop("_at"), f"{root}/stored", f"{root}/checkpoint", availableNow=True), feed)
+    return spark.read.parquet(f"{root}/stored").select("dedup_key", "tenant_id", "endpoint")
 
 
 @query("ST4_token_bucket", SQL.get("M3_token_bucket"))

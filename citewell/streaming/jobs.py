@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from citewell.functions import text
 from citewell.operators import audit as ledger
 from citewell.operators.ingest import merge_versions
-from citewell.operators.usage import billable, dedup_key
+from citewell.operators.usage import dedup_metering
 from citewell.schemas import STORED_VERSIONS
 from citewell.sources import messages, tables
 from citewell.streaming import state
@@ -58,10 +58,22 @@ def versions(observations: DataFrame) -> DataFrame:
     return flags.withColumn("fetched_at", F.timestamp_micros("micros")).drop("micros")
 
 
-def deduplicated_metering(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Billable requests once per key within the watermark; state is dropped behind it."""
-    keyed = billable(requests).withColumn("dedup_key", dedup_key(F.col("request_id")))
-    return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["dedup_key"])
+def metering(stream: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Store billable requests once per key for ever, however late a copy comes.
+
+    Each micro-batch appends the keys that no earlier batch has; only keys are read of what is stored. A batch that runs
+    again after a failure replaces its own folder.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = dedup_metering(batch)
+        if number:
+            stored = spark.read.schema("dedup_key string, batch bigint").parquet(root).where(F.col("batch") < number)
+            new = new.join(stored.select("dedup_key"), "dedup_key", "left_anti")
+        new.write.mode("overwrite").parquet(f"{root}/batch={number}")
+
+    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def rate_limits(requests: DataFrame, delay: str = "10 seconds") -> DataFrame:
