@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 import zlib
@@ -21,7 +22,7 @@ from citewell.sources.tables import shared_dir
 SEQUENCE = 1024
 BATCH_SEQUENCES = 512
 CACHED_WORDS = 1_000_000
-WORDS_AT_ONCE = 2_000
+WORDS_AT_ONCE = 200
 BLANKS = str.maketrans("\t\n\r", "   ")
 
 
@@ -46,18 +47,17 @@ class Words:
         if len(self.known) > CACHED_WORDS:
             self.known = {"": b""}
         new = list(set().union(*cut_up) - self.known.keys())
-        for start in range(0, len(new), WORDS_AT_ONCE):
-            self._learn(new[start : start + WORDS_AT_ONCE])
+        self._learn([new[start : start + WORDS_AT_ONCE] for start in range(0, len(new), WORDS_AT_ONCE)])
         return [b"".join(map(self.known.__getitem__, words)) for words in cut_up]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, groups: list[list[str]]) -> None:
         """Many words as one text, since each call costs more than a word does; ids are told apart by their places."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        begins = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-        bounds = 4 * np.searchsorted(begins, np.cumsum(sizes) - sizes)
-        packed = np.asarray(found.ids, "<u4").tobytes()
-        self.known.update(zip(words, [packed[a:b] for a, b in zip(bounds, [*bounds[1:], len(packed)], strict=True)], strict=True))
+        for words, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            packed = np.asarray(found.ids, "<u4").tobytes()
+            begins = np.fromiter(itertools.chain.from_iterable(found.offsets), np.int64, len(packed) // 2)[::2]
+            bounds = [*(4 * np.searchsorted(begins, np.cumsum(sizes) - sizes)).tolist(), len(packed)]
+            self.known.update(zip(words, [packed[a:b] for a, b in itertools.pairwise(bounds)], strict=True))
 
 
 @lru_cache(maxsize=2)
