@@ -18,9 +18,13 @@ LENGTH = 100
 KEY_LENGTH = 48
 #: Substrings of a window, and the most windows that hold one place's.
 SPAN = LENGTH - KEY_LENGTH + 1
-#: Bytes of a shard whose suffixes are sorted, and about how many are merged at a time.
+#: Bytes of a shard whose suffixes are sorted, and about how many are merged at a time; keys with more are taken apart.
 SHARD_BYTES = 65_536
 BATCH_BYTES = 1_000_000
+#: Windows sent on at a time, the places over which later ones are joined to ranges, and tasks that share a window.
+SOME_WINDOWS = 200_000
+RANGE = 1024
+SALTS = 32
 
 
 STRIDE = 16
@@ -193,8 +197,8 @@ def later_windows(strings: list[bytes], docs: np.ndarray, ats: np.ndarray) -> li
 
 
 def _merged(strings: DataFrame) -> DataFrame:
-    """doc, at, n: the repeated windows among strings (key, doc, at, bytes). Strings of one key meet in one task, in batches
-    of whole keys."""
+    """doc, at, n: the repeated windows among strings (key, doc, at, bytes). Strings of one key, of at most ``BATCH_BYTES``,
+    meet in one task, in batches of whole keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, int, int]] = []
@@ -218,6 +222,65 @@ def _merged(strings: DataFrame) -> DataFrame:
     return strings.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(run, "doc bigint, at bigint, n bigint")
 
 
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, window (hash of its bytes), doc, at: every window of the hot runs of (doc, text, runs)."""
+    held: list[tuple[int, int, int, int, bytes]] = []
+
+    def found() -> pa.RecordBatch:
+        key, doc, at, n, strings = zip(*held, strict=True)
+        n = np.array(n, np.int64)
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        begins = np.repeat(np.cumsum(n + LENGTH - 1) - n - LENGTH + 1, n) + within
+        hashes = between(prefix_hashes(np.frombuffer(b"".join(strings), np.uint8)), begins, begins + LENGTH).astype(np.int64)
+        columns = [np.repeat(np.array(key, np.int64), n), hashes, np.repeat(np.array(doc, np.int64), n), np.repeat(np.array(at, np.int64), n) + within]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "window", "doc", "at"])
+
+    waiting = 0
+    for batch in batches:
+        for piece in pieces(batch, "text"):
+            for doc, text, runs in zip(*(piece.column(c).to_pylist() for c in ("doc", "text", "runs")), strict=True):
+                data = text.encode("utf-8")
+                for r in runs:
+                    for at in range(r["at"], r["at"] + r["n"], SOME_WINDOWS) if r["hot"] else ():
+                        n = min(SOME_WINDOWS, r["at"] + r["n"] - at)
+                        held.append((r["key"], doc, at, n, data[at : at + n + LENGTH - 1]))
+                        waiting += n
+                        if waiting >= SOME_WINDOWS:
+                            yield found()
+                            waiting = 0
+    if held:
+        yield found()
+
+
+def _ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, at, n: the ranges of neighbours among the windows of (doc, ats)."""
+    for batch in batches:
+        docs, begins, sizes = [], [], []
+        for doc, ats in zip(batch.column("doc").to_pylist(), batch.column("ats").to_numpy(zero_copy_only=False), strict=True):
+            ats = np.unique(ats)
+            breaks = np.flatnonzero(np.append(True, np.diff(ats) > 1))
+            docs += [doc] * len(breaks)
+            begins += ats[breaks].tolist()
+            sizes += np.diff(np.append(breaks, len(ats))).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, begins, sizes)], names=["doc", "at", "n"])
+
+
+def _counted(once: DataFrame) -> DataFrame:
+    """doc, at, n: the repeated windows among the hot runs of (doc, text, runs), in any number of tasks.
+
+    Every window is a row. The first place of each is found where rows lie and then among tasks; the rows of a window meet
+    it in ``SALTS`` tasks.
+    """
+    windows = once.where(F.exists("runs", lambda r: r["hot"])).mapInArrow(_window_rows, "key bigint, window bigint, doc bigint, at bigint")
+    first = windows.groupBy("key", "window").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("times")).where("times > 1")
+    first = first.select("key", "window", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = windows.withColumn("salt", F.pmod(F.xxhash64("doc", "at"), F.lit(SALTS)).cast("int"))
+    later = dealt.join(first.hint("merge"), ["key", "window", "salt"]).where("doc <> first.doc OR at <> first.at")
+    near = later.groupBy("doc", F.expr(f"at div {RANGE}")).agg(F.collect_list("at").alias("ats"))  # bounded by the range
+    return near.select("doc", "ats").mapInArrow(_ranged, "doc bigint, at bigint, n bigint")
+
+
 def _identified(docs: DataFrame) -> DataFrame:
     """doc_id, text and doc, a number in the order of doc_id: doc_id itself unless it is NULL or names several texts."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -236,7 +299,8 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     Texts are cut into runs of windows with one key; only keys that occur again, or runs
     that may repeat something within, are followed. Equal runs are summed up where
     they lie, and all but the first are repeats as a whole, so copies in any number cost one row each. The first of each of
-    several different runs with one key go, as bytes, to the merge of shard transforms.
+    several different runs with one key go, as bytes, to the merge of shard transforms. Where they have more bytes than
+    are merged at a time, as at the edges of a passage that many texts share, their windows are counted one by one instead.
     """
     runs = cut(runs_of(texts), "runs")
     again = runs.groupBy("key").agg(F.count("*").alias("times"), F.max("inner").alias("inner")).where("times > 1 OR inner").select("key")
@@ -244,9 +308,10 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     first = cut(followed.groupBy("key", "hash").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("n").alias("n"), F.max("inner").alias("inner")), "first")
     discard(runs)  # the largest table; what is followed is written
     later = followed.join(first.drop("n", "inner").hint("merge"), ["key", "hash"]).where("doc <> first.doc OR at <> first.at").select("doc", "at", "n")
-    varied = first.groupBy("key").agg(F.count("*").alias("kinds"), F.max("inner").alias("inner")).where("kinds > 1 OR inner").select("key")
-    wanted = first.join(varied.hint("merge"), "key").select("key", "first.doc", "first.at", "n")
-    of_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "at", "n")).alias("runs"))  # bounded by the text
+    varied = first.groupBy("key").agg(F.count("*").alias("kinds"), F.max("inner").alias("inner"), F.sum(F.col("n") + LENGTH - 1).alias("size"))
+    varied = cut(varied.where("kinds > 1 OR inner").select("key", (F.col("size") > BATCH_BYTES).alias("hot")), "varied")
+    wanted = first.join(varied.hint("merge"), "key").select("key", "first.doc", "first.at", "n", "hot")
+    of_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "at", "n", "hot")).alias("runs"))  # bounded by the text
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,6 +320,8 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
                 for number, text, found in zip(*(piece.column(c).to_pylist() for c in ("doc", "text", "runs")), strict=True):
                     data = text.encode("utf-8")
                     for r in found:
+                        if r["hot"]:
+                            continue
                         key.append(r["key"])
                         doc.append(number)
                         at.append(r["at"])
@@ -263,8 +330,11 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
 
     once = texts.join(of_doc.hint("merge"), "doc").select("doc", "text", "runs")
     strings = once.mapInArrow(sliced, "key bigint, doc bigint, at bigint, bytes binary")
-    repeats = cut(later.unionByName(_merged(strings)), "repeats")
-    discard(followed, first)
+    repeats = later.unionByName(_merged(strings))
+    if varied.where("hot").limit(1).count():
+        repeats = repeats.unionByName(_counted(once))
+    repeats = cut(repeats, "repeats")
+    discard(followed, first, varied)
     return repeats
 
 

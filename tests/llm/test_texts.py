@@ -251,6 +251,26 @@ def test_repeats_of_odd_rows(spark, odd):
     assert repeats.digests(rows.limit(0)).count() == 0
 
 
+def test_repeats_of_a_passage_in_thousands_of_texts(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    passage = "".join(rng.choice(list("abcdefgh "), 170))
+    rows = [(i, "".join(rng.choice(list("ijklmnop "), rng.integers(60, 90))) + passage + "".join(rng.choice(list("qrstuvwé"), 70))) for i in range(12_000)]
+    rows += [(20_000, "z" * 3_000), (20_001, "y" + "z" * 2_000 + passage[30:150])]
+    largest, merged = [], repeats._merged
+
+    def watched(strings):
+        largest.append(strings.groupBy("key").agg(F.sum(F.length("bytes")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return merged(strings)
+
+    monkeypatch.setattr(repeats, "_merged", watched)
+    assert rows_of(repeats.digests(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)), *REPEAT_COLUMNS) == brute_repeats(rows)
+    assert max(largest) <= repeats.BATCH_BYTES  # all strings of one key are in one task
+    # A text of one key only, longer than is merged at a time.
+    long = [(1, "ab" * 700_000), (2, "b" + "ab" * 100), (3, "ba" * 60 + "c")]
+    found = rows_of(repeats.digests(spark.createDataFrame(long, "doc_id bigint, text string")), *REPEAT_COLUMNS)
+    assert [r[:4] for r in found] == [(1, 1_400_000, 1_399_998, 1), (2, 201, 201, 1), (3, 121, 120, 1)]
+
+
 # --- quality
 
 
