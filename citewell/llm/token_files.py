@@ -30,7 +30,8 @@ class Words:
     """The tokenizer file, applied to the parts of a text between blanks; parts that occur again are encoded once.
 
     Cutting at space, tab, line feed and carriage return changes nothing for a tokenizer that splits at white space and
-    whose normaliser works within words. Strings of special tokens in a text are ordinary text.
+    whose normaliser works within words. Strings of special tokens in a text, which hold no blanks, become their one id, as
+    in the library.
     """
 
     def __init__(self, path: str):
@@ -38,7 +39,6 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:

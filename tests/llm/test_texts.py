@@ -95,6 +95,19 @@ def test_token_files_equal_the_library(spark, documents, odd):
         assert files.agg(F.sum("n_ids")).first()[0] == start
 
 
+def test_strings_of_special_tokens_are_as_in_the_library(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(queries.WORD_TOKENIZER))
+    one, two = "<|startoftext|>", "<|endoftext|>"
+    found = [f"{one}a text{two}", f"in{one}side a wo{two}rd, {two}{two} {one}", f"{one[:-1]} {two[1:]} <|START", f"é\t{one}\r\n{two}É x{one}", two, f"{one} {one.upper()} <| endoftext |>"]
+    files = token_files.write_token_files(spark.createDataFrame(list(enumerate(found)), "doc_id bigint, text string").repartition(2), public_tokenizers.path(queries.WORD_TOKENIZER), queries.END_ID, length=8)
+    start, expected = 0, []
+    for doc_id, text in enumerate(found):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, queries.END_ID]
+        expected.append((doc_id, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert rows_of(token_files.read_documents(files), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(expected, key=repr)
+
+
 def test_token_files_of_odd_rows_and_random_access(spark, odd):
     files = token_files.write_token_files(odd, public_tokenizers.path(queries.WORD_TOKENIZER), queries.END_ID, length=64)
     assert rows_of(token_files.read_documents(files), "doc_id") == sorted(((r[0],) for r in ODD), key=repr)
