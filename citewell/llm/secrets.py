@@ -39,6 +39,12 @@ ALPHABETS = {
 }
 _PLACES = {name: {c: i for i, c in enumerate(letters)} for name, letters in ALPHABETS.items()}
 
+# Letters in a thousand of English text, for tables with little text; other characters count as rare.
+ENGLISH = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 24, 22, 20, 20, 19, 15, 10, 8, 2, 2, 1, 1), strict=True))
+#: Letters of other documents that count beside a document's own, and the ASCII characters among which they are shared out.
+PRIOR_LETTERS = 1000
+VISIBLE = range(33, 127)
+
 #: Share of text among the strings called random, and the combined p-value below which a string is not random.
 FALSE_DISCOVERIES = 0.01
 NOT_RANDOM = 0.001
@@ -100,17 +106,37 @@ def fisher(p_values: tuple[float, ...]) -> float:
     return math.exp(-half) * total
 
 
-def text_p_value(token: str, name: str, letters: Counter, n_letters: int) -> float:
-    """Bound on the chance that characters drawn as the document uses them look so uniform: the likelihood ratio of
-    uniform symbols against the document's frequencies exceeds t with a chance of at most 1/t. It falls with the length."""
+def text_p_value(token: str, name: str, letters: Counter, n_letters: float) -> float:
+    """Bound on the chance that characters drawn as text uses them look so uniform: the likelihood ratio of
+    uniform symbols against the frequencies of text exceeds t with a chance of at most 1/t. It falls with the length."""
     size = len(ALPHABETS[name])
     ratio = sum(math.log((n_letters + size) / size / (letters[c] + 1)) for c in token)
     return math.exp(-max(0.0, ratio))
 
 
-def random_spans(text: str, taken: list[Span]) -> list[Span]:
+def prior_letters(docs: DataFrame) -> dict[str, float]:
+    """How often each visible ASCII character stands outside of candidates in all texts, in ``PRIOR_LETTERS`` letters.
+
+    At most one row for each of 94 characters comes to the driver. Tables with little or no such text lean on English.
+    """
+
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        outside = CANDIDATE.sub(" ", "\n".join(piece.column("text").to_pylist())).encode("utf-8")
+        counts = np.bincount(np.frombuffer(outside, np.uint8), minlength=256)[VISIBLE.start : VISIBLE.stop]
+        return pa.RecordBatch.from_arrays([pa.array(VISIBLE, pa.int64()), pa.array(counts, pa.int64())], names=["code", "n"])
+
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    found = Counter(ENGLISH)
+    for r in mapped(texts, run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        found[chr(r.code)] += r.n
+    share = PRIOR_LETTERS / sum(found.values())
+    return {c: n * share for c, n in found.items()}
+
+
+def random_spans(text: str, taken: list[Span], prior: dict[str, float] = ENGLISH) -> list[Span]:
     """Strings that pass the battery and are no text, with false discoveries controlled over the document's candidates;
-    a candidate's share of the allowance is proportional to its length. What overlaps ``taken`` is left out."""
+    a candidate's share of the allowance is proportional to its length. What overlaps ``taken`` is left out. What text looks
+    like is judged by the rest of the document and, beside it, by ``prior``, since a document can be all secrets."""
     found = []
     for m in CANDIDATE.finditer(text):
         if all(m.end() <= s.start or s.end <= m.start() for s in taken):
@@ -122,17 +148,18 @@ def random_spans(text: str, taken: list[Span]) -> list[Span]:
     letters = Counter(text)
     for _, _, token, _ in found:
         letters.subtract(token)
-    rest = sum(n for c, n in letters.items() if n > 0 and not c.isspace())
+    rest = sum(n for c, n in letters.items() if n > 0 and not c.isspace()) + sum(prior.values())
+    letters = Counter({c: letters[c] + prior.get(c, 0) for c in letters.keys() | prior.keys()})
     mean = sum(len(token) for _, _, token, _ in found) / len(found)
     weighed = sorted((text_p_value(token, name, letters, rest) * mean / len(token), start, end, token, name) for start, end, token, name in found)
     least = max((i for i, x in enumerate(weighed, 1) if x[0] <= FALSE_DISCOVERIES * i / len(weighed)), default=0)
     return [Span(start, 3, end) for _, start, end, token, name in weighed[:least] if fisher(battery(token, name)) >= NOT_RANDOM]
 
 
-def all_spans(text: str) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, prior: dict[str, float] = ENGLISH) -> tuple[list[Span], list[Span]]:
     """The spans of the known kinds, and all spans in order of (start, kind)."""
     base = base_spans(text)
-    return base, sorted(base + random_spans(text, base))
+    return base, sorted(base + random_spans(text, base, prior))
 
 
 def listed(spans: list[Span]) -> str:
@@ -142,14 +169,16 @@ def listed(spans: list[Span]) -> str:
 def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, and spans as kind:start:end, comma-joined; for every row of docs.
 
-    Places count code points. NULL and empty texts have no spans; a NULL doc_id stays; repeated rows are answered as often;
+    Random strings are told from text by the letters of all texts (``prior_letters``) and of their own. Places count code
+    points. NULL and empty texts have no spans; a NULL doc_id stays; repeated rows are answered as often;
     other columns are left aside.
     """
+    prior = prior_letters(docs)
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         counts, shas, spans = ([], [], []), [], []
         for text in piece.column("text").to_pylist():
-            base, every = all_spans(text)
+            base, every = all_spans(text, prior)
             for kind, column in enumerate(counts):
                 column.append(sum(s.kind == kind for s in base))
             shas.append(hashlib.sha256(listed(base).encode()).hexdigest())
@@ -178,9 +207,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Texts without secrets, NULL and empty texts stay as they are.
     """
+    prior = prior_letters(docs)
 
     def clean(texts):
-        return texts.map(lambda text: text if not text else without(text, all_spans(text)[1], mark))
+        return texts.map(lambda text: text if not text else without(text, all_spans(text, prior)[1], mark))
 
     cleaned = docs.withColumn("text", F.pandas_udf(clean, "string")("text"))
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned

@@ -153,6 +153,20 @@ def test_random_strings_are_told_from_text():
     assert secrets.random_spans(prose + "uncharacteristicallyantidisestablishmentarianism " + "a" * 60 + " " + "ab" * 40, []) == []
 
 
+def test_random_strings_without_other_text(spark, documents):
+    rng = np.random.default_rng(12)
+    tokens = ["".join(rng.choice(list(secrets.ALPHABETS["base62"]), 40)) for _ in range(90)]
+    rows = [(i, t) for i, t in enumerate(tokens[:30])] + [(100 + i, f"key: {t}") for i, t in enumerate(tokens[30:60])] + [(200, "\n".join(tokens[60:]))]
+    words = [(300, "uncharacteristicallyantidisestablishmentarianism"), (301, "internationalization-and-localization-of-software"), (302, "src/main/python/module/test/resources/example"), (303, "Donaudampfschifffahrtsgesellschaft")]
+    alone = spark.createDataFrame(rows + words, "doc_id bigint, text string")
+    for table in (alone, alone.unionByName(documents.selectExpr("1000 + doc_id AS doc_id", "text"))):
+        found = {r.doc_id: r.spans for r in secrets.secret_spans(table).where("doc_id < 1000").collect()}
+        assert sum("random" in found[d] for d, _ in rows[:60]) >= 57 and found[200].count("random") >= 28
+        assert not any(found[d] for d, _ in words)
+    cleaned = {r.doc_id: r.text for r in secrets.redact(alone).collect()}
+    assert sum(cleaned[i] == "[SECRET]" for i in range(30)) >= 28 and cleaned[300] == words[0][1]
+
+
 # --- near-duplicates
 
 
