@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from citewell.sources.tables import _delete, cut
 
-__all__ = ["cut", "discard", "mapped", "pieces", "read", "texts_of", "utf8"]
+__all__ = ["cut", "discard", "joined_evenly", "mapped", "pieces", "read", "texts_of", "utf8"]
 
 PIECE_BYTES = 1_500_000
 
@@ -63,3 +63,15 @@ def mapped(df: DataFrame, on_piece: Callable[[pa.RecordBatch], pa.RecordBatch],
                 yield on_piece(piece)
 
     return df.mapInArrow(run, schema)
+
+
+def joined_evenly(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row per key, where a key may hold most rows of ``left``.
+
+    Rows of ``left`` are dealt over parts of their key by a hash of the whole row. A row of ``right`` is repeated only for
+    the parts that its key has, so it grows to no more rows than ``left``. Keys are not NULL; ``left`` is read twice.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.lit(parts)))
+    wanted = dealt.select(*keys, "_part").distinct().join(right, keys)
+    return dealt.join(wanted, [*keys, "_part"]).drop("_part")

@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewell.llm import byte_bpe, collision_search, exact_topk, mixture, near_duplicates, quality, repeats, secrets, token_files, wrappers
+from citewell.llm import byte_bpe, collision_search, collocations, exact_topk, max_sketches, mixture, near_duplicates, quality, repeats, reputation, secrets, token_files, wrappers
 from citewell.llm.common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
+#: Host, start of the path, and verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
 def op1_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,6 +59,22 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_spans(read(spark, folder, "documents"))
 
 
+def op11_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    """A page is bad if the label of its id says low quality or toxic."""
+    labels = read(spark, folder, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return reputation.judged(read(spark, folder, "pages"), outcomes, rules).drop("bad_bound")
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read(spark, folder, "documents"))
+
+
+def op13_lexical_max_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    return max_sketches.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_crf": op1_quality_crf,
     "op2_wrapper_induction": op2_wrapper_induction,
@@ -68,9 +86,15 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_secret_scan": op10_secret_scan,
+    "op11_host_reputation": op11_host_reputation,
+    "op12_collocations": op12_collocations,
+    "op13_lexical_max_sketches": op13_lexical_max_sketches,
 }
 
 SQL = {
+    "op11_host_reputation": reputation.sql(URL_RULES),
+    "op12_collocations": collocations.SQL,
+    "op13_lexical_max_sketches": max_sketches.SQL,
     "op6_source_mixture": mixture.sql(),
     "op5_exact_topk": """
         WITH v AS (
