@@ -2,98 +2,83 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from citewell.functions.binding import let
-from citewell.functions.text import words
+from pyspark.sql import types as T
 
 MAX_SPANS = 5
-_MARK = "\u0001"
-_SPANS = "array<struct<start:int,end:int>>"
+FALLBACK_CHARS = 200
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def _span(start: Column, end: Column) -> Column:
-    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+@lru_cache(maxsize=1024)
+def _finder(query: str) -> tuple[ahocorasick.Automaton, int] | None:
+    """Automaton over the query's words of two or more characters, and the longest one's length."""
+    terms = {w.lower() for w in query.split() if len(w) >= 2}
+    if not terms:
+        return None
+    automaton = ahocorasick.Automaton()
+    for term in terms:
+        automaton.add_word(term, len(term))
+    automaton.make_automaton()
+    return automaton, max(map(len, terms))
 
 
-def _merged_matches(terms: Column, text: Column, limit: int) -> Column:
-    """First ``limit`` merged runs of term matches.
+def merged_matches(text: str, query: str, limit: int) -> list[tuple[int, int]]:
+    """First ``limit`` merged runs of matches of the query's words; overlapping or touching matches are one run.
 
-    A lookahead on all terms, longest first, finds overlapping matches in one linear pass; each match is
-    written in front of its position between marks, so the split gives match, following text, match, ...
+    The automaton gives all matches by their ends in one pass. The pass stops once a match can no longer reach back
+    into the runs that count.
     """
-    unmark = lambda c: F.translate(c, _MARK, "\u0002")
-    longest_first = F.reverse(
-        F.array_sort(F.transform(terms, lambda t: F.struct(F.length(t).alias("n"), unmark(t).alias("t"))))
-    )
-    quoted = F.transform(
-        longest_first,
-        lambda s: F.concat(F.lit("\\Q"), F.replace(s["t"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")),
-    )
-    pattern = F.concat(F.lit("(?=("), F.array_join(quoted, "|"), F.lit("))"))
-    pieces = F.split(F.regexp_replace(unmark(text), pattern, F.lit(f"{_MARK}$1{_MARK}")), _MARK)
-    start = F.struct(
-        F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(_SPANS).alias("spans"), F.lit(False).alias("done")
-    )
-
-    def step(acc, piece):
-        end = acc["at"] + F.length(piece)
-        last = F.try_element_at(acc["spans"], F.lit(-1))
-        touches = F.coalesce(acc["at"] <= last["end"], F.lit(False))
-        widened = F.array_append(
-            F.slice(acc["spans"], F.lit(1), F.size(acc["spans"]) - 1), _span(last["start"], F.greatest(last["end"], end))
-        )
-        full = acc["done"] | (acc["hit"] & ~touches & (F.size(acc["spans"]) >= limit))
-        spans = (
-            F.when(full | ~acc["hit"], acc["spans"])
-            .when(touches, widened)
-            .otherwise(F.array_append(acc["spans"], _span(acc["at"], end)))
-        )
-        # A match is a copy in front of its own text, so only text moves the position.
-        return F.struct(
-            F.when(acc["hit"], acc["at"]).otherwise(end).alias("at"), (~acc["hit"]).alias("hit"),
-            spans.cast(_SPANS).alias("spans"), full.alias("done"),
-        )
-
-    return F.aggregate(pieces, start, step, lambda acc: acc["spans"])
-
-
-def _with_context(spans: Column, text: Column, reach: int) -> Column:
-    """Widen each span by ``reach`` characters and on to the next blank."""
-    flat = F.translate(text, "\n\t", "  ")
-
-    def widen(s):
-        back = s["start"] - reach
-        before = F.substring(flat, F.lit(1), back + 1)
-        blank = F.length(before) - F.locate(" ", F.reverse(before))
-        begin = F.when((back > 0) & before.contains(" ") & (blank > 0), blank + 1).otherwise(F.lit(0))
-        ahead = s["end"] + reach
-        next_blank = F.length(F.substring_index(F.substring(flat, ahead + 1, F.length(flat)), " ", 1))
-        finish = F.when(ahead >= F.length(text), F.length(text)).otherwise(ahead + next_blank)
-        return _span(begin, finish)
-
-    return F.filter(F.transform(spans, widen), lambda s: s["start"] < s["end"])
+    automaton, longest = _finder(query)
+    runs: list[tuple[int, int]] = []
+    for last, length in automaton.iter(text):
+        start, end = last + 1 - length, last + 1
+        while runs and start <= runs[-1][1]:
+            start = min(start, runs.pop()[0])
+        runs.append((start, end))
+        if len(runs) > limit and end - longest > runs[limit - 1][1]:
+            break
+    return runs[:limit]
+
+
+def widened(text: str, runs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
+    """Each run with ``reach`` characters more on both sides, and on to the next blank."""
+    flat = text.replace("\n", " ").replace("\t", " ")
+    spans = []
+    for start, end in runs:
+        blank = flat.rfind(" ", 0, max(0, start - reach + 1)) if start > reach else -1
+        ahead = flat.find(" ", end + reach)
+        begin, finish = blank + 1 if blank > 0 else 0, len(text) if ahead < 0 else ahead
+        if begin < finish:
+            spans.append((begin, finish))
+    return spans
+
+
+def extract(text: str | None, query: str | None, limit: int, reach: int) -> list[tuple[int, int]]:
+    if not text or not query or limit <= 0 or _finder(query) is None:
+        return []
+    runs = merged_matches(text.lower(), query, limit)
+    return widened(text, runs, reach) if runs else [(0, min(len(text), FALLBACK_CHARS))]
 
 
 def highlights(text: Column, query: Column, max_spans: int = MAX_SPANS, reach: int = 50) -> Column:
     """Up to five half-open code-point spans around query words of two or more characters.
 
-    Without any match the first 200 characters stand in. Meant for result rows, not for a corpus.
+    Without any match the first 200 characters stand in. Every query's automaton is built once per Python worker, and texts
+    come in Arrow batches.
     """
     limit = min(max_spans, MAX_SPANS)
-    nothing = F.array().cast(_SPANS)
-    if limit <= 0:
-        return nothing
-    terms = F.array_distinct(F.transform(F.filter(words(query), lambda w: F.length(w) >= 2), F.lower))
-
-    def shown(found):
-        return F.when(F.size(found) > 0, _with_context(found, text, reach)).otherwise(
-            F.array(_span(F.lit(0), F.least(F.length(text), F.lit(200))))
-        )
-
-    usable = F.coalesce((F.length(text) > 0) & (F.size(terms) > 0), F.lit(False))
-    return F.when(usable, let(_merged_matches(terms, F.lower(text), limit), shown)).otherwise(nothing)
+
+    @F.pandas_udf(_SPANS)
+    def found(texts: pd.Series, queries: pd.Series) -> pd.Series:
+        return pd.Series([extract(t, q, limit, reach) for t, q in zip(texts, queries, strict=True)], dtype=object)
+
+    return found(text, query)
 
 
 def valid_spans(spans: Column, text: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from citewell.functions.binding import let
-from citewell.functions.text import strip, words
+from pyspark.sql import types as T
 
 # Phrases counted as transitions.
 TRANSITIONS = [
@@ -15,56 +16,50 @@ TRANSITIONS = [
 ]
 
 
-def _variance(lengths: Column) -> Column:
-    """Population variance of an integer array, from exact sums; NULL when empty."""
-    zero = F.lit(0).cast("long")
-    sums = F.aggregate(
-        lengths,
-        F.struct(zero.alias("n"), zero.alias("s"), zero.alias("ss")),
-        lambda acc, x: F.struct(
-            (acc["n"] + 1).alias("n"), (acc["s"] + x).alias("s"), (acc["ss"] + x.cast("long") * x).alias("ss")
-        ),
-    )
-    return let(sums, lambda a: (a["n"] * a["ss"] - a["s"] * a["s"]) / F.nullif(a["n"] * a["n"], F.lit(0)))
+_SENTENCE_ENDS = re.compile("[.!?]+")
+_FIGURE = re.compile(r"\d+\.?\d*")
+_SCORES = T.StructType([T.StructField("credibility", T.DoubleType()), T.StructField("ai_likelihood", T.DoubleType())])
+
+
+def _variance(sizes: list[int]) -> float:
+    """Population variance from exact sums."""
+    n, total = len(sizes), sum(sizes)
+    return (n * sum(x * x for x in sizes) - total * total) / (n * n)
 
 
-def _stripped_parts(c: Column, separator: str) -> Column:
-    return F.filter(F.transform(F.split(c, separator), strip), lambda s: s != "")
+def scores(text: str) -> tuple[float, float]:
+    """Credibility and machine likelihood. Sentences, words and paragraphs are cut once and serve both."""
+    sentences = [s for part in _SENTENCE_ENDS.split(text) if (s := part.strip())]
+    lowered = text.lower()
+    words = lowered.split()
 
+    credible = 0.5 + (0.1 if len(text) > 500 else 0.0) + (0.1 if len(text) > 2000 else 0.0)
+    figures = _FIGURE.finditer(text)
+    credible += 0.1 if sum(1 for _, _ in zip(range(4), figures)) > 3 else 0.0
+    credible += 0.05 if len(sentences) > 3 and _variance([len(s) for s in sentences]) > 100 else 0.0
+    credible += 0.05 if words and len(set(words)) / len(words) > 0.6 else 0.0
 
-def _bonus(condition: Column, amount: float) -> Column:
-    return F.when(condition, F.lit(amount)).otherwise(F.lit(0.0))
+    if len(sentences) < 3:
+        return max(0.0, min(1.0, credible)), 0.3
+    spread = _variance([len(s.split()) for s in sentences])
+    written = 0.3 + (0.2 if spread < 20 else 0.1 if spread < 50 else 0.0)
+    phrases = sum(t in lowered for t in TRANSITIONS)
+    written += 0.15 if phrases >= 3 else 0.1 if phrases >= 2 else 0.0
+    paragraphs = [len(p) for part in text.split("\n\n") if (p := part.strip())]
+    written += 0.1 if len(paragraphs) > 2 and _variance(paragraphs) < 500 else 0.0
+    return max(0.0, min(1.0, credible)), max(0.0, min(1.0, written))
 
 
-def _clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+@F.pandas_udf(_SCORES)
+def _scored(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([scores(t or "") for t in texts], columns=["credibility", "ai_likelihood"])
 
 
 def credibility(c: Column) -> Column:
-    """Rewards length, figures, varied sentences and a rich vocabulary."""
-    varied = let(
-        F.transform(_stripped_parts(c, "[.!?]+"), F.length), lambda n: (F.size(n) > 3) & (_variance(n) > 100)
-    )
-    rich = let(
-        words(F.lower(c)),
-        lambda w: F.coalesce(F.size(F.array_distinct(w)) / F.nullif(F.size(w), F.lit(0)) > 0.6, F.lit(False)),
-    )
-    score = F.lit(0.5) + _bonus(F.length(c) > 500, 0.1) + _bonus(F.length(c) > 2000, 0.1)
-    score = score + _bonus(F.regexp_count(c, F.lit(r"\p{Nd}+\.?\p{Nd}*")) > 3, 0.1)
-    return _clamp(score + _bonus(varied, 0.05) + _bonus(rich, 0.05))
+    """Rewards length, figures, varied sentences and a rich vocabulary. Both scores of one text come from one pass."""
+    return _scored(c)["credibility"]
 
 
 def ai_likelihood(c: Column) -> Column:
     """Rewards uniform sentences, transition phrases and uniform paragraphs; short texts keep the base."""
-    lowered = F.lower(c)
-    phrases = sum((F.when(lowered.contains(t), 1).otherwise(0) for t in TRANSITIONS), F.lit(0))
-    uniform = let(
-        F.transform(_stripped_parts(c, "\n\n"), F.length), lambda n: (F.size(n) > 2) & (_variance(n) < 500)
-    )
-
-    def scored(sizes):
-        score = let(_variance(sizes), lambda v: F.lit(0.3) + F.when(v < 20, 0.2).when(v < 50, 0.1).otherwise(0.0))
-        score = score + F.when(phrases >= 3, 0.15).when(phrases >= 2, 0.1).otherwise(0.0) + _bonus(uniform, 0.1)
-        return F.when(F.size(sizes) < 3, F.lit(0.3)).otherwise(_clamp(score))
-
-    return let(F.transform(_stripped_parts(c, "[.!?]+"), lambda s: F.size(words(s))), scored)
+    return _scored(c)["ai_likelihood"]

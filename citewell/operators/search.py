@@ -203,6 +203,25 @@ def fielded_bm25(queries: DataFrame, docs: DataFrame, n: int, boosts: dict[str,
     return top_n(merged, ["query_id"], strict_order(), n)
 
 
+VERSION_KEY = ["document_id", "version"]
+
+
+def hybrid_by_version(
+    queries: DataFrame, entries: DataFrame, vectors: DataFrame, visible: DataFrame, n: int, overfetch: int = 2, dim: int = DEFAULT_DIM
+) -> DataFrame:
+    """Keyword and vector hits fused on (document, version); several versions of a document may be found.
+
+    ``entries`` (``lexical.lexical_entries``) and ``vectors`` hold every version that was ever indexed; ``visible`` has
+    the keys of those that may be found now. Both are cut to them when the query runs, and keyword statistics are those
+    of the visible ones, so showing or hiding a version needs no new index.
+    """
+    keys = visible.select(*VERSION_KEY).distinct()
+    shown = entries.join(keys, VERSION_KEY, "left_semi")
+    word = lexical.bm25(queries, lexical.postings(shown), lexical.corpus_stats(shown), n * overfetch)
+    near = neighbours.knn(neighbours.embed_queries(queries, dim), vectors.join(keys, VERSION_KEY, "left_semi"), n * overfetch)
+    return rrf(near, word, n, keys=("query_id", *VERSION_KEY))
+
+
 def research_retrieval(
     steps: DataFrame, docs: DataFrame, vectors: DataFrame, posting_rows: DataFrame, stats: DataFrame,
     now: Column, n: int = 5, query_chars: int = 200, dim: int = DEFAULT_DIM,

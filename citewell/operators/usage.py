@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citewell.operators.ordered import running, segment_of, time_segment
+from citewell.sources.stores import KeySet
+from citewell.sources.tables import cut
 
 # Latency bucket bounds in seconds per kind of request.
 BUCKETS = {
@@ -33,9 +35,13 @@ def dedup_metering(requests: DataFrame) -> DataFrame:
     return firsts.select("dedup_key", "_first.*")
 
 
-def append_metering(stored: DataFrame, requests: DataFrame) -> DataFrame:
-    """Rows to append: new keys only."""
-    return dedup_metering(requests).join(stored.select("dedup_key"), "dedup_key", "left_anti")
+def append_metering(keys: KeySet, number: int, requests: DataFrame) -> DataFrame:
+    """The rows that batch ``number`` adds: billable requests whose key no earlier batch has. Their keys are added to the set."""
+    asked = cut(dedup_metering(requests), "metered")
+    known, _ = keys.known(number, asked.select(F.col("dedup_key").alias("key")))
+    fresh = cut(asked.join(known.select(F.col("key").alias("dedup_key")), "dedup_key", "left_anti"), "fresh")
+    keys.add(number, fresh.select(F.col("dedup_key").alias("key")))
+    return fresh
 
 
 def usage_by_window(metered: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -56,11 +62,14 @@ _EPOCH_2020 = 1_577_836_800_000_000
 def _independent_runs(requests: DataFrame, segment: Column) -> DataFrame:
     key, order = ["tenant_id", "endpoint"], ["ts", "request_id"]
     counted = running(requests.withColumn("_one", F.lit(1)), key, order, segment, total={"_count": "_one"}, stored=True)
-    balance = (F.unix_micros("ts") - _EPOCH_2020) * F.col("limit_per_minute").cast("long") - (
-        F.col("_count") - 1
-    ) * _MICROS_PER_TOKEN_MINUTE
+    limit = F.col("limit_per_minute").cast("long")
+    balance = (F.unix_micros("ts") - _EPOCH_2020) * limit - (F.col("_count") - 1) * _MICROS_PER_TOKEN_MINUTE
     level = running(counted.withColumn("_s", balance), key, order, segment, peak_before={"_peak": "_s"})
-    full = F.col("_peak").isNull() | (F.col("_s") >= F.col("_peak") + _MARGIN)
+    # What a bucket lacks at the start counts as if it had been full that much earlier.
+    lacking = F.ceil((limit - F.col("_level")) * _MICROS_PER_TOKEN_MINUTE).cast("long")
+    start = (F.floor(F.col("_at") * 1_000_000).cast("long") - _EPOCH_2020) * limit + lacking
+    peak = F.greatest("_peak", start)
+    full = peak.isNull() | (F.col("_s") >= peak + _MARGIN)
     flagged = level.withColumn("_full", F.when(full, 1).otherwise(0))
     return running(flagged, key, order, segment, total={"_run": "_full"}).drop("_one", "_count", "_s", "_peak", "_full")
 
@@ -89,6 +98,9 @@ class Bucket:
         return (True, math.floor(self.level), full_at, -1) if allowed else (False, 0, full_at, math.ceil(self._until(1)))
 
 
+BUCKET_KEY = ["tenant_id", "endpoint"]
+
+
 def token_bucket(requests: DataFrame, segment_seconds: int | None = None) -> DataFrame:
     """Token bucket per (tenant, endpoint): each request ``(tenant_id, endpoint, ts, request_id,
     limit_per_minute)`` gets allowed, remaining, reset_at and retry_after.
@@ -97,31 +109,51 @@ def token_bucket(requests: DataFrame, segment_seconds: int | None = None) -> Dat
     through each task in order with one bucket in memory; a run is never collected. The requests are a
     stored table.
     """
-    slim = requests.select("tenant_id", "endpoint", "ts", "request_id", "limit_per_minute")
+    return continued_bucket(requests, None, segment_seconds).drop("level", "at")
+
+
+def continued_bucket(requests: DataFrame, buckets: DataFrame | None, segment_seconds: int | None = None) -> DataFrame:
+    """``token_bucket`` of requests that follow earlier ones: ``buckets`` has the level of each key's bucket and the time
+    (seconds) at which it was that; keys without one are full. The result has both after every request."""
+    slim = requests.select(*BUCKET_KEY, "ts", "request_id", "limit_per_minute")
+    if buckets is None:
+        slim = slim.withColumns({"_level": F.lit(None).cast("double"), "_at": F.lit(None).cast("double")})
+    else:
+        levels = buckets.select(*BUCKET_KEY, F.col("level").alias("_level"), F.col("at").alias("_at"))
+        slim = cut(slim.join(levels, BUCKET_KEY, "left"), "requests")
     runs = _independent_runs(slim, segment_of(slim, "ts", segment_seconds))
     timed = runs.withColumn("_now", F.unix_micros("ts"))
-    key = ["tenant_id", "endpoint", "_run"]
+    key = [*BUCKET_KEY, "_run"]
     placed = timed.repartition(*key).sortWithinPartitions(*key, "ts", "request_id")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, bucket = None, None
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*key, "limit_per_minute", "_now")]
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*key, "limit_per_minute", "_now", "_level", "_at")]
             out = []
-            for tenant, endpoint, run, limit, micros in zip(*columns):
+            for tenant, endpoint, run, limit, micros, level, at in zip(*columns):
                 now = micros / 1e6
                 if (tenant, endpoint, run) != current:
-                    current, bucket = (tenant, endpoint, run), Bucket(limit, now)
+                    current = (tenant, endpoint, run)
+                    # Only the first run goes on from an earlier level; each later one begins full.
+                    bucket = Bucket(limit, at, level) if run == 0 and level is not None else Bucket(limit, now)
                 bucket.limit = limit
-                out.append(bucket.request(now))
-            names = ["tenant_id", "endpoint", "ts", "request_id", "limit_per_minute"]
+                out.append((*bucket.request(now), bucket.level, bucket.at))
+            names = [*BUCKET_KEY, "ts", "request_id", "limit_per_minute"]
             kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+            types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             added = [pa.array([row[i] for row in out], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays(kept + added, names=[*names, "allowed", "remaining", "reset_at", "retry_after"])
+            yield pa.RecordBatch.from_arrays(kept + added, names=[*names, "allowed", "remaining", "reset_at", "retry_after", "level", "at"])
+
+    base = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema if not f.name.startswith("_"))
+    return placed.mapInArrow(fold, f"{base}, allowed boolean, remaining bigint, reset_at bigint, retry_after bigint, level double, at double")
+
+
+def bucket_levels(granted: DataFrame) -> DataFrame:
+    """The last level of each key of ``continued_bucket``, for the requests to come."""
+    last = granted.groupBy(*BUCKET_KEY).agg(F.max(F.struct("ts", "request_id", "level", "at")).alias("last"))
+    return last.select(*BUCKET_KEY, "last.level", "last.at")
 
-    base = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema if f.name not in ("_run", "_now"))
-    return placed.mapInArrow(fold, f"{base}, allowed boolean, remaining bigint, reset_at bigint, retry_after bigint")
 
 
 def request_counts(requests: DataFrame, by: list[str]) -> DataFrame:

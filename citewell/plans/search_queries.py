@@ -10,7 +10,7 @@ from citewell.operators import ingest, lexical, neighbours, search
 from citewell.operators.ordered import running, time_segment, position, top_n
 from citewell.plans import inputs as i
 from citewell.plans.catalog import query
-from citewell.sources.tables import cut
+from citewell.sources.tables import cut, shared_dir
 
 N = 10
 
@@ -121,6 +121,17 @@ def bm25(spark, sf):
     return lexical.bm25(i.search_queries(spark, sf), posts, stats, N).withColumn("score", F.round("score", 6))
 
 
+@query("R2_block_max", i.cte(i.DOC_VERSIONS, i.QUERIES, WORD, select=top_sql("raw", "10")))
+def block_max(spark, sf):
+    """The same answers from postings in blocks, most of which are not read."""
+    entries = cut(lexical.lexical_entries(latest(spark, sf)), "tokens")
+    stats = lexical.corpus_stats(entries)
+    path = shared_dir(spark, "blocks")
+    tops = cut(lexical.block_postings(entries, stats, path), "tops")
+    found, _ = lexical.block_max_bm25(i.search_queries(spark, sf), tops, stats, path, N)
+    return found.withColumn("score", F.round("score", 6))
+
+
 RANKED = """word_top AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, document_id, version) AS rank,
          round(raw_score / max(raw_score) OVER (PARTITION BY query_id), 9) AS score FROM raw),
@@ -175,33 +186,23 @@ def fielded(spark, sf):
 @query(
     "R4_hybrid_by_version",
     i.cte(
-        VECTOR_NEAR,
-        """near_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM near) WHERE rank <= 20),
-far_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank
-  FROM (SELECT q.vec_id AS query_id, 'v' || d.vec_id AS document_id, 1 AS version, round(1.0 / (1 + abs(q.vec_id - d.vec_id)), 9) AS score
-        FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id)) WHERE rank <= 20)""",
-        select="""SELECT query_id, document_id, version, round(s / max(s) OVER (PARTITION BY query_id), 6) AS score FROM (
-          SELECT query_id, document_id, version, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS s
-          FROM near_top a FULL JOIN far_top b USING (query_id, document_id, version))""",
+        i.DOC_VERSIONS, i.QUERIES, "live AS (SELECT * FROM doc_versions WHERE visible)",
+        EMBEDDED.replace("FROM latest", "FROM live"), i.near_sql("query_vec", "doc_vec"),
+        i.bm25_sql("live").replace("count(DISTINCT document_id)", "count(*)"), RANKED,
+        select="""SELECT query_id, document_id, version, round(score, 6) AS score, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, version) AS rank FROM (
+            SELECT *, round(s / max(s) OVER (PARTITION BY query_id), 9) AS score FROM (
+              SELECT query_id, document_id, version, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS s
+              FROM (SELECT * FROM near_top WHERE rank <= 20) a FULL JOIN (SELECT * FROM word_top WHERE rank <= 20) b
+                USING (query_id, document_id, version)))) WHERE rank <= 10""",
     ),
 )
 def hybrid_by_version(spark, sf):
-    """Vector neighbours fused with same-label neighbours by id distance, keyed by document and version."""
-    v = _stored_vectors(spark, sf)
-    asked = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("document_id").alias("skip_id"))
-    near = neighbours.knn(asked, v, 2 * N)
-    e = i.table(spark, sf, "embeddings")
-    # The nearest ids of the same label are within the 20 before and the 20 after in label order.
-    numbered = running(e.select("label", "vec_id").withColumn("one", F.lit(1)), ["label"], ["vec_id"], F.floor(F.col("vec_id") / 100_000),
-                       total={"place": "one"}, stored=True)
-    reach = numbered.select("label", F.col("vec_id").alias("query_id"),
-                            F.explode(F.sequence(F.col("place") - 2 * N, F.col("place") + 2 * N)).alias("place"))
-    pairs = reach.join(numbered.select("label", "place", "vec_id"), ["label", "place"]).where("vec_id <> query_id")
-    scored = pairs.select("query_id", F.concat(F.lit("v"), "vec_id").alias("document_id"), F.lit(1).alias("version"),
-                          F.round(1.0 / (1 + F.abs(F.col("query_id") - F.col("vec_id"))), 9).alias("score"))
-    word = top_n(scored, ["query_id"], search.strict_order(), 2 * N)
-    fused = search.rrf(near, word, keys=("query_id", "document_id", "version"))
-    return fused.withColumn("score", F.round("score", 6))
+    """All versions are indexed; keyword and vector hits of the visible ones meet on document and version."""
+    d = cut(i.doc_versions(spark, sf), "versions")
+    entries = cut(lexical.lexical_entries(d), "tokens")
+    found = search.hybrid_by_version(i.search_queries(spark, sf), entries, ingest.vector_entries(d), d.where("visible"), N)
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -342,25 +343,48 @@ def candidate_lookup(spark, sf):
     return found.select("document_id", "version", "source_url", F.length("cleaned_text").alias("chars"))
 
 
+def cells_sql() -> str:
+    """The cells of ``neighbours.fit_cells`` and the pairs that meet in them, from ``vec``."""
+    product = "round(list_inner_product(a.vec, b.centre), 9)"
+    parts = [f"""sample AS (
+  SELECT *, row_number() OVER (ORDER BY md5(document_id || '/' || version)) AS place FROM vec
+  QUALIFY place <= {neighbours.FIT_VECTORS}),
+centres0 AS (SELECT place AS cell, vec AS centre FROM sample
+  WHERE place <= (SELECT least({neighbours.MOST_CELLS}, greatest(1, CAST(ceil(sqrt(count(*))) AS BIGINT))) FROM vec))"""]
+    for k in range(neighbours.FIT_ROUNDS):
+        parts.append(f"""homes{k} AS (SELECT place, vec, cell FROM (
+  SELECT a.place, a.vec, b.cell, row_number() OVER (PARTITION BY a.place ORDER BY {product} DESC, b.cell) AS r FROM sample a, centres{k} b) WHERE r = 1),
+sums{k} AS (SELECT cell, list(s ORDER BY j) AS total FROM (
+  SELECT cell, j, sum(vec[j]) AS s FROM (SELECT cell, vec, unnest(range(1, len(vec) + 1)) AS j FROM homes{k}) GROUP BY cell, j) GROUP BY cell),
+centres{k + 1} AS (SELECT c.cell, CASE WHEN list_inner_product(total, total) > 0
+    THEN list_transform(total, lambda x: x / sqrt(list_inner_product(total, total))) ELSE centre END AS centre
+  FROM centres{k} c LEFT JOIN sums{k} USING (cell))""")
+    last = f"centres{neighbours.FIT_ROUNDS}"
+    parts.append(f"""ranked_cells AS MATERIALIZED (
+  SELECT a.vec_id, a.document_id, b.cell, row_number() OVER (PARTITION BY a.vec_id ORDER BY {product} DESC, b.cell) AS r FROM vec a, {last} b),
+sample_near AS (SELECT q.vec_id AS query_id, d.vec_id,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.vec, d.vec), 9) DESC, d.place) AS r
+  FROM sample q, sample d WHERE q.place <= {neighbours.FIT_QUERIES} AND q.place <> d.place),
+needed AS (SELECT c.r AS cells, row_number() OVER (ORDER BY c.r) AS place, count(*) OVER () AS n FROM sample_near s
+  JOIN ranked_cells h ON h.vec_id = s.vec_id AND h.r = 1 JOIN ranked_cells c ON c.vec_id = s.query_id AND c.cell = h.cell WHERE s.r <= 10),
+met AS (SELECT c.vec_id AS query_id, h.document_id FROM ranked_cells c JOIN ranked_cells h ON h.r = 1 AND h.cell = c.cell
+  WHERE c.r <= (SELECT cells FROM needed WHERE place = CAST(ceil({neighbours.RECALL} * n) AS BIGINT)))""")
+    return ",\n".join(parts)
+
+
 @query(
     "R10_approximate_neighbours",
     i.cte(
         VECTOR_NEAR,
-        """planes AS (
-  SELECT t, b, list(CASE WHEN substr(md5(t || ':' || b || ':' || c), 1, 1) >= '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY c) AS signs
-  FROM range(8) x(t), range((SELECT greatest(8, CAST(ceil(log2(count(*))) AS BIGINT) - 5) FROM vec)) y(b), range(64) z(c) GROUP BY ALL),
-buckets AS (
-  SELECT vec_id, document_id, t, sum(CASE WHEN list_inner_product(vec, signs) >= 0 THEN 1 << CAST(b AS INTEGER) ELSE 0 END) AS bucket
-  FROM vec, planes GROUP BY ALL),
-met AS (SELECT DISTINCT q.vec_id AS query_id, d.document_id FROM buckets q JOIN buckets d USING (t, bucket))""",
+        cells_sql(),
         select="""SELECT query_id, document_id, rank, round(score, 6) AS score FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, version) AS rank
         FROM near JOIN met USING (query_id, document_id)) WHERE rank <= 10""",
     ),
 )
 def approximate(spark, sf):
-    """Neighbours by hash buckets of planes that SQL draws alike; a test compares with the exact search."""
-    v = _stored_vectors(spark, sf)
+    """Neighbours by an inverted file whose cells SQL fits alike; a test measures its recall against the exact search."""
+    v = cut(_stored_vectors(spark, sf))
     asked = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("document_id").alias("skip_id"))
     found = neighbours.approximate_neighbours(asked, v, N)
     return found.select("query_id", "document_id", "rank", F.round("score", 6).alias("score"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from citewell.operators import audit, ingest, lexical, usage
 from citewell.plans import inputs as i
 from citewell.plans.catalog import query
-from citewell.schemas import STORED_VERSIONS
 from citewell.sources import messages, tables
+from citewell.streaming import jobs
 
 
 @query("S1_raw_page_scan", "SELECT page_id, url, length(html) AS chars FROM pages")
@@ -83,15 +83,12 @@ def dead_letters(spark, sf):
     i.cte(i.NUMBERED, select="SELECT document_id, source_url, version, content_hash FROM page_versions"),
 )
 def version_snapshot(spark, sf):
-    """Three crawls, each merged into the snapshot of the one before."""
-    root = tables.shared_dir(spark, "snapshots")
+    """Three crawls, each merged into the parts of the version table that hold its URLs; the last one runs twice."""
+    store = jobs.versions_table(spark, tables.shared_dir(spark, "store"), 16)
     seen = tables.cut(i.observations(spark, sf))
-    for number in range(3):
-        stored = tables.read_snapshot(spark, root, number, STORED_VERSIONS)
-        merged, _ = ingest.merge_versions(stored, seen.where(F.col("pass") == number))
-        tables.write_snapshot(merged, root, number)
-    last = tables.read_snapshot(spark, root, 3, STORED_VERSIONS)
-    return last.select("document_id", "source_url", "version", "content_hash")
+    for number in (0, 1, 2, 2):
+        store.update(number, seen.where(F.col("pass") == number), lambda stored, new: ingest.merge_versions(stored, new)[0])
+    return store.read().select("document_id", "source_url", "version", "content_hash")
 
 
 @query(
@@ -208,9 +205,10 @@ def audit_sink(spark, sf):
 def metering_sink(spark, sf):
     """The log delivered twice over; each key is stored once."""
     path = tables.shared_dir(spark, "metering")
+    keys = jobs.metering_keys(spark, path)
     r = i.retried_requests(spark, sf)
-    tables.append(usage.dedup_metering(r.where("k < 50")), path)
-    tables.append(usage.append_metering(spark.read.parquet(path), r), path)
+    for number, part in enumerate((r.where("k < 50"), r)):
+        tables.append(usage.append_metering(keys, number, part), path)
     stored = spark.read.parquet(path).groupBy("dedup_key").agg(F.count("*").cast("int").alias("stored"))
     copies = usage.billable(r).groupBy(usage.dedup_key(F.col("request_id")).alias("dedup_key")).agg(F.count("*").alias("copies"))
     return stored.join(copies, "dedup_key")

@@ -12,21 +12,21 @@ from citewell.plans.catalog import query
 from citewell.plans.catalog import SQL
 from citewell.plans.research_queries import SHUFFLED, shuffled
 from citewell.plans.usage_queries import LAST_DOCS
-from citewell.schemas import STORED_VERSIONS
 from citewell.sources import messages, tables
 from citewell.streaming import jobs
 
 
 def as_stream(spark, df, label, parts=2):
-    """A table as a file stream, and what feeds it: each call writes the rows of the next stretch of ``_at``."""
+    """A table as a file stream, and what feeds it: each call writes the rows of the next stretch of ``_at``.
+    Rows without a time come first."""
     path = tables.shared_dir(spark, label)
     edges = df.approxQuantile("_at", [j / parts for j in range(1, parts)], 0.01)
     bounds = [None, *edges, None]
 
     def stretch(low, high):
-        part = df
-        part = part.where(F.col("_at") > low) if low is not None else part
-        part = part.where(F.col("_at") <= high) if high is not None else part
+        inside = F.lit(True) if low is None else F.col("_at") > low
+        inside = inside if high is None else inside & (F.col("_at") <= high)
+        part = df.where(inside if low is not None else inside | F.col("_at").isNull())
         part.write.mode("append").parquet(path)
 
     feed = [lambda low=low, high=high: stretch(low, high) for low, high in zip(bounds, bounds[1:])]
@@ -73,17 +73,16 @@ def ingested(spark, sf):
     f"SELECT DISTINCT substr(sha256(url), 1, 32) AS document_id, url AS source_url, 1 AS version, sha256({i.CLEAN('html')}) AS content_hash FROM pages",
 )
 def ingest_stream(spark, sf):
-    """Streamed pages end up cleaned and versioned in the newest snapshot."""
-    root = ingested(spark, sf)
-    last = tables.read_snapshot(spark, f"{root}/versions", 2**31, STORED_VERSIONS)
+    """Streamed pages end up cleaned and versioned in the versions table."""
+    last = jobs.versions_table(spark, ingested(spark, sf)).read()
     return last.select("document_id", "source_url", F.col("version").cast("int").alias("version"), "content_hash")
 
 
 @query("S4_micro_batches", "SELECT count(*) AS good, (SELECT count(*) FROM benchmark) AS bad FROM (SELECT DISTINCT url FROM pages)")
 def micro_batches(spark, sf):
-    """After all batches: documents in the last snapshot, and dead letters over all batches."""
+    """After all batches: documents in the versions table, and dead letters over all batches."""
     root = ingested(spark, sf)
-    good = tables.read_snapshot(spark, f"{root}/versions", 2**31, STORED_VERSIONS).select("document_id").distinct()
+    good = jobs.versions_table(spark, root).read().select("document_id").distinct()
     bad = spark.read.schema("raw string, error string, failed_at timestamp").option("basePath", f"{root}/dead_letters").parquet(f"{root}/dead_letters/snapshot=*")
     return good.agg(F.count("*").alias("good")).withColumn("bad", bad.agg(F.count("*").alias("n")).scalar())
 
@@ -117,8 +116,9 @@ def metering_dedup(spark, sf):
 @query("ST4_token_bucket", SQL.get("M3_token_bucket"))
 def streamed_token_bucket(spark, sf):
     stream, feed = as_stream(spark, timed(i.busy_requests(spark, sf), "ts"), "requests")
-    limited = drained(spark, jobs.rate_limits(stream.drop("_at")), "limits", feed)
-    return limited.select("request_id", "allowed", "remaining", "reset_at", "retry_after")
+    root = tables.shared_dir(spark, "limits")
+    fed(lambda: jobs.rate_limits(stream.drop("_at"), root, f"{root}/checkpoint", segment_seconds=60, availableNow=True), feed)
+    return spark.read.parquet(f"{root}/answers").select("request_id", "allowed", "remaining", "reset_at", "retry_after")
 
 
 @query("ST5_retry_state", SQL.get("I12_retry_decisions"))
@@ -187,6 +187,45 @@ _alert("ST8_error_ratio_1h", 60, 10, 14.4)
 _alert("ST8_error_ratio_6h", 360, 30, 6.0)
 
 
+#: The log replayed a hundred times as fast, so that windows of minutes hold requests.
+FAST = f"""fast AS (
+  SELECT *, 1704067200000000 + (epoch_us(ts) - 1704067200000000) // 100 AS us FROM requests)"""
+
+
+def rules_sql(key: str, part: str, rules) -> str:
+    table = ", ".join(f"('{r.name}', {r.width_seconds}, {r.threshold}::DOUBLE, {r.hold_seconds}, {str(r.per_second).lower()})" for r in rules)
+    return i.cte(
+        i.REQUESTS, FAST,
+        f"""rules(rule, width, threshold, hold, per_second) AS (VALUES {table}),
+panes AS (SELECT {key} AS key, (us // 30000000 + 1) * 30 AS tick, count(*) AS n, count(*) FILTER ({part}) AS bad FROM fast GROUP BY ALL),
+ticks AS (SELECT DISTINCT rule, key, tick + 30 * unnest(range(width // 30)) AS tick FROM panes, rules),
+sums AS (SELECT t.rule, t.key, t.tick, hold, sum(n) AS total, sum(bad) AS part,
+    sum(bad) / CASE WHEN any_value(per_second) THEN any_value(width) ELSE sum(n) END > any_value(threshold) AS over
+  FROM ticks t JOIN rules USING (rule) JOIN panes p ON p.key = t.key AND p.tick > t.tick - width AND p.tick <= t.tick
+  WHERE t.tick <= (SELECT max(us) // 1000 FROM fast) / 1000.0 - 60 GROUP BY t.rule, t.key, t.tick, hold),
+runs AS (SELECT *, tick // 30 - row_number() OVER (PARTITION BY rule, key, over ORDER BY tick) AS run FROM sums)""",
+        select=f"""SELECT key, rule, {i.TS_TEXT('make_timestamp(CAST(tick AS BIGINT) * 1000000)')} AS evaluated_at, CAST(total AS BIGINT) AS requests, CAST(part AS BIGINT) AS part, over,
+          over AND tick - min(tick) OVER (PARTITION BY rule, key, over, run) >= hold AS firing FROM runs""",
+    )
+
+
+def _rules(name: str, key: tuple, part: tuple, rules):
+    @query(name, rules_sql(key[0], part[0], rules))
+    def run(spark, sf):
+        """Alert rules every 30 seconds of the log, as far as the watermark has come."""
+        base = F.unix_micros(i.start())
+        log = i.requests(spark, sf).withColumn("ts", F.timestamp_micros(base + F.floor((F.unix_micros("ts") - base) / 100)))
+        stream, feed = as_stream(spark, timed(log, "ts"), "log", 3)
+        found = drained(spark, jobs.alerts(stream, key[1](), part[1](), rules), "alerts", feed)
+        return found.select("key", "rule", i.ts_text(F.col("evaluated_at")).alias("evaluated_at"), F.col("total").alias("requests"), "part", "over", "firing")
+
+
+ALL = ("'all'", lambda: F.lit("all"))
+_rules("ST8_burn_rates", ALL, ("response_status >= 500", lambda: F.col("response_status") >= 500), jobs.BURN_RULES)
+_rules("ST8_rejections_by_tenant", ("tenant_id", lambda: F.col("tenant_id")), ("k < 12", lambda: F.col("k") < 12), jobs.REJECTION_RULES)
+_rules("ST8_dead_letters", ALL, ("endpoint = '/v1/error'", lambda: F.col("endpoint") == "/v1/error"), jobs.DEAD_LETTER_RULES)
+
+
 @query(
     "ST9_order_guard",
     i.cte(

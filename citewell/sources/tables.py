@@ -47,12 +47,19 @@ def release_cuts(spark: SparkSession) -> int:
     """Delete the tables ``cut`` has written so far; for the end of a job, when its results are stored."""
     released = 0
     while _CUTS:
-        _delete(spark, _CUTS.pop())
+        delete(spark, _CUTS.pop())
         released += 1
     return released
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -99,7 +106,7 @@ def read_cleaned_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def drop_tenant(spark: SparkSession, path: str, tenant_id: str) -> None:
     """Delete one tenant's partition directory; the others stay as they are."""
-    _delete(spark, f"{path}/tenant_id={tenant_id}")
+    delete(spark, f"{path}/tenant_id={tenant_id}")
 
 
 def write_postings(posting_rows: DataFrame, path: str) -> None:
@@ -114,18 +121,6 @@ def write_snapshot(df: DataFrame, root: str, number: int) -> str:
     return path
 
 
-def read_snapshot(spark: SparkSession, root: str, number: int, schema: T.StructType) -> DataFrame:
-    """The newest snapshot below ``number``, or an empty table."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(root)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-    older = sorted(n for n in names if n.startswith("snapshot=") and int(n[9:]) < number)
-    if not older:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{older[-1]}")
-
-
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -133,3 +128,6 @@ def append(df: DataFrame, path: str) -> None:
 def visible_documents(spark: SparkSession, path: str) -> DataFrame:
     """Stored document versions that may be searched."""
     return spark.read.parquet(path).where("visible")
+
+
+_delete = delete

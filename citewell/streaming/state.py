@@ -7,12 +7,27 @@ is dropped by an event-time timer.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from citewell.operators.usage import Bucket
+
+@dataclass(frozen=True)
+class AlertRule:
+    """Holds where the part exceeds ``threshold`` of all, or so many a second; fires once it has held ``hold_seconds``."""
+
+    name: str
+    width_seconds: int
+    threshold: float
+    hold_seconds: int
+    per_second: bool = False
+
+    def over(self, total: int, part: int) -> bool:
+        return part / (self.width_seconds if self.per_second else total) > self.threshold
+
 
 MAX_CITATIONS = 50
 MAX_DOCUMENTS = 20
@@ -52,32 +67,6 @@ class _Expiring(StatefulProcessor):
         pass
 
 
-class TokenBucket(_Expiring):
-    """State: tokens and time of the last request. A bucket unused for two minutes is full, so it is dropped."""
-
-    schema = "tokens double, last double, due bigint"
-    output = (
-        "tenant_id string, endpoint string, request_id string, micros bigint, allowed boolean, remaining bigint, "
-        "reset_at bigint, retry_after bigint"
-    )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        was = self.state.get()
-        bucket = None if was is None else Bucket(0, was[1], was[0])
-        out, micros = [], 0
-        for row in sorted(rows, key=lambda r: (r.micros, r.request_id)):
-            micros, now = row.micros, row.micros / 1e6
-            bucket = bucket or Bucket(row.limit_per_minute, now)
-            bucket.limit = row.limit_per_minute
-            allowed, remaining, reset, retry = bucket.request(now)
-            out.append(
-                Row(tenant_id=key[0], endpoint=key[1], request_id=row.request_id, micros=micros, allowed=allowed,
-                    remaining=remaining, reset_at=reset, retry_after=retry)
-            )
-        self.keep(was, (bucket.level, bucket.at, micros // 1000 + 120_000))
-        yield from out
-
-
 class RetryCounter(StatefulProcessor):
     """State: attempts since the last success or routing and the times of the last three; either ends it, nothing else."""
 
@@ -142,6 +131,81 @@ class Versions(StatefulProcessor):
         pass
 
 
+class Alerts(StatefulProcessor):
+    """State: a key's panes of the widest window, the last evaluated tick, and since when each rule holds.
+
+    Each pane is counted once, whatever number of rules and widths look at it. Rules are evaluated at every tick that the
+    watermark has passed, also when nothing arrives; a key whose panes are all too old is forgotten.
+    """
+
+    schema = "ticks array<bigint>, totals array<bigint>, parts array<bigint>, done bigint, since array<bigint>, timer bigint"
+    output = "key string, rule string, micros bigint, total bigint, part bigint, over boolean, firing boolean"
+
+    def __init__(self, rules: tuple[AlertRule, ...], step_seconds: int):
+        self.rules, self.step = rules, step_seconds * 1_000_000
+        self.widest = max(r.width_seconds for r in rules) * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        panes = sorted((r.tick, r.total, r.part) for r in rows)
+        was = self.state.get()
+        if was is None:
+            held = ([], [], [], panes[0][0] - self.step, [-1] * len(self.rules), 0)
+        else:
+            held = was
+        ticks, totals, parts = (list(column) + [p[i] for p in panes] for i, column in enumerate(held[:3]))
+        yield from self.advance(key, ticks, totals, parts, *held[3:], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.state.get()
+        if held is None:
+            return
+        ticks, totals, parts, done, since, timer = held
+        # Only the timer that the state knows of is followed by another one.
+        timer = timer if timer > expiredTimerInfo.getExpiryTimeInMs() else 0
+        yield from self.advance(key, list(ticks), list(totals), list(parts), done, since, timer, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def advance(self, key, ticks, totals, parts, done, since, timer, upto) -> Iterator[Row]:
+        since = list(since)
+        # Where each rule's window begins, where all end, and the sums between.
+        first, end = [0] * len(self.rules), 0
+        total, part = [0] * len(self.rules), [0] * len(self.rules)
+        while done + self.step <= upto:
+            if end == len(ticks) and (not ticks or ticks[-1] <= done + self.step - self.widest):
+                break
+            done += self.step
+            began = end
+            while end < len(ticks) and ticks[end] <= done:
+                end += 1
+            for i, rule in enumerate(self.rules):
+                total[i] += sum(totals[began:end])
+                part[i] += sum(parts[began:end])
+                while first[i] < end and ticks[first[i]] <= done - rule.width_seconds * 1_000_000:
+                    total[i] -= totals[first[i]]
+                    part[i] -= parts[first[i]]
+                    first[i] += 1
+                over = total[i] > 0 and rule.over(total[i], part[i])
+                since[i] = -1 if not over else done if since[i] < 0 else since[i]
+                if total[i] > 0:
+                    firing = over and done - since[i] >= rule.hold_seconds * 1_000_000
+                    yield Row(key=key[0], rule=rule.name, micros=done, total=total[i], part=part[i], over=over, firing=firing)
+        old = bisect_right(ticks, done - self.widest + self.step)
+        ticks, totals, parts = ticks[old:], totals[old:], parts[old:]
+        if not ticks:
+            self.state.clear()
+            return
+        if not timer:
+            timer = (done + self.step) // 1000
+            self.handle.registerTimer(timer)
+        self.state.update((ticks, totals, parts, done, since, timer))
+
+    def close(self) -> None:
+        pass
+
+
 class SessionMemory(_Expiring):
     """State: the latest 50 citations and 20 distinct documents of a session, until it expires."""
 
