@@ -103,13 +103,29 @@ class ByteBPE:
         place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[place] == key, self.joined[place], -1)
 
+    def _first_smaller(self, rank: int, at: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Which places may be joined at once: in each pre-token those up to the first whose join brings up a smaller rank.
+
+        Joined from left to right, a place has a joined token before it if that ends where it begins, and what was there
+        all along behind it.
+        """
+        gone = right[at]
+        before = ids[left[at]]
+        before[1:] = np.where(right[gone[:-1]] == at[1:], rank, before[1:])
+        joined = np.full(len(at), rank, np.int64)
+        new = np.stack([self._rank(before, joined), self._rank(joined, ids[right[gone]])])
+        smaller = ((new >= 0) & (new < rank)).any(axis=0)
+        # Places with such a join before them in their own pre-token wait.
+        seen = np.cumsum(smaller) - smaller
+        first = np.maximum.accumulate(np.where(np.diff(owner[at], prepend=-1) != 0, np.arange(len(at)), 0))
+        return seen == seen[first]
+
     def merge(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokens, one after another, and the offset of each.
 
         All pre-tokens stand in one linked list with gaps between them. The smallest waiting rank is popped with its
         bucket; positions whose pair has changed since are stale and skipped; the others are joined from left to right, and
-        the new pairs pushed. Where a join can bring up a smaller rank, only the leftmost position of each pre-token is
-        joined and the rest wait. A pre-token of any length so costs about its length, in one list with all others.
+        the new pairs pushed. Where a join brings up a smaller rank, the positions behind it in its pre-token wait.
         """
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         starts = np.cumsum(sizes + 1) - sizes - 1  # a gap after each
@@ -138,16 +154,16 @@ class ByteBPE:
             if len(at) == 0:
                 continue
             if len(at) > 1:
-                if self.unsafe[rank]:
-                    first = np.diff(owner[at], prepend=-1) != 0
-                    if not first.all():
-                        queue.push(rank, at[~first])
-                        at = at[first]
-                else:  # of places that overlap, as in aaaa, every second one
-                    joins = right[at[:-1]] == at[1:]
-                    if joins.any():
-                        run = np.concatenate([[0], np.maximum.accumulate(np.where(joins, 0, np.arange(1, len(at))))])
-                        at = at[(np.arange(len(at)) - run) % 2 == 0]
+                waiting = at
+                joins = right[at[:-1]] == at[1:]
+                if joins.any():  # of places that overlap, as in aaaa, every second one
+                    run = np.concatenate([[0], np.maximum.accumulate(np.where(joins, 0, np.arange(1, len(at))))])
+                    at = at[(np.arange(len(at)) - run) % 2 == 0]
+                if self.unsafe[rank] and len(at) > 1:
+                    upto = self._first_smaller(rank, at, ids, left, right, owner)
+                    if not upto.all():
+                        at = at[upto]
+                        queue.push(rank, np.setdiff1d(waiting, at, assume_unique=True))
             gone = right[at]
             after = right[gone]
             ids[at], ids[gone], pair[gone] = rank, -1, -1

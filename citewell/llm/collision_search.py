@@ -32,7 +32,9 @@ def directions(dim: int) -> np.ndarray:
 
 def _sorted_projections(ids: np.ndarray, matrix: np.ndarray) -> list[np.ndarray]:
     """For each projection its sorted array: the values in order, and the place in it of every row of the shard. A further
-    component lifts all vectors to the length of the longest, so that the nearest point has the largest inner product."""
+    component lifts all vectors to the length of the longest, so that the nearest point has the largest inner product. The
+    largest component of the shard is taken as one, so that no square is lost or infinite."""
+    matrix = matrix / np.abs(matrix).max()
     squares = (matrix**2).sum(axis=1)
     lifted = np.hstack([matrix, np.sqrt(np.maximum(0.0, squares.max() - squares))[:, None]])
     values = (lifted @ directions(matrix.shape[1])).T
@@ -52,15 +54,15 @@ def shard_search(ids: np.ndarray, matrix: np.ndarray, places: np.ndarray, values
     n = len(ids)
     wanted = min(n, int(SHARE * n) + CANDIDATES * k + 1)
     # A query may have any length; at that of the vectors its order of them is the same and the windows fit.
-    length = float(np.sqrt((query**2).sum()))
-    centre = np.append(query * (np.sqrt(longest) / length), 0.0) @ directions(matrix.shape[1])
+    direction = query / np.abs(query).max()
+    centre = np.append(direction * np.sqrt(longest / (direction**2).sum()), 0.0) @ directions(matrix.shape[1])
     half, needed = FIRST * np.sqrt(longest), int(np.ceil(THRESHOLD * PROJECTIONS))
     while True:
         window = np.array([v.searchsorted((c - half, c + half)) for v, c in zip(values, centre.tolist(), strict=True)])
         # Unsigned, a place before the window wraps around and lies beyond its width.
         inside = (places - window[:, :1].astype(np.uint16)) < (window[:, 1:] - window[:, :1]).astype(np.uint16)
         hits = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= needed
-        if np.count_nonzero(hits) >= wanted or (window == (0, n)).all():
+        if np.count_nonzero(hits) >= wanted or (window[:, 1] - window[:, 0] == n).all() or not np.isfinite(half):
             break
         half *= GROWTH
     rows = np.flatnonzero(hits & (ids != q_id))

@@ -32,7 +32,7 @@ BEST = 2000
 COVERED = 80
 #: Bits of a bitmap, as a power of two (8 MB).
 BITMAP = 26
-BATCH_BYTES, CHUNK_BYTES, MEMO = 4_000_000, 2_000_000, 500_000
+BATCH_BYTES, CHUNK_BYTES, MEMO = 2_000_000, 1_000_000, 100_000
 
 BREAK = 0xFF  # never part of UTF-8
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewell.sources.tables import _delete, cut
+from citewell.sources.tables import cut, delete
 
 __all__ = ["cut", "discard", "joined_evenly", "mapped", "pieces", "read", "texts_of", "utf8"]
 
@@ -25,7 +25,7 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` wrote, once all that was made of them is written too."""
     for table in tables:
         for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
-            _delete(table.sparkSession, folder)
+            delete(table.sparkSession, folder)
 
 
 def texts_of(docs: DataFrame, *others: str) -> DataFrame:

@@ -228,11 +228,12 @@ def held_out(doc_id) -> F.Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on the documents with a label that are not held out, ``SAMPLE_DOCUMENTS`` at most. Measures of their lines, not
-    their texts, go to the driver. Labels that are NULL or neither 0 nor 1 are left out; of several, the smallest holds."""
+    """Fit on the documents with a label that are not held out, ``SAMPLE_DOCUMENTS`` at most, and of each on
+    ``SAMPLE_LINES`` lines at most, spread evenly over it. Measures of these lines, not texts, go to the driver. Of rows with
+    one doc_id the smallest text is taken. Labels that are NULL or neither 0 nor 1 are left out; of several, the smallest holds."""
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
-    sample = texts_of(docs).join(chosen, "doc_id").select("doc_id", "text", "label")
+    sample = texts_of(docs).join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
     def measure(piece: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = utf8(piece.column("text"))
@@ -245,7 +246,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
             weights.append(lines.weights[some].tobytes())
         return pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), pa.array(rows, pa.binary()), pa.array(weights, pa.binary())], names=["doc_id", "label", "measures", "weights"])
 
-    found = sorted(map(tuple, mapped(sample, measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, measures binary, weights binary").limit(2 * SAMPLE_DOCUMENTS).collect()))
+    found = sorted(map(tuple, mapped(sample, measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, measures binary, weights binary").collect()))
     if not found:
         return None
     weights = [np.frombuffer(w, np.float64) for *_, w in found]

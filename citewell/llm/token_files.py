@@ -189,7 +189,8 @@ def read_documents(files: DataFrame, doc_type: str = "bigint") -> DataFrame:
                     start = np.asarray(docs.column("at")) + row["start"]
                     yield pa.RecordBatch.from_arrays([docs.column("doc_id"), pa.array(start, pa.int64()), docs.column("n_tokens"), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = files.select("uri", "documents_uri", "start").repartition("uri")
+    # As many tasks as files: the rows are small, and Spark would put them all in one.
+    spread = files.select("uri", "documents_uri", "start").repartition(max(1, files.count()), "uri")
     return spread.mapInArrow(run, f"doc_id {doc_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -11,14 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import cut, pieces
+from citewell.llm.common import cut, joined_evenly, pieces
 
 PIECE_BYTES = 8_000_000
-#: Pages that a place must be aligned on, and the share of them with one text there, for it to be template.
-LEAST_PAGES = 4
+#: Pages with different texts that a place must be aligned on, outside and inside of articles, and the share of them with
+#: the reference page's text there, for it to be template.
+LEAST_PAGES = 3
+LEAST_INSIDE = 4
 SAME = 0.9
-#: A page with more than this share of the reference page's texts is a copy of it and tells nothing of the template.
-COPY = 0.6
+#: A page with more than this share of the reference page's texts at the places that vary is a near copy of it: what else the
+#: two have in common tells nothing of the template.
+COPY = 0.5
+#: Pages of one layout from which on it has a reference page of its own.
+LAYOUT_PAGES = 5
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,13 +43,14 @@ HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 # What is never main text, by element and by the words of class, id and role.
 DROPPED = frozenset("nav footer aside form button select dialog menu svg math object audio video canvas map head fieldset".split())
-ROLE = re.compile(
-    r"(?:^|[-_ ])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|footer|contentinfo|masthead|sidebar|aside|complementary|ads?|adverts?|advertisements?|adsense|banner|promos?|"
-    r"sponsor|sponsored|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|recommendations|"
-    r"teasers?|comment|comments|commentlist|comment-list|replies|reply|respond|disqus|widgets?|pagination|pager|toolbar|copyright|legal|skip|search|form)(?:$|[-_ ])",
-    re.IGNORECASE,
+COMMENTS = frozenset("comment comments commentlist replies reply respond disqus".split())
+ROLES = COMMENTS | frozenset(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs footer contentinfo masthead sidebar aside complementary ad ads advert adverts advertisement "
+    "advertisements adsense banner promo promos sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup "
+    "login share sharing social related recommended recommendations teaser teasers widget widgets pagination pager toolbar copyright legal skip search form".split()
 )
-HEADER = re.compile(r"(?:^|[-_ ])(?:header)(?:$|[-_ ])", re.IGNORECASE)
+#: Words before a hyphen that say what a page has or is about, not what an element is.
+ABOUT = frozenset("has no with without is not category cat tag topic post-type type format author id page".split())
 
 TOKEN = re.compile(r"""<(?:!--(?s:.)*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>)""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -52,18 +59,31 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|
 class Block:
     """A block element: its mark for alignment, its content as text runs and blocks in order."""
 
-    __slots__ = ("content", "kids", "mark", "number", "roles", "tag")
+    __slots__ = ("content", "inside", "kids", "mark", "number", "roles", "size", "tag")
 
-    def __init__(self, tag: str, mark: str = "", roles: str = ""):
+    def __init__(self, tag: str, mark: str = "", roles: frozenset[str] = frozenset()):
         self.tag, self.mark, self.roles = tag, mark, roles
         self.content: list[str | Block] = []
         self.kids: list[Block] = []
-        self.number = -1
+        #: Its place in the page, whether it is in an article, and the length of all text in it.
+        self.number, self.inside, self.size = -1, False, 0
 
     def own_text(self) -> str:
         return " ".join("".join(x for x in self.content if isinstance(x, str)).split())
 
 
+@lru_cache(maxsize=4096)
+def roles_of(names: str) -> frozenset[str]:
+    """What classes, id and role say an element is: words of ``ROLES``, alone or as the last part of a name (main-nav), but
+    not where the name tells what the page has (has-sidebar) or is about (category-social)."""
+    found = set()
+    for name in names.lower().split():
+        first, _, last = name.replace("_", "-").rpartition("-")
+        if (last in ROLES or last == "header") and first.split("-")[0] not in ABOUT:
+            found.add(last)
+    return frozenset(found)
+
+
 def parse(page: str) -> Block:
     """The block elements of a page. Inline elements leave only their text, and a line break a space; raw elements leave
     nothing. End tags that may be left out are understood, stray ones ignored; a page may break off anywhere."""
@@ -107,13 +127,13 @@ def parse(page: str) -> Block:
                     continue
             elif not closed or above in SCOPE.get(tag, frozenset(["table", "select"])):
                 break
-        marks = roles = ""
+        marks, roles = "", frozenset()
         if found[3].strip(" /"):
             values = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(found[3])}
             marks = " ".join(sorted(values.get("class", "").split()))
-            roles = " ".join([marks, values.get("id", ""), values.get("role", "")]).strip()
+            roles = roles_of(" ".join([marks, values.get("id", ""), values.get("role", "")]))
             if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower():
-                roles += " popup"
+                roles |= {"popup"}
         node = Block(tag, f"{tag} {marks}", roles)
         stack[-1].content.append(node)
         stack[-1].kids.append(node)
@@ -186,80 +206,113 @@ def aligned(a: Block, b: Block) -> list[tuple[Block, Block]]:
 
 
 def numbered(root: Block) -> list[Block]:
-    """All nodes, each numbered by its place before those below and after it."""
-    nodes, todo = [], [root]
+    """All nodes, each numbered by its place before those below and after it, with what it holds."""
+    nodes, todo = [], [(root, False)]
     while todo:
-        node = todo.pop()
-        node.number = len(nodes)
+        node, inside = todo.pop()
+        node.number, node.inside = len(nodes), inside or node.tag in ("article", "main")
         nodes.append(node)
-        todo += reversed(node.kids)
+        todo += [(kid, node.inside) for kid in reversed(node.kids)]
+    for node in reversed(nodes):
+        node.size = len(node.own_text()) + sum(kid.size for kid in node.kids)
     return nodes
 
 
+class Page:
+    """A parsed page: its nodes, and the texts at those places that could be main text."""
+
+    def __init__(self, page: str):
+        self.root = parse(page)
+        self.nodes = numbered(self.root)
+        shown: set[int] = set()
+        _blocks(self.root, self.root.size, frozenset(), [], shown)
+        self.texts = {x.number: text for x in self.nodes if x.number in shown and (text := x.own_text())}
+
+    def signature(self) -> int:
+        """Equal for pages of equal texts."""
+        return int.from_bytes(hashlib.blake2b("\n".join(self.texts.values()).encode(), digest_size=8).digest(), "big", signed=True)
+
+
 @lru_cache(maxsize=64)
-def _reference(page: str) -> tuple[Block, dict[int, str]]:
-    """A parsed page and the texts at those of its places that could be main text."""
-    root = parse(page)
-    nodes, shown = numbered(root), set()
-    regions = _regions(root)
-    for region in regions or [root]:
-        _blocks(region, bool(regions), set(), [], shown)
-    return root, {x.number: text for x in nodes if id(x) in shown and (text := x.own_text())}
-
-
-def compared(reference: str, page: str) -> list[tuple[int, bool]]:
-    """(place in the reference, whether the page has the same text there) for every aligned place of main text; nothing if
-    the page is a copy of the reference."""
-    root, texts = _reference(reference)
-    other = parse(page)
-    found = []
-    for x, y in aligned(root, other):
-        if x.number in texts:
-            found.append((x.number, y.own_text() == texts[x.number]))
-    return [] if sum(s for *_, s in found) > COPY * len(texts) else found
-
-
-def extract(page: str, reference: str | None = None, template: frozenset[int] = frozenset()) -> str:
-    """The main text of a page. ``template``: places of the reference whose text is that of the host, not of the page."""
-    root = parse(page)
-    gone = set()
+def _reference(page: str) -> Page:
+    return Page(page)
+
+
+def compared(reference: str, page: str) -> tuple[int, list[int], list[int]]:
+    """Signature of a page, the places of the reference's texts that it is aligned with, and those where it has the same."""
+    base, other = _reference(reference), Page(page)
+    found = [(x.number, y.own_text() == base.texts[x.number]) for x, y in aligned(base.root, other.root) if x.number in base.texts]
+    return other.signature(), [n for n, _ in found], [n for n, same in found if same]
+
+
+def extract(page: str, reference: str | None = None, template: frozenset[int] = frozenset(), firm: frozenset[int] = frozenset()) -> str:
+    """The main text of a page. ``template``: places of the reference whose text is that of the host, not of the page;
+    inside of articles only the ``firm`` ones of them, and none where they are most of an article, since that is a copy."""
+    own = Page(page)
+    gone: set[int] = set()
     if reference is not None and template:
-        base, texts = _reference(reference)
-        gone = {id(y) for x, y in aligned(base, root) if x.number in template and y.own_text() == texts[x.number]}
-    blocks = []
-    regions = _regions(root)
-    for region in regions or [root]:
-        _blocks(region, bool(regions), gone, blocks)
+        base = _reference(reference)
+        same = [(x, y) for x, y in aligned(base.root, own.root) if x.number in template and y.own_text() == base.texts[x.number]]
+        gone = {y.number for _, y in same if not y.inside}
+        firmly = {y.number for x, y in same if y.inside and x.number in firm}
+        within = sum(len(text) for n, text in own.texts.items() if own.nodes[n].inside)
+        if 2 * sum(len(own.texts.get(n, "")) for n in firmly) <= within:
+            gone |= firmly
+    blocks: list[str] = []
+    for region in _regions(own, gone):
+        _blocks(region, own.root.size, gone, blocks)
     return "\n".join(blocks)
 
 
-def _dropped(node: Block) -> bool:
-    return node.tag in DROPPED or (node.tag not in ("html", "body", "main") and bool(node.roles) and ROLE.search(node.roles) is not None)
+def _dropped(node: Block, whole: int) -> bool:
+    """Whether an element is of a kind that is never main text. A form, or an element only named so, that holds most of all
+    text is no such part of the page."""
+    if node.tag in ("html", "body", "main"):
+        return False
+    if node.roles & COMMENTS or (node.tag in DROPPED and node.tag != "form"):
+        return True
+    return (node.tag == "form" or bool(node.roles - {"header"})) and 2 * node.size <= whole
 
 
 def _header(node: Block) -> bool:
-    return node.tag == "header" or (bool(node.roles) and node.tag not in ("html", "body", "main", "article") and node.tag not in HEADINGS and HEADER.search(node.roles) is not None)
+    return node.tag == "header" or ("header" in node.roles and node.tag not in ("html", "body", "main", "article") and node.tag not in HEADINGS)
 
 
-def _regions(root: Block) -> list[Block]:
-    """The outermost articles that are shown; else the main elements; else none."""
-    articles, mains, todo = [], [], [root]
+def _regions(page: Page, gone: set[int]) -> list[Block]:
+    """Where the main text is: the outermost articles with titles beside them, or the main elements, if they hold half of
+    what is neither dropped nor template; else the whole page."""
+    articles, mains, titles, todo = [], [], [], [page.root]
     while todo:
         node = todo.pop()
-        if _dropped(node) or _header(node):
+        if _dropped(node, page.root.size) or _header(node):
             continue
         if node.tag == "article":
             articles.append(node)
             continue
         if node.tag == "main":
             mains.append(node)
+        if node.tag == "h1":
+            titles.append(node)
         todo += reversed(node.kids)
-    return articles or mains[:1]
+    if not articles and not mains:
+        return [page.root]
+
+    def held(regions: list[Block]) -> int:
+        blocks: list[str] = []
+        for region in regions:
+            _blocks(region, page.root.size, gone, blocks)
+        return sum(map(len, blocks))
+
+    whole = held([page.root])
+    if articles and 2 * held(articles) >= whole:
+        return sorted([*articles, *titles], key=lambda x: x.number)
+    outermost = [x for x in mains if not any(y is not x and y.number < x.number and x in y.kids for y in mains)]
+    return outermost if mains and 2 * held(outermost) >= whole else [page.root]
 
 
-def _blocks(region: Block, inside: bool, gone: set[int], blocks: list[str], used: set[int] | None = None) -> None:
-    """Append the texts of the blocks of a region in page order, and to ``used`` the elements whose text counts. Of a header
-    inside an article only headings do."""
+def _blocks(region: Block, whole: int, gone: set[int] | frozenset[int], blocks: list[str], used: set[int] | None = None) -> None:
+    """Append the texts of the blocks of a region in page order, and to ``used`` the places whose text counts. Of a header
+    inside an article or main element only headings do, of another header nothing."""
     run: list[str] = []
 
     def flush() -> None:
@@ -275,16 +328,16 @@ def _blocks(region: Block, inside: bool, gone: set[int], blocks: list[str], used
             run.append(item)
             continue
         flush()
-        if after or (item is not region and _dropped(item)):
+        if after or (item is not region and _dropped(item, whole)):
             continue
         if _header(item):
-            if not inside:
+            if not item.inside:
                 continue
             in_header = True
         todo.append((item, in_header, True))
-        shown = id(item) not in gone and (not in_header or item.tag in HEADINGS)
+        shown = item.number not in gone and (not in_header or item.tag in HEADINGS)
         if shown and used is not None:
-            used.add(id(item))
+            used.add(item.number)
         todo += [(x, in_header, False) for x in reversed(item.content) if shown or isinstance(x, Block)]
     flush()
 
@@ -294,54 +347,89 @@ def host_of(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, reference (a page) and template (places in it) of every host whose pages share texts at the same places.
+def layout_of(html) -> F.Column:
+    """A number for the block elements and classes that a page uses: pages of one template mostly have one."""
+    tags = F.array_except(F.regexp_extract_all(F.lower(html), F.lit("<([a-z][a-z0-9]*)"), 1), F.array(*[F.lit(t) for t in sorted(INLINE)]))
+    classes = F.regexp_extract_all(F.lower(html), F.lit(r"""\sclass\s*=\s*["']?([^"'>]*)"""), 1)
+    return F.xxhash64(F.array_sort(tags), F.array_sort(F.array_distinct(classes)))
+
+
+def keyed_pages(pages: DataFrame) -> DataFrame:
+    html = F.coalesce("html", F.lit(""))
+    host = F.when(html != "", host_of(F.col("url"))).otherwise(F.lit(""))
+    return pages.select("page_id", "url", html.alias("html"), F.xxhash64(html).alias("h"), host.alias("host"), F.when(host != "", layout_of(html)).otherwise(F.lit(0)).alias("layout"))
+
 
-    The host's page with the smallest (page_id, html) is the reference. Every other page of the host is aligned with it by
-    simple tree matching, and each place of the reference adds up on how many pages it was found and had the same text.
-    Places are counted where pages lie, so a host with a third of all pages sends a row per place and task.
+def references(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of every layout of a host the layout that it is compared with, ``base``, and of every base its ``reference`` page.
+
+    A layout of ``LAYOUT_PAGES`` pages is its own base, a rarer one has the host's most frequent. The reference is the page
+    of smallest (page_id, hash).
     """
-    page_id = F.coalesce(F.col("page_id"), F.lit(2**62)).alias("page_id")
-    keyed = pages.where("html IS NOT NULL AND html <> ''").select(page_id, "html", F.xxhash64("html").alias("h"), host_of(F.col("url")).alias("host")).where("host <> ''")
-    first = keyed.groupBy("host").agg(F.min(F.struct("page_id", "h")).alias("first"), F.count("*").alias("n"))
-    chosen = first.where(f"n > {LEAST_PAGES}").select("host", "first.page_id", "first.h")
+    first = F.min(F.struct(F.coalesce("page_id", F.lit(2**62)).alias("page_id"), "h")).alias("first")
+    layouts = cut(keyed.where("host <> ''").groupBy("host", "layout").agg(first, F.count("*").alias("n")), "layouts")
+    most = layouts.groupBy("host").agg(F.max(F.struct("n", "layout")).alias("most"), F.sum("n").alias("all")).where(f"all > {LEAST_PAGES}")
+    own = F.when(F.col("n") >= LAYOUT_PAGES, F.col("layout")).otherwise(F.col("most.layout"))
+    based = cut(layouts.join(most, "host").select("host", "layout", own.alias("base"), "first"), "bases")
+    chosen = based.where("layout = base").select("host", "base", F.col("first.page_id").alias("page_id"), F.col("first.h").alias("h"))
     # By page and not by host alone, which may have a third of all pages.
-    reference = keyed.join(chosen, ["host", "page_id", "h"]).groupBy("host").agg(F.min("html").alias("reference"))
-    reference = cut(reference, "references")
+    pages = keyed.select("host", F.coalesce("page_id", F.lit(2**62)).alias("page_id"), "h", "html").join(chosen, ["host", "page_id", "h"])
+    return based.select("host", "layout", "base"), cut(pages.groupBy("host", "base").agg(F.min("html").alias("reference")), "references")
+
+
+def templates(keyed: DataFrame, based: DataFrame, reference: DataFrame) -> DataFrame:
+    """host, base, reference, and the places in it that are template, ``template``, and surely so, ``firm``.
+
+    Every page is aligned with its reference by simple tree matching. Pages of equal texts count once. Places where some
+    page differs from the reference vary; a page that has the reference's text at most of them is a near copy and tells
+    nothing. What the other pages have in common with the reference is template, by its number of pages and share of
+    equal texts. A page becomes a row of places, and these are added up in every task before they travel.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "html", PIECE_BYTES):
-                out: dict[tuple[str, int], list[int]] = {}
-                for host, page, base in zip(*(piece.column(c).to_pylist() for c in ("host", "html", "reference")), strict=True):
-                    for place, same in compared(base, page):
-                        n = out.setdefault((host, place), [0, 0])
-                        n[0] += 1
-                        n[1] += same
-                yield pa.RecordBatch.from_pydict({
-                    "host": pa.array([k[0] for k in out], pa.string()), "place": pa.array([k[1] for k in out], pa.int64()),
-                    "n": pa.array([v[0] for v in out.values()], pa.int64()), "same": pa.array([v[1] for v in out.values()], pa.int64()),
-                })
-
-    counted = keyed.select("host", "html").join(reference, "host").mapInArrow(run, "host string, place bigint, n bigint, same bigint")
-    places = counted.groupBy("host", "place").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).where(f"n >= {LEAST_PAGES} AND same >= {SAME} * n")
-    return reference.join(places.groupBy("host").agg(F.collect_set("place").alias("template")), "host")  # bounded by one page
+                found = [compared(r, page) for page, r in zip(piece.column("html").to_pylist(), piece.column("reference").to_pylist(), strict=True)]
+                places = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("host"), piece.column("base"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], places), pa.array([x[2] for x in found], places)],
+                    names=["host", "base", "signature", "places", "same"],
+                )
+
+    met = keyed.select("host", "layout", "html").join(based, ["host", "layout"]).join(reference, ["host", "base"]).select("host", "base", "html", "reference")
+    told = met.mapInArrow(run, "host string, base bigint, signature bigint, places array<int>, same array<int>")
+    once = cut(told.groupBy("host", "base", "signature").agg(F.min(F.struct("places", "same")).alias("x")).select("host", "base", "x.places", "x.same"), "alignments")
+
+    def summed(rows: DataFrame) -> DataFrame:
+        each = rows.select("host", "base", F.explode("places").alias("place"), "same")
+        return each.groupBy("host", "base", "place").agg(F.count("*").alias("n"), F.count_if(F.array_contains("same", F.col("place"))).alias("same"))
+
+    # At most as many places as a page has.
+    varying = summed(once).where("same < n").groupBy("host", "base").agg(F.collect_set("place").alias("varying"))
+    judged = joined_evenly(once, varying, ["host", "base"])
+    alike, open_ = F.size(F.array_intersect("same", "varying")), F.size(F.array_intersect("places", "varying"))
+    evidence = judged.where(alike <= COPY * open_).drop("varying")
+    places = summed(evidence).where(f"n >= {LEAST_PAGES} AND same >= {SAME} * n")
+    sure = F.collect_set(F.when(F.col("n") >= LEAST_INSIDE, F.col("place"))).alias("firm")
+    return reference.join(places.groupBy("host", "base").agg(F.collect_set("place").alias("template"), sure), ["host", "base"])
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """For every row of pages: page_id, url and text (blocks in page order, one line each; empty if none).
 
     NULL and empty pages have an empty text; a NULL or odd url is of no host and is taken without a template, like hosts
-    with few pages; repeated pages are answered each; other columns are left aside.
+    with few pages; repeated pages are answered each; other columns are left aside. page_id must fit a bigint.
     """
-    known = cut(templates(pages), "templates")
-    keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host")).join(known, "host", "left")
+    keyed = keyed_pages(pages)
+    based, reference = references(keyed)
+    known = cut(templates(keyed, based, reference), "templates")
+    met = keyed.join(based, ["host", "layout"], "left").join(known, ["host", "base"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "html", PIECE_BYTES):
-                rows = zip(*(piece.column(c).to_pylist() for c in ("html", "reference", "template")), strict=True)
-                texts = [extract(page, base, frozenset(places or ())) for page, base, places in rows]
+                rows = zip(*(piece.column(c).to_pylist() for c in ("html", "reference", "template", "firm")), strict=True)
+                texts = [extract(page, base, frozenset(places or ()), frozenset(firm or ())) for page, base, places, firm in rows]
                 yield pa.RecordBatch.from_arrays([piece.column("page_id"), piece.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return keyed.select("page_id", "url", "html", "reference", "template").mapInArrow(run, "page_id bigint, url string, text string")
+    return met.select("page_id", "url", "html", "reference", "template", "firm").mapInArrow(run, "page_id bigint, url string, text string")

@@ -4,13 +4,17 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -78,12 +82,41 @@ def test_bpe_of_long_and_random_pretokens(library):
         assert bpe.decode(ids).decode() == one
 
 
+def test_bpe_of_one_very_long_pretoken(library):
+    """Ranks after which a smaller one can arise: one pass each, however long the pre-token is."""
+    bpe = byte_bpe.ByteBPE(byte_bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    started = time.perf_counter()
+    for unit in ("st", "il", "sta", "inst", "ers"):
+        text = unit * (400_000 // len(unit))
+        assert bpe.encode(text) == library.encode_ordinary(text)
+        bpe._forget()
+    assert time.perf_counter() - started < 60
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["st", "il", "ers", "a", "in", "the", "ation", "er", "s", "t", "e"]), st.integers(1, 30)), min_size=1, max_size=8))
+def test_bpe_of_repeated_parts(library, parts):
+    text = "".join(unit * n for unit, n in parts)
+    assert _bpe().encode_batch([text, text[::-1]])[0].tolist() == library.encode_ordinary(text)
+
+
+@lru_cache(maxsize=1)
+def _bpe():
+    return byte_bpe.ByteBPE(byte_bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+
+
 # --- token files
 
 
+def test_token_files_are_read_back_by_many_tasks(spark, documents):
+    files = token_files.write_token_files(documents.repartition(3), public_tokenizers.path(queries.WORD_TOKENIZER), queries.END_ID, length=64)
+    found = token_files.read_documents(files)
+    tasks = found.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert files.count() > 1 and tasks > 1 and found.rdd.getNumPartitions() == files.count()
+
+
 def test_token_files_equal_the_library(spark, documents, odd):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(queries.WORD_TOKENIZER))
-    tokenizer.encode_special_tokens = True
     for df in (documents, odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
         files = token_files.write_token_files(df.repartition(3), public_tokenizers.path(queries.WORD_TOKENIZER), queries.END_ID, length=64)
         start, expected = 0, []

@@ -77,6 +77,14 @@ def test_collision_search_recall(spark, folder):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("scale", [1e-200, 1e-310, 1e150, 1.0])
+def test_collision_search_ends_for_vectors_of_any_length(spark, scale):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) * scale for x in rng.normal(size=4)]) for i in range(60)]
+    found = collision_search.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0, 5)
+    assert found.count() == 15
+
+
 def test_collision_search_on_odd_rows(spark, odd):
     found = collision_search.search(odd, F.col("vec_id") % 20 == 0, 20)
     # 0 and 20 ask; 100 stands twice among the candidates and asks once.
@@ -106,6 +114,70 @@ def test_pages(spark):
     assert wrappers.main_texts(pages.limit(0)).count() == 0
 
 
+def hosted(spark, makers, n=12, host="cms.org", start=0):
+    rows = [(start + i, f"http://{host}/{i}", make(i)) for make in makers for i in range(n)]
+    return spark.createDataFrame([(k, u, h) for k, (_, u, h) in enumerate(rows)], "page_id bigint, url string, html string")
+
+
+def divs(i, constant=35, varying=12, kind="x"):
+    """A page of nothing but div elements without telling names, most of it the same on all pages of its host."""
+    menu = [f"<div>Entry {kind} {j} of the menu</div>" for j in range(constant // 2)]
+    foot = [f"<div>Notice {kind} {j} below</div>" for j in range(constant - constant // 2)]
+    return f"<html><body><div>{''.join(menu)}</div><div>{''.join(f'<div>{kind} paragraph {j} of page {i} says {i * 31 + j}</div>' for j in range(varying))}</div><div>{''.join(foot)}</div></body></html>"
+
+
+def paragraphs(i, varying=12, kind="x"):
+    return "\n".join(f"{kind} paragraph {j} of page {i} says {i * 31 + j}" for j in range(varying))
+
+
+def texts_of_pages(spark, pages):
+    return [r.text for r in wrappers.main_texts(pages).orderBy("page_id").collect()]
+
+
+def test_a_template_larger_than_its_articles_is_induced(spark, monkeypatch):
+    pages = hosted(spark, [divs])
+    assert texts_of_pages(spark, pages) == [paragraphs(i) for i in range(12)]
+    # The result comes through the template: without it, menus and notices stay.
+    real = wrappers.templates
+    monkeypatch.setattr(wrappers, "templates", lambda *tables: real(*tables).limit(0))
+    without = texts_of_pages(spark, pages)
+    assert all("Entry x 3 of the menu" in text and "Notice x 2 below" in text for text in without)
+
+
+def test_layouts_of_a_host_have_templates_of_their_own(spark):
+    """Two page types on one host, told apart by their classes, and copies that would make content look constant."""
+    other = lambda i: divs(i, 20, 8, "y").replace("<body>", "<body><div class='b'>Site B</div>").replace("<div>Entry y 0", "<div class='first'>Entry y 0")
+    pages = hosted(spark, [divs, other])
+    assert texts_of_pages(spark, pages) == [paragraphs(i) for i in range(12)] + [paragraphs(i, 8, "y") for i in range(12)]
+    copies = hosted(spark, [lambda i: divs(i if i < 6 else 3)], 40)
+    assert texts_of_pages(spark, copies) == [paragraphs(i if i < 6 else 3) for i in range(40)]
+
+
+def test_near_copies_keep_their_articles(spark):
+    body = "".join(f"<p>Sentence {j} is the same in all copies</p>" for j in range(10))
+    make = lambda i: f"<html><body><div>Our site</div><article><h1>Title</h1>{body}<p>version {i}</p></article><div>All rights</div></body></html>"
+    found = texts_of_pages(spark, hosted(spark, [make], 10))
+    assert all(text.splitlines() == ["Title", *(f"Sentence {j} is the same in all copies" for j in range(10)), f"version {i}"] for i, text in enumerate(found))
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div class='content has-sidebar'><p>Text one</p><p>Text two</p></div><div class='sidebar'>side</div></body>",
+    "<body><article class='post category-social tag-legal'><p>Text one</p><p>Text two</p></article><div class='site-footer'>foot</div></body>",
+    "<body><form action='x'><p>Text one</p><p>Text two</p><input value='v'><button>Send</button><select><option>o</select></form></body>",
+    "<body><section id='related-work'><p>Text one</p><p>Text two</p></section><nav>n</nav><div class='main-nav'>menu</div></body>",
+    "<body><main><p>Text one</p></main><main><p>Text two</p></main></body>",
+])
+def test_names_that_only_tell_about_content_drop_nothing(page):
+    assert wrappers.extract(page) == "Text one\nText two"
+
+
+def test_content_beside_a_teaser_article_stays():
+    page = "<body><h1>Head</h1><div><p>A long text that is the main thing on this page.</p><p>More of it.</p></div><article>teaser</article></body>"
+    assert wrappers.extract(page) == "Head\nA long text that is the main thing on this page.\nMore of it.\nteaser"
+    assert wrappers.extract("<body><h1>Head</h1><div>by me</div><article><p>A long text</p></article></body>") == "Head\nA long text"
+    assert wrappers.extract("<body><article><p>short</p><div class='comments'><p>a very long comment of a reader, longer than all</p></div></article></body>") == "short"
+
+
 def test_tree_matching_is_the_largest():
     a, b = (wrappers.parse(x) for x in ("<div><p>1<p>2<ul><li>3</ul><p>4</div>", "<div><h2>0</h2><p>1<ul><li>3<li>5</ul><p>4<p>6</div>"))
     pairs = wrappers.aligned(a, b)
@@ -132,7 +204,7 @@ def rounded(frame):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     assert rounded(entry_point.queries()[name](spark, FOLDER).toPandas()) == rounded(con.execute(entry_point.oracle_sql()[name]).df())
 
