@@ -128,6 +128,3 @@ def append(df: DataFrame, path: str) -> None:
 def visible_documents(spark: SparkSession, path: str) -> DataFrame:
     """Stored document versions that may be searched."""
     return spark.read.parquet(path).where("visible")
-
-
-_delete = delete
