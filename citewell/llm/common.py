@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from citewell.sources.tables import cut, delete
 
-__all__ = ["cut", "discard", "joined_evenly", "mapped", "pieces", "read", "texts_of", "utf8"]
+__all__ = ["column_of", "cut", "discard", "joined_evenly", "mapped", "pieces", "read", "texts_of", "utf8"]
 
 PIECE_BYTES = 1_500_000
 
@@ -65,6 +65,17 @@ def mapped(df: DataFrame, on_piece: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def column_of(text, on_array: Callable[[pa.Array], pa.Array], kind: str):
+    """``on_array`` over a text column where it lies, in slices of bounded size."""
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        batch = pa.record_batch([texts], names=["text"])
+        return pa.concat_arrays([on_array(piece.column(0)) for piece in pieces(batch, "text")]) if len(texts) else on_array(texts)
+
+    return run(text)
+
+
 def joined_evenly(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has one row per key, where a key may hold most rows of ``left``.
 

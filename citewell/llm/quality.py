@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import mapped, texts_of, utf8
+from citewell.llm.common import column_of, mapped, texts_of, utf8
 from citewell.llm.shingles import words
 
 #: Labelled documents that the model is fitted on, at most; those of the smallest hashes.
@@ -270,15 +270,11 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs, with all columns, whose score is at least 0.5. The score is computed where the text lies."""
+    """The rows of docs, with all columns, whose score is at least 0.5. The score is computed where the text lies, some
+    megabytes at a time. NULL and empty texts are one empty line and have a score like others; rows that repeat are judged
+    each; a NULL doc_id stays; without a model all rows stay; an empty table stays empty."""
 
-    def good(texts):
-        return (texts.groupby(np.arange(len(texts)) // 256, group_keys=False).apply(_good, model=model)) if len(texts) else texts.astype(bool)
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array(score_texts(*utf8(texts), model) >= 0.5, pa.bool_())
 
-    return docs.where(F.pandas_udf(good, "boolean")(F.coalesce("text", F.lit(""))))
-
-
-def _good(texts, model):
-    import pandas as pd
-
-    return pd.Series(score_texts(*utf8(pa.array(texts)), model) >= 0.5, index=texts.index)
+    return docs.where(column_of(F.coalesce("text", F.lit("")), good, "boolean"))

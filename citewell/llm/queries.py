@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,45 +16,59 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 
 
 def op1_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality; labels that are held out are never learned from."""
     docs = read(spark, folder, "documents")
     scored = quality.scored(docs, quality.learn(docs, read(spark, folder, "labels")))
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op2_wrapper_induction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
     return wrappers.main_texts(read(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def op3_collision_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Every twentieth vector's 20 nearest."""
     return collision_search.search(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every text, and back."""
+    import public_tokenizers
+
     return byte_bpe.digests(read(spark, folder, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 def op5_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fiftieth vector's five highest scores."""
     return exact_topk.search(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
 def op6_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight, probability and draw of every document."""
     return mixture.mixture(read(spark, folder, "documents"))
 
 
 def op7_suffix_merge_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What repeated byte strings take from every document."""
     return repeats.digests(read(spark, folder, "documents"))
 
 
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token files of all documents, read back."""
+    import public_tokenizers
+
     files = token_files.write_token_files(read(spark, folder, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID)
     return token_files.read_documents(files)
 
 
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of near copies of every document."""
     return near_duplicates.near_duplicates(read(spark, folder, "documents"))
 
 
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document."""
     return secrets.secret_spans(read(spark, folder, "documents"))
 
 
@@ -68,10 +81,12 @@ def op11_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of every language."""
     return collocations.collocations(read(spark, folder, "documents"))
 
 
 def op13_lexical_max_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """The best documents for every benchmark text."""
     return max_sketches.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 

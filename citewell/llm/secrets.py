@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import mapped, texts_of
+from citewell.llm.common import column_of, mapped, texts_of
 
 # The patterns of the known kinds, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -205,12 +205,13 @@ def without(text: str, spans: list[Span], mark: str) -> str:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in its texts replaced; all columns stay, n_chars is counted anew where there is one.
 
-    Texts without secrets, NULL and empty texts stay as they are.
+    Texts without secrets, NULL and empty texts stay as they are, and so do all rows: those that repeat are each cleaned,
+    a NULL doc_id stays, an empty table stays empty. Texts are looked at some megabytes at a time.
     """
     prior = prior_letters(docs)
 
-    def clean(texts):
-        return texts.map(lambda text: text if not text else without(text, all_spans(text, prior)[1], mark))
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([text if not text else without(text, all_spans(text, prior)[1], mark) for text in texts.to_pylist()], pa.string())
 
-    cleaned = docs.withColumn("text", F.pandas_udf(clean, "string")("text"))
+    cleaned = docs.withColumn("text", column_of(F.col("text"), clean, "string"))
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned

@@ -1,6 +1,7 @@
 """Searches and page extraction against brute force, the pipeline, and the SQL of the queries."""
 
 import math
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 import corpus_pipeline
 from citewell.llm import collision_search, exact_topk, queries, wrappers
+from tests.llm.test_texts import ODD as TEXTS
 from tests.llm.test_texts import rows_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -209,6 +211,26 @@ def test_query_equals_sql(spark, name):
     assert rounded(entry_point.queries()[name](spark, FOLDER).toPandas()) == rounded(con.execute(entry_point.oracle_sql()[name]).df())
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_on_odd_rows(spark, stage):
+    """NULLs, empty and long texts, repeated rows, clashing columns and no rows at all."""
+    docs = spark.createDataFrame(TEXTS, "doc_id bigint, text string, lang string, source string").withColumns({name: F.lit("x") for name in ("key", "hash", "label", "score", "kept", "component_id", "ids", "start", "topic")})
+    docs = docs.withColumn("n_chars", F.length("text").cast("bigint"))
+    run = corpus_pipeline.STAGES[stage][1]
+    after, none = run(spark, docs, FOLDER), run(spark, docs.limit(0), FOLDER)
+    assert none.count() == 0 and (none.columns == docs.columns) == (stage < 4)
+    rows = after.collect()
+    before = Counter((d, t) for d, t, *_ in TEXTS)
+    if stage == 4:
+        assert Counter(r.doc_id for r in rows) == Counter(d for d, *_ in TEXTS)
+    elif stage == 1:
+        assert Counter((r.doc_id, r.text) for r in rows) == before - Counter({(4, TEXTS[4][1]): 1})
+    elif stage == 2:
+        assert Counter((r.doc_id, r.text) for r in rows) == before and after.schema == docs.schema
+    else:
+        assert not Counter((r.doc_id, r.text) for r in rows) - before
+
+
 def test_pipeline_stages(spark, tmp_path):
     from citewell.llm import byte_bpe, mixture, near_duplicates, quality, secrets
     from citewell.sources.tables import cut
