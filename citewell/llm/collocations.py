@@ -2,9 +2,9 @@
 
 Words, phrases and pieces are those of ``words_of``. Counting is by top-order marginalisation: every word leads one
 window of four columns, padded where its piece ends, only these longest windows are counted, and a ROLLUP sums them up
-to the counts of all shorter phrases. A phrase that reaches ``least`` occurrences has only words and pairs that reach
-it, so windows are padded as well at words and pairs that do not. Which do is told by two bitmaps of fixed size, whatever
-the size of the corpus; a full bitmap costs work, never a count.
+to the counts of all shorter phrases. A phrase that reaches ``least`` occurrences has only words, pairs and triples that
+reach it, so windows are padded as well where these do not. Which do is told by three bitmaps of fixed size, whatever the
+size of the corpus; a full bitmap costs work, never a count.
 
 Words are 64-bit numbers while they are counted; if two words of the corpus shared one, all would be counted again by
 other numbers. NULL texts have no words, a NULL language is ``und``. Repeated rows count repeatedly, empty tables give an
@@ -88,31 +88,68 @@ def texts_by_language(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def counted(docs: DataFrame, seed: int) -> DataFrame:
-    """Occurrences ``c`` of every word (lang, word, number) and of every number of a pair of neighbours (lang and word NULL)."""
+def word_counts(docs: DataFrame, seed: int) -> DataFrame:
+    """Occurrences ``c`` of every word (lang, word, number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Numbers] = {}
         for lang, texts in by_language(batches):
             numbers = known.setdefault(lang, Numbers(lang, seed))
-            last = np.zeros(1, np.uint64)
             for words in words_of(texts):
-                codes = np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words))
-                of, at, times = np.unique(codes, return_index=True, return_counts=True)
+                of, at, times = np.unique(np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words)), return_index=True, return_counts=True)
                 kept = of > 0
                 names = [words[i].decode() for i in at[kept].tolist()]
-                codes = np.concatenate([last, codes])
-                last = codes[-1:]
-                both = (codes[:-1] > 0) & (codes[1:] > 0)
-                pairs, together = np.unique(pair_numbers(codes[:-1][both], codes[1:][both]), return_counts=True)
-                none = pa.nulls(len(pairs), pa.string())
-                columns = [pa.chunked_array([[lang] * len(names), none]), pa.chunked_array([pa.array(names, pa.string()), none]), pa.array(np.concatenate([of[kept], pairs]).view(np.int64)), pa.array(np.concatenate([times[kept], together]))]
-                yield from pa.table(columns, names=["lang", "word", "number", "c"]).combine_chunks().to_batches()
+                columns = [pa.array([lang] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(of[kept].view(np.int64)), pa.array(times[kept])]
+                yield pa.record_batch(columns, names=["lang", "word", "number", "c"])
 
     rows = texts_by_language(docs).mapInArrow(run, "lang string, word string, number bigint, c bigint")
     return rows.groupBy("lang", "word", "number").agg(F.sum("c").alias("c"))
 
 
+def coded(batches: Iterator[pa.RecordBatch], seed: int, words: Broadcast) -> Iterator[np.ndarray]:
+    """Texts as the numbers of their frequent words, with 0 for others and after each piece."""
+    known: dict[str, Numbers] = {}
+    for lang, texts in by_language(batches):
+        numbers = known.setdefault(lang, Numbers(lang, seed))
+        some = [np.fromiter(map(numbers.__getitem__, w), np.uint64, len(w)) for w in words_of(texts)]
+        codes = np.concatenate([*some, np.zeros(ORDER, np.uint64)])
+        codes[~marked(words.value, codes)] = 0
+        yield codes
+
+
+def links(codes: np.ndarray, pairs: Broadcast | None, triples: Broadcast | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each place but the last ones whether a pair that may be frequent begins there, and whether a triple does."""
+    linked = (codes[:-1] > 0) & (codes[1:] > 0)
+    if pairs is not None:
+        linked[linked] = marked(pairs.value, pair_numbers(codes[:-1][linked], codes[1:][linked]))
+    threefold = linked[:-1] & linked[1:]
+    if triples is not None:
+        threefold[threefold] = marked(triples.value, triple_numbers(codes, threefold))
+    return linked, threefold
+
+
+def triple_numbers(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return pair_numbers(pair_numbers(codes[:-2][at], codes[1:-1][at]), codes[2:][at])
+
+
+def frequent(docs: DataFrame, seed: int, least: int, words: Broadcast, pairs: Broadcast | None = None) -> Broadcast:
+    """The bitmap of pairs of frequent words, or, if that is given, of triples of such pairs, that may occur ``least`` times.
+
+    They are counted by the first 32 bits of their numbers. Those that share these are counted together, which lets one
+    pass that is too rare, and stops none that is not.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes in coded(batches, seed, words):
+            linked, threefold = links(codes, pairs, None)
+            numbers = pair_numbers(codes[:-1][linked], codes[1:][linked]) if pairs is None else triple_numbers(codes, threefold)
+            of, times = np.unique((numbers >> np.uint64(32)).astype(np.uint32), return_counts=True)
+            yield pa.record_batch([pa.array(of.view(np.int32)), pa.array(times.astype(np.int32))], names=["cell", "c"])
+
+    cells = texts_by_language(docs).mapInArrow(run, "cell int, c int").groupBy("cell").agg(F.sum("c").alias("c"))
+    return bitmap(cells.where(F.col("c") >= least).select(F.shiftleft(F.col("cell").cast("bigint"), 32).alias("number")))
+
+
 def bitmap(numbers: DataFrame) -> Broadcast:
     """A bit for each value of the first ``BITMAP`` bits of a number that occurs. No more than 2 ** 20 cells reach the driver."""
     bit = F.shiftrightunsigned("number", 64 - BITMAP)
@@ -127,22 +164,19 @@ def marked(marks: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (marks[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
-def windows(docs: DataFrame, seed: int, words: Broadcast, pairs: Broadcast) -> DataFrame:
-    """w1 to w4 for every frequent word: itself and those that follow it, 0 from where its piece or the frequent pairs end."""
+def windows(docs: DataFrame, seed: int, words: Broadcast, pairs: Broadcast, triples: Broadcast) -> DataFrame:
+    """w1 to w4 for every frequent word: itself and those that follow it, 0 from where its piece, or the words, pairs and
+    triples that may be frequent, end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Numbers] = {}
-        for lang, texts in by_language(batches):
-            numbers = known.setdefault(lang, Numbers(lang, seed))
-            some = [np.fromiter(map(numbers.__getitem__, w), np.uint64, len(w)) for w in words_of(texts)]
-            codes = np.concatenate([*some, np.zeros(ORDER, np.uint64)])
-            codes[~marked(words.value, codes)] = 0
-            linked = (codes[:-1] > 0) & (codes[1:] > 0)
-            linked[linked] = marked(pairs.value, pair_numbers(codes[:-1][linked], codes[1:][linked]))
+        for codes in coded(batches, seed, words):
+            linked, threefold = links(codes, pairs, triples)
             starts = np.flatnonzero(codes)
             columns, open_ = [codes[starts]], np.ones(len(starts), bool)
             for lead in range(1, ORDER):
                 open_ = open_ & linked[starts + lead - 1]
+                if lead > 1:
+                    open_ &= threefold[starts + lead - 2]
                 columns.append(np.where(open_, codes[starts + lead], np.uint64(0)))
             whole = pa.table([pa.array(c.view(np.int64)) for c in columns], names=WINDOW)
             yield from whole.to_batches(max_chunksize=200_000)
@@ -165,10 +199,10 @@ def phrase_counts(longest: DataFrame, least: int) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``counted``, written, with the first seed by which no two words share a number."""
+    """``word_counts``, written, with the first seed by which no two words share a number."""
     for seed in range(64):
-        counts = cut(counted(docs, seed), "word-counts")
-        shared = counts.where("word IS NOT NULL").groupBy("number").count().where("count > 1")
+        counts = cut(word_counts(docs, seed), "word-counts")
+        shared = counts.groupBy("number").count().where("count > 1")
         if shared.isEmpty():
             return counts, seed
         discard(counts)
@@ -204,17 +238,26 @@ def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST) -> DataF
     """
     counts, seed = numbered(docs)
     often = counts.where(F.col("c") >= least)
-    marks = [bitmap(often.where(kind).select("number")) for kind in ("word IS NOT NULL", "word IS NULL")]
-    phrases = cut(phrase_counts(windows(docs, seed, *marks), least), "phrases")
+    words = bitmap(often.select("number"))
+    pairs = frequent(docs, seed, least, words)
+    triples = frequent(docs, seed, least, words, pairs)
+    phrases = cut(phrase_counts(windows(docs, seed, words, pairs, triples), least), "phrases")
     kept = uncovered(scored(phrases), phrases)
-    names = often.where("word IS NOT NULL").select("lang", "word", "number")
     for i in range(ORDER):
-        word = names.select(F.col("number").alias(f"_{i}"), F.col("word").alias(f"word{i}"), *([F.col("lang").alias("lang")] if i == 0 else []))
+        word = often.select(F.col("number").alias(f"_{i}"), F.col("word").alias(f"word{i}"), *([F.col("lang").alias("lang")] if i == 0 else []))
         kept = kept.withColumn(f"_{i}", F.get("words", F.lit(i))).join(word, f"_{i}", "inner" if i == 0 else "left")
-    totals = counts.where("word IS NOT NULL").groupBy("lang").agg(F.sum("c").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("phrase", F.concat_ws(" ", *[f"word{i}" for i in range(ORDER)])).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    kept = kept.withColumn("phrase", F.concat_ws(" ", *[f"word{i}" for i in range(ORDER)])).select("lang", "phrase", "a", "l", "r", "score")
+    totals = counts.groupBy("lang").agg(F.sum("c").alias("n"))
+    return best_of(kept, best).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def best_of(phrases: DataFrame, best: int) -> DataFrame:
+    """The first ``best`` phrases of each language with their rank: first of many parts of a language, then of what they send."""
+    parts = int(phrases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    dealt = phrases.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+    first = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= best)
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= best).drop("part")
 
 
 SQL = r"""

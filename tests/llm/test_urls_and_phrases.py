@@ -149,15 +149,15 @@ def test_phrases_of_random_texts_in_small_chunks(spark, monkeypatch):
 
 
 def test_words_that_share_a_number_are_counted_again(spark, monkeypatch):
-    """``counted`` runs in tasks, so the clash is made there: the first seed maps every word to one of two numbers."""
+    """The first seed maps every word to one of two numbers."""
     rows = [("en", "a b c a b c d")] * 3
-    plain_counts = collocations.counted
+    plain_counts = collocations.word_counts
 
     def clashing(docs, seed):
         found = plain_counts(docs, seed)
         return found.withColumn("number", found["number"] % 2) if seed == 0 else found
 
-    monkeypatch.setattr(collocations, "counted", clashing)
+    monkeypatch.setattr(collocations, "word_counts", clashing)
     counts, seed = collocations.numbered(texts_table(spark, rows))
     assert seed == 1 and counts.where("word = 'a'").first().c == 6
 
