@@ -95,7 +95,7 @@ class ByteBPE:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.ids, self.at = _Known(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.known, self.ids, self.at = Known(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of tokens joined pairwise, -1 where they join to none; negative ids stand for the end of a pre-token."""
@@ -206,7 +206,7 @@ class ByteBPE:
         return gathered(self.token_bytes, self.token_at, np.asarray(ids, np.int64)).tobytes()
 
 
-class _Known(dict):
+class Known(dict):
     """The number of each pre-token; ``new`` holds those numbered since it was last emptied."""
 
     def __init__(self):

@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citewell.llm.byte_bpe import Known, gathered
 from citewell.llm.common import cut, pieces, texts_of
 from citewell.sources.tables import shared_dir
 
@@ -39,25 +40,37 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        """The empty word is number 0 and has no ids."""
+        self.known, self.ids, self.at = Known(), np.zeros(0, np.uint32), np.zeros(2, np.int64)
+        self.known[""] = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        cut_up = [text.translate(BLANKS).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ") for text in texts]
         if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
-        new = list(set().union(*cut_up) - self.known.keys())
-        self._learn([new[start : start + WORDS_AT_ONCE] for start in range(0, len(new), WORDS_AT_ONCE)])
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut_up]
-
-    def _learn(self, groups: list[list[str]]) -> None:
+            self._forget()
+        lookup = self.known.__getitem__
+        places = []
+        for text in texts:
+            words = text.translate(BLANKS).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
+            places.append(np.fromiter(map(lookup, words), np.int64, len(words)))
+        self._learn(self.known.new)
+        self.known.new = []
+        return [gathered(self.ids, self.at, place).astype("<u4").tobytes() for place in places]
+
+    def _learn(self, new: list[str]) -> None:
         """Many words as one text, since each call costs more than a word does; ids are told apart by their places."""
+        groups = [new[start : start + WORDS_AT_ONCE] for start in range(0, len(new), WORDS_AT_ONCE)]
+        ids, counts = [self.ids], []
         for words, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            packed = np.asarray(found.ids, "<u4").tobytes()
-            begins = np.fromiter(itertools.chain.from_iterable(found.offsets), np.int64, len(packed) // 2)[::2]
-            bounds = [*(4 * np.searchsorted(begins, np.cumsum(sizes) - sizes)).tolist(), len(packed)]
-            self.known.update(zip(words, [packed[a:b] for a, b in itertools.pairwise(bounds)], strict=True))
+            ids.append(np.asarray(found.ids, np.uint32))
+            begins = np.fromiter(itertools.chain.from_iterable(found.offsets), np.int64, 2 * len(ids[-1]))[::2]
+            counts.append(np.diff(np.append(np.searchsorted(begins, np.cumsum(sizes) - sizes), len(begins))))
+        self.ids = np.concatenate(ids)
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate([*counts, np.zeros(0, np.int64)]))])
 
 
 @lru_cache(maxsize=2)
@@ -72,7 +85,7 @@ class SequenceWriter:
         """``n_ids``: of the vocabulary; where all fit 16 bits, they take no more."""
         self.length, self.step = length, 4 * length * BATCH_SEQUENCES
         self.kind = np.dtype("<u2" if n_ids <= 2**16 else "<u4")
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.waiting = bytearray()
         self.n = 0
@@ -88,7 +101,7 @@ class SequenceWriter:
         real = len(ids) // 4
         padded = np.zeros(-(-real // self.length) * self.length, self.kind)
         padded[:real] = np.frombuffer(ids, "<u4")
-        mask = (np.arange(padded.size) < real).astype(np.uint8)
+        mask = np.arange(padded.size) < real
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, mask)]
         self.writer.write_batch(pa.record_batch(lists, schema=self.schema))
 
@@ -114,10 +127,10 @@ class SequenceFile:
         return self.batch
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the i-th sequence, as views."""
+        """Ids of the i-th sequence, as a view, and its mask, which takes a bit per id in the file."""
         batch, row = self._batch(i // BATCH_SEQUENCES), i % BATCH_SEQUENCES
-        one = slice(row * self.length, (row + 1) * self.length)
-        return tuple(batch.column(c).flatten().to_numpy(zero_copy_only=True)[one] for c in (0, 1))
+        ids, mask = (batch.column(c).flatten().slice(row * self.length, self.length) for c in (0, 1))
+        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
     def spans(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from place ``start`` on, as one view for each batch that holds some."""
