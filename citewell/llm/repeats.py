@@ -28,6 +28,8 @@ SALTS = 32
 
 
 STRIDE = 16
+#: Symbols by which suffixes are sorted at first.
+PREFIX = 7
 
 
 def _periodic(data: np.ndarray) -> np.ndarray:
@@ -105,31 +107,43 @@ def shard_transforms(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
 
     ``text`` holds symbols from 1 on, and after each string a 0 that ends it and equals no other. Gives each row's place in
     the text, its symbol of the Burrows-Wheeler transform (the one before the suffix; before a string, its own end) and the
-    row of the suffix that begins with that symbol. Shards are sorted by doubling prefixes, each in itself.
+    row of the suffix that begins with that symbol. Shards are sorted by their first symbols and then by doubling prefixes,
+    each in itself.
     """
     n = len(text)
     shard = np.repeat((np.cumsum(sizes + 1) - sizes - 1) // SHARD_BYTES, sizes + 1)
     ends = starts + sizes
-    order_of = text.astype(np.int64) + 256
-    order_of[ends] = 0
-    key = shard * 1024 + order_of
-    key[ends] = shard[ends] * 1024
-    # Ends are told apart by the string's number.
-    key = key * (len(starts) + 1)
-    key[ends] += np.arange(1, len(starts) + 1)
-    step = 1
+    # The shard and the first symbols as one number; a suffix that ends within them is told from all others by its string,
+    # and in the text strings stand by their numbers.
+    wide = np.zeros(n + PREFIX, np.uint64)
+    wide[:n] = text
+    left = np.repeat(ends, sizes + 1) - np.arange(n)
+    key = shard.astype(np.uint64)
+    for i in range(PREFIX):
+        key = key << np.uint64(8) | np.where(i <= left, wide[i : n + i], np.uint64(0))
+    rows = np.argsort(key, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = key[rows][1:] != key[rows][:-1]
+    short = left[rows] < PREFIX
+    new |= short
+    new[1:] |= short[:-1]
+    step = PREFIX
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    rank[rows] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     while True:
-        rows = np.argsort(key, kind="stable")
-        new = np.ones(n, bool)
-        new[1:] = key[rows][1:] != key[rows][:-1]
-        rank = np.empty(n, np.int64)
-        rank[rows] = np.cumsum(new) - 1
-        if new.all():
+        # Only suffixes that still equal a neighbour are sorted on, each group in its own places.
+        waiting = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if len(waiting) == 0:
             break
-        ahead = np.zeros(n, np.int64)
-        ahead[:-step] = rank[step:] + 1
-        key = rank * (n + 1) + ahead
+        some = rows[waiting]
+        key = rank[some] * (n + 1) + rank[np.minimum(some + step, n)] + 1
+        order = np.argsort(key, kind="stable")
+        rows[waiting], key = some[order], key[order]
+        new[waiting] = np.append(True, key[1:] != key[:-1])
+        rank[rows[waiting]] = waiting[np.maximum.accumulate(np.where(new[waiting], np.arange(len(waiting)), 0))]
         step *= 2
+    rank = rank[:n]
     before = np.arange(-1, n - 1)
     before[starts] = ends
     symbols = text[before]
@@ -137,8 +151,8 @@ def shard_transforms(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
 
 
 def merged_blocks(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the text in the order of the merged shards, and whether each begins a new block: places in one block have
-    the same first ``LENGTH`` bytes.
+    """Places of the text in the order of the merged shards, and whether each begins a new block: places in one block, two at
+    least, have the same first ``LENGTH`` bytes.
 
     The transforms are merged by refining how their rows interleave: rows ordered by their first k symbols, dealt stably by
     the symbol before them, are the rows ordered by their first k + 1. A block is split where the dealt symbols differ, so
@@ -150,18 +164,23 @@ def merged_blocks(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tu
     back = back[back].astype(np.int32)
     at = np.arange(len(rows), dtype=np.int32)
     block = np.zeros(len(rows), np.int32)
+    new = np.zeros(len(rows), bool)
     for _ in range(LENGTH // 2):
         dealt = pair[at]
         order = np.argsort(dealt, kind="stable")
         dealt, block, was = dealt[order], block[order], at[order]
-        new = np.empty(len(rows), bool)
-        new[0] = True
+        new = np.empty(len(was), bool)
+        new[:1] = True
         new[1:] = (dealt[1:] != dealt[:-1]) | (block[1:] != block[:-1])
         alone = ended[was]
         new |= alone
         new[1:] |= alone[:-1]
-        block = np.cumsum(new, dtype=np.int32)
-        at = back[was]
+        # What is longer on the left of a block of one is a block of one as well: such rows are done.
+        open_ = ~(new & np.append(new[1:], True))
+        block = np.cumsum(new, dtype=np.int32)[open_]
+        at, new = back[was[open_]], new[open_]
+        if len(at) == 0:
+            break
     return rows[at], new
 
 
@@ -174,10 +193,7 @@ def later_windows(strings: list[bytes], docs: np.ndarray, ats: np.ndarray) -> li
     text[np.arange(len(text)) != np.repeat(starts + sizes, sizes + 1)] = np.frombuffer(b"".join(strings), np.uint8) + 1
     places, new = merged_blocks(text, starts, sizes)
     string = np.repeat(np.arange(len(strings)), sizes + 1)[places]
-    size_of_block = np.diff(np.append(np.flatnonzero(new), len(new)))
-    block = np.cumsum(new) - 1
-    common = size_of_block[block] > 1
-    places, string, block = places[common], string[common], block[common]
+    block = np.cumsum(new)
     doc, at = docs[string], ats[string] + places - starts[string]
     order = np.lexsort((at, doc, block))
     doc, at, block, string = doc[order], at[order], block[order], string[order]
