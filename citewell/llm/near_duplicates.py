@@ -22,8 +22,9 @@ PERCENT = 75
 #: Pairs whose sketches agree in fewer coordinates are not confirmed: at the similarity asked for, 96 agree on average, and
 #: fewer than 72 about once in a million pairs.
 LEAST_AGREEING = 72
-#: Members of a bucket that a task holds at a time.
+#: Members of a bucket that a task holds at a time, and about the bytes of their sets.
 BLOCK = 4096
+BLOCK_BYTES = 32_000_000
 
 
 def sketches(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -125,11 +126,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _through_buckets(rows: DataFrame, values: list[str], compare: Callable, schema: str) -> DataFrame:
     """``compare(those that ask, a block)`` for every bucket (key, n) of ``rows``, both as arrays of ``values``.
 
-    A bucket is cut into blocks of about ``BLOCK`` members, held by a task one at a time; the members that ask (not in the
+    A bucket is cut into blocks of about ``BLOCK`` members, or fewer where the sets of that many would exceed
+    ``BLOCK_BYTES``, held by a task one at a time; the members that ask (not in the
     bucket's main component) pass by every block in turn.
     """
     columns = ["key", "block", "asks", *values]
-    wide = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    wide = rows.withColumn("blocks", F.ceil(F.col("n") * F.greatest(F.lit(1 / BLOCK), 8 * F.col("most") / BLOCK_BYTES)).cast("int"))
     held = wide.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(0))
     asking = wide.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(1))
     dealt = held.select(*columns).unionByName(asking.select(*columns)).repartition("key", "block").sortWithinPartitions("key", "block", "asks")
@@ -211,11 +213,11 @@ def _linked(key: int, some: list[np.ndarray], block: list[np.ndarray]) -> Iterat
 
 
 def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (key, n, doc_id, component, main) of the buckets in which not all are in the smallest one's component."""
+    """Members (key, n, most, doc_id, component, main) of the buckets in which not all are in the smallest one's component."""
     placed = members.where("n > 2").join(components(links), "doc_id", "left").withColumn("component", F.coalesce("component_id", "doc_id"))
     main = placed.where("doc_id = pivot").select("key", F.col("component").alias("main")).distinct()
     outside = placed.join(main, "key").where("component <> main").select("key").distinct()
-    return cut(placed.join(outside, "key", "left_semi").join(main, "key").select("key", "doc_id", "n", "component", "main"), "mixed")
+    return cut(placed.join(outside, "key", "left_semi").join(main, "key").select("key", "doc_id", "n", "most", "component", "main"), "mixed")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -238,9 +240,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members_of = real.select("doc_id", "set_hash").join(copied, "set_hash").where("doc_id <> rep").select("doc_id", "rep").distinct()
     alone = cut(members_of, "copies")
     nodes = real.join(alone.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
-    bucket = nodes.select("doc_id", F.explode("bands").alias("key"))
-    keys = bucket.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other"), F.count("*").alias("n")).where("other <> pivot")
-    members = cut(bucket.join(keys.drop("other"), "key"), "buckets")
+    bucket = nodes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
+    keys = bucket.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other"), F.count("*").alias("n"), F.max("n_shingles").alias("most")).where("other <> pivot")
+    members = cut(bucket.drop("n_shingles").join(keys.drop("other"), "key"), "buckets")
     tested = cut(members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     alike = cut(_alike(tested, signed), "pairs")
     needed = alike.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.where("n > 2").select("doc_id")).distinct()
@@ -261,6 +263,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """docs, with all columns, without the documents that are near-copies of a smaller doc_id."""
+    """docs, with all columns, without the documents that are near-copies of a smaller doc_id.
+
+    NULL and empty texts and rows without an id are copies of nothing and stay; rows of one doc_id stay or go together."""
     gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
