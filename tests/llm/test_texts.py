@@ -109,7 +109,9 @@ def _bpe():
 
 
 def test_token_files_are_read_back_by_many_tasks(spark, documents):
-    files = token_files.write_token_files(documents.repartition(3), public_tokenizers.path(queries.WORD_TOKENIZER), queries.END_ID, length=64)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = token_files.write_token_files(documents, public_tokenizers.path(queries.WORD_TOKENIZER), queries.END_ID, length=64)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     found = token_files.read_documents(files)
     tasks = found.select(F.spark_partition_id().alias("task")).distinct().count()
     assert files.count() > 1 and tasks > 1 and found.rdd.getNumPartitions() == files.count()
@@ -155,6 +157,25 @@ def test_token_files_of_odd_rows_and_random_access(spark, odd):
 # --- secrets
 
 
+def test_known_secrets_of_the_table_equal_a_plain_scan(spark):
+    """All documents of two tables, scanned once more character class by character class."""
+    assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for folder in (FOLDER, FOLDER.replace("0.001", "0.01")):
+        table = spark.read.parquet(f"{folder}/documents.parquet")
+        expected = []
+        for doc_id, text in texts(table):
+            spans = [("assign", m.start(), m.end()) for m in assign.finditer(text) if len(m.group(1)) >= 8]
+            spans += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 16]
+            spans += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 32]
+            spans.sort(key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+            counts = collections.Counter(s[0] for s in spans)
+            digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+            expected.append((doc_id, counts["assign"], counts["access"], counts["hex"], digest))
+        found = secrets.secret_spans(table)
+        assert rows_of(found, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(expected, key=repr)
+        assert sum(e[1] + e[2] + e[3] for e in expected) > 0
+
+
 def test_secrets_of_known_kinds(spark, odd):
     planted = 'password = "abcdefgh1" token:short AKIAABCDEFGHIJKL12 x' + "0123456789abcdef" * 2 + " api_key='k-9' éé Secret=Zz99Zz99Zz"
     rows = spark.createDataFrame([(1, planted)], "doc_id bigint, text string").unionByName(odd.select("doc_id", "text"))
