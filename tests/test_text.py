@@ -1,5 +1,7 @@
 import hashlib
 import html
+import random
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -169,3 +171,25 @@ def test_highlight_terms_are_literal(spark):
     got = one(spark, [("a.b axb a.b", "a.b"), (r"x\Ey x", r"\E")], hl.highlights(F.col("s"), F.col("q"), reach=0), schema="s string, q string")
     assert [tuple(s) for s in got[0][0]] == [(0, 3), (8, 11)]
     assert len(got[1][0]) == 1
+
+
+def test_scans_of_many_matches_are_linear():
+    """A hundred thousand matches in one text; and a long run of what could begin an address."""
+    started = time.perf_counter()
+    assert len(pii.find("123-45-6789, " * 100_000)) == 100_000
+    assert pii.replaced("ab" * 100_000, [(2 * n, 2 * n + 1, "phone") for n in range(100_000)]) == "[REDACTED_PHONE]b" * 100_000
+    assert pii.find("a" * 300_000 + "@") == []
+    assert hl.extract("a" * 1_000_000, "aa", 5, 50) == [(0, 1_000_000)]
+    assert len(hl.extract("the cat " * 200_000, "the cat", 5, 50)) == 5
+    assert time.perf_counter() - started < 30
+
+
+def test_replacing_overlapping_spans_equals_replacing_one_by_one():
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40)))
+        spans = sorted((a := rng.randint(0, len(text)), min(len(text), a + rng.randint(0, 25)), rng.choice(["phone", "email", "x"])) for _ in range(rng.randint(0, 6)))
+        expected = text
+        for start, end, kind in reversed(spans):
+            expected = expected[:start] + pii.placeholder(kind) + expected[end:]
+        assert pii.replaced(text, spans) == expected
