@@ -106,15 +106,28 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     return rows.groupBy("lang", "word", "number").agg(F.sum("c").alias("c"))
 
 
-def coded(batches: Iterator[pa.RecordBatch], seed: int, words: Broadcast) -> Iterator[np.ndarray]:
-    """Texts as the numbers of their frequent words, with 0 for others and after each piece."""
-    known: dict[str, Numbers] = {}
-    for lang, texts in by_language(batches):
-        numbers = known.setdefault(lang, Numbers(lang, seed))
-        some = [np.fromiter(map(numbers.__getitem__, w), np.uint64, len(w)) for w in words_of(texts)]
-        codes = np.concatenate([*some, np.zeros(ORDER, np.uint64)])
-        codes[~marked(words.value, codes)] = 0
-        yield codes
+def coded(docs: DataFrame, seed: int, words: Broadcast) -> DataFrame:
+    """codes: texts as the numbers of their frequent words (unsigned, 64 bits), with 0 for others and after each piece.
+
+    Written once, so that texts are cut into words no more than twice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Numbers] = {}
+        for lang, texts in by_language(batches):
+            numbers = known.setdefault(lang, Numbers(lang, seed))
+            some = [np.fromiter(map(numbers.__getitem__, w), np.uint64, len(w)) for w in words_of(texts)]
+            codes = np.concatenate([*some, np.zeros(ORDER, np.uint64)])
+            codes[~marked(words.value, codes)] = 0
+            yield pa.record_batch([pa.array([codes.tobytes()], pa.binary())], names=["codes"])
+
+    return cut(texts_by_language(docs).mapInArrow(run, "codes binary"), "codes")
+
+
+def each(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for value in batch.column(0):
+            yield np.frombuffer(value.as_buffer(), np.uint64)
 
 
 def links(codes: np.ndarray, pairs: Broadcast | None, triples: Broadcast | None) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +145,7 @@ def triple_numbers(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return pair_numbers(pair_numbers(codes[:-2][at], codes[1:-1][at]), codes[2:][at])
 
 
-def frequent(docs: DataFrame, seed: int, least: int, words: Broadcast, pairs: Broadcast | None = None) -> Broadcast:
+def frequent(texts: DataFrame, least: int, pairs: Broadcast | None = None) -> Broadcast:
     """The bitmap of pairs of frequent words, or, if that is given, of triples of such pairs, that may occur ``least`` times.
 
     They are counted by the first 32 bits of their numbers. Those that share these are counted together, which lets one
@@ -140,13 +153,13 @@ def frequent(docs: DataFrame, seed: int, least: int, words: Broadcast, pairs: Br
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes in coded(batches, seed, words):
+        for codes in each(batches):
             linked, threefold = links(codes, pairs, None)
             numbers = pair_numbers(codes[:-1][linked], codes[1:][linked]) if pairs is None else triple_numbers(codes, threefold)
             of, times = np.unique((numbers >> np.uint64(32)).astype(np.uint32), return_counts=True)
             yield pa.record_batch([pa.array(of.view(np.int32)), pa.array(times.astype(np.int32))], names=["cell", "c"])
 
-    cells = texts_by_language(docs).mapInArrow(run, "cell int, c int").groupBy("cell").agg(F.sum("c").alias("c"))
+    cells = texts.mapInArrow(run, "cell int, c int").groupBy("cell").agg(F.sum("c").alias("c"))
     return bitmap(cells.where(F.col("c") >= least).select(F.shiftleft(F.col("cell").cast("bigint"), 32).alias("number")))
 
 
@@ -164,12 +177,12 @@ def marked(marks: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (marks[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
-def windows(docs: DataFrame, seed: int, words: Broadcast, pairs: Broadcast, triples: Broadcast) -> DataFrame:
+def windows(texts: DataFrame, pairs: Broadcast, triples: Broadcast) -> DataFrame:
     """w1 to w4 for every frequent word: itself and those that follow it, 0 from where its piece, or the words, pairs and
     triples that may be frequent, end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes in coded(batches, seed, words):
+        for codes in each(batches):
             linked, threefold = links(codes, pairs, triples)
             starts = np.flatnonzero(codes)
             columns, open_ = [codes[starts]], np.ones(len(starts), bool)
@@ -181,7 +194,7 @@ def windows(docs: DataFrame, seed: int, words: Broadcast, pairs: Broadcast, trip
             whole = pa.table([pa.array(c.view(np.int64)) for c in columns], names=WINDOW)
             yield from whole.to_batches(max_chunksize=200_000)
 
-    return texts_by_language(docs).mapInArrow(run, ", ".join(f"{w} bigint" for w in WINDOW))
+    return texts.mapInArrow(run, ", ".join(f"{w} bigint" for w in WINDOW))
 
 
 WINDOW = [f"w{i}" for i in range(1, ORDER + 1)]
@@ -238,10 +251,11 @@ def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST) -> DataF
     """
     counts, seed = numbered(docs)
     often = counts.where(F.col("c") >= least)
-    words = bitmap(often.select("number"))
-    pairs = frequent(docs, seed, least, words)
-    triples = frequent(docs, seed, least, words, pairs)
-    phrases = cut(phrase_counts(windows(docs, seed, words, pairs, triples), least), "phrases")
+    texts = coded(docs, seed, bitmap(often.select("number")))
+    pairs = frequent(texts, least)
+    triples = frequent(texts, least, pairs)
+    phrases = cut(phrase_counts(windows(texts, pairs, triples), least), "phrases")
+    discard(texts)
     kept = uncovered(scored(phrases), phrases)
     for i in range(ORDER):
         word = often.select(F.col("number").alias(f"_{i}"), F.col("word").alias(f"word{i}"), *([F.col("lang").alias("lang")] if i == 0 else []))
