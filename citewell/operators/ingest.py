@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citewell.functions import provenance, text, vectors
-from citewell.operators.ordered import running, segment_of, top_n
+from citewell.operators.ordered import position, running, segment_of, top_n
 from citewell.sources.tables import cut
 
 
@@ -68,6 +68,18 @@ def _with_texts(rows: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(renamed, same).drop(*[f"_of_{k}" for k in keys])
 
 
+def contents_by_instant(versions: DataFrame) -> DataFrame:
+    """(document_id, source_url, version, content_hash) of each content once, numbered by the instants a document brought new ones.
+
+    Contents of one instant share a number: no clock tells which came first, and it must not hang on the batch they arrived in.
+    """
+    key = ["document_id", "created_at"]
+    firsts = cut(versions.groupBy("document_id", "source_url", "content_hash").agg(F.min("created_at").alias("created_at")), "contents")
+    instants = cut(firsts.select(*key).distinct(), "instants")
+    numbered = position(instants, ["document_id"], ["created_at"], segment_of(instants, "created_at"), "version", stored=False)
+    return firsts.join(numbered, key).select("document_id", "source_url", "version", "content_hash")
+
+
 def latest_versions(versions: DataFrame) -> DataFrame:
     """The highest version of each document."""
     return top_n(versions, ["document_id"], [F.desc("version")], 1, "_rank").drop("_rank")
