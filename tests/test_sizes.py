@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from citewell.functions.vectors import hash_embedding
-from citewell.operators import ingest, search
+from citewell.operators import ingest, lexical, search
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -40,3 +41,23 @@ def test_unknown_urls_read_no_text(spark):
     d = spark.createDataFrame([("https://a.org/x",)], "source_url string")
     asked = spark.createDataFrame([(1, "https://a.org/x"), (2, "https://b.org/x"), (3, "HTTPS://A.org/x#top")], "query_id bigint, url string")
     assert {r.query_id for r in search.unknown_urls(asked, d).collect()} == {2}
+
+
+@pytest.mark.parametrize("bounds", [{}, {"BROADCAST_TERMS": 2, "CELL_TERMS": 4, "CELL_TOKENS": 40, "HELD_SCORES": 12}])
+def test_entries_scored_where_they_lie_equal_postings(spark, monkeypatch, bounds):
+    """Copies tie across every cut; one text has no term, one query none that occurs. Neither way shuffles a posting or a part of a score."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(lexical, name, value)
+    texts = ["cat dog cat", "dog bird", "the", "cat dog cat", "bird bird cat fish", "dog bird", "fish", "cat dog cat"] * 4
+    d = spark.createDataFrame([(f"d{k * 7 % 32:02d}", 1 + k % 2, t) for k, t in enumerate(texts)], "document_id string, version int, cleaned_text string")
+    q = spark.createDataFrame([(1, "cat the dog"), (2, "dog dog bird"), (3, "whale"), (4, "fish cat"), (5, " ")], "query_id bigint, query_text string")
+    entries = lexical.lexical_entries(d).repartition(3)
+    stats, posts = lexical.corpus_stats(entries), lexical.postings(entries)
+    rows = lambda df, c: sorted((r.query_id, r.document_id, r.version, round(r[c], 8)) for r in df.collect())
+    scores = lexical.bm25_scores(q, entries, stats)
+    assert rows(scores, "raw_score") == rows(lexical.bm25_scores(q, posts, stats), "raw_score")
+    for n in (1, 3, 50):
+        got, want = (sorted(tuple(r) for r in lexical.bm25(q, x, stats, n).collect()) for x in (entries, posts))
+        assert got == want
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert bounds or "Exchange" not in plan.replace("Exchange RoundRobin", "")
