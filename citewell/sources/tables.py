@@ -12,10 +12,22 @@ from pyspark.sql import types as T
 GLOBAL_TENANT = "_global"
 CLEANED_FILE = "cleaned.txt"
 _CUTS: list[str] = []
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What is sent to Python at once. Texts take several times as much there as strings and results of their own.
+PYTHON_BATCH_BYTES = 4 * 2**20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python are bounded by bytes (Spark: 64 MB or 10,000 rows), so that a worker's memory does not grow with texts.
+    A smaller bound of the session stays."""
+    held = spark._jsparkSession.sessionState().conf().getConfString(BATCH_BYTES, "64m")
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(held) <= PYTHON_BATCH_BYTES:
+        spark.conf.set(BATCH_BYTES, str(PYTHON_BATCH_BYTES))
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A parquet table. Zone-less timestamps become instants of the session's time zone."""
+    bounded_batches(spark)
     df = spark.read.parquet(f"{root}/{name}.parquet")
     for field in df.schema:
         if isinstance(field.dataType, T.TimestampNTZType):

@@ -2,11 +2,13 @@
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from citewell.functions.vectors import hash_embedding
 from citewell.operators import ingest, lexical, search
+from citewell.sources import tables
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -61,3 +63,19 @@ def test_entries_scored_where_they_lie_equal_postings(spark, monkeypatch, bounds
         assert got == want
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert bounds or "Exchange" not in plan.replace("Exchange RoundRobin", "")
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark, tmp_path):
+    """Forty texts of 1 MB reach Python a few at a time; a smaller bound of the session stays."""
+    spark.createDataFrame([(k, "x" * 2**20) for k in range(40)], "k int, text string").coalesce(1).write.parquet(f"{tmp_path}/texts.parquet")
+    was = spark.conf.get(tables.BATCH_BYTES)
+    try:
+        df = tables.table(spark, str(tmp_path), "texts")
+        sizes = df.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches), "n bigint")
+        found = [r.n for r in sizes.collect()]
+        assert max(found) <= tables.PYTHON_BATCH_BYTES + 2 * 2**20 and sum(found) >= 40 * 2**20
+        spark.conf.set(tables.BATCH_BYTES, "1m")
+        tables.bounded_batches(spark)
+        assert spark.conf.get(tables.BATCH_BYTES) in ("1m", "1048576b")
+    finally:
+        spark.conf.set(tables.BATCH_BYTES, was)
