@@ -85,6 +85,19 @@ def latest_versions(versions: DataFrame) -> DataFrame:
     return top_n(versions, ["document_id"], [F.desc("version")], 1, "_rank").drop("_rank")
 
 
+def latest_of_stored(versions: DataFrame) -> DataFrame:
+    """The same where versions are cheap to read twice: settled on keys, so that a task neither sorts nor holds texts. Only
+    those of a number that a document has twice are sorted, to keep one."""
+    counted = versions.groupBy("document_id", "version").agg(F.count("*").alias("_n"))
+    newest = counted.groupBy(F.col("document_id").alias("_document")).agg(F.max("version").alias("_version"), F.max_by("_n", "version").alias("_n"))
+
+    def of(keys: DataFrame) -> DataFrame:
+        same = F.col("document_id").eqNullSafe(F.col("_document")) & F.col("version").eqNullSafe(F.col("_version"))
+        return versions.join(keys.hint("shuffle_hash"), same).select(*versions.columns)
+
+    return of(newest.where("_n = 1")).unionByName(latest_versions(of(newest.where("_n IS NULL OR _n > 1"))))
+
+
 def merge_versions(existing: DataFrame, batch: DataFrame, segment_seconds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Fold a batch of cleaned observations into stored versions.
 

@@ -127,3 +127,14 @@ def test_fields_of_a_document_are_scored_together(spark, monkeypatch, terms):
     found = search.fielded_bm25(q, d, 5, {"title": 2.0, "body": 1.0})
     assert sorted((r["rank"], r.query_id, r.document_id, r.version, round(r.score, 8)) for r in found.collect()) == sorted(want)
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_latest_versions_are_found_without_sorting_texts(spark):
+    """A number given twice keeps one row, a missing one is the last; texts meet keys in a hash join."""
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "x"), ("c", 3, "p"), ("c", 3, "q"), ("c", 1, "r"), (None, 1, "n"), ("d", None, "s"), ("d", 1, "t"), ("e", None, "u")]
+    d = spark.createDataFrame(rows, "document_id string, version int, cleaned_text string").repartition(3)
+    found = ingest.latest_of_stored(d)
+    got = sorted((tuple(r) for r in found.collect()), key=str)
+    assert [r[:2] for r in got] == sorted(((r.document_id, r.version) for r in ingest.latest_versions(d).collect()), key=str)
+    assert {r[2] for r in got} - {"p", "q"} == {"y", "x", "n", "t", "u"} and len(got) == 6
+    assert found._jdf.queryExecution().executedPlan().toString().count("ShuffledHashJoin") >= 2
