@@ -78,15 +78,18 @@ def running(
     total: dict[str, str] | None = None,
     peak_before: dict[str, str] | None = None,
     stored: bool = False,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add running columns per key in the total order ``order``; ``segment`` must not decrease along it.
 
     The rows are read twice, once for themselves and once for the summaries, so they are written out
-    first unless they are ``stored`` already.
+    first unless they are ``stored`` already or cheaper to work out again. Sums and maxima of earlier segments join a
+    segment as a row before its first one; with ``previous`` a join brings them.
 
     previous     out -> (column, k): the value k rows earlier
     total        out -> column: sum up to and including the row
     peak_before  out -> column: maximum over all earlier rows
+    parts        how many tasks order the segments, where the session's number would give them too much (not with ``previous``)
     """
     previous, total, peak_before = previous or {}, total or {}, peak_before or {}
     depth = max((k for _, k in previous.values()), default=0)
@@ -94,6 +97,8 @@ def running(
 
     df = df if stored else cut(df, "running")
     rows = df.withColumn(SEGMENT, segment)
+    if not previous:
+        return _carried_as_rows(df.columns, rows, keys, order, total, peak_before, parts)
     local = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
@@ -157,11 +162,34 @@ def running(
     return joined.select(*[F.col(c) for c in df.columns], *out_cols)
 
 
+def _carried_as_rows(columns: list[str], rows: DataFrame, keys: list[str], order: list[str], total: dict[str, str], peak_before: dict[str, str], parts: int | None) -> DataFrame:
+    """Running sums and maxima with one shuffle of the rows."""
+    sums = {out: F.sum(column) for out, column in total.items()} | {out: F.max(column) for out, column in peak_before.items()}
+    summaries = rows.groupBy(*keys, SEGMENT).agg(*[value.alias("_of_" + out) for out, value in sums.items()])
+    earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    carry = {"_carry_" + out: F.coalesce(F.sum("_of_" + out).over(earlier), F.lit(0)) for out in total}
+    carry |= {"_carry_" + out: F.max("_of_" + out).over(earlier) for out in peak_before}
+    carried = summaries.select(*keys, SEGMENT, *[value.alias(name) for name, value in carry.items()])
+
+    both = rows.withColumn("_row", F.lit(True)).unionByName(carried, allowMissingColumns=True)
+    both = both if parts is None else both.repartition(parts, *keys, SEGMENT)
+    local = Window.partitionBy(*keys, SEGMENT).orderBy(F.col("_row").asc_nulls_first(), *order)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    before = local.rowsBetween(Window.unboundedPreceding, -1)
+    within = {"_in_" + out: F.sum(column).over(upto) for out, column in total.items()}
+    within |= {"_in_" + out: F.max(column).over(before) for out, column in peak_before.items()}
+    within |= {name: F.first(name).over(upto) for name in carry}
+    ran = both.withColumns(within).where(F.col("_row"))
+    out_cols = [(F.coalesce(F.col("_in_" + out), F.lit(0)) + F.col("_carry_" + out)).alias(out) for out in total]
+    out_cols += [F.greatest("_in_" + out, "_carry_" + out).alias(out) for out in peak_before]
+    return ran.select(*columns, *out_cols)
+
+
 def position(
-    df: DataFrame, keys: list[str], order: list[str], segment: Column, out: str, stored: bool = False
+    df: DataFrame, keys: list[str], order: list[str], segment: Column, out: str, stored: bool = False, parts: int | None = None
 ) -> DataFrame:
     """1-based position of each row within its key."""
-    counted = running(df.withColumn("_one", F.lit(1)), keys, order, segment, total={out: "_one"}, stored=stored)
+    counted = running(df.withColumn("_one", F.lit(1)), keys, order, segment, total={out: "_one"}, stored=stored, parts=parts)
     return counted.drop("_one")
 
 
