@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citewell.llm.common import cut, discard, pieces, utf8
+from citewell.sources.tables import bounded_batches
 
 ORDER = 4
 LEAST = 30
@@ -32,7 +33,9 @@ BEST = 2000
 COVERED = 80
 #: Bits of a bitmap, as a power of two (8 MB).
 BITMAP = 26
-BATCH_BYTES, CHUNK_BYTES, MEMO = 2_000_000, 1_000_000, 100_000
+BATCH_BYTES, CHUNK_BYTES, MEMO = 2_000_000, 1_000_000, 50_000
+#: Words of a row of codes, about: readers and writers of files hold thousands of rows at a time.
+ROW_CODES = 1024
 
 BREAK = 0xFF  # never part of UTF-8
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -85,6 +88,7 @@ def pair_numbers(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def texts_by_language(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -109,7 +113,8 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
 def coded(docs: DataFrame, seed: int, words: Broadcast) -> DataFrame:
     """codes: texts as the numbers of their frequent words (unsigned, 64 bits), with 0 for others and after each piece.
 
-    Written once, so that texts are cut into words no more than twice.
+    Written once, so that texts are cut into words no more than twice. A row ends with a 0, the first one after
+    ``ROW_CODES`` words; no phrase goes on in another row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,17 +122,29 @@ def coded(docs: DataFrame, seed: int, words: Broadcast) -> DataFrame:
         for lang, texts in by_language(batches):
             numbers = known.setdefault(lang, Numbers(lang, seed))
             some = [np.fromiter(map(numbers.__getitem__, w), np.uint64, len(w)) for w in words_of(texts)]
-            codes = np.concatenate([*some, np.zeros(ORDER, np.uint64)])
+            codes = np.concatenate([*some, np.zeros(1, np.uint64)])
             codes[~marked(words.value, codes)] = 0
-            yield pa.record_batch([pa.array([codes.tobytes()], pa.binary())], names=["codes"])
+            yield pa.record_batch([rows_of(codes)], names=["codes"])
 
     return cut(texts_by_language(docs).mapInArrow(run, "codes binary"), "codes")
 
 
+def rows_of(codes: np.ndarray) -> pa.Array:
+    """Codes, the last of them 0, as binary rows that end with a 0 each."""
+    ends = np.flatnonzero(codes == 0) + 1
+    ends = ends[np.unique(np.searchsorted(ends, [*range(ROW_CODES, len(codes), ROW_CODES), len(codes)]))]
+    offsets = pa.array(np.concatenate([[0], 8 * ends]), pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets.buffers()[1], pa.py_buffer(codes)])
+
+
 def each(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The codes of each batch, one row after another, and the 0s that end the last window."""
     for batch in batches:
-        for value in batch.column(0):
-            yield np.frombuffer(value.as_buffer(), np.uint64)
+        if batch.num_rows:
+            rows = batch.column(0)
+            _, offsets, data = rows.buffers()
+            ends = np.frombuffer(offsets, np.int32)[rows.offset : rows.offset + len(rows) + 1]
+            yield np.concatenate([np.frombuffer(data, np.uint64, (ends[-1] - ends[0]) // 8, ends[0]), np.zeros(ORDER, np.uint64)])
 
 
 def links(codes: np.ndarray, pairs: Broadcast | None, triples: Broadcast | None) -> tuple[np.ndarray, np.ndarray]:

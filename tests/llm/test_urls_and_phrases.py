@@ -6,11 +6,13 @@ from collections import Counter
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from citewell.llm import collocations, max_sketches, reputation
+from citewell.sources import tables
 from tests.llm.test_texts import rows_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -261,3 +263,56 @@ def test_few_documents_are_scored_exactly(spark, monkeypatch):
         for q, b in enumerate(best.bounds(row, np.array([100]))[0]):
             keep[q].rescore(np.array([b]), np.array([d]), [c], np.array([100]))
     assert len(scored) < len(docs) * len(items) / 2
+
+
+def test_rows_of_codes_are_short_and_lose_no_window():
+    """A row ends with a 0, soon after ``ROW_CODES`` words; read in any batches, the same windows come out."""
+    rng = np.random.default_rng(5)
+    codes = rng.integers(1, 50, 40_000).astype(np.uint64)
+    codes[rng.random(len(codes)) < 0.05] = 0
+    codes[9_000:13_000] = 7  # a piece longer than a row
+    codes = np.concatenate([codes, np.zeros(1, np.uint64)])
+    rows = collocations.rows_of(codes)
+    assert b"".join(rows.to_pylist()) == codes.tobytes()
+    assert all(r.endswith(bytes(8)) for r in rows.to_pylist())
+    sizes = sorted(len(r) // 8 for r in rows.to_pylist())
+    assert len(rows) > 30 and sizes[-2] < 2 * collocations.ROW_CODES and 4_000 < sizes[-1] < 4_000 + 2 * collocations.ROW_CODES
+
+    def windows(parts):
+        found = Counter()
+        for part in collocations.each(parts):
+            assert not part[-collocations.ORDER :].any()
+            for i in np.flatnonzero(part).tolist():
+                window = part[i : i + collocations.ORDER].tolist()
+                found[tuple(window[: window.index(0)] if 0 in window else window)] += 1
+        return found
+
+    batch = pa.record_batch([rows], names=["codes"])
+    whole = windows([pa.record_batch([pa.array([codes.tobytes()], pa.binary())], names=["codes"])])
+    assert windows([batch]) == whole
+    assert windows([batch.slice(0, 7), batch.slice(7, 0), batch.slice(7)]) == whole
+    assert collocations.rows_of(np.zeros(1, np.uint64)).to_pylist() == [bytes(8)]
+
+
+def test_codes_reach_python_in_bounded_batches(spark):
+    """Neither one row nor one batch holds megabytes of a long text."""
+    docs = spark.createDataFrame([("en", "alpha beta gamma delta. " * 100_000), ("en", "alpha beta, " * 200_000)], "lang string, text string").repartition(1)
+    held = spark.conf.get(tables.BATCH_BYTES)
+    try:
+        spark.conf.set(tables.BATCH_BYTES, "64m")
+        counts, seed = collocations.numbered(docs)
+        texts = collocations.coded(docs, seed, collocations.bitmap(counts.select("number")))
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.record_batch([pa.array([b.nbytes]), pa.array([max((len(x.as_buffer()) for x in b.column(0)), default=0)])], names=["batch", "row"])
+
+        most = texts.mapInArrow(sizes, "batch bigint, row bigint").groupBy().max().first()
+        assert most[0] <= 2 * tables.PYTHON_BATCH_BYTES
+        assert most[1] <= 16 * collocations.ROW_CODES
+        pairs = collocations.frequent(texts, 30)
+        counted = collocations.phrase_counts(collocations.windows(texts, pairs, collocations.frequent(texts, 30, pairs)), 30)
+        got = sorted(tuple(r) for r in counted.selectExpr("size(words)", "f").collect())
+        assert got == [(1, 100_000), (1, 100_000), (1, 300_000), (1, 300_000), (2, 100_000), (2, 100_000), (2, 300_000), (3, 100_000), (3, 100_000), (4, 100_000)]
+    finally:
+        spark.conf.set(tables.BATCH_BYTES, held)
