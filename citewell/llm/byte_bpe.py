@@ -16,7 +16,7 @@ from citewell.llm.common import pieces, texts_of
 
 BATCH_BYTES = 24_000_000
 CACHED_CHARS = 64
-CACHED_PIECES = 800_000
+CACHED_PIECES = 200_000
 
 
 class RankQueue:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewell.sources.tables import cut, delete
+from citewell.sources.tables import bounded_batches, cut, delete
 
 __all__ = ["column_of", "cut", "discard", "joined_evenly", "mapped", "pieces", "read", "texts_of", "utf8"]
 
@@ -18,6 +18,7 @@ PIECE_BYTES = 1_500_000
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -29,7 +30,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def texts_of(docs: DataFrame, *others: str) -> DataFrame:
-    """doc_id and the whole text, NULL as the empty text; other columns only if named."""
+    """doc_id and the whole text, NULL as the empty text; other columns only if named. Batches for Python are bounded by bytes."""
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *others)
 
 
@@ -56,6 +58,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
 
 def mapped(df: DataFrame, on_piece: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
     """``on_piece`` over all rows, in pieces of bounded size."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

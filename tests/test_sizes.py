@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citewell.functions.vectors import hash_embedding
+from citewell.llm import common
 from citewell.operators import ingest, lexical, search
 from citewell.sources import tables
 
@@ -138,3 +139,18 @@ def test_latest_versions_are_found_without_sorting_texts(spark):
     assert [r[:2] for r in got] == sorted(((r.document_id, r.version) for r in ingest.latest_versions(d).collect()), key=str)
     assert {r[2] for r in got} - {"p", "q"} == {"y", "x", "n", "t", "u"} and len(got) == 6
     assert found._jdf.queryExecution().executedPlan().toString().count("ShuffledHashJoin") >= 2
+
+
+def test_operators_for_training_data_bound_what_python_gets(spark, tmp_path):
+    """Also where a stage of the pipeline is given its documents."""
+    spark.createDataFrame([(k, "x" * 2**20) for k in range(20)], "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    size = lambda piece: pa.record_batch([pa.array([piece.num_rows])], names=["n"])
+    largest = lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    was = spark.conf.get(tables.BATCH_BYTES)
+    try:
+        for bounded in (common.texts_of, lambda d: common.mapped(d, size, "n bigint") and d, lambda d: common.read(spark, str(tmp_path), "documents")):
+            spark.conf.set(tables.BATCH_BYTES, "64m")
+            found = [r.n for r in bounded(spark.read.parquet(f"{tmp_path}/documents.parquet")).mapInArrow(largest, "n bigint").collect()]
+            assert max(found) <= tables.PYTHON_BATCH_BYTES + 2 * 2**20 and sum(found) >= 20 * 2**20
+    finally:
+        spark.conf.set(tables.BATCH_BYTES, was)
