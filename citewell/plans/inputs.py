@@ -25,6 +25,12 @@ def later(base: Column, **parts: Column) -> Column:
     return base + F.make_dt_interval(**parts)
 
 
+def sped(column: str, factor: int) -> Column:
+    """A time on a log replayed so many times as fast; times before its beginning are rounded towards it, as ``//`` does in SQL."""
+    base = F.unix_micros(start())
+    return F.timestamp_micros(base + F.call_function("div", F.unix_micros(column) - base, F.lit(factor)))
+
+
 def ts_text(c: Column) -> Column:
     """Timestamps leave the queries as text, which both engines print alike."""
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
@@ -284,9 +290,7 @@ retried AS (
 def busy_requests(spark: SparkSession, sf: str) -> DataFrame:
     """The log replayed 2000 times as fast, against two requests a minute."""
     r = requests(spark, sf)
-    base = F.unix_micros(start())
-    fast = F.timestamp_micros(base + F.floor((F.unix_micros("ts") - base) / 2000))
-    return r.select("tenant_id", "endpoint", fast.alias("ts"), "request_id", F.lit(2).alias("limit_per_minute"))
+    return r.select("tenant_id", "endpoint", sped("ts", 2000).alias("ts"), "request_id", F.lit(2).alias("limit_per_minute"))
 
 
 BUSY = REQUESTS + """,
@@ -298,10 +302,9 @@ busy AS (
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
     """Indexing attempts: users are documents, views succeed, times run 1000 times as fast."""
     e = events(spark, sf)
-    base = F.unix_micros(start())
     return e.select(
         F.concat(F.lit("https://example.org/u/"), "user_id").alias("key"),
-        F.timestamp_micros(base + F.floor((F.unix_micros("ts") - base) / 500)).alias("attempt_at"),
+        sped("ts", 500).alias("attempt_at"),
         F.col("event_id").alias("attempt_id"),
         ((F.col("event_type") == "view") & (F.col("k") < 40)).alias("ok"),
         F.concat(F.lit("failed: "), "event_type").alias("error"),

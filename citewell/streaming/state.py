@@ -135,7 +135,8 @@ class Alerts(StatefulProcessor):
     """State: a key's panes of the widest window, the last evaluated tick, and since when each rule holds.
 
     Each pane is counted once, whatever number of rules and widths look at it. Rules are evaluated at every tick that the
-    watermark has passed, also when nothing arrives; a key whose panes are all too old is forgotten.
+    watermark has passed, also when nothing arrives. A key is forgotten once the watermark has passed a tick at which all
+    its panes are too old; until then a new pane at that tick may carry on what has held.
     """
 
     schema = "ticks array<bigint>, totals array<bigint>, parts array<bigint>, done bigint, since array<bigint>, timer bigint"
@@ -175,6 +176,7 @@ class Alerts(StatefulProcessor):
         total, part = [0] * len(self.rules), [0] * len(self.rules)
         while done + self.step <= upto:
             if end == len(ticks) and (not ticks or ticks[-1] <= done + self.step - self.widest):
+                since = [-1] * len(self.rules)
                 break
             done += self.step
             began = end
@@ -194,7 +196,7 @@ class Alerts(StatefulProcessor):
                     yield Row(key=key[0], rule=rule.name, micros=done, total=total[i], part=part[i], over=over, firing=firing)
         old = bisect_right(ticks, done - self.widest + self.step)
         ticks, totals, parts = ticks[old:], totals[old:], parts[old:]
-        if not ticks:
+        if not ticks and max(since) < 0:
             self.state.clear()
             return
         if not timer:

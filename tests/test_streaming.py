@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from citewell.operators.usage import token_bucket
+from citewell.plans import inputs
 from citewell.plans.stream_queries import as_stream, drained, fed, timed
 from citewell.sources import messages, tables
 from citewell.streaming import jobs, state
@@ -71,6 +72,27 @@ def test_alerts_are_evaluated_at_every_step_and_fire_after_holding(spark):
     assert any(v[3] for v in got.values()) and any(v[2] and not v[3] for v in got.values())
 
 
+def test_a_rule_goes_on_holding_where_the_last_pane_leaves_as_the_next_comes(spark):
+    """Between two runs all panes of the key are too old for the next tick, and at that tick a new one comes."""
+    rules = (state.AlertRule("rule", 300, 0.1, 300),)
+    df = spark.createDataFrame([("a", 10, True), ("b", 310, False), ("a", 310, True), ("b", 1200, False)], "key string, s int, bad boolean")
+    df = df.withColumn("ts", F.timestamp_seconds(F.unix_timestamp(F.lit(T0)) + F.col("s"))).withColumn("_at", F.col("s").cast("double"))
+    early, late = df.where("key = 'a' AND s = 10 OR key = 'b' AND s = 310"), df.where("key = 'a' AND s = 310 OR s = 1200")
+    path = tables.shared_dir(spark, "leaving")
+    early.write.parquet(path)
+    stream = spark.readStream.schema(df.schema).parquet(path)
+    found = drained(spark, jobs.alerts(stream, F.col("key"), F.col("bad"), rules, delay="0 seconds"), "leaving-out", [lambda: late.write.mode("append").parquet(path)])
+    firing = {int((r.evaluated_at - T0).total_seconds()): r.firing for r in found.where("key = 'a'").collect()}
+    assert firing == {tick: tick >= 330 for tick in range(30, 601, 30)}
+
+
+def test_times_before_the_log_begins_are_sped_up_as_in_sql(spark):
+    micros = [1704067200000000 + n for n in (-250, -100, -1, 0, 99, 100, 250)]
+    df = spark.createDataFrame([(n,) for n in micros], "n bigint").select("n", F.timestamp_micros("n").alias("ts"))
+    got = [r.us - 1704067200000000 for r in df.select("n", F.unix_micros(inputs.sped("ts", 100)).alias("us")).orderBy("n").collect()]
+    assert got == [-2, -1, 0, 0, 0, 1, 2]
+
+
 def test_rate_limits_go_on_from_batch_to_batch(spark):
     """A bucket that is empty at the end of a micro-batch is so at the beginning of the next; a replay changes nothing."""
     rows = [("t", "e", T0 + dt.timedelta(seconds=2 * n), f"r{n:03d}", 3) for n in range(60)] + [("u", "e", T0 + dt.timedelta(seconds=40 * n), f"u{n}", 3) for n in range(4)]
