@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citewell.llm.common import cut, discard, mapped, pieces, utf8
@@ -91,15 +91,39 @@ def keyed_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return owner, first - offsets[owner], count, least[first].astype(np.int64), between(sums, first, first + count + LENGTH - 1).astype(np.int64), inner
 
 
+def _turns(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key how many equal ones stand before it, and whether there is another equal one."""
+    order = np.argsort(keys, kind="stable")
+    begins = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])[: len(keys)])
+    sizes = np.diff(np.append(begins, len(keys)))
+    turn, several = np.empty(len(keys), np.int32), np.empty(len(keys), bool)
+    turn[order] = np.arange(len(keys)) - np.repeat(begins, sizes)
+    several[order] = np.repeat(sizes > 1, sizes)
+    return turn, several
+
+
 def runs_of(texts: DataFrame) -> DataFrame:
-    """key, hash, doc, at, n, inner: a row for each run of every text."""
+    """key, hash, doc, at, n, inner: a row for each run of every text; turn and several: how many runs of the key stand
+    before it in its piece of texts, and whether the piece has others."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         owner, at, n, key, digest, inner = keyed_runs(*utf8(piece.column("text")))
         doc = piece.column("doc").take(pa.array(owner))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(digest), doc, pa.array(at), pa.array(n), pa.array(inner.astype(bool))], names=["key", "hash", "doc", "at", "n", "inner"])
+        columns = [pa.array(key), pa.array(digest), doc, pa.array(at), pa.array(n), pa.array(inner.astype(bool)), *map(pa.array, _turns(key))]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "hash", "doc", "at", "n", "inner", "turn", "several"])
+
+    return mapped(texts, run, "key bigint, hash bigint, doc bigint, at bigint, n bigint, inner boolean, turn int, several boolean")
 
-    return mapped(texts, run, "key bigint, hash bigint, doc bigint, at bigint, n bigint, inner boolean")
+
+def runs_to_follow(texts: DataFrame) -> DataFrame:
+    """key, hash, doc, at, n, inner: the runs whose key occurs again, and those that may repeat something within.
+
+    All runs are shuffled once, and are written nowhere else. Runs that share their key with others of their piece are known
+    to be wanted; the first of them meets the firsts of other pieces, and each further one has a turn of its own. So a task
+    gets no more runs of one key and turn than there are pieces, however many texts share a passage.
+    """
+    met = runs_of(texts).withColumn("pieces", F.count("*").over(Window.partitionBy("key", "turn")))
+    return met.where("pieces > 1 OR several OR inner").select("key", "hash", "doc", "at", "n", "inner")
 
 
 def shard_transforms(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -318,11 +342,8 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     several different runs with one key go, as bytes, to the merge of shard transforms. Where they have more bytes than
     are merged at a time, as at the edges of a passage that many texts share, their windows are counted one by one instead.
     """
-    runs = cut(runs_of(texts), "runs")
-    again = runs.groupBy("key").agg(F.count("*").alias("times"), F.max("inner").alias("inner")).where("times > 1 OR inner").select("key")
-    followed = cut(runs.join(again.hint("merge"), "key"), "followed")
+    followed = cut(runs_to_follow(texts), "followed")
     first = cut(followed.groupBy("key", "hash").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("n").alias("n"), F.max("inner").alias("inner")), "first")
-    discard(runs)  # the largest table; what is followed is written
     later = followed.join(first.drop("n", "inner").hint("merge"), ["key", "hash"]).where("doc <> first.doc OR at <> first.at").select("doc", "at", "n")
     varied = first.groupBy("key").agg(F.count("*").alias("kinds"), F.max("inner").alias("inner"), F.sum(F.col("n") + LENGTH - 1).alias("size"))
     varied = cut(varied.where("kinds > 1 OR inner").select("key", (F.col("size") > BATCH_BYTES).alias("hot")), "varied")

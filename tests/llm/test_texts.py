@@ -352,6 +352,33 @@ def test_repeats_of_a_passage_in_thousands_of_texts(spark, monkeypatch):
     assert [r[:4] for r in found] == [(1, 1_400_000, 1_399_998, 1), (2, 201, 201, 1), (3, 121, 120, 1)]
 
 
+def test_only_runs_that_are_followed_are_written(spark, documents, monkeypatch):
+    docs = documents.selectExpr("doc_id AS doc", "coalesce(text, '') AS text")
+    rows = rows_of(repeats.runs_of(docs), "key", "doc", "at", "inner")
+    times = collections.Counter(r[0] for r in rows)
+    wanted = sorted(r for r in rows if times[r[0]] > 1 or r[3])
+    assert 0 < len(wanted) < len(rows)
+    assert sorted(rows_of(repeats.runs_to_follow(docs), "key", "doc", "at", "inner")) == wanted
+    written, write = [], repeats.cut
+
+    def watched(df, label="cut"):
+        table = write(df, label)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(repeats, "cut", watched)
+    repeats.repeated_windows(docs).count()
+    assert max(written) <= len(wanted)
+
+
+def test_runs_of_one_key_meet_once_a_piece(spark):
+    passage = "".join(np.random.default_rng(5).choice(list("abcdefgh "), 300))
+    docs = spark.createDataFrame([(i, passage) for i in range(3_000)], "doc bigint, text string").repartition(3)
+    runs = repeats.runs_of(docs)
+    most = runs.groupBy("key", "turn").count().agg(F.max("count")).first()[0]
+    assert most <= 6 and repeats.runs_to_follow(docs).count() == runs.count() > 3_000
+
+
 # --- quality
 
 
