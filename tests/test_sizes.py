@@ -2,10 +2,13 @@
 
 import datetime as dt
 
+import duckdb
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_point
 from citewell.functions.vectors import hash_embedding
 from citewell.llm import common
 from citewell.operators import ingest, lexical, search
@@ -154,3 +157,16 @@ def test_operators_for_training_data_bound_what_python_gets(spark, tmp_path):
             assert max(found) <= tables.PYTHON_BATCH_BYTES + 2 * 2**20 and sum(found) >= 20 * 2**20
     finally:
         spark.conf.set(tables.BATCH_BYTES, was)
+
+
+@pytest.mark.parametrize("name", ["A3_highlight_fallback"])
+def test_texts_without_a_highlight(spark, tmp_path, name):
+    """Empty and NULL texts have no span at all."""
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet")
+    odd = [{"doc_id": 900_000 + k, "text": t, "lang": "en", "source": "src1", "n_chars": len(t or "")} for k, t in enumerate(["", None, " ", "a ZyX", "THE"])]
+    pq.write_table(pa.concat_tables([docs, pa.Table.from_pylist(odd, docs.schema)]), tmp_path / "documents.parquet")
+    got = entry_point.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    expected = con.execute(f"SELECT {', '.join(f'{chr(34)}{c}{chr(34)}' for c in got.columns)} FROM ({entry_point.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
