@@ -190,6 +190,6 @@ def first_highlight(spark, sf):
     """Snippets by way of highlights: which results mention the word at all."""
     listed = results(spark, sf).select("query_id", "document_id")
     joined = listed.join(i.docs(spark, sf).select("document_id", "cleaned_text"), "document_id")
-    spans = highlights(F.col("cleaned_text"), F.lit("the"))
-    inside = F.substring(F.lower("cleaned_text"), spans[0]["start"] + 1, spans[0]["end"] - spans[0]["start"])
+    first = F.get(highlights(F.col("cleaned_text"), F.lit("the")), 0)  # an empty text has none
+    inside = F.substring(F.lower("cleaned_text"), first["start"] + 1, first["end"] - first["start"])
     return joined.select("query_id", "document_id", F.coalesce(inside.contains("the").cast("int"), F.lit(0)).alias("matched"))

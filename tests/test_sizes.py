@@ -159,7 +159,7 @@ def test_operators_for_training_data_bound_what_python_gets(spark, tmp_path):
         spark.conf.set(tables.BATCH_BYTES, was)
 
 
-@pytest.mark.parametrize("name", ["A3_highlight_fallback"])
+@pytest.mark.parametrize("name", ["A3_highlight_fallback", "P8_first_highlight"])
 def test_texts_without_a_highlight(spark, tmp_path, name):
     """Empty and NULL texts have no span at all."""
     docs = pq.read_table("/root/testdata/sf0.001/documents.parquet")
