@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citewell.llm.blocks import QUERY_ROWS, VECTOR_ROWS, matrix_of, met, pack, queries_of, ranked, salts_for, usable
+from citewell.llm.blocks import QUERY_ROWS, VECTOR_ROWS, grid_for, matrix_of, met, pack, queries_of, ranked, usable
 from citewell.llm.common import cut
 
 BINS = 2048
@@ -37,7 +37,7 @@ def search(vectors: DataFrame, query_condition, k: int, scale: int = 256) -> Dat
     bits. Other columns are left aside.
     """
     whole = usable(vectors).withColumn("embedding", F.transform("embedding", lambda x: F.floor(x * scale).cast("double")))
-    blocks = cut(pack(whole, VECTOR_ROWS), "vector-blocks")
+    blocks = cut(pack(whole, VECTOR_ROWS, stride=vectors.rdd.getNumPartitions()), "vector-blocks")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     reach = whole.agg(F.max(norm)).first()[0] or 0.0  # no score is beyond the product of two lengths
     bound = (norm * F.lit(reach) + 1).cast("bigint") + 1
@@ -45,23 +45,29 @@ def search(vectors: DataFrame, query_condition, k: int, scale: int = 256) -> Dat
         queries_of(whole, query_condition).select("vec_id", "embedding", (-bound).alias("low"), F.ceil((2 * bound + 1) / BINS).alias("width"), (bound + 1).alias("high"), F.lit(0).cast("bigint").alias("above")),
         "queries",
     )
-    salts = salts_for(vectors)
-
-    def histograms(row: dict) -> Iterator[pa.RecordBatch]:
-        ids, matrix = matrix_of(row)
-        q_ids, q_matrix = matrix_of(row, "q_")
-        low, width, high = (np.frombuffer(row[f"q_{c}"], np.int64) for c in ("low", "width", "high"))
-        found = scores(matrix, q_matrix)
-        bins = np.where(width > 0, (found - low) // np.maximum(width, 1), -1)
-        bins[(ids[:, None] == q_ids) | (found >= high)] = -1  # higher ones are counted already
-        # No bin below the block's own k-th score can hold the k-th of all.
-        floor = np.partition(bins, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.zeros(len(q_ids), np.int64)
-        r, c = np.nonzero((bins >= floor) & (bins >= 0))
-        code, count = np.unique(c * BINS + bins[r, c], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids[code // BINS]), pa.array(code % BINS), pa.array(count.astype(np.int64))], names=["query_id", "bin", "n"])
+    grid = grid_for(vectors, query_condition, VECTOR_ROWS)
+
+    def pairs(asked: list[dict], stored: Iterator[dict], *columns: str) -> Iterator[tuple]:
+        """Ids and scores of each two blocks, and the columns of the query block."""
+        queries = [(row["dim"], *matrix_of(row), [np.frombuffer(row[c], np.int64) for c in columns]) for row in asked]
+        for row in stored:
+            ids, matrix = matrix_of(row)
+            for dim, q_ids, q_matrix, values in queries:
+                if dim == row["dim"]:
+                    yield ids, q_ids, scores(matrix, q_matrix), *values
+
+    def histograms(asked: list[dict], stored: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for ids, q_ids, found, low, width, high in pairs(asked, stored, "low", "width", "high"):
+            bins = np.where(width > 0, (found - low) // np.maximum(width, 1), -1)
+            bins[(ids[:, None] == q_ids) | (found >= high)] = -1  # higher ones are counted already
+            # No bin below the block's own k-th score can hold the k-th of all.
+            floor = np.partition(bins, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.zeros(len(q_ids), np.int64)
+            r, c = np.nonzero((bins >= floor) & (bins >= 0))
+            code, count = np.unique(c * BINS + bins[r, c], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[code // BINS]), pa.array(code % BINS), pa.array(count.astype(np.int64))], names=["query_id", "bin", "n"])
 
     while asked.where("width > 0").limit(1).count():
-        counted = met(blocks, pack(asked, QUERY_ROWS, ["low", "width", "high"]), salts, histograms, "query_id bigint, bin bigint, n bigint")
+        counted = met(blocks, pack(asked, QUERY_ROWS, ["low", "width", "high"]), grid, histograms, "query_id bigint, bin bigint, n bigint")
         summed = counted.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("query_id").orderBy(F.desc("bin"))  # at most BINS rows for each query
         running = summed.join(asked.select(F.col("vec_id").alias("query_id"), "above"), "query_id").withColumn("upto", F.col("above") + F.sum("n").over(down))
@@ -78,17 +84,14 @@ def search(vectors: DataFrame, query_condition, k: int, scale: int = 256) -> Dat
             "queries",
         )
 
-    def selected(row: dict) -> Iterator[pa.RecordBatch]:
-        ids, matrix = matrix_of(row)
-        q_ids, q_matrix = matrix_of(row, "q_")
-        low = np.frombuffer(row["q_low"], np.int64)
-        found = scores(matrix, q_matrix)
-        kept = (found >= low) & (ids[:, None] != q_ids)
-        c, r = np.nonzero(kept.T)
-        order = np.lexsort((ids[r], -found[r, c], c))
-        c, r = c[order], r[order]
-        place = np.arange(len(c)) - np.searchsorted(c, c)
-        c, r = c[place < k], r[place < k]
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids[c]), pa.array(ids[r]), pa.array(found[r, c])], names=["query_id", "vec_id", "score"])
-
-    return ranked(met(blocks, pack(asked, QUERY_ROWS, ["low"]), salts, selected, "query_id bigint, vec_id bigint, score bigint"), k)
+    def selected(asked: list[dict], stored: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for ids, q_ids, found, low in pairs(asked, stored, "low"):
+            kept = (found >= low) & (ids[:, None] != q_ids)
+            c, r = np.nonzero(kept.T)
+            order = np.lexsort((ids[r], -found[r, c], c))
+            c, r = c[order], r[order]
+            place = np.arange(len(c)) - np.searchsorted(c, c)
+            c, r = c[place < k], r[place < k]
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[c]), pa.array(ids[r]), pa.array(found[r, c])], names=["query_id", "vec_id", "score"])
+
+    return ranked(met(blocks, pack(asked, QUERY_ROWS, ["low"]), grid, selected, "query_id bigint, vec_id bigint, score bigint"), k)

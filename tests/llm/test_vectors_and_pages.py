@@ -94,6 +94,30 @@ def test_collision_search_on_odd_rows(spark, odd):
     assert collision_search.search(odd.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+@pytest.mark.parametrize("module", [collision_search])
+def test_queries_are_not_collected_to_meet_the_vectors(spark, module):
+    """Copies of the query blocks for all parts of the vectors are many times what the queries are estimated at."""
+    df = spark.range(200).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    found = module.search(df, F.col("vec_id") % 20 == 0, 5)
+    assert found.count() == 50
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_end_where_they_end_step_by_step():
+    rng = np.random.default_rng(4)
+    shard = collision_search.Shard(np.arange(500), rng.normal(size=(500, 8)))
+    centres = collision_search._projected(rng.normal(size=(40, 8))) * np.sqrt(shard.longest)
+    expected = []
+    for c in centres:
+        half = shard.halves[0]
+        while (hits := ((np.abs(shard.values - c[:, None]) < half)[np.arange(48)[:, None], shard.places].sum(axis=0) >= 32)).sum() < 100:
+            half *= collision_search.GROWTH
+        expected.append(hits)
+    for first in (0, 5, 60):
+        shard.step = first
+        assert (np.vstack([shard.candidates(some, 100) for some in (centres[:32], centres[32:])]) == expected).all()
+
+
 # --- pages
 
 PAGE = (
