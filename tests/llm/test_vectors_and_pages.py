@@ -94,7 +94,7 @@ def test_collision_search_on_odd_rows(spark, odd):
     assert collision_search.search(odd.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
-@pytest.mark.parametrize("module", [collision_search])
+@pytest.mark.parametrize("module", [collision_search, exact_topk])
 def test_queries_are_not_collected_to_meet_the_vectors(spark, module):
     """Copies of the query blocks for all parts of the vectors are many times what the queries are estimated at."""
     df = spark.range(200).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
