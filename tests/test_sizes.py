@@ -63,6 +63,22 @@ def test_unknown_urls_read_no_text(spark):
     assert {r.query_id for r in search.unknown_urls(asked, d).collect()} == {2}
 
 
+def test_no_more_candidates_are_kept_than_a_query_asks_for(spark, monkeypatch):
+    """Lists are as long as the longest that is asked for, not as the longest that may be."""
+    kept = []
+    for module, name, place in ((search.neighbours, "knn", 2), (search.lexical, "bm25", 3)):
+        of = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *args, of=of, place=place: kept.append(args[place]) or of(*args))
+    d = spark.createDataFrame([(f"d{k}", 1, f"cat {k % 4} dog") for k in range(30)], "document_id string, version int, cleaned_text string")
+    entries = lexical.lexical_entries(d)
+    asked = spark.createDataFrame([(1, "cat 3", "hybrid", 2), (2, "dog 1", "keyword", 3), (3, "cat 2 dog", "neural", 1)], "query_id bigint, query_text string, mode string, num_results int")
+    found = search.candidates(asked, d, d.select("document_id", "version", hash_embedding(F.col("cleaned_text"), 16).alias("embedding")), entries, lexical.corpus_stats(entries), dim=16)
+    assert {r.query_id: r["count"] for r in found.groupBy("query_id").count().collect()} == {1: 4, 2: 6, 3: 2}
+    assert kept == [6, 6]
+    none = search.candidates(asked.limit(0), d, d.select("document_id", "version", hash_embedding(F.col("cleaned_text"), 16).alias("embedding")), entries, lexical.corpus_stats(entries), dim=16)
+    assert none.count() == 0
+
+
 @pytest.mark.parametrize("bounds", [{}, {"BROADCAST_TERMS": 2, "CELL_TERMS": 4, "CELL_TOKENS": 40, "HELD_SCORES": 12}])
 def test_entries_scored_where_they_lie_equal_postings(spark, monkeypatch, bounds):
     """Copies tie across every cut; one text has no term, one query none that occurs. Neither way shuffles a posting or a part of a score."""
